@@ -13,7 +13,6 @@ table gives an empty result; extra columns are not read.
 from __future__ import annotations
 
 import base64
-import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -151,18 +150,16 @@ def decode(coded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", id
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: doc_id, n_tokens, ids_sha256 (of the ids as little-endian
-    unsigned 32-bit integers), decoded_sha256."""
+    """Encodes and decodes in one pass: doc_id, packed (the ids as little-endian unsigned 32-bit
+    integers, as token shards hold them), decoded (the bytes of the ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for batch in batches:
             for part in slices(batch, 1):
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
-                columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64())]
-                columns += [pa.array([sha(x.astype("<u4").tobytes()) for x in ids], pa.string()), pa.array([sha(bpe.decode(x)) for x in ids], pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [part.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "packed", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return rows.mapInArrow(run, "doc_id long, packed binary, decoded binary")
