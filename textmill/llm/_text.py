@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,7 +25,7 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Runs of whole rows with about ``most`` bytes of text, so that a task's memory follows
     this bound and the longest single text, not the Arrow batch."""
-    size = pa.compute.binary_length(batch.column(column)).to_pylist()
+    size = pc.binary_length(batch.column(column)).to_pylist()
     start = held = 0
     for i, n in enumerate(size):
         if i > start and held + (n or 0) > most:
