@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -34,3 +34,17 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 21) -> Iterator[
         held += n or 0
     if len(size) > start:
         yield batch.slice(start)
+
+
+def kept_rows(docs: DataFrame, text_col: str, test: Callable[[], Callable[[list[str]], list[bool]]]) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text passes. ``test`` makes the function
+    that looks at texts once in each task; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = test()
+        for batch in batches:
+            for part in slices(batch, at):
+                yield part.filter(pa.array(passes([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

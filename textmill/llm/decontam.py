@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import slices
+from ._text import kept_rows, slices
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -198,12 +198,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 6, segment: int
     """One row for each document and item that share a passage: its extent in the document, the
     item's segments found, their edits, and the share of the item's segments. An item's segment
     has a budget of ``rate`` edits a character."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = _blocks(benchmark, block_chars, item_col, item_text)
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(held, q, segment, rate, min_chars), SCHEMA) for held in blocks])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 6, segment: int = 64, rate: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that share no passage with the benchmark."""
+
+    def test(held: list[tuple[int, str]]):
+        def make():
+            index = Index(held, q, segment, rate, min_chars)
+            return lambda texts: [not index.regions(fold(t)[0]) for t in texts]
+
+        return make
+
+    return reduce(lambda rows, held: kept_rows(rows, text_col, test(held)), _blocks(benchmark, block_chars, item_col, item_text), docs)
+
+
+def _blocks(benchmark: DataFrame, block_chars: int, item_col: str, item_text: str) -> list[list[tuple[int, str]]]:
+    """The benchmark's items in blocks of about ``block_chars`` characters; one block at least."""
     items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null")
     total = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_chars))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    out = []
-    for b in range(blocks):
-        held = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()]  # about block_chars
-        out.append(rows.mapInArrow(_search(held, q, segment, rate, min_chars), SCHEMA))
-    return reduce(DataFrame.unionByName, out)
+    n = max(1, -(-total // block_chars))
+    return [[tuple(r) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == b).collect()] for b in range(n)]

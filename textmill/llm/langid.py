@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._text import slices
+from ._text import kept_rows, slices
 
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
@@ -169,3 +169,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, SCHEMA)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, that ``model`` doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, text_col, lambda: lambda texts: [not bad for bad in shared.value.predict(texts)[2]])

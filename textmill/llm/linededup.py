@@ -30,13 +30,16 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", ""))
 
 
-def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_text.
+def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_lines, n_dropped, kept_text, and with ``carry`` the
+    input row as the struct ``row``.
 
     A key of ``min_chars`` code points or more found in ``min_docs`` documents or more keeps
     its lines in the smallest id that holds it and loses them elsewhere."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), row_key(F.col("doc_id"), F.col("text")).alias("rk"))
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
+    more = ["row"] * carry
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *row)
+    base = base.select("doc_id", "text", *more, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), row_key(F.col("doc_id"), F.col("text")).alias("rk"))
     lines = (
         base.select("id", "rk", F.posexplode(F.transform(_lines(F.col("text")), line_key)).alias("pos", "line"))
         .filter(F.length("line") >= min_chars)
@@ -49,7 +52,15 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2,
     repeated = written(seen.select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), "first"), "repeated-lines")
     marked = lines.hint("merge").join(repeated, (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("id") != F.col("first")))
     drops = marked.groupBy("rk").agg(F.collect_set("pos").alias("gone"))  # of one document: as many as its lines at most
-    out = base.join(drops.hint("merge"), "rk", "left").select("doc_id", _lines(F.col("text")).alias("ls"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    out = base.join(drops.hint("merge"), "rk", "left").select("doc_id", *more, _lines(F.col("text")).alias("ls"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("ls") - 1), "gone")
-    out = out.select("doc_id", "ls", "gone", kept.alias("kept"))
-    return out.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.expr("array_join(transform(kept, i -> ls[i]), '\n')").alias("kept_text"))
+    out = out.select("doc_id", *more, "ls", "gone", kept.alias("kept"))
+    return out.select("doc_id", *more, F.size("ls").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_dropped"), F.expr("array_join(transform(kept, i -> ls[i]), '\n')").alias("kept_text"))
+
+
+def without_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """``docs`` with its columns; the text is what is left, and ``length_col``, where there is one, its length."""
+    out = drop_repeated_lines(docs, min_chars, min_docs, id_col, text_col, carry=True)
+    kind = dict(docs.dtypes)
+    columns = {text_col: F.col("kept_text")} | ({length_col: F.length("kept_text").cast(kind[length_col])} if length_col in kind else {})
+    return out.select(*[columns.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -80,38 +80,115 @@ def block_masks(n: int, k: int) -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in masks]
 
 
-def links(nodes: DataFrame, k: int) -> DataFrame:
-    """nodes(fp), distinct -> (fp, root) for fingerprints with a link; see the module's text."""
-    masks = block_masks(nodes.count(), k)
-    cell = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for i, x in enumerate(masks)])).alias("cell")
-    cells = nodes.select("fp", cell).select("fp", "cell.c", "cell.v")
-    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
-    heads = written(cells.groupBy("c", "v").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1"), "heads")
-    met = written(cells.hint("merge").join(heads.select("c", "v", "head"), ["c", "v"]), "met")
-    star = met.filter((F.col("fp") != F.col("head")) & (apart("fp", "head") <= k)).select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
-    first = components(star)
-    known = met.select("c", "v", "fp").hint("merge").join(first.withColumnRenamed("node", "fp"), "fp", "left").select("c", "v", "fp", F.coalesce("root", "fp").alias("root"))
+def links(cells: DataFrame, k: int, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+    """cells(c, v, id, f): a row for each node and block choice -> (id, root) for nodes with a link;
+    see the module's text. Nodes of a cell link if f differs in ``k`` bits at most and ``confirm``
+    keeps their pair (a, b)."""
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
+    heads = written(cells.groupBy("c", "v").agg(F.min(F.struct("id", "f")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("c", "v", F.col("h.id").alias("head"), F.col("h.f").alias("hf")), "heads")
+    met = written(cells.hint("merge").join(heads, ["c", "v"]), "met")
+    star = met.filter((F.col("id") != F.col("head")) & near("f", "hf")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
+    first = components(confirm(star))
+    known = met.select("c", "v", "id", "f").hint("merge").join(first.withColumnRenamed("node", "id"), "id", "left").select("c", "v", "id", "f", F.coalesce("root", "id").alias("root"))
     known = written(known, "known")
     sizes = known.groupBy("c", "v", "root").agg(F.count("*").alias("n")).groupBy("c", "v")
     main = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("c", "v", "main")
-    main = written(main, "main")
-    mixed = known.hint("merge").join(main, ["c", "v"])
-    other = mixed.filter("root != main").select("c", "v", F.col("fp").alias("fp2"), F.col("root").alias("root2"))
-    cross = mixed.hint("merge").join(other, ["c", "v"]).filter((F.col("root") != F.col("root2")) & (apart("fp", "fp2") <= k))
-    cross = cross.select(F.col("root").alias("a"), F.col("root2").alias("b"))
-    second = components(cross).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    roots = first.unionByName(second.join(first.withColumnRenamed("node", "root2").select("root2"), F.col("root") == F.col("root2"), "left_anti").select(F.col("root").alias("node"), "root"))
-    return roots.hint("merge").join(second, "root", "left").select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
+    mixed = known.hint("merge").join(written(main, "main"), ["c", "v"])
+    other = mixed.filter("root != main").select("c", "v", F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("root").alias("root2"))
+    cross = mixed.hint("merge").join(other, ["c", "v"]).filter((F.col("root") != F.col("root2")) & near("f", "f2"))
+    cross = cross.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
+    stars = first.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(confirm(cross).unionByName(stars)).withColumnRenamed("node", "id")
+
+
+def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """prints(doc_id, fp, ...), nodes(id, fp, low), roots(id, root) -> prints with component_id."""
+    named = nodes.hint("merge").join(roots, "id", "left").select("fp", "low", F.coalesce("root", "id").alias("root"))
+    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    named = written(named.hint("merge").join(least, "root").select("fp", "root", "component_id"), "named")
+    return prints.hint("merge").join(named, "fp")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, k: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, fingerprint (16 hex digits), component_id (the smallest
     doc_id reachable over links of at most ``k`` differing bits)."""
     prints = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
-    roots = written(links(nodes.select("fp"), k), "roots")
-    named = nodes.hint("merge").join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = written(named.hint("merge").join(least, "root").select("fp", "component_id"), "named")
-    out = prints.hint("merge").join(named, "fp")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", "low", F.col("fp").alias("id")), "nodes")
+    masks = block_masks(nodes.count(), k)
+    cell = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for i, x in enumerate(masks)])).alias("cell")
+    roots = links(nodes.select("id", F.col("fp").alias("f"), cell).select("cell.c", "cell.v", "id", "f"), k)
+    out = _named(prints, nodes, written(roots, "roots"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def wide_simhash(data: bytes, size: int, lanes: int) -> bytes:
+    """A fingerprint of 64 * lanes bits: each lane votes with another mix of the shingles' hashes."""
+    words = data.lower().split()
+    out = np.zeros(lanes, np.uint64)
+    if words:
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        n = max(1, len(words) - size + 1)
+        begins, ends = np.concatenate(([0], ends[:-1] + 1))[:n].tolist(), ends[-n:].tolist()
+        h = np.array([xxh64_intdigest(joined[b:e], 42) for b, e in zip(begins, ends)], np.uint64)
+        for lane in range(lanes):
+            votes = np.zeros(64, np.int64)
+            for at in range(0, n, _STEP):
+                x = h[at : at + _STEP] * np.uint64(0x9E3779B97F4A7C15 * (2 * lane + 1) & (1 << 64) - 1)
+                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                octets = (x ^ (x >> np.uint64(32))).astype("<u8").view(np.uint8).reshape(-1, 8)
+                for i in range(8):
+                    votes[8 * i : 8 * i + 8] += np.bincount(octets[:, i], minlength=256) @ _BITS
+            out[lane] = ((votes * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)
+    return out.astype("<u8").tobytes()
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As near_duplicates, for links at a given Jaccard ``similarity`` of shingle sets, which is too
+    wide for the pigeonhole bound on 64 bits: at 0.8 about one bit in seven differs. Fingerprints are
+    ``64 * lanes`` bits, cut into blocks of about log2(nodes) + 2 bits; a pair that agrees on a block
+    is a candidate (expected to miss few pairs at the threshold, none much above it), and is kept
+    if the share of differing bits says so. doc_id, text_key (xxhash64), root (the component's
+    fingerprint) and component_id of each row."""
+    text = F.col(text_col).cast("binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("text_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_simhash(t or b"", size, lanes) for t in b.column(1).to_pylist()]
+            first = pa.array(np.array([int.from_bytes(x[:8], "little") for x in fps], np.uint64).view(np.int64))
+            cut = np.array([np.frombuffer(x, "<i8") for x in fps], np.int64).reshape(-1)
+            offsets = np.arange(0, (len(fps) + 1) * lanes, lanes, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), first, pa.ListArray.from_arrays(offsets, pa.array(cut))], ["doc_id", "text_key", "fp", "f", "lanes"])
+
+    prints = written(rows.mapInArrow(run, "doc_id long, text_key long, fp binary, f long, lanes array<long>"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"), F.first("lanes").alias("lanes")).withColumn("id", F.xxhash64("fp")), "nodes")
+    width = min(32, max(16, nodes.count().bit_length() + 2))
+    blocks = [(lane, at) for lane in range(lanes) for at in range(0, 64 - width + 1, width)]
+    mask = (1 << width) - 1
+    cell = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.shiftrightunsigned(F.col("lanes")[lane], at).bitwiseAND(F.lit(mask)).alias("v")) for i, (lane, at) in enumerate(blocks)])).alias("cell")
+    cells = nodes.select("id", "f", cell).select("cell.c", "cell.v", "id", "f")
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # of differing bits: equal sets of this Jaccard similarity have that cosine
+    bits = 64 * lanes
+    most = share * bits + (bits * share * (1 - share)) ** 0.5
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        side = lambda x: nodes.select(F.col("id").alias(x), F.col("lanes").alias(f"{x}_lanes"))
+        both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+        apart = F.aggregate(F.zip_with("a_lanes", "b_lanes", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+        return both.filter(apart <= int(most)).select("a", "b")
+
+    # one lane alone rules out most chance meetings before lanes are fetched: mean 64 * share, five deviations
+    roots = links(cells, int(64 * share + 5 * (64 * share * (1 - share)) ** 0.5), confirm)
+    return _named(prints, nodes, written(roots, "roots")).select("doc_id", "text_key", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, with one row of each component of similar_documents: that of
+    the smallest id (null ids last); of repeated rows one stays."""
+    groups = similar_documents(docs, size, similarity, id_col=id_col, text_col=text_col)
+    stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("s"))
+    stays = written(stays.select(F.col("s.doc_id").alias("stays_id"), F.col("s.text_key").alias("stays_key")), "stays")
+    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col).cast("binary")).alias("t"))
+    left = inner.hint("merge").join(stays, F.col("i").eqNullSafe(F.col("stays_id")) & (F.col("t") == F.col("stays_key")), "left_semi")
+    return left.groupBy("i", "t").agg(F.first("row").alias("row")).select("row.*")
