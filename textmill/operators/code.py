@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-LINE = W.partitionBy("path").orderBy("line_no")
-SO_FAR = LINE.rowsBetween(W.unboundedPreceding, 0)
+
+def in_order():
+    return W.partitionBy("path").orderBy("line_no")
+
+
+def so_far():
+    return in_order().rowsBetween(W.unboundedPreceding, 0)
 
 
 def lines_of(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
@@ -25,7 +30,7 @@ def chunks(lines: DataFrame) -> DataFrame:
     head = F.col("line").rlike(r"^(class|func)\s")
     kind = F.regexp_extract("line", r"^(class|func)\s+([A-Za-z_]\w*)", 1)
     name = F.regexp_extract("line", r"^(class|func)\s+([A-Za-z_]\w*)", 2)
-    numbered = lines.withColumn("chunk", F.sum(head.cast("int")).over(SO_FAR)).withColumn("kind", F.when(head, kind)).withColumn("name", F.when(head, name))
+    numbered = lines.withColumn("chunk", F.sum(head.cast("int")).over(so_far())).withColumn("kind", F.when(head, kind)).withColumn("name", F.when(head, name))
     out = numbered.groupBy("path", "chunk").agg(
         F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"),
         F.max("kind").alias("kind"), F.max("name").alias("name"), F.max((F.trim(F.regexp_replace("line", r"\s", "")) != "").cast("int")).alias("full"),
@@ -45,9 +50,9 @@ def line_type(line: Column) -> Column:
 def blocks(lines: DataFrame) -> DataFrame:
     """A new block where a typed line's type differs from the current one; other lines join the current."""
     typed = lines.withColumn("t", line_type(F.col("line")))
-    before = F.last("t", True).over(LINE.rowsBetween(W.unboundedPreceding, -1))
+    before = F.last("t", True).over(in_order().rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("t").isNotNull() & before.isNotNull() & (F.col("t") != before), 1).otherwise(0)
-    cut = typed.withColumn("new", new).withColumn("block", F.sum("new").over(SO_FAR))
+    cut = typed.withColumn("new", new).withColumn("block", F.sum("new").over(so_far()))
     return cut.groupBy("path", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max("t").alias("kind"))
 
 
@@ -55,7 +60,7 @@ def process_bodies(lines: DataFrame, most: int = 15) -> DataFrame:
     """Bodies of _process with more than ``most`` lines that are neither blank nor comments."""
     head = F.col("line").rlike(r"^\s*func\s+_process\s*\(")
     edge = head | F.col("line").rlike(r"^\s*func\s+\w+") | F.col("line").rlike(r"^[^ \t\s]")
-    body = lines.withColumn("span", F.sum(edge.cast("int")).over(SO_FAR)).withColumn("head", head)
+    body = lines.withColumn("span", F.sum(edge.cast("int")).over(so_far())).withColumn("head", head)
     counted = (~edge & ~F.col("line").rlike(r"^\s*(#|$)")).cast("int")
     out = body.groupBy("path", "span").agg(F.max("head").alias("is_process"), F.min("line_no").alias("line_number"), F.sum(counted).alias("body_lines"))
     return out.filter(F.col("is_process") & (F.col("body_lines") > most)).select("path", "line_number", "body_lines")
@@ -66,7 +71,7 @@ def class_variables(lines: DataFrame) -> DataFrame:
     fn = F.col("line").rlike(r"^\s*func\s+\w+")
     out = F.col("line").rlike(r"^[^ \t\s#]")
     state = F.when(fn, 1).when(out, 0)
-    marked = lines.withColumn("inside", F.coalesce(F.last(state, True).over(SO_FAR), F.lit(0)))
+    marked = lines.withColumn("inside", F.coalesce(F.last(state, True).over(so_far()), F.lit(0)))
     var = F.col("line").rlike(r"^\s*(var|const)\s+\w+\s*[:=]")
     return marked.groupBy("path").agg(F.sum(((F.col("inside") == 0) & var).cast("int")).alias("class_vars"))
 
@@ -88,7 +93,7 @@ def scene_rows(lines: DataFrame) -> DataFrame:
     """Scene lines with the header they stand under: section, attributes of headers, key and value of properties."""
     header = F.col("line").startswith("[")
     attr = lambda a: F.when(header, F.nullif(F.regexp_extract("line", rf'\b{a}="([^"]*)"', 1), F.lit("")))
-    out = lines.withColumn("head", F.when(header, F.col("line_no"))).withColumn("owner", F.last("head", True).over(SO_FAR))
+    out = lines.withColumn("head", F.when(header, F.col("line_no"))).withColumn("owner", F.last("head", True).over(so_far()))
     out = out.withColumn("section", F.when(header, F.regexp_extract("line", r"^\[(\w+)", 1)))
     for a in ("name", "type", "parent", "path", "id", "signal", "from", "to", "method"):
         out = out.withColumn(f"a_{a}", attr(a))

@@ -37,7 +37,7 @@ def gauges(df: DataFrame, by: str, value: str, order: Column) -> DataFrame:
 
 
 def running_mean(df: DataFrame, by: str, order: list[Column], value: str) -> DataFrame:
-    return df.withColumn("mean_so_far", F.round(F.avg(value).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), 6))
+    return df.withColumn("mean_so_far", F.round(F.avg(value).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), 9))
 
 
 def success(df: DataFrame, by: list[str], accepted: Column, rejected: Column) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import searches, texts
+from . import codes, events, searches, texts
 
-MODULES = [texts, searches]
+MODULES = [texts, searches, events, codes]
 
 
 def queries() -> dict:
