@@ -355,3 +355,13 @@ def win11(spark, d):
     return out.filter(F.col("line").rlike(r"^func\s")).select("path", "line_no", F.coalesce("nxt", F.col("n") + 1).alias("end_line"))
 
 
+
+
+@C("win4_packed_blocks")
+def win4(spark, d):
+    from ..operators.feedback import packed
+
+    numbered = K.blocks(lines(spark, d)).select("path", "block", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
+    text = lines(spark, d).join(numbered, "path").filter((F.col("line_no") >= F.col("a")) & (F.col("line_no") <= F.col("b"))).groupBy("path", "block")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
+    return packed(text.agg(joined.alias("text")), 200, 40).select("path", "chunk", F.md5("text").alias("h"))

@@ -213,3 +213,33 @@ def lifecycle(spark, d):
     """A question's way through domain test, question type and context budget."""
     q = read(spark, d, "conversations").filter("role = 'user'").select("conv_id", "turn", tokens.any_of(F.col("text"), rules.DOMAIN).alias("related"), rules.first_match(F.col("text"), rules.QUESTIONS, "general").alias("kind"), F.length("text").alias("n"))
     return V.within_budget(q, ["conv_id"], [F.col("turn")], F.col("n"), 2000).select("conv_id", "turn", "related", "kind", F.col("spent").cast("long"))
+
+
+@C("agg9_str7_patterns")
+def agg9(spark, d):
+    """Patterns learned from the words of user turns, by conversation."""
+    from ..operators.feedback import learned_patterns
+
+    words = F.slice(F.array_distinct(F.filter(tokens.blank_split(F.col("text")), lambda w: F.length(w) > 3)), 1, 12)
+    turns = read(spark, d, "conversations").filter("role = 'user'")
+    return learned_patterns(turns.select(F.concat_ws("_", F.lit("conv"), F.col("conv_id") % 10).alias("category"), (F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), words.alias("keywords")))
+
+
+@C("udf1_handlers", f"SELECT conv_id, turn, CASE WHEN {sql_any('text', rules.DOMAIN_ROUTE)} THEN upper(substring(text, 1, 5)) ELSE lower(substring(text, 1, 5)) END AS answer FROM conversations")
+def udf1(spark, d):
+    from ..operators.feedback import Handlers
+
+    h = Handlers("general")
+    h.register("expert", lambda df: df.select("conv_id", "turn", F.upper(F.substring("text", 1, 5)).alias("answer")))
+    h.register("general", lambda df: df.select("conv_id", "turn", F.lower(F.substring("text", 1, 5)).alias("answer")))
+    to = F.when(tokens.any_of(F.col("text"), rules.DOMAIN_ROUTE), "expert").otherwise("other")
+    return h.execute(read(spark, d, "conversations").withColumn("handler", to))
+
+
+@C("cls5_trained_intent")
+def cls5(spark, d):
+    """A classifier of turns by role-free text: trained on documents' languages, used on conversations."""
+    from ..operators.feedback import intent_model
+
+    learned = intent_model(read(spark, d, "documents").filter("doc_id % 10 = 0").select("text", F.col("lang").alias("intent")), 500)
+    return learned.transform(read(spark, d, "conversations")).select("conv_id", "turn", "predicted")
