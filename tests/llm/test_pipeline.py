@@ -58,7 +58,7 @@ def check(name, before, after):
         for i, r in old.items():
             if any(t in r.text for _, t in items):
                 assert i not in new
-        index = decontam.Index(items, 6, 64, 0.1, 24)
+        index = decontam.Index(items, 8, 64, 0.1, 24)
         assert all((i in new) == (not index.regions(decontam.fold(r.text)[0])) for i, r in old.items())
     if name == "byte_bpe":
         with open(P.path("byte_bpe_50k.tiktoken"), "rb") as f:

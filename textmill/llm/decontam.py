@@ -131,17 +131,22 @@ class Index:
         at, seg, place = self.hits(qgram_hashes(points, self.q))
         if not len(at):
             return []
+        enough = (np.bincount(seg, minlength=len(self.size)) >= self.bound)[seg]  # a segment with fewer hits has no band with the bound
+        at, seg, place = at[enough], seg[enough], place[enough]
+        if not len(at):
+            return []
+        length = self.points.shape[1]
         width = np.maximum(1, self.edits)[seg]
-        diagonal = at - place + self.points.shape[1]  # never negative
-        band = diagonal // width
-        key = np.concatenate((seg << 32 | band, seg << 32 | (band - 1)))
-        pairs = np.unique(np.stack((key, np.concatenate((place, place)))), axis=1)[0]  # a q-gram of the segment counts once in a band
-        key, n = np.unique(pairs, return_counts=True)
-        seg = key >> 32
-        key, seg = key[n >= self.bound[seg]], seg[n >= self.bound[seg]]
+        band = (at - place + length) // width + 1  # never under 1
+        bands = int(band.max()) + 1
+        key = np.concatenate((seg * bands + band, seg * bands + band - 1)) * length + np.concatenate((place, place))
+        key, n = np.unique(np.unique(key) // length, return_counts=True)  # a q-gram of the segment counts once in a band
+        seg, band = key // bands, key % bands
+        good = n >= self.bound[seg]
+        seg, low = seg[good], (band[good] - 1) * np.maximum(1, self.edits)[seg[good]] - length
         out = []
-        for i in range(0, len(key), 4096):
-            out += self.align(points, seg[i : i + 4096], (key[i : i + 4096] & 0xFFFFFFFF) * np.maximum(1, self.edits)[seg[i : i + 4096]] - self.points.shape[1])
+        for i in range(0, len(seg), 4096):
+            out += self.align(points, seg[i : i + 4096], low[i : i + 4096])
         return out
 
     def align(self, points: np.ndarray, seg: np.ndarray, low: np.ndarray) -> list[tuple[int, int, int, int]]:
@@ -194,7 +199,7 @@ def _search(items: list[tuple[int, str]], q: int, segment: int, rate: float, min
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 6, segment: int = 64, rate: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 8, segment: int = 64, rate: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each document and item that share a passage: its extent in the document, the
     item's segments found, their edits, and the share of the item's segments. An item's segment
     has a budget of ``rate`` edits a character."""
@@ -203,7 +208,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, q: int = 6, segment: int
     return reduce(DataFrame.unionByName, [rows.mapInArrow(_search(held, q, segment, rate, min_chars), SCHEMA) for held in blocks])
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, q: int = 6, segment: int = 64, rate: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 8, segment: int = 64, rate: float = 0.1, min_chars: int = 24, block_chars: int = 4_000_000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs``, unchanged, that share no passage with the benchmark."""
 
     def test(held: list[tuple[int, str]]):
