@@ -8,12 +8,17 @@ from pyspark.sql.window import Window as W
 
 
 def ranked_percentiles(df: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame:
-    """The element at index int(n * p / 100), at most the last, of each group's sorted values. Ranks
-    come from a window, so no group is gathered into an array."""
+    """The element at index int(n * p / 100), at most the last, of each group's sorted values. Equal values
+    are counted first, in each task before the shuffle; running counts over the distinct values give ranks."""
     w = W.partitionBy(by)
-    ranked = df.select(by, value).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    picks = [F.max(F.when(F.col("r") == F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col(value))).alias(f"p{p}") for p in percents]
-    return ranked.groupBy(by).agg(*picks)
+    counted = df.groupBy(by, value).agg(F.count("*").alias("c"))
+    ranked = counted.withColumn("end", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+
+    def pick(p: int) -> Column:
+        at = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
+        return F.max(F.when((F.col("end") > at) & (F.col("end") - F.col("c") <= at), F.col(value))).alias(f"p{p}")
+
+    return ranked.groupBy(by).agg(*map(pick, percents))
 
 
 def operation_stats(df: DataFrame, by: str, value: str, good: Column) -> DataFrame:

@@ -296,11 +296,12 @@ def agg18(spark, d):
     return read(spark, d, "documents").agg(F.count("*").alias("rows_"), F.countDistinct("source").alias("sources"), chars.alias("chars"), F.round(chars / 1048576 / 200 * 100, 6).alias("used"))
 
 
-@C("agg21_fingerprint", "WITH p AS (SELECT lang, source || '/' || doc_id || ':' || n_chars AS p FROM documents) SELECT lang, substring(md5(string_agg(p, '|' ORDER BY p)), 1, 16) AS fingerprint, count(*) AS files FROM p GROUP BY lang")
+@C("agg21_fingerprint", "WITH p AS (SELECT source || '_' || doc_id // 1000 AS project, source || '/' || doc_id || ':' || n_chars AS p FROM documents) SELECT project, substring(md5(string_agg(p, '|' ORDER BY p)), 1, 16) AS fingerprint, count(*) AS files FROM p GROUP BY project")
 def agg21(spark, d):
     from ..operators.metrics import fingerprint
 
-    return fingerprint(read(spark, d, "documents"), "lang", F.concat_ws("/", "source", "doc_id"), F.col("n_chars"))
+    project = F.concat_ws("_", "source", F.floor(F.col("doc_id") / 1000))  # a thousand files at most
+    return fingerprint(read(spark, d, "documents").withColumn("project", project), "project", F.concat_ws("/", "source", "doc_id"), F.col("n_chars"))
 
 
 @C("jn7_unlabelled", "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
