@@ -188,7 +188,9 @@ def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col:
     the smallest id (null ids last); of repeated rows one stays."""
     groups = similar_documents(docs, size, similarity, id_col=id_col, text_col=text_col)
     stays = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_key")).alias("s"))
-    stays = written(stays.select(F.col("s.doc_id").alias("stays_id"), F.col("s.text_key").alias("stays_key")), "stays")
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("i"), F.xxhash64(F.col(text_col).cast("binary")).alias("t"))
-    left = inner.hint("merge").join(stays, F.col("i").eqNullSafe(F.col("stays_id")) & (F.col("t") == F.col("stays_key")), "left_semi")
-    return left.groupBy("i", "t").agg(F.first("row").alias("row")).select("row.*")
+    keys = lambda i, t: [F.coalesce(i, F.lit(0)).alias("k1"), i.isNull().alias("k2"), t.alias("k3")]
+    stays = written(stays.select(*keys(F.col("s.doc_id"), F.col("s.text_key"))), "stays")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    inner = docs.select(row, *keys(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("binary"))))
+    left = inner.hint("merge").join(stays, ["k1", "k2", "k3"], "left_semi")  # repeated rows meet in the same shuffle
+    return left.groupBy("k1", "k2", "k3").agg(F.first("row").alias("row")).select("row.*")
