@@ -110,14 +110,20 @@ class Index:
         order = np.argsort(flat, kind="stable")
         self.seg, self.place = seg[order], place[order]
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[self.keys >> np.uint64(64 - _BITS)] = True
+        self.slot = np.full(1 << _BITS, -1, np.int32)  # of the first key with these leading bits
+        self.slot[self.keys[::-1] >> np.uint64(64 - _BITS)] = np.arange(len(self.keys))[::-1]
 
     def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places in the text, segments, places in the segment of shared q-grams."""
-        at = np.flatnonzero(self.maybe[hashes >> np.uint64(64 - _BITS)])
-        slot = np.minimum(np.searchsorted(self.keys, hashes[at]), max(0, len(self.keys) - 1))
-        same = self.keys[slot] == hashes[at] if len(self.keys) else np.zeros(0, bool)
+        slot = self.slot[hashes >> np.uint64(64 - _BITS)]
+        at = np.flatnonzero(slot >= 0)
+        slot, sought = slot[at].astype(np.int64), hashes[at]
+        less = np.flatnonzero(self.keys[slot] < sought)
+        while len(less):  # keys with the same leading bits stand side by side
+            slot[less] += 1
+            less = less[slot[less] < len(self.keys)]
+            less = less[self.keys[slot[less]] < sought[less]]
+        same = (slot < len(self.keys)) & (self.keys[np.minimum(slot, len(self.keys) - 1)] == sought)
         at, slot = at[same], slot[same]
         n = self.count[slot]
         ends = np.cumsum(n)
@@ -139,8 +145,13 @@ class Index:
         width = np.maximum(1, self.edits)[seg]
         band = (at - place + length) // width + 1  # never under 1
         bands = int(band.max()) + 1
-        key = np.concatenate((seg * bands + band, seg * bands + band - 1)) * length + np.concatenate((place, place))
-        key, n = np.unique(np.unique(key) // length, return_counts=True)  # a q-gram of the segment counts once in a band
+        key = np.concatenate((seg * bands + band, seg * bands + band - 1))
+        order = np.argsort(key)
+        key, place = key[order], np.concatenate((place, place))[order]
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n = np.diff(np.concatenate((first, [len(key)])))
+        many = np.repeat(n >= self.bound[key[first] // bands], n)  # hits of bands that may reach the bound; few do
+        key, n = np.unique(np.unique(key[many] * length + place[many]) // length, return_counts=True)  # a q-gram counts once in a band
         seg, band = key // bands, key % bands
         good = n >= self.bound[seg]
         seg, low = seg[good], (band[good] - 1) * np.maximum(1, self.edits)[seg[good]] - length
@@ -155,22 +166,24 @@ class Index:
         e = int(self.edits[seg].max(initial=0))
         base = low - e
         k = np.arange(2 * max(1, e) + 2 * e + 1)
-        cost = np.zeros((len(seg), len(k)), np.int64)
+        cost = np.zeros((len(seg), len(k)), np.int32)
         best = np.full(len(seg), 1 << 30)
         end = np.zeros(len(seg), np.int64)
+        rim = len(k) + 2 * self.points.shape[1]  # outside the text stand characters that equal none
+        text = np.full(len(points) + 2 * rim, 1 << 22, np.uint32)
+        text[rim : rim + len(points)] = points
+        place, slope, own = base[:, None] + k[None, :] + rim, k[None, :].astype(np.int32), self.points[seg]
+        sizes = self.size[seg]
         for i in range(self.points.shape[1] + 1):
-            last = self.size[seg] == i
+            last = sizes == i
             if last.any():
                 c = cost[last]
                 best[last], end[last] = c.min(axis=1), base[last] + c.argmin(axis=1) + i
             if i == self.points.shape[1]:
                 break
-            j = base[:, None] + k[None, :] + i
-            inside = (j >= 0) & (j < len(points))
-            equal = inside & (points[np.clip(j, 0, len(points) - 1)] == self.points[seg, i][:, None])
-            step = cost + ~equal + (~inside) * (1 << 20)
-            step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + 1)
-            cost = np.minimum.accumulate(step - k[None, :], axis=1) + k[None, :]
+            step = cost + (text[place + i] != own[:, i, None])
+            np.minimum(step[:, :-1], cost[:, 1:] + 1, out=step[:, :-1])
+            cost = np.minimum.accumulate(step - slope, axis=1) + slope
         good = np.flatnonzero(best <= self.edits[seg])
         return [(int(seg[g]), int(best[g]), max(0, int(end[g] - self.size[seg[g]] - best[g])), min(len(points), int(end[g]))) for g in good]
 
