@@ -99,7 +99,8 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_substring_dedup": r"""
-WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda x: x <> '') AS w FROM documents),
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS p, w FROM d WHERE len(w) >= 35),
 h AS (SELECT doc_id, p, md5(array_to_string(list_slice(w, p, p + 34), ' ')) AS h FROM s),
 r AS (SELECT doc_id, p FROM h WHERE h IN (SELECT h FROM h GROUP BY h HAVING count(*) > 1)),
@@ -109,7 +110,21 @@ x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
 k AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.i) AS kept FROM x ANTI JOIN c ON x.doc_id = c.doc_id AND x.i = c.i GROUP BY x.doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
-    "op9_license_scan": None,
+    "op9_license_scan": rf"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+g AS (SELECT doc_id, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda z: z[1] || ' ' || z[2])) AS gram, unnest(range(0, len(w) - 1)) AS pos FROM d WHERE len(w) > 1),
+t(tid, kind, label, grams, tpos, gram) AS (VALUES {licences.template_values(2)}),
+a AS (SELECT doc_id, tid, kind, label, grams, pos - tpos AS diag, list(DISTINCT tpos) AS tps FROM g JOIN t USING (gram) GROUP BY ALL),
+b AS (SELECT *, CASE WHEN diag - lag(diag) OVER l <= 3 THEN 0 ELSE 1 END AS new FROM a WHERE kind = 'phrase' OR len(tps) > 1 WINDOW l AS (PARTITION BY doc_id, tid ORDER BY diag)),
+s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS span FROM b),
+m AS (SELECT doc_id, kind, label, len(list_distinct(flatten(list(tps)))) / grams AS cover, count(*) FILTER (len(tps) = grams) AS places,
+  min(diag) FILTER (len(tps) = grams) AS first, max(diag) FILTER (len(tps) = grams) AS last FROM s GROUP BY doc_id, tid, kind, label, grams, span),
+n AS (SELECT *, kind = 'phrase' AND places > 0 AS base, (kind = 'phrase' AND places > 0) OR (kind = 'notice' AND cover >= 0.6) AS named FROM m),
+f AS (SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (named) AS labels, max(least(cover, 1.0)) FILTER (named) AS score FROM n GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN f USING (doc_id)""",
 }
 # fmt: on
-ORACLES = {k: v for k, v in ORACLES.items() if v}

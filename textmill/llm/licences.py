@@ -49,14 +49,17 @@ def words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def templates(spark: SparkSession, k: int) -> DataFrame:
-    """(tid, kind, label, grams, tpos, gram) of every k-gram of every template."""
+def template_values(k: int) -> str:
+    """SQL rows (tid, kind, label, grams, tpos, gram) of every k-gram of every template."""
     rows = []
     for tid, (phrase, label, kind) in enumerate([*((p, x, "phrase") for p, x in PHRASES.items()), *((p, x, "notice") for p, x in NOTICES.items())]):
         w = phrase.split()
         rows += [(tid, kind, label, len(w) - k + 1, i, " ".join(w[i : i + k])) for i in range(len(w) - k + 1)]
-    values = ", ".join(f"({tid}, '{kind}', '{label}', {grams}, {tpos}, '{gram}')" for tid, kind, label, grams, tpos, gram in rows)
-    return spark.sql(f"SELECT *, xxhash64(gram) AS h FROM VALUES {values} AS t(tid, kind, label, grams, tpos, gram)")
+    return ", ".join(f"({tid}, '{kind}', '{label}', {grams}, {tpos}, '{gram}')" for tid, kind, label, grams, tpos, gram in rows)
+
+
+def templates(spark: SparkSession, k: int) -> DataFrame:
+    return spark.sql(f"SELECT *, xxhash64(gram) AS h FROM VALUES {template_values(k)} AS t(tid, kind, label, grams, tpos, gram)")
 
 
 def scan(docs: DataFrame, k: int = 2, min_cover: float = 0.6, drift: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
