@@ -15,9 +15,9 @@ def reachable(edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
     front = starts.select(F.col("node").alias("start"), "node").distinct()
     seen = None
     for depth in range(1, most + 1):
-        step = front.join(back, "node").select("start", F.col("next").alias("node")).distinct()
+        step = front.hint("merge").join(back, "node").select("start", F.col("next").alias("node")).distinct()
         if seen is not None:
-            step = step.join(seen, ["start", "node"], "left_anti")
+            step = step.hint("merge").join(seen, ["start", "node"], "left_anti")
         step = _cut(step)
         if step.isEmpty():
             break
@@ -39,7 +39,7 @@ def _cut(df: DataFrame) -> DataFrame:
 def impact(edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
     """Per start: dependents, direct ones, risk HIGH over 5, MEDIUM over 2, else LOW."""
     hit = reachable(edges, starts, most).groupBy("start").agg(F.count("*").alias("dependents"), F.count_if(F.col("depth") == 1).alias("direct"))
-    out = starts.select(F.col("node").alias("start")).distinct().join(hit, "start", "left").na.fill(0)
+    out = starts.select(F.col("node").alias("start")).distinct().hint("merge").join(hit, "start", "left").na.fill(0)
     return out.withColumn("risk", F.when(F.col("dependents") > 5, "HIGH").when(F.col("dependents") > 2, "MEDIUM").otherwise("LOW"))
 
 
@@ -48,7 +48,7 @@ def cyclic(edges: DataFrame, most: int = 50) -> DataFrame:
     live = edges.select("src", "dst").distinct()
     before = -1
     for _ in range(most):
-        live = _cut(live.join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        live = _cut(live.hint("merge").join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").hint("merge").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         now = live.count()
         if now == before:
             break

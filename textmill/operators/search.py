@@ -32,15 +32,15 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 
 def keyword_scores(posts: DataFrame, asked: DataFrame, weight: Column | None = None) -> DataFrame:
     """score: distinct query tokens that the document holds, times its weight."""
-    return asked.join(posts, "token").groupBy("qid", "id").agg(F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("score"))
+    return asked.hint("merge").join(posts, "token").groupBy("qid", "id").agg(F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("score"))
 
 
 def jaccard_scores(posts: DataFrame, asked: DataFrame) -> DataFrame:
     """Share of the distinct tokens of query and document that are in both."""
     sizes = posts.groupBy("id").agg(F.count("*").alias("n"))
     asked_n = asked.groupBy("qid").agg(F.count("*").alias("m"))
-    both = asked.join(posts, "token").groupBy("qid", "id").agg(F.count("*").alias("both"))
-    return both.join(sizes, "id").join(asked_n, "qid").select("qid", "id", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("score"))
+    both = asked.hint("merge").join(posts, "token").groupBy("qid", "id").agg(F.count("*").alias("both"))
+    return both.hint("merge").join(sizes, "id").hint("merge").join(asked_n, "qid").select("qid", "id", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("score"))
 
 
 def idf(posts: DataFrame, total: DataFrame, smooth: bool) -> DataFrame:
@@ -54,18 +54,18 @@ def cosine_scores(posts: DataFrame, asked_tf: DataFrame, weights: DataFrame, wei
     """Cosine of TF-IDF vectors. asked_tf(qid, token, tf). Document frequencies are divided by the
     largest of the document; only the query has idf unless ``weigh_documents``, where tf is a share."""
     if weigh_documents:
-        share = lambda df, key: df.join(df.groupBy(key).agg(F.sum("tf").alias("z")), key)
+        share = lambda df, key: df.hint("merge").join(df.groupBy(key).agg(F.sum("tf").alias("z")), key)
     else:
-        share = lambda df, key: df.join(df.groupBy(key).agg(F.max("tf").alias("z")), key)
+        share = lambda df, key: df.hint("merge").join(df.groupBy(key).agg(F.max("tf").alias("z")), key)
     weighed = weights.select("token", "idf")
     d = share(posts, "id").withColumn("w", F.col("tf") / F.col("z"))
     if weigh_documents:
-        d = d.join(weighed, "token").withColumn("w", F.col("w") * F.col("idf"))
-    q = share(asked_tf, "qid").join(weighed, "token", "left").withColumn("wq", F.col("tf") / F.col("z") * F.coalesce("idf", F.lit(1.0 if weigh_documents else 0.0)))
+        d = d.hint("merge").join(weighed, "token").withColumn("w", F.col("w") * F.col("idf"))
+    q = share(asked_tf, "qid").hint("merge").join(weighed, "token", "left").withColumn("wq", F.col("tf") / F.col("z") * F.coalesce("idf", F.lit(1.0 if weigh_documents else 0.0)))
     norm = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
     qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dot = q.select("qid", "token", "wq").join(d.select("id", "token", "w"), "token").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    out = dot.join(norm, "id").join(qnorm, "qid").filter("nd > 0 and nq > 0")
+    dot = q.select("qid", "token", "wq").hint("merge").join(d.select("id", "token", "w"), "token").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    out = dot.hint("merge").join(norm, "id").hint("merge").join(qnorm, "qid").filter("nd > 0 and nq > 0")
     return out.select("qid", "id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("score"))
 
 
@@ -76,8 +76,8 @@ def containing(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     first = lambda c: F.substring(c, 1, 3).alias("g")
     v, w = F.col("token"), F.col("word")
     long_v, long_w = vocabulary.filter(F.length(v) >= 3), words.filter(F.length(w) >= 3)
-    inside = long_v.select("token", grams(v)).join(long_w.select("word", first(w)), "g").filter(F.contains(v, w))
-    around = long_v.select("token", first(v)).join(long_w.select("word", grams(w)), "g").filter(F.contains(w, v))
+    inside = long_v.select("token", grams(v)).hint("merge").join(long_w.select("word", first(w)), "g").filter(F.contains(v, w))
+    around = long_v.select("token", first(v)).hint("merge").join(long_w.select("word", grams(w)), "g").filter(F.contains(w, v))
     return inside.select("token", "word").unionByName(around.select("token", "word")).distinct()
 
 
@@ -85,7 +85,7 @@ def substring_scores(posts: DataFrame, asked: DataFrame) -> DataFrame:
     """0.5 tf for every index word that holds a query word or is held by one, and tf more for equal ones."""
     pairs = containing(posts.select("token").distinct(), asked.select(F.col("token").alias("word")).distinct())
     weighed = pairs.withColumn("x", F.when(F.col("token") == F.col("word"), 1.5).otherwise(0.5))
-    return asked.select("qid", F.col("token").alias("word")).join(weighed, "word").join(posts, "token").groupBy("qid", "id").agg(F.sum(F.col("x") * F.col("tf")).alias("score"))
+    return asked.select("qid", F.col("token").alias("word")).hint("merge").join(weighed, "word").hint("merge").join(posts, "token").groupBy("qid", "id").agg(F.sum(F.col("x") * F.col("tf")).alias("score"))
 
 
 def structural_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def structural_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     words, so names are cut to words and met by the trigram join."""
     name = docs.select("id", F.lower("name").alias("token"))
     pairs = containing(name.select("token").distinct(), queries.select(F.lower("target").alias("word")).distinct()).filter(F.contains("token", "word"))
-    return queries.select("qid", F.lower("target").alias("word")).join(pairs, "word").join(name, "token").groupBy("qid", "id").agg(F.lit(1.0).alias("score"))
+    return queries.select("qid", F.lower("target").alias("word")).hint("merge").join(pairs, "word").hint("merge").join(name, "token").groupBy("qid", "id").agg(F.lit(1.0).alias("score"))
 
 
 def hybrid(keyword: DataFrame, jaccard: DataFrame, structural: DataFrame, k: int) -> DataFrame:
@@ -115,4 +115,4 @@ def signature(posts_with_place: DataFrame, n: int = 10) -> DataFrame:
 
 def without(posts: DataFrame, gone: DataFrame) -> DataFrame:
     """Postings after documents were removed: gone(id)."""
-    return posts.join(gone, "id", "left_anti")
+    return posts.hint("merge").join(gone, "id", "left_anti")

@@ -183,7 +183,7 @@ def jn5(spark, d):
     base = F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2))
     part = read(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"), base.alias("base"))
     asked = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), "base")
-    return asked.join(part, "base").filter(F.endswith("name", "base")).groupBy("q").agg(F.min("p_partkey").alias("p_partkey"))
+    return asked.hint("merge").join(part, "base").filter(F.endswith("name", "base")).groupBy("q").agg(F.min("p_partkey").alias("p_partkey"))
 
 
 LINKS = "e AS (SELECT DISTINCT l_partkey AS src, (l_suppkey * 19) % 2000 AS dst FROM lineitem WHERE l_orderkey % 40 = 0)"
@@ -239,7 +239,7 @@ def jn6(spark, d):
     s = scenes(spark, d)
     res = s.filter("section = 'ext_resource'").select("path", F.col("a_id").alias("id"), F.col("a_path").alias("res"))
     used = s.filter("key = 'script'").select("path", "line_no", F.regexp_extract("value", r'ExtResource\("([^"]*)"', 1).alias("id"))
-    return used.join(res, ["path", "id"], "left").select("path", "line_no", "res")
+    return used.hint("merge").join(res, ["path", "id"], "left").select("path", "line_no", "res")
 
 
 @C("jn8_connections", rf"WITH {SCENES}, {HEADS}, n AS (SELECT DISTINCT path, regexp_extract(line, 'name=.([^\x22]*)\x22', 1) AS name FROM sc WHERE section = 'node'), k AS (SELECT path, line_no, regexp_extract(line, 'from=.([^\x22]*)\x22', 1) AS name FROM sc WHERE section = 'connection') SELECT path, line_no, name FROM k ANTI JOIN n USING (path, name) WHERE name <> '.'")
@@ -248,7 +248,7 @@ def jn8(spark, d):
     s = scenes(spark, d)
     nodes = s.filter("section = 'node'").select("path", F.col("a_name").alias("name"))
     ends = s.filter("section = 'connection'").select("path", "line_no", F.col("a_from").alias("name")).filter("name != '.'")
-    return ends.join(nodes, ["path", "name"], "left_anti").select("path", "line_no", "name")
+    return ends.hint("merge").join(nodes, ["path", "name"], "left_anti").select("path", "line_no", "name")
 
 
 @C("grf8_missing", rf"WITH {SCENES} SELECT path, count(*) AS missing FROM c WHERE line LIKE '% = Null(%' OR line LIKE '% = %missing%' GROUP BY path")
@@ -308,7 +308,7 @@ def set3(spark, d):
     """Variables of a script that the next one of its project lacks."""
     v = files(spark, d).select("path", F.array_distinct(F.regexp_extract_all("content", F.lit(r"var (\w+)"), 1)).alias("v"), F.split_part("path", F.lit("/"), F.lit(1)).alias("s"), F.regexp_extract("path", r"/(\d+)", 1).cast("int").alias("n"))
     new = v.select("s", (F.col("n") - 20).alias("n"), F.col("v").alias("v2"))
-    return v.join(new, ["s", "n"], "left").select("path", F.size(F.array_except("v", F.coalesce("v2", F.array().cast("array<string>")))).alias("removed"))
+    return v.hint("merge").join(new, ["s", "n"], "left").select("path", F.size(F.array_except("v", F.coalesce("v2", F.array().cast("array<string>")))).alias("removed"))
 
 
 @C("top9_context_files", f"WITH {FILES}, q AS (SELECT path, content, 2 * contains(path, 'src1')::INT + contains(content, 'velocity')::INT + contains(content, 'signal ')::INT AS score FROM f), b AS (SELECT path, score, sum(length(content)) OVER (PARTITION BY split_part(path, '/', 1) ORDER BY score DESC, path) AS spent FROM q WHERE score > 0) SELECT path, score::INT AS score FROM b WHERE spent <= 8000")
@@ -362,6 +362,6 @@ def win4(spark, d):
     from ..operators.feedback import packed
 
     numbered = K.blocks(lines(spark, d)).select("path", "block", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    text = lines(spark, d).join(numbered, "path").filter((F.col("line_no") >= F.col("a")) & (F.col("line_no") <= F.col("b"))).groupBy("path", "block")
+    text = lines(spark, d).hint("merge").join(numbered, "path").filter((F.col("line_no") >= F.col("a")) & (F.col("line_no") <= F.col("b"))).groupBy("path", "block")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
     return packed(text.agg(joined.alias("text")), 200, 40).select("path", "chunk", F.md5("text").alias("h"))

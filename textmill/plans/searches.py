@@ -62,7 +62,7 @@ KEYWORD = f"{D}, {Q}, kw AS (SELECT qid, id, sum(CASE WHEN lang = 'en' THEN 1 EL
 
 
 def keyword(spark, d):
-    p = posts(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    p = posts(spark, d).hint("merge").join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
     return S.keyword_scores(p, asked(spark, d), F.when(F.col("lang") == "en", 1).otherwise(2))
 
 
@@ -75,7 +75,7 @@ def jn1(spark, d):
 def top1(spark, d):
     b = read(spark, d, "benchmark")
     first = b.join(F.broadcast(b.agg(F.min("item_id").alias("item_id"))), "item_id", "left_semi")
-    p = posts(spark, d).join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    p = posts(spark, d).hint("merge").join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
     return S.keyword_scores(p, S.query_tokens(first), F.when(F.col("lang") == "en", 1).otherwise(2)).orderBy(F.desc("score"), "id").limit(10).select("id", "score")
 
 
@@ -159,7 +159,7 @@ def top5(spark, d):
 def top12(spark, d):
     """The three best hits of each question as one text."""
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.substring("text", 1, 500).alias("snippet"))
-    parts = hybrid(spark, d).filter("rank <= 3").join(docs, "id").withColumn("part", F.concat(F.lit("Source: "), "source", F.lit("\n"), "snippet"))
+    parts = hybrid(spark, d).filter("rank <= 3").hint("merge").join(docs, "id").withColumn("part", F.concat(F.lit("Source: "), "source", F.lit("\n"), "snippet"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda x: x.part), "\n\n")
     return parts.groupBy("qid").agg(F.md5(joined).alias("context"))
 
@@ -168,7 +168,7 @@ def top12(spark, d):
 def win17(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("english"))
     r = F.row_number().over(W.partitionBy("qid", "english").orderBy(F.desc("score"), "id"))
-    return keyword(spark, d).join(docs, "id").withColumn("r", r).filter(F.col("r") <= F.when(F.col("english"), 2).otherwise(3)).select("qid", "id", "english")
+    return keyword(spark, d).hint("merge").join(docs, "id").withColumn("r", r).filter(F.col("r") <= F.when(F.col("english"), 2).otherwise(3)).select("qid", "id", "english")
 
 
 IDX = r"ix AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS token FROM documents), ip AS (SELECT id, token, count(*) AS tf FROM ix GROUP BY ALL), qw AS (SELECT item_id AS qid, unnest(list_slice(regexp_extract_all(lower(text), '[a-z]{5,}'), 1, 3)) AS word FROM benchmark), vo AS (SELECT DISTINCT token FROM ip), pr AS (SELECT token, word, CASE WHEN token = word THEN 1.5 ELSE 0.5 END AS x FROM vo JOIN (SELECT DISTINCT word FROM qw) ON contains(token, word) OR contains(word, token))"
@@ -206,7 +206,7 @@ def flt14(spark, d):
     words = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("p_name"), F.lit("[a-z0-9]+"), 0), lambda w: F.length(w) >= 3))).alias("word"))
     parts = part.select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("token"))
     pairs = S.containing(parts.select("token").distinct(), words.select("word").distinct()).filter(F.contains("token", "word"))
-    hit = words.join(pairs, "word").join(parts, "token").select("qid", "id").distinct().withColumn("score", F.lit(2.0))
+    hit = words.hint("merge").join(pairs, "word").hint("merge").join(parts, "token").select("qid", "id").distinct().withColumn("score", F.lit(2.0))
     return S.top_k(hit, 10)
 
 
@@ -219,7 +219,7 @@ def set2(spark, d):
 def set4(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.array_distinct(tokens.blank_split(F.col("text"))).alias("w"))
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("v"))  # ids are consecutive
-    return docs.join(before, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).alias("shared"))
+    return docs.hint("merge").join(before, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).alias("shared"))
 
 
 @C("set5_line_differences", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), a AS (SELECT doc_id, line, count(*) AS n FROM l GROUP BY ALL), o AS (SELECT doc_id + 1 AS doc_id, line, n FROM a WHERE doc_id % 2 = 0), w AS (SELECT * FROM a WHERE doc_id % 2 = 1), j AS (SELECT coalesce(w.doc_id, o.doc_id) AS doc_id, coalesce(w.n, 0) AS wn, coalesce(o.n, 0) AS nn FROM w FULL JOIN o ON w.doc_id = o.doc_id AND w.line = o.line) SELECT doc_id, sum(greatest(wn - nn, 0))::BIGINT AS added, sum(greatest(nn - wn, 0))::BIGINT AS removed FROM j GROUP BY doc_id")
@@ -245,13 +245,13 @@ def win2(spark, d):
 @C("win5_budget", f"WITH {KEYWORD}, x AS (SELECT qid, id, score, sum(n_chars) OVER (PARTITION BY qid ORDER BY score DESC, id) AS spent FROM kw JOIN documents ON doc_id = id) SELECT qid, id, spent::BIGINT AS spent FROM x WHERE spent <= 8000")
 def win5(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    return V.within_budget(keyword(spark, d).join(docs, "id"), ["qid"], [F.desc("score"), F.col("id")], F.col("n_chars"), 8000).select("qid", "id", "spent")
+    return V.within_budget(keyword(spark, d).hint("merge").join(docs, "id"), ["qid"], [F.desc("score"), F.col("id")], F.col("n_chars"), 8000).select("qid", "id", "spent")
 
 
 @C("win6_filled", f"WITH {KEYWORD}, r AS (SELECT *, {RANK} FROM kw), x AS (SELECT qid, id, text, coalesce(sum(length(text)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN documents ON doc_id = id WHERE rank <= 3) SELECT qid, id, md5(substring(text, 1, (2000 - before)::BIGINT)) AS h FROM x WHERE before < 2000")
 def win6(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
-    return V.filled(S.top_k(keyword(spark, d), 3).join(docs, "id"), ["qid"], [F.col("rank")], "text", 2000).select("qid", "id", F.md5("text").alias("h"))
+    return V.filled(S.top_k(keyword(spark, d), 3).hint("merge").join(docs, "id"), ["qid"], [F.col("rank")], "text", 2000).select("qid", "id", F.md5("text").alias("h"))
 
 
 @C("win9_first_lines", "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM l), g AS (SELECT doc_id, line, min(i) AS i FROM u GROUP BY ALL) SELECT doc_id, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY i)) AS h FROM g GROUP BY doc_id")
@@ -275,7 +275,7 @@ def top8(spark, d):
     """Each document's first words as a question to the next one."""
     terms = F.array(*map(F.lit, ["func", "var", "signal", "class", "extends", "if", "for", "while"]))
     docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), F.array_distinct(F.concat(F.slice(tokens.blank_split(F.col("text")), 1, 4), terms)).alias("ws"))
-    pairs = docs.select("doc_id", "ws").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), "t"), "doc_id")
+    pairs = docs.select("doc_id", "ws").hint("merge").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), "t"), "doc_id")
     share = F.size(F.filter("ws", lambda w: F.contains("t", w))) / F.size("ws")
     boost = F.when(F.array_contains("ws", "fix") & F.contains("t", F.lit("error")), 0.3).otherwise(0.0)
     return pairs.select("doc_id", F.round(F.least(F.lit(1.0), share + boost), 6).alias("relevance"))
@@ -286,7 +286,7 @@ def top11(spark, d):
     """Lines of the document with the question's id, by shared words, within 200 characters."""
     asked_words = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(tokens.blank_split(F.col("text"))).alias("ws"))
     lines = read(spark, d, "documents").select(F.col("doc_id").alias("qid"), F.posexplode(F.split("text", "\n", -1)).alias("p", "line"))
-    scored = lines.join(asked_words, "qid").withColumn("score", F.size(F.array_intersect(F.array_distinct(tokens.blank_split(F.col("line"))), "ws")))
+    scored = lines.hint("merge").join(asked_words, "qid").withColumn("score", F.size(F.array_intersect(F.array_distinct(tokens.blank_split(F.col("line"))), "ws")))
     return V.within_budget(scored, ["qid"], [F.desc("score"), F.desc("line"), F.col("p")], F.length("line") + 1, 200).select("qid", (F.col("p") + 1).alias("line_no"), F.col("spent").cast("long"))
 
 
@@ -306,14 +306,14 @@ def agg21(spark, d):
 
 @C("jn7_unlabelled", "SELECT doc_id, source FROM documents ANTI JOIN labels USING (doc_id)")
 def jn7(spark, d):
-    return read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+    return read(spark, d, "documents").hint("merge").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
 
 
 @C("jn9_shared_keywords", "WITH k AS (SELECT doc_id, unnest(list_slice(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 9)), 1, 1000)) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, max(shared) AS most FROM p WHERE shared >= 2 GROUP BY a")
 def jn9(spark, d):
     """Documents that share two rare long words or more with a later one."""
     k = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), lambda x: F.length(x) > 9))).alias("w"))
-    pairs = k.select(F.col("doc_id").alias("a"), "w").join(k.select(F.col("doc_id").alias("b"), "w"), "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = k.select(F.col("doc_id").alias("a"), "w").hint("merge").join(k.select(F.col("doc_id").alias("b"), "w"), "w").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     return pairs.filter("shared >= 2").groupBy("a").agg(F.max("shared").alias("most"))
 
 
@@ -322,14 +322,14 @@ def jn12(spark, d):
     """Documents whose hash isn't the stored one; the stored state is made from the table, changed in places."""
     docs = read(spark, d, "documents")
     old = docs.filter("doc_id % 5 != 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")), 256).alias("h"))
-    return docs.join(old, "doc_id", "left").filter(~F.sha2("text", 256).eqNullSafe(F.col("h"))).select("doc_id", F.col("h").isNull().alias("is_new"))
+    return docs.hint("merge").join(old, "doc_id", "left").filter(~F.sha2("text", 256).eqNullSafe(F.col("h"))).select("doc_id", F.col("h").isNull().alias("is_new"))
 
 
 @C("jn13_str4_unseen", "WITH s AS (SELECT DISTINCT md5(text) AS h FROM documents WHERE doc_id % 3 = 0) SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents WHERE doc_id % 3 <> 0 AND md5(text) NOT IN (SELECT h FROM s) GROUP BY md5(text)")
 def jn13(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.md5("text").alias("h"))
     seen = docs.filter("doc_id % 3 = 0").select("h").distinct()
-    return docs.filter("doc_id % 3 != 0").join(seen, "h", "left_anti").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h")
+    return docs.filter("doc_id % 3 != 0").hint("merge").join(seen, "h", "left_anti").groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "h")
 
 
 @C("src10_src12_feed_entries", r"WITH e AS (SELECT source, doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), 1, 3), ' ') AS topic, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, md5(concat_ws(chr(10), 'Title: ' || substring(text, 1, 40), 'Summary: ' || substring(text, 1, 200), 'Link: ' || source || '/' || doc_id)) AS h FROM documents) SELECT source, doc_id, topic, h FROM e WHERE r <= 3")

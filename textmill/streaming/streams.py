@@ -102,7 +102,7 @@ def ingest(pages: DataFrame, distil: Callable[[DataFrame], DataFrame], store: st
         spark = batch.sparkSession
         fresh = distil(batch).withColumn("hash", F.md5("content")).dropDuplicates(["hash"])
         try:
-            fresh = fresh.join(spark.read.parquet(store).select("hash"), "hash", "left_anti")
+            fresh = fresh.hint("merge").join(spark.read.parquet(store).select("hash"), "hash", "left_anti")
         except Exception as e:  # the first cycle finds no folder
             if "PATH_NOT_FOUND" not in str(e):
                 raise
