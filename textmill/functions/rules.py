@@ -114,6 +114,37 @@ EXPERTISE = {
     "beginner": ["how to", "what is", "help", "beginner", "new to"],
 }
 EFFORT = {"low": ["simple", "basic", "quick"], "high": ["advanced", "complex", "full-featured"]}
+KINDS = {
+    "debug": ["error", "bug", "broken", "crash", "fail", "fix", "exception", "traceback", "not working", "wrong"],
+    "explain": ["what is", "how does", "why", "explain", "define", "meaning", "understand"],
+    "create": ["create", "make", "build", "implement", "write", "generate", "add", "new"],
+    "optimize": ["optimize", "improve", "refactor", "faster", "better", "efficient", "performance"],
+    "analyze": ["analyze", "review", "check", "examine", "inspect"],
+}
+# What an issue is reduced to: words, focus, instruction, limit.
+REDUCTIONS = [
+    (["velocity", "movement"], "movement logic", "normalize velocity handling and ensure delta is applied correctly", "max 30 lines"),
+    (["delta", "_process"], "_process function", "add delta parameter and use it for frame-independent movement", "max 20 lines"),
+    (["signal", "connect"], "signal connections", "ensure signals are properly connected and disconnected", "max 25 lines"),
+    (["variable", "unused"], "code cleanup", "remove unused variables and improve code organization", "max 20 lines"),
+]
+# Second list of domain words, topics that rule the domain out, words of programming.
+DOMAIN_2 = [
+    "godot", "gdscript", "scene", "node", "shader", "tscn",
+    "gdextension", "engine", "characterbody", "area2d", "area3d",
+    "kinematic", "rigidbody", "sprite", "texture", "viewport",
+    "signal", "export", "@export", "@onready", "_ready", "_process",
+    "_physics_process", "func ", "var ", "extends ", "class_name",
+    "instancerate", "preload", "load(", "get_node", "$", "yield",
+    "await ", " tween", "animation", "collision", "hitbox", "hurtbox",
+]
+OFF_TOPIC = [
+    "brownie", "banana", "recipe", "cooking", "baking",
+    "python script", "django", "flask", "fastapi",
+    "javascript", "react", "vue", "angular",
+    "unity", "unreal", "game maker",
+    "photoshop", "blender", "illustrator",
+]
 FAST = ["fast", "optimize", "performance", "efficient"]
 CRITICAL = ["crash", "fatal", "critical", "urgent"]
 STATUS = ["status", "health", "stats", "overview", "summary"]
@@ -218,6 +249,25 @@ def in_domain(text: Column) -> Column:
     return (hits(text, DOMAIN) >= 1)
 
 
+def in_domain_strictly(text: Column) -> Column:
+    """An off-topic word rules the domain out unless it is named; else one domain word is enough."""
+    return ~(any_of(text, OFF_TOPIC) & ~any_of(text, ["godot", "gdscript"])) & (hits(text, DOMAIN_2) > 0)
+
+
+def kind(text: Column) -> dict[str, Column]:
+    """The class with most words in the text, and a third of their number as confidence."""
+    best = _best({k: hits(text, w).cast("double") for k, w in KINDS.items()}, "general")
+    return {"kind": best["name"], "confidence": F.round(F.least(best["score"] / 3, F.lit(1.0)), 4)}
+
+
+def reduced(text: Column) -> Column:
+    """focus, instruction and limit of the first row whose words stand in the text."""
+    out = None
+    for words, *fields in REDUCTIONS:
+        out = (F if out is None else out).when(any_of(text, words), F.array(*map(F.lit, fields)))
+    return out
+
+
 def topic_word(text: Column) -> Column:
     """The first word longer than 3 that is no question word."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), lambda w: (F.length(w) > 3) & ~w.isin(TOPIC_STOP))

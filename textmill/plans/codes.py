@@ -365,3 +365,45 @@ def win4(spark, d):
     text = lines(spark, d).hint("merge").join(numbered, "path").filter((F.col("line_no") >= F.col("a")) & (F.col("line_no") <= F.col("b"))).groupBy("path", "block")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
     return packed(text.agg(joined.alias("text")), 200, 40).select("path", "chunk", F.md5("text").alias("h"))
+
+
+_file_columns("cls17_quality_gate", lambda: {"score": F.round((100 - F.when(F.length("content") == 0, 50).otherwise(0) - F.when(F.contains("content", F.lit("#")), 0).otherwise(10)) / 100, 2), "passed": F.length("content") > 0},
+              "round((100 - CASE WHEN length(content) = 0 THEN 50 ELSE 0 END - CASE WHEN contains(content, '#') THEN 0 ELSE 10 END) / 100, 2) AS score, length(content) > 0 AS passed")
+
+
+@C("lnt8_syntax_lines", f"WITH {LINES} SELECT path, line_no, CASE WHEN regexp_matches(line, '^ ') THEN 'spaces' WHEN contains(line, 'emit_signal(') THEN 'emit_signal' WHEN regexp_matches(line, '\\bsetget\\b') THEN 'setget' WHEN regexp_matches(line, '^func\\s+\\w+\\(.*\\):') THEN 'untyped' END AS issue FROM c WHERE regexp_matches(line, '^ ') OR contains(line, 'emit_signal(') OR regexp_matches(line, '\\bsetget\\b') OR regexp_matches(line, '^func\\s+\\w+\\(.*\\):')")
+def lnt8(spark, d):
+    line = F.col("line")
+    issue = F.when(line.rlike("^ "), "spaces").when(line.contains("emit_signal("), "emit_signal").when(line.rlike(r"\bsetget\b"), "setget").when(line.rlike(r"^func\s+\w+\(.*\):"), "untyped")
+    return lines(spark, d).select("path", "line_no", issue.alias("issue")).filter("issue IS NOT NULL")
+
+
+@C("lnt13_lnt14_registered", f"WITH {FILES} SELECT path, regexp_matches(content, 'base\\.gd') AS registered FROM f")
+def lnt13(spark, d):
+    return files(spark, d).select("path", F.col("content").rlike(r"base\.gd").alias("registered"))
+
+
+@C("lnt17_hints", f"WITH {FILES} SELECT path, (length(content) - length(replace(content, 'for ', ''))) / 4 > 2 AS loop_hint, len(string_split(content, chr(10))) > 50 AS split_hint FROM f")
+def lnt17(spark, d):
+    """Hints from the quick issues of a file: loops, length."""
+    found = lint.quick_issues(content())
+    has = lambda w: F.exists(found, lambda x: F.contains(F.lower(x), F.lit(w)))
+    loops = (F.length("content") - F.length(F.replace("content", F.lit("for "), F.lit("")))) / 4 > 2
+    return files(spark, d).select("path", (has("loop") | loops).alias("loop_hint"), has("too long").alias("split_hint"))
+
+
+@C("jn16_top13_expanded", f"WITH {LINES}, {DEPS}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM (SELECT DISTINCT src, dst FROM e)) SELECT src, dst FROM r WHERE r <= 2")
+def jn16(spark, d):
+    """A file and the first two it depends on."""
+    e = K.dependencies(lines(spark, d)).select("src", "dst").distinct()
+    return V.last_n(e, ["src"], [F.col("dst")], 2).select("src", "dst")
+
+
+@C("grf6_hierarchy", f"WITH {SCENES}, {HEADS}, n AS (SELECT path, line_no, regexp_extract(line, 'name=.([^\\x22]*)\\x22', 1) AS name, contains(line, 'parent=') AS child, last_value(CASE WHEN NOT contains(line, 'parent=') THEN line_no END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS root FROM sc WHERE section = 'node') SELECT n.path, n.line_no, CASE WHEN n.child AND r.name IS NOT NULL THEN r.name || '/' || n.name ELSE n.name END AS full_path, (n.child AND r.name IS NOT NULL)::INT AS depth FROM n LEFT JOIN n r ON n.path = r.path AND n.root = r.line_no")
+def grf6(spark, d):
+    """Full path and depth of nodes: children stand under the root above them."""
+    nodes = scenes(spark, d).filter("section = 'node'").select("path", "line_no", F.col("a_name").alias("name"), F.col("a_parent").isNotNull().alias("child"))
+    root = F.last(F.when(~F.col("child"), F.col("name")), True).over(W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
+    under = nodes.withColumn("root", root)
+    deep = F.col("child") & F.col("root").isNotNull()
+    return under.select("path", "line_no", F.when(deep, F.concat_ws("/", "root", "name")).otherwise(F.col("name")).alias("full_path"), deep.cast("int").alias("depth"))

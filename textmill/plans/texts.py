@@ -131,6 +131,13 @@ _turns("flt9_topic_word", lambda: {"topic": rules.topic_word(text())},
        rf"coalesce(list_filter(string_split({BLANK}, ' '), lambda w: length(w) > 3 AND w NOT IN ({', '.join(map(quoted, rules.TOPIC_STOP))}))[1], 'that topic') AS topic")
 _turns("flt6_truncated", lambda: {"query": F.substring(text(), 1, 200), "snippet": F.substring(text(), 1, 150)}, "substring(text, 1, 200) AS query, substring(text, 1, 150) AS snippet")
 
+_turns("flt8_strict_domain", lambda: {"related": rules.in_domain_strictly(text())}, f"NOT ({sql_any('text', rules.OFF_TOPIC)} AND NOT {sql_any('text', ['godot', 'gdscript'])}) AND {sql_hits('text', rules.DOMAIN_2)} > 0 AS related")
+_kinds = {n: sql_hits("text", w) for n, w in rules.KINDS.items()}
+_most = f"greatest({', '.join(_kinds.values())})"
+_turns("cls4_kind", lambda: rules.kind(text()), f"CASE WHEN {_most} = 0 THEN 'general' " + " ".join(f"WHEN {s} = {_most} THEN '{n}'" for n, s in _kinds.items()) + f" END AS kind, round(least({_most} / 3, 1.0), 4)::DOUBLE AS confidence")
+C.columns("cls10_reduced", "documents", ["doc_id"], lambda: {"focus": F.coalesce(rules.reduced(text())[0], F.lit("code structure"))},
+          "SELECT doc_id, CASE " + " ".join(f"WHEN {sql_any('text', w)} THEN '{f}'" for w, f, _, _ in rules.REDUCTIONS) + " ELSE 'code structure' END AS focus FROM documents")
+
 # guards
 AG = r"regexp_replace(text, '[^\x00-\x7F]', '?', 'g')"
 INJ = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({AG}, {quoted(p)}) THEN {quoted(p)} END" for p in guards.INJECTION) + "], lambda x: x IS NOT NULL)"
