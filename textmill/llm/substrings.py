@@ -88,58 +88,65 @@ def repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str = "doc_id
     text = F.col(text_col).cast("binary")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("r1"), F.xxhash64(text).alias("r2"), text.alias("text"))
 
+    # a stretch's place in its text: first window and number of windows in one long
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 2):
                 found = [anchors((t or b"").split(), length, k) for t in part.column(2).to_pylist()]
-                lists = _lists([[f[i] for f in found] for i in range(4)], [pa.int64(), pa.int64(), pa.int32(), pa.int32()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["r1", "r2", "a", "s", "lo", "n"])
+                lists = _lists([[f[0] for f in found], [f[1] for f in found], [f[2] << 16 | f[3] for f in found]], [pa.int64()] * 3)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["r1", "r2", "a", "s", "at"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 1):
                 columns: list[list] = [[] for _ in range(5)]
-                for r1, r2, t, los, ns in zip(*(c.to_pylist() for c in part.columns)):
-                    words = (t or b"").split()
-                    lo, n = np.array(los, np.int64), np.array(ns, np.int64)
+                for rid, t, ats, ones in zip(*(c.to_pylist() for c in part.columns)):
+                    words, at = (t or b"").split(), np.array(ats, np.int64)
+                    lo, n = at >> 16, at & 0xFFFF
                     ends = np.cumsum(n)
                     start = np.repeat(lo - ends + n, n) + np.arange(ends[-1])
-                    for c, x in zip(columns, (np.full(len(start), r1), np.full(len(start), r2), start, *(Rolling(words, b)(start, length).view(np.int64) for b in _BASES))):
+                    hashes = (Rolling(words, b)(start, length).view(np.int64) for b in _BASES)
+                    for c, x in zip(columns, (np.full(len(start), rid), start, np.repeat(np.array(ones, bool), n), *hashes)):
                         c.append(x)
-                flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in columns]
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in flat], ["r1", "r2", "lo", "h1", "h2"])
+                kinds = [np.int64, np.int64, bool, np.int64, np.int64]
+                flat = [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(columns, kinds)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["rid", "lo", "once", "h1", "h2"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1):
                 counts, gone, kept = [], [], []
-                for t, los, ns in zip(*(part.column(i).to_pylist() for i in (1, 2, 3))):
+                for t, ats in zip(*(part.column(i).to_pylist() for i in (1, 2))):
                     words = (t or b"").split()
                     counts.append(len(words))
-                    if los:
-                        edge = np.zeros(len(words) + 1, np.int64)
-                        lo = np.array(los, np.int64)
-                        np.add.at(edge, lo, 1)
-                        np.add.at(edge, lo + np.array(ns, np.int64) + length - 1, -1)
+                    if ats:
+                        edge, at = np.zeros(len(words) + 1, np.int64), np.array(ats, np.int64)
+                        np.add.at(edge, at >> 16, 1)
+                        np.add.at(edge, (at >> 16) + (at & 0xFFFF) + length - 1, -1)
                         words = [w for w, c in zip(words, np.cumsum(edge[:-1]).tolist()) if not c]
                     gone.append(counts[-1] - len(words))
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    found = written(base.select("r1", "r2", "text").mapInArrow(seeds, "r1 long, r2 long, a array<long>, s array<long>, lo array<int>, n array<int>"), "anchors")
-    rows = found.select("r1", "r2", F.explode(F.arrays_zip("a", "s", "lo", "n")).alias("x")).select("r1", "r2", "x.a", "x.s", "x.lo", "x.n")
+    found = base.select("r1", "r2", "text").mapInArrow(seeds, "r1 long, r2 long, a array<long>, s array<long>, at array<long>")
+    found = written(found.withColumn("rid", F.monotonically_increasing_id()), "anchors")
+    keys = found.select("rid", "r1", "r2")
+    rows = found.select("rid", F.explode(F.arrays_zip("a", "s", "at")).alias("x")).select("rid", "x.a", "x.s", "x.at")
     shared = written(rows.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a"), "shared")
     met = written(rows.hint("merge").join(shared, "a"), "met")
-    stretches = written(met.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("r1", "r2", "lo", "n")).alias("one")), "stretches")
-    equal = met.hint("merge").join(stretches.filter("c > 1").select("a", "s"), ["a", "s"]).select("r1", "r2", "lo", "n")
+    stretches = written(met.groupBy("a", "s").agg(F.count("*").alias("c"), F.min(F.struct("rid", "at")).alias("one")), "stretches")
+    equal = met.hint("merge").join(stretches.filter("c > 1").select("a", "s"), ["a", "s"]).select("rid", "at")
     mixed = stretches.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1").select("a")
-    ends = stretches.hint("merge").join(mixed, "a").select("one.*")
-    ends = ends.groupBy("r1", "r2").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))  # of one document
-    # the three joins with ``base`` below share one shuffle of the texts: they stand in one plan
-    single = base.hint("merge").join(ends, ["r1", "r2"]).select("r1", "r2", "text", "los", "ns").mapInArrow(windows, "r1 long, r2 long, lo long, h1 long, h2 long")
-    place = F.struct("r1", "r2", "lo")
+    ends = stretches.hint("merge").join(mixed, "a").select("one.rid", "one.at", (F.col("c") == 1).alias("once"))
+    ends = ends.groupBy("rid").agg(F.collect_list(F.struct("at", "once")).alias("x"))  # of one document
+    ends = ends.hint("merge").join(keys, "rid").select("rid", "r1", "r2", F.col("x.at").alias("ats"), F.col("x.once").alias("ones"))
+    # the joins with ``base`` below share one shuffle of the texts: they stand in one plan
+    single = base.hint("merge").join(ends, ["r1", "r2"]).select("rid", "text", "ats", "ones").mapInArrow(windows, "rid long, lo long, once boolean, h1 long, h2 long")
+    place = F.xxhash64("rid", "lo")
     twice = single.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("h1", "h2")
-    some = single.hint("merge").join(twice, ["h1", "h2"]).select("r1", "r2", F.col("lo").cast("int").alias("lo"), F.lit(1).alias("n"))
-    cover = equal.unionByName(some).groupBy("r1", "r2").agg(F.collect_list("lo").alias("los"), F.collect_list("n").alias("ns"))
-    out = base.hint("merge").join(cover, ["r1", "r2"], "left").select("doc_id", "text", "los", "ns")
+    # stretches that occur twice are repeats as they stand; only the others' windows are still asked for
+    some = single.filter("once").select("rid", "lo", "h1", "h2").hint("merge").join(twice, ["h1", "h2"]).select("rid", (F.shiftleft("lo", 16) + 1).alias("at"))
+    cover = equal.unionByName(some).groupBy("rid").agg(F.collect_list("at").alias("ats")).hint("merge").join(keys, "rid")
+    cover = cover.groupBy("r1", "r2").agg(F.flatten(F.collect_list("ats")).alias("ats"))
+    out = base.hint("merge").join(cover, ["r1", "r2"], "left").select("doc_id", "text", "ats")
     return out.mapInArrow(remove, "doc_id long, n_words long, n_removed long, kept_text string")
