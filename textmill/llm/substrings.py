@@ -142,8 +142,8 @@ def repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str = "doc_id
     ends = ends.hint("merge").join(keys, "rid").select("rid", "r1", "r2", F.col("x.at").alias("ats"), F.col("x.once").alias("ones"))
     # the joins with ``base`` below share one shuffle of the texts: they stand in one plan
     single = base.hint("merge").join(ends, ["r1", "r2"]).select("rid", "text", "ats", "ones").mapInArrow(windows, "rid long, lo long, once boolean, h1 long, h2 long")
-    place = F.xxhash64("rid", "lo")
-    twice = single.groupBy("h1", "h2").agg(F.min(place).alias("x"), F.max(place).alias("y")).filter("x != y").select("h1", "h2")
+    # a stretch that occurs once stands in a row that isn't repeated, so its windows come once each
+    twice = single.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
     # stretches that occur twice are repeats as they stand; only the others' windows are still asked for
     some = single.filter("once").select("rid", "lo", "h1", "h2").hint("merge").join(twice, ["h1", "h2"]).select("rid", (F.shiftleft("lo", 16) + 1).alias("at"))
     cover = equal.unionByName(some).groupBy("rid").agg(F.collect_list("at").alias("ats")).hint("merge").join(keys, "rid")
