@@ -9,7 +9,7 @@ stretches - the ends of repeats - single windows are compared, one copy of each
 that overlap then add up to the maximal repeats of ``length`` words or more.
 
 No pairs are made: repeats are found by counts of hashes, which are partial aggregates. A stretch
-is known by two 64-bit hashes (its anchor's and its own), a window by two.
+is known by two 64-bit hashes (its anchor's and its own), a window by 96 bits of two.
 
 Defined results: null and empty texts have no words; texts under ``length`` words lose none;
 a null id is an id like any other; repeated rows repeat each other's windows; an empty table
@@ -105,10 +105,10 @@ def repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str = "doc_id
                     lo, n = at >> 16, at & 0xFFFF
                     ends = np.cumsum(n)
                     start = np.repeat(lo - ends + n, n) + np.arange(ends[-1])
-                    hashes = (Rolling(words, b)(start, length).view(np.int64) for b in _BASES)
-                    for c, x in zip(columns, (np.full(len(start), rid), start, np.repeat(np.array(ones, bool), n), *hashes)):
+                    h1, h2 = (Rolling(words, b)(start, length) for b in _BASES)
+                    for c, x in zip(columns, (np.full(len(start), rid), start, np.repeat(np.array(ones, bool), n), h1.view(np.int64), (h2 >> np.uint64(32)).astype(np.uint32).view(np.int32))):
                         c.append(x)
-                kinds = [np.int64, np.int64, bool, np.int64, np.int64]
+                kinds = [np.int64, np.int64, bool, np.int64, np.int32]
                 flat = [np.concatenate(c) if c else np.zeros(0, kind) for c, kind in zip(columns, kinds)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], ["rid", "lo", "once", "h1", "h2"])
 
@@ -141,7 +141,7 @@ def repeats(docs: DataFrame, length: int = 35, k: int = 8, id_col: str = "doc_id
     ends = ends.groupBy("rid").agg(F.collect_list(F.struct("at", "once")).alias("x"))  # of one document
     ends = ends.hint("merge").join(keys, "rid").select("rid", "r1", "r2", F.col("x.at").alias("ats"), F.col("x.once").alias("ones"))
     # the joins with ``base`` below share one shuffle of the texts: they stand in one plan
-    single = base.hint("merge").join(ends, ["r1", "r2"]).select("rid", "text", "ats", "ones").mapInArrow(windows, "rid long, lo long, once boolean, h1 long, h2 long")
+    single = base.hint("merge").join(ends, ["r1", "r2"]).select("rid", "text", "ats", "ones").mapInArrow(windows, "rid long, lo long, once boolean, h1 long, h2 int")
     # a stretch that occurs once stands in a row that isn't repeated, so its windows come once each
     twice = single.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
     # stretches that occur twice are repeats as they stand; only the others' windows are still asked for
