@@ -44,7 +44,7 @@ def kept_rows(docs: DataFrame, text_col: str, test: Callable[[], Callable[[list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = test()
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, 1 << 19):
                 yield part.filter(pa.array(passes([t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,7 +2,8 @@
 
 A text is cut by the pattern; the distinct pieces of a slice of rows are merged together on
 length-bucketed padded matrices (merges.py); documents are then put together from the pieces'
-ids. Pieces once merged are remembered in the worker up to ``REMEMBER`` of them. The ranks file
+ids. What was merged is remembered up to ``REMEMBER`` spans and until the task ends, as workers
+live on and other stages need the memory. The ranks file
 must be readable on every executor, as the library itself is; its path is a parameter.
 
 Defined results: a null text is an empty one: no ids; special tokens aren't known, their
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ._text import slices
 from .merges import Merger, gather
 
-REMEMBER = 600_000
+REMEMBER = 300_000
 _RUN = re.compile(r"\A |\s ")
 
 
@@ -128,11 +129,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["doc_id", "ids"])
+        bpe.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -156,10 +158,11 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path, pattern)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 ids = bpe.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [part.column(0), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()), pa.array([bpe.decode(x) for x in ids], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "packed", "decoded"])
+        bpe.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, packed binary, decoded binary")

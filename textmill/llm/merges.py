@@ -60,6 +60,12 @@ class PairTable:
         return np.where(hit, self.rank[slot], NONE), self.merged[slot]
 
 
+    def get(self, left: int, right: int) -> tuple[int, int] | None:
+        """Rank and merged id of one pair."""
+        rank, merged = self.find(np.array([left]), np.array([right]))
+        return None if rank[0] == NONE else (int(rank[0]), int(merged[0]))
+
+
 def _matrix(m: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
     """m: symbols, padded at the right; sizes: of each row. The rows after all merges, and their sizes."""
     out, left = np.zeros_like(m), np.zeros_like(sizes)
@@ -92,12 +98,12 @@ def _matrix(m: np.ndarray, sizes: np.ndarray, pairs: PairTable) -> tuple[np.ndar
     return out, left
 
 
-def _list(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> np.ndarray:
+def _list(ids: list[int], pairs: PairTable) -> np.ndarray:
     """One long word: the same merges in the same order, by a heap of (rank, place)."""
     n = len(ids)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-    heap = [(*pairs[ids[i], ids[i + 1]], i, ids[i], ids[i + 1]) for i in range(n - 1) if (ids[i], ids[i + 1]) in pairs]
-    heap = [(r, i, a, b, m) for r, m, i, a, b in heap]
+    ranks, merges = pairs.find(np.array(ids[:-1]), np.array(ids[1:]))
+    heap = [(r, i, ids[i], ids[i + 1], m) for i, (r, m) in enumerate(zip(ranks.tolist(), merges.tolist())) if r != NONE]
     heapq.heapify(heap)
     while heap:
         _, i, a, b, merged = heapq.heappop(heap)
@@ -108,14 +114,13 @@ def _list(ids: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> np.n
         if after[j] >= 0:
             before[after[j]] = i
         for x, y in ((before[i], i), (i, after[i])):
-            if x >= 0 and y >= 0 and (got := pairs.get((ids[x], ids[y]))):
+            if x >= 0 and y >= 0 and (got := pairs.get(ids[x], ids[y])):
                 heapq.heappush(heap, (got[0], x, ids[x], ids[y], got[1]))
     return np.array([x for x in ids if x >= 0], np.int32)
 
 
 class Merger:
     def __init__(self, pairs: dict[tuple[int, int], tuple[int, int]]):
-        self.pairs = pairs
         left, right = zip(*pairs) if pairs else ((), ())
         rank, merged = zip(*pairs.values()) if pairs else ((), ())
         self.table = PairTable(left, right, rank, merged)
@@ -130,7 +135,7 @@ class Merger:
         while at < len(order):
             if width > LONG:
                 for i in order[at:]:
-                    ids = _list(flat[starts[i] : starts[i] + sizes[i]].tolist(), self.pairs)
+                    ids = _list(flat[starts[i] : starts[i] + sizes[i]].tolist(), self.table)
                     out[starts[i] : starts[i] + len(ids)], count[i] = ids, len(ids)
                 break
             end = int(np.searchsorted(ordered, width, side="right"))

@@ -6,7 +6,7 @@ chunks of equal length; each chunk's state map (for every entry state, the exit
 for all chunks at once, the maps are composed by a parallel prefix scan, and with the entry
 states known the transitions are run once more for what they emit: where a word begins. A word's
 last transition is annotated with its token count: the counts of the distinct words of a slice
-are compiled together by merge rounds (merges.py) and remembered in the worker.
+are compiled together by merge rounds (merges.py) and remembered until the task ends.
 
 Merges inside a word are not states of the transducer: an exact automaton of 48,894 merges over
 unbounded words would have far more states than a corpus has words. That part is a lexicon that
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ._text import slices
 from .merges import Merger
 
-REMEMBER = 600_000
+REMEMBER = 300_000
 CHUNK = 256
 
 # classes of characters
@@ -190,6 +190,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 size = [len(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+        count.known = {}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
