@@ -454,3 +454,17 @@ def test_language_id_of_odd_input(spark, docs, odd, nothing):
 
 def test_sha_helpers_are_those_of_the_contract():
     assert hashlib.sha256(np.array([1], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\x01\x00\x00\x00").hexdigest()
+
+
+def test_candidates_of_near_dedup_at_the_threshold_miss_few_pairs_at_any_size():
+    rng = np.random.default_rng(3)
+    bands = simhash.band_count(0.8, 5, 0.0005)
+    met, n = 0, 2000
+    for _ in range(n):
+        words = rng.integers(0, 1 << 64, 90, np.uint64)  # 80 of 100 shingles are shared
+        more = rng.integers(0, 1 << 64, 10, np.uint64)
+        a, b = (simhash.min_bands(x, bands, 5) for x in (words, np.concatenate([words[:80], more])))
+        met += bool((a == b).any())
+    assert (1 - 0.8**5) ** bands <= 0.0005 and met >= n - 6
+    other = [simhash.min_bands(rng.integers(0, 1 << 64, 90, np.uint64), bands, 5) for _ in range(300)]
+    assert all(len({x[c] for x in other}) == 300 for c in range(bands))  # no chance meetings that a larger input would need wider blocks for

@@ -18,7 +18,9 @@ component has no other; an empty table gives an empty result; extra columns are
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import combinations
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -143,31 +145,65 @@ def wide_simhash(data: bytes, size: int, lanes: int) -> bytes:
     return out.astype("<u8").tobytes()
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingles(data: bytes, size: int) -> np.ndarray:
+    """Hashes of the distinct shingles of ``size`` words, in order; none if there is no word."""
+    words = data.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(1, len(words) - size + 1)
+    begins, ends = np.concatenate(([0], ends[:-1] + 1))[:n].tolist(), ends[-n:].tolist()
+    return np.unique(np.array([xxh64_intdigest(joined[b:e], 42) for b, e in zip(begins, ends)], np.uint64))
+
+
+def band_count(similarity: float, rows: int, miss: float) -> int:
+    """Bands of ``rows`` minima of which a pair at ``similarity`` shares none with a chance of ``miss`` at most."""
+    return max(1, ceil(log(miss) / log1p(-(similarity**rows)))) if similarity < 1 else 1
+
+
+@cache
+def _mixes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    mul, add = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, (2, n), np.uint64)
+    return mul | np.uint64(1), add
+
+
+def min_bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit value for each band: two sets agree on one with their Jaccard similarity to the power of ``rows``."""
+    mul, add = _mixes(bands * rows)
+    low = np.full(bands * rows, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(low, (hashes[at : at + 1024, None] * mul + add).min(axis=0), out=low)
+    x = (low * np.roll(mul, 1)).reshape(bands, rows).sum(axis=1, dtype=np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 12, rows: int = 5, miss: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As near_duplicates, for links at a given Jaccard ``similarity`` of shingle sets, which is too
-    wide for the pigeonhole bound on 64 bits: at 0.8 about one bit in seven differs. Fingerprints are
-    ``64 * lanes`` bits, cut into blocks of about log2(nodes) + 2 bits; a pair that agrees on a block
-    is a candidate (expected to miss few pairs at the threshold, none much above it), and is kept
-    if the share of differing bits says so. doc_id, text_key (xxhash64), root (the component's
-    fingerprint) and component_id of each row."""
+    wide for blocks of fingerprint bits: at 0.8 about one bit in seven differs, and the blocks needed
+    grow with the number of documents. Candidates agree on a band of ``rows`` minima of the set; there
+    are as many bands as keep the chance of missing a pair at the threshold under ``miss``, whatever
+    the number of documents, as unrelated sets have no minima in common. A candidate is kept
+    if the share of differing bits of fingerprints of ``64 * lanes`` bits says so. doc_id, text_key
+    (xxhash64), root (the component's fingerprint) and component_id of each row."""
     text = F.col(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("text_key"))
+    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("text_key"))
+    bands = band_count(similarity, rows, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = lambda x, n: pa.ListArray.from_arrays(np.arange(0, len(x) * n + 1, n, dtype=np.int32), pa.array(np.array(x, np.uint64).reshape(-1).view(np.int64)))
         for b in batches:
-            fps = [wide_simhash(t or b"", size, lanes) for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
+            fps = [wide_simhash(t or b"", size, lanes) for t in texts]
             first = pa.array(np.array([int.from_bytes(x[:8], "little") for x in fps], np.uint64).view(np.int64))
-            cut = np.array([np.frombuffer(x, "<i8") for x in fps], np.int64).reshape(-1)
-            offsets = np.arange(0, (len(fps) + 1) * lanes, lanes, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), first, pa.ListArray.from_arrays(offsets, pa.array(cut))], ["doc_id", "text_key", "fp", "f", "lanes"])
-
-    prints = written(rows.mapInArrow(run, "doc_id long, text_key long, fp binary, f long, lanes array<long>"), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"), F.first("lanes").alias("lanes")).withColumn("id", F.xxhash64("fp")), "nodes")
-    width = min(32, max(16, nodes.count().bit_length() + 2))
-    blocks = [(lane, at) for lane in range(lanes) for at in range(0, 64 - width + 1, width)]
-    mask = (1 << width) - 1
-    cell = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.shiftrightunsigned(F.col("lanes")[lane], at).bitwiseAND(F.lit(mask)).alias("v")) for i, (lane, at) in enumerate(blocks)])).alias("cell")
-    cells = nodes.select("id", "f", cell).select("cell.c", "cell.v", "id", "f")
+            cut = lists([np.frombuffer(x, "<u8") for x in fps], lanes)
+            low = lists([min_bands(shingles(t or b"", size), bands, rows) for t in texts], bands)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), first, cut, low], ["doc_id", "text_key", "fp", "f", "lanes", "bands"])
+
+    prints = written(table.mapInArrow(run, "doc_id long, text_key long, fp binary, f long, lanes array<long>, bands array<long>"), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"), F.first("lanes").alias("lanes"), F.first("bands").alias("bands")).withColumn("id", F.xxhash64("fp")), "nodes")
+    cells = nodes.select("id", "f", F.posexplode("bands").alias("c", "v")).select(F.col("c").cast("short").alias("c"), "v", "id", "f")
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # of differing bits: equal sets of this Jaccard similarity have that cosine
     bits = 64 * lanes
     most = share * bits + (bits * share * (1 - share)) ** 0.5
@@ -180,7 +216,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, l
 
     # one lane alone rules out most chance meetings before lanes are fetched: mean 64 * share, five deviations
     roots = links(cells, int(64 * share + 5 * (64 * share * (1 - share)) ** 0.5), confirm)
-    return _named(prints, nodes, written(roots, "roots")).select("doc_id", "text_key", "root", "component_id")
+    return _named(prints.drop("bands"), nodes.drop("bands"), written(roots, "roots")).select("doc_id", "text_key", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
