@@ -468,3 +468,20 @@ def test_candidates_of_near_dedup_at_the_threshold_miss_few_pairs_at_any_size():
     assert (1 - 0.8**5) ** bands <= 0.0005 and met >= n - 6
     other = [simhash.min_bands(rng.integers(0, 1 << 64, 90, np.uint64), bands, 5) for _ in range(300)]
     assert all(len({x[c] for x in other}) == 300 for c in range(bands))  # no chance meetings that a larger input would need wider blocks for
+
+
+def test_near_dedup_takes_jaccard_of_sets_on_both_sides_of_the_threshold(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    pairs, rows = {}, []
+    for g in range(60):  # two texts of n + 4 words that part after the first m + 4: m of 2n - m shingles are shared
+        n, m = (180, 160) if g < 20 else (180, 159) if g < 40 else (190, 160)
+        body = [word() for _ in range(m + 4)]
+        rows += [(2 * g + i, " ".join(body + [word() for _ in range(n - m)])) for i in range(2)]
+        pairs[2 * g + 1] = m / (2 * n - m)
+    assert {x >= 0.8 for x in pairs.values()} == {True, False} and 0.8 in pairs.values()
+    noise = [word() for _ in range(5)] * 200  # one repeated phrase outvotes all else, sets differ
+    rows += [(200 + i, " ".join([*noise, *(word() for _ in range(60))])) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id for r in simhash.one_of_each(df, 5, 0.8).collect()}
+    assert left == {i for i, _ in rows} - {i for i, x in pairs.items() if x >= 0.8}

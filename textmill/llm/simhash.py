@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ._scratch import written
+from ._text import slices
 from .components import components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -123,28 +124,6 @@ def near_duplicates(docs: DataFrame, size: int = 4, k: int = 4, id_col: str = "d
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_simhash(data: bytes, size: int, lanes: int) -> bytes:
-    """A fingerprint of 64 * lanes bits: each lane votes with another mix of the shingles' hashes."""
-    words = data.lower().split()
-    out = np.zeros(lanes, np.uint64)
-    if words:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        n = max(1, len(words) - size + 1)
-        begins, ends = np.concatenate(([0], ends[:-1] + 1))[:n].tolist(), ends[-n:].tolist()
-        h = np.array([xxh64_intdigest(joined[b:e], 42) for b, e in zip(begins, ends)], np.uint64)
-        for lane in range(lanes):
-            votes = np.zeros(64, np.int64)
-            for at in range(0, n, _STEP):
-                x = h[at : at + _STEP] * np.uint64(0x9E3779B97F4A7C15 * (2 * lane + 1) & (1 << 64) - 1)
-                x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                octets = (x ^ (x >> np.uint64(32))).astype("<u8").view(np.uint8).reshape(-1, 8)
-                for i in range(8):
-                    votes[8 * i : 8 * i + 8] += np.bincount(octets[:, i], minlength=256) @ _BITS
-            out[lane] = ((votes * 2 > n).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64)
-    return out.astype("<u8").tobytes()
-
-
 def shingles(data: bytes, size: int) -> np.ndarray:
     """Hashes of the distinct shingles of ``size`` words, in order; none if there is no word."""
     words = data.lower().split()
@@ -157,6 +136,16 @@ def shingles(data: bytes, size: int) -> np.ndarray:
     return np.unique(np.array([xxh64_intdigest(joined[b:e], 42) for b, e in zip(begins, ends)], np.uint64))
 
 
+def votes(hashes: np.ndarray) -> int:
+    """The 64 bits for which over half of the hashes vote."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _STEP):
+        octets = hashes[at : at + _STEP].astype("<u8").view(np.uint8).reshape(-1, 8)
+        for i in range(8):
+            counts[8 * i : 8 * i + 8] += np.bincount(octets[:, i], minlength=256) @ _BITS
+    return int(((counts * 2 > len(hashes)).astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(dtype=np.uint64))
+
+
 def band_count(similarity: float, rows: int, miss: float) -> int:
     """Bands of ``rows`` minima of which a pair at ``similarity`` shares none with a chance of ``miss`` at most."""
     return max(1, ceil(log(miss) / log1p(-(similarity**rows)))) if similarity < 1 else 1
@@ -179,44 +168,56 @@ def min_bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, lanes: int = 12, rows: int = 5, miss: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, rows: int = 5, miss: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As near_duplicates, for links at a given Jaccard ``similarity`` of shingle sets, which is too
     wide for blocks of fingerprint bits: at 0.8 about one bit in seven differs, and the blocks needed
     grow with the number of documents. Candidates agree on a band of ``rows`` minima of the set; there
     are as many bands as keep the chance of missing a pair at the threshold under ``miss``, whatever
-    the number of documents, as unrelated sets have no minima in common. A candidate is kept
-    if the share of differing bits of fingerprints of ``64 * lanes`` bits says so. doc_id, text_key
-    (xxhash64), root (the component's fingerprint) and component_id of each row."""
+    the number of documents, as unrelated sets have no minima in common. Fingerprints of 64 bits, in
+    which each distinct shingle votes once, drop what is six deviations off; of the rest, pairs
+    whose sets have the similarity exactly are kept. doc_id, text_key (xxhash64), root (the
+    component's set) and component_id of each row."""
+    key = lambda i, t: [F.coalesce(i, F.lit(0)).alias("k1"), i.isNull().alias("k2"), t.alias("k3")]
     text = F.col(text_col).cast("binary")
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("text_key"))
     bands = band_count(similarity, rows, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = lambda x, n: pa.ListArray.from_arrays(np.arange(0, len(x) * n + 1, n, dtype=np.int32), pa.array(np.array(x, np.uint64).reshape(-1).view(np.int64)))
         for b in batches:
-            texts = b.column(1).to_pylist()
-            fps = [wide_simhash(t or b"", size, lanes) for t in texts]
-            first = pa.array(np.array([int.from_bytes(x[:8], "little") for x in fps], np.uint64).view(np.int64))
-            cut = lists([np.frombuffer(x, "<u8") for x in fps], lanes)
-            low = lists([min_bands(shingles(t or b"", size), bands, rows) for t in texts], bands)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), first, cut, low], ["doc_id", "text_key", "fp", "f", "lanes", "bands"])
-
-    prints = written(table.mapInArrow(run, "doc_id long, text_key long, fp binary, f long, lanes array<long>, bands array<long>"), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.first("f").alias("f"), F.first("lanes").alias("lanes"), F.first("bands").alias("bands")).withColumn("id", F.xxhash64("fp")), "nodes")
+            sets = [shingles(t or b"", size) for t in b.column(1).to_pylist()]
+            fp = pa.array([xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets], pa.binary())
+            f = pa.array(np.array([votes(x) for x in sets], np.uint64).view(np.int64))
+            low = np.array([min_bands(x, bands, rows) for x in sets], np.uint64).reshape(-1).view(np.int64)
+            low = pa.ListArray.from_arrays(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32), pa.array(low))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, f, low], ["doc_id", "text_key", "fp", "f", "bands"])
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in slices(b, 1):
+                sets = [shingles(t or b"", size).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+
+    prints = written(table.mapInArrow(run, "doc_id long, text_key long, fp binary, f long, bands array<long>"), "fingerprints")
+    one = F.min(F.struct("doc_id", "text_key")).alias("one")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), one, F.first("f").alias("f"), F.first("bands").alias("bands")).withColumn("id", F.xxhash64("fp")), "nodes")
     cells = nodes.select("id", "f", F.posexplode("bands").alias("c", "v")).select(F.col("c").cast("short").alias("c"), "v", "id", "f")
-    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # of differing bits: equal sets of this Jaccard similarity have that cosine
-    bits = 64 * lanes
-    most = share * bits + (bits * share * (1 - share)) ** 0.5
+    many = cells.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1").select("c", "v")
+    cells = written(cells.hint("merge").join(many, ["c", "v"], "left_semi"), "cells")
+    # the sets of the nodes that meet another one, made anew from one text of each
+    wanted = nodes.hint("merge").join(cells.select("id").distinct(), "id", "left_semi").select("id", *key(F.col("one.doc_id"), F.col("one.text_key")))
+    texts = table.select("t", *key(F.col("doc_id"), F.col("text_key"))).hint("merge").join(wanted, ["k1", "k2", "k3"])
+    texts = texts.groupBy("k1", "k2", "k3").agg(F.first("id").alias("id"), F.first("t").alias("t"))
+    sets = written(texts.select("id", "t").mapInArrow(hashed, "id long, s array<long>"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda x: nodes.select(F.col("id").alias(x), F.col("lanes").alias(f"{x}_lanes"))
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}_s"))
         both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-        apart = F.aggregate(F.zip_with("a_lanes", "b_lanes", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-        return both.filter(apart <= int(most)).select("a", "b")
+        both = both.withColumn("shared", F.size(F.array_intersect("a_s", "b_s")))
+        return both.filter(F.col("shared") / (F.size("a_s") + F.size("b_s") - F.col("shared")) >= similarity).select("a", "b")
 
-    # one lane alone rules out most chance meetings before lanes are fetched: mean 64 * share, five deviations
-    roots = links(cells, int(64 * share + 5 * (64 * share * (1 - share)) ** 0.5), confirm)
-    return _named(prints.drop("bands"), nodes.drop("bands"), written(roots, "roots")).select("doc_id", "text_key", "root", "component_id")
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # of differing bits: equal sets of this Jaccard similarity have that cosine
+    roots = links(cells, int(64 * share + 6 * (64 * share * (1 - share)) ** 0.5), confirm)
+    return _named(prints.drop("f", "bands"), nodes.select("id", "fp", "low"), written(roots, "roots")).select("doc_id", "text_key", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
