@@ -190,3 +190,26 @@ def test_tokens_of_null_and_empty(spark):
     df = texts(spark, None, "", "Ünïcode word_1 x 123")
     got = [r[0] for r in one(df.orderBy("id"), tokens.index_words(F.col("text")))]
     assert got == [None, [], ["word_1"]]
+
+
+def test_folds_hold_no_whole_group(spark):
+    e = spark.range(25_000).select(F.col("id").alias("event_id"), F.lit(None).cast("long").alias("user_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    e = e.unionByName(e.withColumn("user_id", F.lit(1).cast("long")))
+    got = windows.cooled(e.orderBy(F.desc("ts")), 3600)
+    assert got.groupBy("user_id").count().collect() and {r["count"] for r in got.groupBy("user_id").count().collect()} == {410}  # one in 61, over several batches
+    many = spark.range(12_000).selectExpr("if(id % 3 = 0, 'b', 'a') AS category", "id AS event_id", "array('x', 'y', string(id)) AS keywords")
+    learned = feedback.learned_patterns(many)
+    assert sorted((r.category, r.success_count) for r in learned.collect()) == [("a", 8000), ("b", 4000)]
+    for df in (got, learned):
+        plan = df._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
+def test_patterns_come_from_all_words_of_a_turn(spark, tmp_path):
+    from textmill.plans import catalog
+
+    text = lambda n: " ".join([*(f"word{n}x{i}" for i in range(15)), "late", "shared"])
+    rows = [(c, t, "user", text(10 * c + t)) for c in (1, 11) for t in range(2)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.queries()["agg9_str7_patterns"](spark, str(tmp_path)).collect()
+    assert sorted((r.category, r.success_count) for r in got) == [("conv_1", 2), ("conv_11", 2)]

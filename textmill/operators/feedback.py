@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, RegexTokenizer, StopWordsRemover, StringIndexer
@@ -23,15 +24,26 @@ def learn(patterns: list[dict], keywords: set[str], keep: int) -> list[dict]:
 
 def learned_patterns(feedback: DataFrame, keep: int = 20) -> DataFrame:
     """feedback(category, event_id, keywords) of accepted entries -> patterns of each category. The order of
-    events decides, so a category is folded in one group; what it carries is ``keep`` patterns."""
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        patterns: list[dict] = []
-        for r in pdf.sort_values("event_id").itertuples():
-            patterns = learn(patterns, set(r.keywords), keep)
-        return pd.DataFrame([(key[0], ",".join(sorted(p["keywords"])), p["count"]) for p in patterns], columns=["category", "keywords", "success_count"])
-
-    return feedback.groupBy("category").applyInPandas(run, "category string, keywords string, success_count long")
+    events decides: Spark sorts each category's rows, and only ``keep`` patterns go from batch to batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, patterns = None, []
+
+        def made() -> pa.RecordBatch:
+            words, counts = [",".join(sorted(p["keywords"])) for p in patterns], [p["count"] for p in patterns]
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(words), pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["category", "keywords", "success_count"])
+
+        for b in batches:
+            for category, keywords in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if patterns and category != key:
+                    yield made()
+                    patterns = []
+                key, patterns = category, learn(patterns, set(keywords), keep)
+        if patterns:
+            yield made()
+
+    rows = feedback.repartition("category").sortWithinPartitions("category", "event_id").select("category", "keywords")
+    return rows.mapInArrow(run, "category string, keywords string, success_count long")
 
 
 def packed(blocks: DataFrame, most: int = 1500, overlap: int = 100) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -53,16 +56,21 @@ def sessions(events: DataFrame, gap_seconds: int = 300, by: str = "user_id", ts:
 
 def cooled(events: DataFrame, seconds: int, by: str = "user_id", ts: str = "ts") -> DataFrame:
     """Rows accepted if more than ``seconds`` passed since the key's last accepted one. Each key's
-    history is folded in time order: a pandas group per key, as the next choice hangs on the last."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, "event_id"])
-        keep, last = [], None
-        for t in pdf[ts]:
-            good = last is None or (t - last).total_seconds() > seconds
-            keep.append(good)
-            last = t if good else last
-        return pdf[keep]
-
-    return events.groupBy(by).applyInPandas(run, events.schema)
+    history is folded in time order, as the next choice hangs on the last: Spark sorts the rows, and
+    only the last accepted time goes from batch to batch."""
+    k, at = events.columns.index(by), events.columns.index(ts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = last = None
+        begun = False
+        for b in batches:
+            keep = []
+            for u, t in zip(b.column(k).to_pylist(), b.column(at).cast(pa.int64()).to_pylist()):
+                good = not begun or u != key or (t is not None and last is not None and t - last > seconds * 1_000_000)
+                keep.append(good)
+                if good:
+                    begun, key, last = True, u, t
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    rows = events.repartition(by).sortWithinPartitions(by, F.asc_nulls_last(ts), "event_id")
+    return rows.mapInArrow(run, events.schema)

@@ -220,9 +220,9 @@ def agg9(spark, d):
     """Patterns learned from the words of user turns, by conversation."""
     from ..operators.feedback import learned_patterns
 
-    words = F.slice(F.array_distinct(F.filter(tokens.blank_split(F.col("text")), lambda w: F.length(w) > 3)), 1, 12)
+    words = F.array_distinct(F.filter(tokens.blank_split(F.col("text")), lambda w: F.length(w) > 3))
     turns = read(spark, d, "conversations").filter("role = 'user'")
-    return learned_patterns(turns.select(F.concat_ws("_", F.lit("conv"), F.col("conv_id") % 10).alias("category"), (F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), words.alias("keywords")))
+    return learned_patterns(turns.select(F.concat_ws("_", F.lit("conv"), F.col("conv_id")).alias("category"), (F.col("conv_id") * 1000 + F.col("turn")).alias("event_id"), words.alias("keywords")))
 
 
 @C("udf1_handlers", f"SELECT conv_id, turn, CASE WHEN {sql_any('text', rules.DOMAIN_ROUTE)} THEN upper(substring(text, 1, 5)) ELSE lower(substring(text, 1, 5)) END AS answer FROM conversations")
