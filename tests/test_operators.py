@@ -213,3 +213,14 @@ def test_patterns_come_from_all_words_of_a_turn(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = catalog.queries()["agg9_str7_patterns"](spark, str(tmp_path)).collect()
     assert sorted((r.category, r.success_count) for r in got) == [("conv_1", 2), ("conv_11", 2)]
+
+
+def test_trained_intent_learns_from_all_rows(spark, tmp_path):
+    from textmill.plans import catalog
+
+    docs = [(10 * i, "apple pear plum", "aa") for i in range(5)] + [(10 * i + 1, "stone rock sand", "bb") for i in range(5)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(1, 0, "plum apple"), (1, 1, "sand stone rock")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.queries()["cls5_trained_intent"](spark, str(tmp_path)).collect()
+    assert sorted((r.turn, r.predicted) for r in got) == [(0, "aa"), (1, "bb")]

@@ -241,5 +241,5 @@ def cls5(spark, d):
     """A classifier of turns by role-free text: trained on documents' languages, used on conversations."""
     from ..operators.feedback import intent_model
 
-    learned = intent_model(read(spark, d, "documents").filter("doc_id % 10 = 0").select("text", F.col("lang").alias("intent")), 500)
+    learned = intent_model(read(spark, d, "documents").select("text", F.col("lang").alias("intent")), 500)
     return learned.transform(read(spark, d, "conversations")).select("conv_id", "turn", "predicted")
