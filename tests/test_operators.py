@@ -4,6 +4,7 @@ import json
 import zipfile
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from textmill.functions import guards, lint, rules, tokens
@@ -224,3 +225,11 @@ def test_trained_intent_learns_from_all_rows(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = catalog.queries()["cls5_trained_intent"](spark, str(tmp_path)).collect()
     assert sorted((r.turn, r.predicted) for r in got) == [(0, "aa"), (1, "bb")]
+
+
+def test_reach_goes_past_fifty_steps(spark):
+    chain = spark.range(53).select((F.col("id") + 1).alias("src"), F.col("id").alias("dst")).coalesce(1)
+    found = graphs.reachable(chain, spark.createDataFrame([(0,)], "node long"))
+    assert found.agg(F.max("depth"), F.count("*")).first()[:] == (53, 53)
+    with pytest.raises(RuntimeError):
+        graphs.reachable(chain, spark.createDataFrame([(0,)], "node long"), 2)

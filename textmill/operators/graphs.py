@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def reachable(edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """edges(src, dst), starts(node) -> (start, node, depth) for every node that can be reached over
     reversed edges: who depends on the start, and over how many steps at least. Each round joins the
-    frontier only, drops what was seen, and cuts its lineage by a checkpoint."""
+    frontier only, drops what was seen, and cuts its lineage by a checkpoint. Rounds go on until the
+    frontier is empty; if ``most`` rounds are given and don't suffice, that is an error."""
     spark = edges.sparkSession
     back = edges.select(F.col("dst").alias("node"), F.col("src").alias("next")).distinct()
     front = starts.select(F.col("node").alias("start"), "node").distinct()
     seen = None
-    for depth in range(1, most + 1):
+    for depth in count(1):
         step = front.hint("merge").join(back, "node").select("start", F.col("next").alias("node")).distinct()
         if seen is not None:
             step = step.hint("merge").join(seen, ["start", "node"], "left_anti")
         step = _cut(step)
         if step.isEmpty():
             break
+        if most is not None and depth > most:
+            raise RuntimeError(f"reachable: the frontier isn't empty after {most} rounds")
         found = step.withColumn("depth", F.lit(depth))
         seen = found if seen is None else _cut(seen.unionByName(found))
         front = step
@@ -36,18 +41,19 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def impact(edges: DataFrame, starts: DataFrame, most: int = 50) -> DataFrame:
+def impact(edges: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """Per start: dependents, direct ones, risk HIGH over 5, MEDIUM over 2, else LOW."""
     hit = reachable(edges, starts, most).groupBy("start").agg(F.count("*").alias("dependents"), F.count_if(F.col("depth") == 1).alias("direct"))
     out = starts.select(F.col("node").alias("start")).distinct().hint("merge").join(hit, "start", "left").na.fill(0)
     return out.withColumn("risk", F.when(F.col("dependents") > 5, "HIGH").when(F.col("dependents") > 2, "MEDIUM").otherwise("LOW"))
 
 
-def cyclic(edges: DataFrame, most: int = 50) -> DataFrame:
-    """Nodes that can reach themselves. Nodes without an edge in and out are peeled off first."""
+def cyclic(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """Nodes that can reach themselves. Nodes without an edge in and out are peeled off first,
+    in 50 rounds at most, as peeling only saves work."""
     live = edges.select("src", "dst").distinct()
     before = -1
-    for _ in range(most):
+    for _ in range(50):
         live = _cut(live.hint("merge").join(live.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").hint("merge").join(live.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         now = live.count()
         if now == before:
