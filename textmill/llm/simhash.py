@@ -5,10 +5,13 @@ Fingerprints of 64 bits are made in Arrow batches. Rows with one fingerprint are
 at least, so one row for each choice of ``m - k`` blocks makes every close pair meet; ``m`` grows
 with the number of fingerprints so that chance meetings per row stay bounded.
 
-Buckets aren't expanded into pairs. First every fingerprint is held against the smallest one of
-each bucket (a star). What is then one component needs no more comparing, so only pairs across
-components are still looked at, and of those only with the bucket's main component on one side
-at most. Every link between different components is found, which is all that components need.
+First every fingerprint is held against the smallest one of each bucket (a star). What is then one
+component needs no more comparing, so only pairs across components are still looked at, and of those
+only with the bucket's main component on one side at most. Every link between different components
+is found, which is all that components need. A bucket in which more than ``DENSE`` fingerprints stand
+outside its main component is not expanded into pairs: it is cut again by the same lemma on the bits
+its choice left out, until its parts are small. That ends, as fingerprints are distinct: n of them
+vary in log2(n) bits at least, and each cut takes half of the bits left.
 
 Defined results: a null text has no words, like an empty one: fingerprint zero, linked like any
 other; repeated rows share their fingerprint; a null id is never a component's id unless the
@@ -34,6 +37,7 @@ from .components import components
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _STEP = 1 << 16
+DENSE = 1024  # fingerprints of one bucket outside its main component that are compared as they stand
 
 
 def simhash(data: bytes, size: int) -> int:
@@ -59,8 +63,9 @@ def simhash(data: bytes, size: int) -> int:
 def _fingerprints(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         for b in batches:
-            fps = np.array([simhash(t or b"", size) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            for part in slices(b, 1):
+                fps = np.array([simhash(t or b"", size) for t in part.column(1).to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     return run
 
@@ -71,6 +76,17 @@ def fingerprints(docs: DataFrame, size: int = 4, id_col: str = "doc_id", text_co
     return rows.mapInArrow(_fingerprints(size), "doc_id long, fp long")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >= 1 << 63 else x
+
+
+def _choices(bits: list[int], m: int, k: int) -> list[int]:
+    """Masks of all choices of m - k from m blocks of the given bits."""
+    cuts = [len(bits) * i // m for i in range(m + 1)]
+    blocks = [sum(1 << b for b in bits[x:y]) for x, y in zip(cuts, cuts[1:])]
+    return [sum(c) for c in combinations(blocks, m - k)]
+
+
 def block_masks(n: int, k: int) -> list[int]:
     """Masks of all choices of m - k from m blocks, as signed longs; the smallest m for which a
     fingerprint meets one other by chance in each choice at most."""
@@ -78,30 +94,47 @@ def block_masks(n: int, k: int) -> list[int]:
         cuts = [64 * i // m for i in range(m + 1)]
         if n < 1 << min(sum(w) for w in combinations(sorted(b - a for a, b in zip(cuts, cuts[1:])), m - k)):
             break
-    blocks = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
-    masks = [sum(c) for c in combinations(blocks, m - k)]
-    return [x - (1 << 64) if x >= 1 << 63 else x for x in masks]
+    return [_signed(x) for x in _choices(list(range(64)), m, k)]
+
 
+def finer_masks(mask: int, k: int) -> list[int]:
+    """``mask`` with half of the bits it leaves out, in every choice such that two fingerprints that
+    agree on it and are within ``k`` bits agree on one of them."""
+    mask &= (1 << 64) - 1
+    left = [b for b in range(64) if not mask >> b & 1]
+    m = min(2 * k, len(left))
+    return [_signed(mask | x) for x in _choices(left, m, k)] if m > k else [_signed(mask)]
 
-def links(cells: DataFrame, k: int, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs) -> DataFrame:
+
+def links(cells: DataFrame, k: int, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, finer: Callable[[int], list[int]] | None = None) -> DataFrame:
     """cells(c, v, id, f): a row for each node and block choice -> (id, root) for nodes with a link;
     see the module's text. Nodes of a cell link if f differs in ``k`` bits at most and ``confirm``
-    keeps their pair (a, b)."""
+    keeps their pair (a, b). Where cells are masks of f and what f holds there, ``finer`` gives the
+    masks by which a dense cell is cut again."""
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
     heads = written(cells.groupBy("c", "v").agg(F.min(F.struct("id", "f")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("c", "v", F.col("h.id").alias("head"), F.col("h.f").alias("hf")), "heads")
     met = written(cells.hint("merge").join(heads, ["c", "v"]), "met")
     star = met.filter((F.col("id") != F.col("head")) & near("f", "hf")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     first = components(confirm(star))
     known = met.select("c", "v", "id", "f").hint("merge").join(first.withColumnRenamed("node", "id"), "id", "left").select("c", "v", "id", "f", F.coalesce("root", "id").alias("root"))
-    known = written(known, "known")
-    sizes = known.groupBy("c", "v", "root").agg(F.count("*").alias("n")).groupBy("c", "v")
-    main = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").select("c", "v", "main")
-    mixed = known.hint("merge").join(written(main, "main"), ["c", "v"])
-    other = mixed.filter("root != main").select("c", "v", F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("root").alias("root2"))
-    cross = mixed.hint("merge").join(other, ["c", "v"]).filter((F.col("root") != F.col("root2")) & near("f", "f2"))
-    cross = cross.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
     stars = first.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    return components(confirm(cross).unionByName(stars)).withColumnRenamed("node", "id")
+    found = stars
+    while True:
+        known = written(known, "known")
+        sizes = known.groupBy("c", "v", "root").agg(F.count("*").alias("n")).groupBy("c", "v")
+        main = sizes.agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"), (F.sum("n") - F.max("n")).alias("others"))
+        main = written(main.filter("roots > 1").select("c", "v", "main", "others"), "main")
+        dense = main.filter(F.col("others") > DENSE)
+        many = [r.c for r in dense.select("c").distinct().collect()] if finer else []  # block choices, not buckets
+        mixed = known.hint("merge").join(main.filter(F.col("others") <= DENSE) if many else main, ["c", "v"])
+        other = mixed.filter("root != main").select("c", "v", F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("root").alias("root2"))
+        cross = mixed.hint("merge").join(other, ["c", "v"]).filter((F.col("root") != F.col("root2")) & near("f", "f2"))
+        found = found.unionByName(confirm(cross.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()))
+        if not many:
+            return components(found).withColumnRenamed("node", "id")
+        table = known.sparkSession.createDataFrame([(c, finer(c)) for c in many], "c long, cs array<long>")
+        again = known.hint("merge").join(dense.select("c", "v"), ["c", "v"], "left_semi").join(F.broadcast(table), "c")
+        known = again.select(F.explode("cs").alias("c"), "id", "f", "root").select("c", F.col("f").bitwiseAND(F.col("c")).alias("v"), "id", "f", "root").distinct()
 
 
 def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -118,8 +151,8 @@ def near_duplicates(docs: DataFrame, size: int = 4, k: int = 4, id_col: str = "d
     prints = written(fingerprints(docs, size, id_col, text_col), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")).select("fp", "low", F.col("fp").alias("id")), "nodes")
     masks = block_masks(nodes.count(), k)
-    cell = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for i, x in enumerate(masks)])).alias("cell")
-    roots = links(nodes.select("id", F.col("fp").alias("f"), cell).select("cell.c", "cell.v", "id", "f"), k)
+    cell = F.explode(F.array(*[F.struct(F.lit(x).cast("long").alias("c"), F.col("fp").bitwiseAND(F.lit(x)).alias("v")) for x in masks])).alias("cell")
+    roots = links(nodes.select("id", F.col("fp").alias("f"), cell).select("cell.c", "cell.v", "id", "f"), k, finer=lambda c: finer_masks(c, k))
     out = _named(prints, nodes, written(roots, "roots"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -183,7 +216,7 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
     bands = band_count(similarity, rows, miss)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch, 1)):
             sets = [shingles(t or b"", size) for t in b.column(1).to_pylist()]
             fp = pa.array([xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets], pa.binary())
             f = pa.array(np.array([votes(x) for x in sets], np.uint64).view(np.int64))
