@@ -4,12 +4,13 @@ A text's features are its character 2- and 3-grams (letters in lower case, every
 space), hashed into ``buckets`` rows of an embedding table. Table and softmax are trained together
 by stochastic gradient descent in numpy, on a bounded sample: ``per_class`` documents of each
 language at most, the first by a hash of the id. On a part of the sample kept back, a temperature
-is fitted, so that scores are probabilities, and a score below which predictions are rejected.
+is fitted, so that scores are probabilities, and a score below which predictions are rejected:
+three quarters of the way, in log-odds, from chance to what all but a ``reject`` share of those texts reach.
 As the softmax is linear in the average, the tasks get one row of class scores a bucket.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0 and are rejected;
-rows with a null language aren't learned from; with no row to learn from all is ``und``; repeated
-rows get equal results; a null id is predicted like any other and stays null; an empty table gives
+rows with a null language aren't learned from; with no row to learn from all is ``und`` with score 0,
+and only texts without a letter are rejected; repeated rows get equal results; a null id is predicted like any other and stays null; an empty table gives
 an empty result; extra columns are not read.
 """
 
@@ -78,7 +79,7 @@ class Model:
         found, first = features(texts, len(self.table))
         n = np.diff(first) if len(texts) else np.zeros(0, np.int64)
         if not len(self.labels):
-            return ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
+            return ["und"] * len(texts), [0.0] * len(texts), (n == 0).tolist()
         odds = np.empty((len(texts), len(self.labels)))
         for c in range(len(self.labels)):
             sums = np.concatenate(([0.0], np.cumsum(self.table[:, c][found])))
@@ -136,9 +137,9 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
         return -(0.99 * logs[np.arange(len(back)), y[back]] + 0.01 * logs.mean(axis=1)).mean()
 
     temperature = min((2.0**x for x in np.arange(-5, 3.25, 0.25)), key=loss) if len(back) else 1.0
-    # rejected: what scores less than all but a ``reject`` share of the texts kept back, and less than twice chance
-    sure = _softmax(odds / temperature).max(axis=1) if len(back) else np.ones(1)
-    threshold = min(float(np.quantile(sure, reject)), min(1.0, 2.0 / len(labels)) if len(labels) > 2 else 0.5)
+    sure = _softmax(odds / temperature).max(axis=1) if len(back) else np.full(1, 0.5)
+    usual, chance = np.clip([np.quantile(sure, reject), 1 / len(labels)], 1e-6, 1 - 1e-6)
+    threshold = float(1 / (1 + (1 / usual - 1) ** 0.75 * (1 / chance - 1) ** 0.25))
     return Model(labels, table @ weights, bias, float(temperature), threshold)
 
 
@@ -149,11 +150,19 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_class: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Trains on at most ``per_class`` rows of each language outside the held-out fold."""
-    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("i"), "i"))  # each task keeps its first rows only, before the shuffle
-    ids = [r.i for r in rows.withColumn("r", rank).filter(F.col("r") <= per_class).select("i").distinct().collect()]
-    chosen = docs.filter(F.col(id_col).isin(ids) & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("lang"), F.col(id_col).alias("i"))
-    sample = sorted(chosen.collect(), key=lambda r: (r.i, r.lang, r.t or "")) if ids else []
+    rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
+
+    def first(df: DataFrame, *order: Column) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("i"), "i", *order))  # each task keeps its first rows only, before the shuffle
+        return df.withColumn("r", rank).filter(F.col("r") <= per_class).drop("r")
+
+    # ids first, so that texts of few rows only are shuffled; a chosen id may stand in many rows, so the rows are ranked again
+    ids = first(rows.drop("t")).select("i").distinct().collect()
+    if not ids:
+        return train([], [])
+    chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, rows.select("i").schema)), "i", "left_semi")
+    sample = first(chosen, F.xxhash64("t")).collect()
+    sample.sort(key=lambda r: (r.i, r.lang, r.t or ""))
     return train([r.t or "" for r in sample], [r.lang for r in sample])
 
 
