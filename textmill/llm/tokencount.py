@@ -4,13 +4,15 @@ The splitter of the vocabulary (contractions, runs of letters, single numbers, r
 characters) is compiled to a deterministic transducer over character classes. Text is cut into
 chunks of equal length; each chunk's state map (for every entry state, the exit state) is made
 for all chunks at once, the maps are composed by a parallel prefix scan, and with the entry
-states known the transitions are run once more for what they emit: where a word begins. A word's
-last transition is annotated with its token count: the counts of the distinct words of a slice
-are compiled together by merge rounds (merges.py) and remembered until the task ends.
+states known the transitions are run once more for what they emit: where a word begins.
 
-Merges inside a word are not states of the transducer: an exact automaton of 48,894 merges over
-unbounded words would have far more states than a corpus has words. That part is a lexicon that
-grows with the words seen.
+The vocabulary's own words are compiled to a second deterministic transducer over bytes, a trie
+whose transition out of a word emits the word's token count, worked out once by merge rounds
+(merges.py). All words run through it side by side, each from the root, as the splitter ends every
+word's run in a known state. It has one state for each prefix of a vocabulary word and doesn't
+grow with the corpus. Words that leave it are counted by merge rounds and remembered until the
+task ends: an exact automaton of all merges would need a state for every reachable sequence of
+unmerged symbols, and words are unbounded.
 
 Defined results: a null text is an empty one (0 bytes, 0 tokens); special tokens' strings count
 as one token, as the library's default has it; repeated rows get equal results; a null id stays
@@ -139,17 +141,55 @@ class Counter:
         self.inner = np.array([vocab[named[b]] for b in range(256)], np.int64)
         self.final = np.array([vocab[named[b] + end] for b in range(256)], np.int64)
         self.known: dict[bytes, int] = {}
+        byte = {c: b for b, c in named.items()}
+        own_words = [bytes(byte[c] for c in token.removesuffix(end)) for token in vocab if token.endswith(end) and len(token) > len(end)]
+        self._compile([w for w in own_words if w])
+
+    def _compile(self, words: list[bytes]) -> None:
+        """The transducer of the vocabulary's words: (state << 8 | byte) -> state, and what leaving a state emits."""
+        step: dict[int, int] = {}
+        last = []
+        for w in words:
+            state = 0
+            for b in w:
+                state = step.setdefault(state << 8 | b, len(step) + 1)
+            last.append(state)
+        self.arcs = np.fromiter(step, np.int64, len(step))
+        order = np.argsort(self.arcs)
+        self.to = np.fromiter(step.values(), np.int64, len(step))[order]
+        self.arcs = self.arcs[order]
+        self.emits = np.full(len(step) + 1, -1, np.int64)
+        self.emits[last] = self._merged(words)
+
+    def _merged(self, words: list[bytes]) -> np.ndarray:
+        data = np.frombuffer(b"".join(words), np.uint8)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        flat, last = self.inner[data], np.cumsum(sizes) - 1
+        flat[last] = self.final[data[last]]
+        return self.merge(flat, sizes)[1]
+
+    def transduced(self, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """What the words' runs emit: their token counts; -1 for words that leave the transducer."""
+        state, at = np.zeros(len(first), np.int64), np.arange(len(first))
+        out = np.full(len(first), -1, np.int64)
+        for j in range(int(sizes.max(initial=0))):
+            arc = state << 8 | data[first[at] + j]
+            slot = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
+            on = self.arcs[slot] == arc
+            at, state = at[on], self.to[slot[on]]
+            done = sizes[at] == j + 1
+            out[at[done]] = self.emits[state[done]]
+            at, state = at[~done], state[~done]
+            if not len(at):
+                break
+        return out
 
     def _lexicon(self, words: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBER:
             self.known = {}
         new = [w for w in words if w not in self.known]
         if new:
-            data = np.frombuffer(b"".join(new), np.uint8)
-            sizes = np.fromiter(map(len, new), np.int64, len(new))
-            flat, last = self.inner[data], np.cumsum(sizes) - 1
-            flat[last] = self.final[data[last]]
-            self.known.update(zip(new, self.merge(flat, sizes)[1].tolist()))
+            self.known.update(zip(new, self._merged(new).tolist()))
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def __call__(self, texts: list[str]) -> np.ndarray:
@@ -170,7 +210,12 @@ class Counter:
         offsets = np.concatenate((np.concatenate(([0], np.cumsum(size)))[first], [size.sum()])).astype(np.int32)
         data = kept.tobytes().decode("utf-32-le").encode()
         coded = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        count = self._lexicon(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        words = coded.dictionary
+        bounds = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
+        counts = self.transduced(np.frombuffer(words.buffers()[2], np.uint8), bounds[:-1], np.diff(bounds))
+        left = np.flatnonzero(counts < 0)
+        counts[left] = self._lexicon(words.take(pa.array(left)).to_pylist())
+        count = counts[coded.indices.to_numpy()]
         doc = np.cumsum(points == 10)[solid][first]  # texts stand in lines of their own
         return extra + np.bincount(doc, count, len(texts)).astype(np.int64)
 
