@@ -141,33 +141,71 @@ def test_planted_passages_are_found_and_clean_documents_left_alone(spark):
     assert {r.doc_id for r in decontam.clean(d, b).collect()} == set(range(60)) - {i for i, _ in want}
 
 
-def test_bands_keep_what_edit_distance_keeps():
+def fewest_edits(points, part):
+    row = np.zeros(len(points) + 1, int)  # free ends in the text
+    for i, c in enumerate(part):
+        new = [i + 1]
+        for j in range(len(points)):
+            new.append(min(row[j] + (c != points[j]), row[j + 1] + 1, new[j] + 1))
+        row = np.array(new)
+    return int(row.min())
+
+
+@pytest.mark.parametrize("often, reach", [(64, 1 << 15), (1, 150)])
+def test_bands_keep_what_edit_distance_keeps(monkeypatch, often, reach):
+    """Items of several segments that share beginnings, q-grams left out or not, long texts in stretches or not."""
+    monkeypatch.setattr(decontam, "_OFTEN", often)
+    monkeypatch.setattr(decontam, "_REACH", reach)
     rng = random.Random(9)
-    item = "".join(rng.choice("abcd ") for _ in range(60)).strip()
-    index = decontam.Index([(0, item)], 5, 64, 0.1, 10)
-    size, budget = int(index.size[0]), int(index.edits[0])
-    for _ in range(60):
-        near = list(item)
-        for _ in range(rng.randint(0, 10)):
-            near[rng.randrange(len(near))] = rng.choice(["", "a", "bc"])
-        text = "".join(rng.choice("efgh ") for _ in range(40)) + "".join(near) + "".join(rng.choice("efgh ") for _ in range(40))
-        points, _ = decontam.fold(text)
-        row = np.zeros(len(points) + 1, int)  # free ends in the text
-        for i in range(size):
-            new = [i + 1]
-            for j in range(len(points)):
-                new.append(min(row[j] + (index.points[0, i] != points[j]), row[j + 1] + 1, new[j] + 1))
-            row = np.array(new)
-        found = index.regions(points)
-        assert bool(found) == (row.min() <= budget)
-        if found:
-            assert min(f[1] for f in found) == row.min()
+    hits = 0
+    for _ in range(6):
+        items = [(j or None, "".join(rng.choice("abcd ") for _ in range(rng.randint(70, 150)))) for j in range(4)]
+        items += [(9, items[0][1][:90] + "xyz" * 10), (8, items[0][1][:64])]
+        index = decontam.Index(items, 8, 64, 0.1, 24)
+        texts = []
+        for _ in range(3):
+            near = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 12)):
+                near[rng.randrange(len(near))] = rng.choice(["", "a", "bc"])
+            texts.append("".join(rng.choice("efgh ") for _ in range(rng.randint(0, 120))) + "".join(near))
+        folded = [decontam.fold(t)[0] for t in texts]
+        for points, regions in zip(folded, index.regions_of(folded)):
+            got = {}
+            for seg, edits, first, last in regions:
+                assert 0 <= first < last <= len(points)
+                got[seg] = min(edits, got.get(seg, edits))
+            want = {s: fewest_edits(points, index.points[s, : index.size[s]]) for s in range(len(index.size))}
+            want = {s: n for s, n in want.items() if n <= index.edits[s]}
+            assert got == want
+            hits += len(want)
+    assert hits > 10
+
+
+def test_a_prompt_that_thousands_of_items_share_costs_little(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    prompt = "what is the correct answer among the following choices"
+    items = [(i, f"{prompt} " + " ".join(word() for _ in range(20))) for i in range(2000)]
+    index = decontam.Index(items, 8, 64, 0.1, 24)
+    points = decontam.fold(" ".join([prompt] * 20))[0]
+    at, slot = index.lookup(decontam.qgram_hashes(points, 8))
+    assert index.count[slot].sum() < 40 * len(points)  # not 2,000 for each place
+    hit = decontam.fold(items[7][1])[0]
+    own = [s for s, o in enumerate(index.owners) if 7 in o]
+    assert own and set(own) <= {r[0] for r in index.regions(hit)}
 
 
 def test_decontamination_of_odd_input(spark, odd, nothing):
-    b = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, "x" * 50)], "item_id long, text string")
-    assert decontam.contaminated(odd, b).count() == 0
-    assert decontam.clean(odd, b).count() == odd.count() and decontam.clean(odd, b).columns == odd.columns
+    passage = "the quick brown fox jumps over the lazy dog near the river bank today"
+    b = spark.createDataFrame([(1, None), (2, ""), (3, "second"), (3, "second"), (4, "econd"), (None, passage), (5, "漢字かな"), (6, passage), (6, passage), (6, "first line of text")], "item_id long, text string")
+    more = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(20, f"so {passage.upper()}!"), (21, "これは漢字かなです"), (22, "seconds")], "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.item_id, r.segments, r.edits, r.cover) for r in decontam.contaminated(more, b).collect()), key=repr)
+    whole = len({passage[s : s + 64] for s in (0, len(passage) - 64)})
+    assert got == sorted([(1, 3, 1, 0, 1.0), (1, 3, 1, 0, 1.0), (1, 6, 1, 0, 1.0), (1, 6, 1, 0, 1.0), (2, 6, 1, 0, 1.0), (20, None, whole, 0, 1.0), (20, 6, whole, 0, 1.0), (21, 5, 1, 0, 1.0)], key=repr)
+    kept = decontam.clean(more, b)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "4", "None", "5", "6", "7", "22"])
+    few = spark.createDataFrame([(1, None), (2, "")], "item_id long, text string")
+    assert decontam.clean(odd, few).count() == odd.count() and decontam.clean(odd, few).columns == odd.columns
     assert decontam.contaminated(nothing, b).count() == 0 and decontam.clean(odd, b.limit(0)).count() == len(ODD)
 
 
@@ -219,6 +257,35 @@ def test_links_of_dense_groups_equal_brute_force(spark):
     assert groups(lambda x: roots.get(x, x)) == groups(lambda x: want[x])
 
 
+def test_dense_buckets_are_cut_again_and_lose_no_link(spark, monkeypatch):
+    """Fingerprints that share 40 bits and vary in 24: buckets of all of them, hardly a link."""
+    monkeypatch.setattr(simhash, "DENSE", 20)
+    rng = random.Random(11)
+    shared = rng.getrandbits(40) << 24
+    prints = list({shared | rng.getrandbits(24) for _ in range(500)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    nodes = spark.createDataFrame([(x,) for x in signed], "fp long")
+    cell = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for m in simhash.block_masks(500, 4)])).alias("cell")
+    cells = nodes.select(F.col("fp").alias("id"), F.col("fp").alias("f"), cell).select("cell.c", "cell.v", "id", "f")
+    roots = {r.id: r.root for r in simhash.links(cells, 4, finer=lambda c: simhash.finer_masks(c, 4)).collect()}
+    want = components_by_hand([(s, s & (1 << 64) - 1) for s in sorted(signed)], 4)
+    groups = lambda f: {frozenset(x for x in signed if f(x) == v) for v in {f(x) for x in signed}}
+    assert groups(lambda x: roots.get(x, x)) == groups(lambda x: want[x]) and len(set(want.values())) < 500
+
+
+def test_finer_masks_meet_every_pair_within_k():
+    rng = random.Random(2)
+    masks = [m & (1 << 64) - 1 for m in simhash.block_masks(1000, 4)]
+    for _ in range(200):
+        x = sum(1 << b for b in rng.sample(range(64), 4))
+        level = [m for m in masks if not x & m]
+        for _ in range(5):
+            assert level
+            level = [f & (1 << 64) - 1 for f in simhash.finer_masks(level[0], 4)]
+            level = [f for f in level if not x & f]
+    assert level
+
+
 def test_block_masks_meet_every_pair_within_k():
     rng = random.Random(2)
     masks = [m & (1 << 64) - 1 for m in simhash.block_masks(100_000, 4)]
@@ -299,6 +366,15 @@ def test_token_counts_equal_the_library(spark, docs):
     assert got == {i: (len((x or "").encode()), len(e.ids)) for i, (x, e) in enumerate(zip(texts, ids))}
 
 
+def test_transducer_of_the_vocabulary_emits_what_the_library_counts():
+    counter, t = tokencount.counter(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    words = ["the", "house", "zzzzqx", "language", "t", "thé", "internationalisation", "qqqqqqqqqqqq"]
+    coded = [w.encode() for w in words]
+    sizes = np.array([len(w) for w in coded])
+    got = counter.transduced(np.frombuffer(b"".join(coded), np.uint8), np.cumsum(sizes) - sizes, sizes)
+    assert all(n in (-1, len(t.encode(w, add_special_tokens=False).ids)) for n, w in zip(got, words)) and (got[:2] == 1).all() and got[2] == -1
+
+
 def test_state_maps_compose_like_one_pass():
     rng = np.random.default_rng(3)
     kinds = rng.integers(0, 10, 5000).astype(np.uint8)
@@ -355,6 +431,32 @@ def test_top_k_equals_brute_force_over_many_shards(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_top_k_leaves_cells_out_that_cannot_hold_a_better_score(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 3, (20, 8))
+    x = np.round(np.repeat(centres, 40, axis=0) + rng.normal(0, 0.05, (800, 8)), 2)
+    df = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(800)], "vec_id long, embedding array<double>")
+    tables = {}
+    monkeypatch.setattr(topk, "written", lambda t, name, put=topk.written: tables.setdefault(name, put(t, name)))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, every=10, shard_rows=20, block_rows=16, leaf=8).collect()}
+    v = np.floor(x * 256).astype(int)
+    want = {}
+    for q in range(0, 800, 10):
+        best = sorted((-int(v[i] @ v[q]), i) for i in range(800) if i != q)[:5]
+        want |= {(q, r + 1): (i, -n) for r, (n, i) in enumerate(best)}
+    assert got == want
+    cells = tables["trees"].select("cell").distinct().count()
+    assert cells >= 20 and tables["going"].count() < 0.5 * 80 * cells  # query and cell pairs left
+
+
+def test_top_k_of_repeated_rows_and_few_candidates(spark):
+    rows = [(0, [1.0, 0.0])] * 60 + [(1, [2.0, 0.0])] * 3 + [(50, [0.0, 1.0, 0.0]), (7, [0.0, 1.0, 1.0]), (100, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, shard_rows=16).collect())
+    one = 256 * 512
+    assert got == [(0, 1, 1, one), (0, 2, 1, one), (0, 3, 1, one), (50, 1, 7, 65536)]
+
+
 # 8
 
 
@@ -452,8 +554,92 @@ def test_language_id_of_odd_input(spark, docs, odd, nothing):
     assert {r.lang_pred for r in langid.predict(odd, langid.fit(nothing)).collect()} == {"und"}
 
 
-def test_sha_helpers_are_those_of_the_contract():
-    assert hashlib.sha256(np.array([1], "<u4").tobytes()).hexdigest() == hashlib.sha256(b"\x01\x00\x00\x00").hexdigest()
+def test_predictions_equal_a_plain_softmax_over_the_models_table(docs):
+    model = langid.fit(docs)
+    for r in docs.limit(40).collect():
+        found = langid.features([r.text], len(model.table))[0]
+        odds = (model.table[found].mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(odds - odds.max()) / np.exp(odds - odds.max()).sum()
+        (lang,), (score,), (bad,) = model.predict([r.text])
+        assert lang == model.labels[int(p.argmax())] and abs(score - p.max()) < 1e-9 and bad == (p.max() < model.threshold)
+
+
+def test_features_are_those_of_a_plain_loop():
+    texts = ["Ab c", "x", "", "12 !", "Été"]
+    found, first = langid.features(texts, 1 << 16)
+    for i, t in enumerate(texts):
+        chars = re.sub(r" +", " ", "".join(c.lower() if c.isalpha() else " " for c in f" {t} "))
+        grams = [chars[j : j + n] for n in (2, 3) for j in range(len(chars) - n + 1) if chars[j : j + n].strip()]
+        assert first[i + 1] - first[i] == len(grams)
+    again, _ = langid.features(texts[:1], 1 << 16)
+    assert sorted(again.tolist()) == sorted(found[first[0] : first[1]].tolist())
+
+
+def test_texts_in_languages_not_learned_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(docs)
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 8))) for _ in range(40)) for _ in range(20)]
+    other = ["Правительство сегодня решило, что все дети должны ходить в школу " * 4, "政府は本日、すべての子供が学校に通わなければならないと決定しました" * 4, "Rząd zdecydował dzisiaj, że wszystkie dzieci muszą chodzić do szkoły " * 4]
+    assert 1 / len(model.labels) < model.threshold < 1
+    assert all(model.predict(other)[2]) and sum(model.predict(junk)[2]) >= 18
+
+
+def test_a_hot_id_doesnt_widen_the_sample(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(langid, "train", lambda texts, langs, put=langid.train: taken.append(len(texts)) or put([], []))
+    df = spark.range(500).select(F.lit(3).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    langid.fit(df, per_class=20)
+    assert taken == [20]
+
+
+def test_without_languages_only_texts_without_letters_are_rejected(odd):
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.accepted(bare, langid.fit(bare)).count() == len(ODD) - 3
+
+
+def test_queries_return_their_contracts_columns(spark, docs):
+    want = {
+        "op1_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+        "op2_decontamination": "doc_id bigint, item_id bigint",
+        "op3_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+        "op5_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+        "op6_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        "op10_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    }
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    t, e = Tokenizer.from_file(P.path("word_bpe_49k.json")), encoder()
+    for name, columns in want.items():
+        df = entries.QUERIES[name](spark, SF)
+        kinds = dict(df.dtypes)
+        assert all(kinds[c.split()[0]] == c.split()[1] for c in columns.split(", "))
+        rows = {r.doc_id: r for r in df.collect()}
+        for i, r in list(rows.items())[:60]:
+            if name == "op1_sharding":
+                assert (r.law, r.grown_shard, r.size, r.text_crc32) == ("rows", None, len(texts[i].encode()) + 1, zlib.crc32(texts[i].encode()))
+            if name == "op5_token_counts":
+                n = len(t.encode(texts[i], add_special_tokens=False).ids)
+                assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 2048, len(texts[i].encode()))
+            if name == "op6_byte_bpe":
+                ids = np.array(e.encode_ordinary(texts[i]), "<u4")
+                assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[i].encode()).hexdigest())
+            if name == "op10_language_id":
+                assert r.held_out == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r.score <= 1
+
+
+@pytest.mark.parametrize("shared, of", [(160, 200), (170, 200), (180, 200)])
+def test_near_dedup_finds_planted_pairs_at_and_over_the_threshold(spark, shared, of):
+    """Recall of the whole stage on pairs of a Jaccard similarity of 0.80, 0.85 and 0.90 among other texts."""
+    rng = random.Random(of + shared)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(8))
+    rows = []
+    for g in range(150):  # texts of n + 4 words: n shingles, the first ``shared`` of them in both
+        body = [word() for _ in range(shared + 4)]
+        a, b = (of - shared) // 2, (of - shared) - (of - shared) // 2
+        rows += [(3 * g, " ".join(body + [word() for _ in range(a)])), (3 * g + 1, " ".join(body + [word() for _ in range(b)])), (3 * g + 2, " ".join(word() for _ in range(of)))]
+    left = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()}
+    assert {3 * g for g in range(150)} | {3 * g + 2 for g in range(150)} <= left  # nothing clean is lost
+    assert sum(3 * g + 1 not in left for g in range(150)) >= 149
 
 
 def test_candidates_of_near_dedup_at_the_threshold_miss_few_pairs_at_any_size():

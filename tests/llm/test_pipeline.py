@@ -54,7 +54,7 @@ def check(name, before, after):
         copies = {(a, b) for a in new for b in new if a < b and alike(a, b) > 0.95}
         assert not copies
     if name == "decontamination":
-        items = [(0, b) for b in [r.text for r in after.sparkSession.read.parquet(f"{SF}/benchmark.parquet").collect()]]
+        items = [(r.item_id, r.text) for r in after.sparkSession.read.parquet(f"{SF}/benchmark.parquet").collect()]
         for i, r in old.items():
             if any(t in r.text for _, t in items):
                 assert i not in new

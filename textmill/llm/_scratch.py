@@ -11,10 +11,13 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir. Where that is unset, one of our own, which all tasks can
+    reach only if driver and tasks are one machine; elsewhere that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("textmill.llm: set spark.checkpoint.dir to a folder that driver and executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="textmill-"))
     return _OWN[0]
