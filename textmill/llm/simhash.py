@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ._scratch import written
@@ -106,16 +107,15 @@ def finer_masks(mask: int, k: int) -> list[int]:
     return [_signed(mask | x) for x in _choices(left, m, k)] if m > k else [_signed(mask)]
 
 
-def links(cells: DataFrame, k: int, confirm: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, finer: Callable[[int], list[int]] | None = None) -> DataFrame:
+def links(cells: DataFrame, k: int, finer: Callable[[int], list[int]] | None = None) -> DataFrame:
     """cells(c, v, id, f): a row for each node and block choice -> (id, root) for nodes with a link;
-    see the module's text. Nodes of a cell link if f differs in ``k`` bits at most and ``confirm``
-    keeps their pair (a, b). Where cells are masks of f and what f holds there, ``finer`` gives the
-    masks by which a dense cell is cut again."""
+    see the module's text. Nodes of a cell link if f differs in ``k`` bits at most. Where cells are
+    masks of f and what f holds there, ``finer`` gives the masks by which a dense cell is cut again."""
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
     heads = written(cells.groupBy("c", "v").agg(F.min(F.struct("id", "f")).alias("h"), F.count("*").alias("n")).filter("n > 1").select("c", "v", F.col("h.id").alias("head"), F.col("h.f").alias("hf")), "heads")
     met = written(cells.hint("merge").join(heads, ["c", "v"]), "met")
     star = met.filter((F.col("id") != F.col("head")) & near("f", "hf")).select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
-    first = components(confirm(star))
+    first = components(star)
     known = met.select("c", "v", "id", "f").hint("merge").join(first.withColumnRenamed("node", "id"), "id", "left").select("c", "v", "id", "f", F.coalesce("root", "id").alias("root"))
     stars = first.filter("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
     found = stars
@@ -129,7 +129,7 @@ def links(cells: DataFrame, k: int, confirm: Callable[[DataFrame], DataFrame] =
         mixed = known.hint("merge").join(main.filter(F.col("others") <= DENSE) if many else main, ["c", "v"])
         other = mixed.filter("root != main").select("c", "v", F.col("id").alias("id2"), F.col("f").alias("f2"), F.col("root").alias("root2"))
         cross = mixed.hint("merge").join(other, ["c", "v"]).filter((F.col("root") != F.col("root2")) & near("f", "f2"))
-        found = found.unionByName(confirm(cross.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()))
+        found = found.unionByName(cross.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct())
         if not many:
             return components(found).withColumnRenamed("node", "id")
         table = known.sparkSession.createDataFrame([(c, finer(c)) for c in many], "c long, cs array<long>")
@@ -137,6 +137,78 @@ def links(cells: DataFrame, k: int, confirm: Callable[[DataFrame], DataFrame] =
         known = again.select(F.explode("cs").alias("c"), "id", "f", "root").select("c", F.col("f").bitwiseAND(F.col("c")).alias("v"), "id", "f", "root").distinct()
 
 
+def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> DataFrame:
+    """cells(c, v, id, f), sets(id, s array<long>) -> (id, root) for nodes with a link: two nodes of a
+    cell whose sets have the Jaccard ``similarity`` at least. Sets whose f differ in more than ``k``
+    bits are taken to be further apart.
+
+    The node of a cell that meets most others in all cells together is of a text and its many copies,
+    which differ less from it than from each other, the text. It need not stand in every cell of the
+    group, so each node names the best one of all its cells, and the best one named is the cell's
+    head. All nodes of a cell are held against the head. What isn't of the cell's main component then is held against one more head
+    of its own. Of the pairs left, two sets x and y have no more in common than each has with the head
+    and what both hold besides; so only pairs are looked at for which the former is enough, or that
+    share an element the head lacks (an equi-join on the rarest of these). No link is lost by that."""
+    need = similarity / (1 + similarity)  # of both sizes together, in common
+    alike = F.col("inter") / (F.col("n") + F.col("m") - F.col("inter")) >= similarity
+    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
+    size, main_of = F.count("*").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main")
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(a, b) with both sizes, what they share, and what a holds besides."""
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}_s"))
+        both = pairs.select("a", "b").distinct().hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+        return both.select("a", "b", F.size("a_s").alias("n"), F.size("b_s").alias("m"), F.size(F.array_intersect("a_s", "b_s")).alias("inter"), F.array_except("a_s", "b_s").alias("besides"))
+
+    def rooted(known: DataFrame, links_: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows with their component, and those of cells with more than one, with the main one."""
+        roots = components(links_).withColumnRenamed("node", "id")
+        known = written(known.drop("root").hint("merge").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "known")
+        per = known.groupBy("c", "v", "root").agg(F.count("*").alias("n")).groupBy("c", "v").agg(main_of, F.count("*").alias("roots"), F.sum("n").alias("size"))
+        mixed = known.hint("merge").join(per.filter("roots > 1 AND size > 2").select("c", "v", "main"), ["c", "v"])
+        return known, written(mixed, "mixed")
+
+    many = cells.groupBy("c", "v").agg(size).filter("size > 1")
+    met = written(cells.hint("merge").join(many, ["c", "v"]), "met")
+    met = written(met.hint("merge").join(met.groupBy("id").agg(F.sum("size").alias("meets")), "id"), "met")
+    best = F.max(F.struct("meets", "id")).alias("best")
+    named = met.select("c", "v", "id").hint("merge").join(met.groupBy("c", "v").agg(best), ["c", "v"])
+    named = named.select("c", "v", "id").hint("merge").join(named.groupBy("id").agg(F.max("best").alias("best")), "id")
+    heads = named.groupBy("c", "v").agg(F.max("best").alias("best")).select("c", "v", F.col("best.id").alias("head"))
+    known = written(met.select("c", "v", "id", "f", "meets").hint("merge").join(heads, ["c", "v"]), "known")
+    first = written(compared(known.filter("id != head").select(F.col("id").alias("a"), F.col("head").alias("b"))), "first")
+    found = first.filter(alike).select("a", "b")
+    known, mixed = rooted(known, found)
+    rest = mixed.filter("root != main")
+    second = rest.groupBy("c", "v").agg(F.max_by(F.struct("id", "f", "root"), F.struct("meets", "id")).alias("h"))
+    again = rest.hint("merge").join(second, ["c", "v"]).filter("root != h.root").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("h.f"))) <= k)
+    found = written(found.unionByName(compared(again.select(F.col("id").alias("a"), F.col("h.id").alias("b"))).filter(alike).select("a", "b")), "links")
+    known, mixed = rooted(known, found)
+    # with the head: the head itself has all in common
+    shared = first.select(F.col("a").alias("id"), F.col("b").alias("head"), "n", "inter").unionByName(first.select(F.col("b").alias("id"), F.col("b").alias("head"), F.col("m").alias("n"), F.col("m").alias("inter")).distinct())
+    mixed = written(mixed.hint("merge").join(shared, ["id", "head"]), "mixed")
+    rest = mixed.filter("root != main")
+    other = rest.select("c", "v", *[F.col(x).alias(f"{x}2") for x in ("id", "f", "root", "n", "inter")])
+    enough = F.least("inter", "inter2") >= need * (F.col("n") + F.col("n2")) - 1e-6
+    pairs = mixed.hint("merge").join(other, ["c", "v"]).filter((F.col("root") != F.col("root2")) & near("f", "f2") & enough).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    # by prefixes: a set must share so many of what it holds besides that, in order of rarity, one of the first is among them
+    asked = mixed.groupBy("id", "head").agg(F.first("f").alias("f"), F.first("root").alias("root"), F.first("n").alias("n"), F.first("inter").alias("inter"), F.max(F.col("root") != F.col("main")).alias("outside"))
+    besides = asked.hint("merge").join(first.select(F.col("a").alias("id"), F.col("b").alias("head"), "besides"), ["id", "head"])
+    besides = written(besides.select("id", "head", "f", "root", "n", "inter", "outside", F.explode("besides").alias("x")), "besides")
+    often = besides.groupBy("head", "x").agg(F.count("*").alias("often")).filter("often > 1")
+    keep = F.col("n") - F.col("inter") - F.greatest(F.lit(0), F.ceil(similarity * F.col("n") - 1e-6) - F.col("inter")) + 1
+    alone = besides.groupBy("id", "head").agg(F.count("*").alias("all"))
+    besides = besides.hint("merge").join(often, ["head", "x"])  # what no other set of the head holds comes first, so its number is enough
+    place = F.row_number().over(W.partitionBy("id", "head").orderBy("often", "x"))
+    besides = besides.withColumn("place", place).hint("merge").join(alone, ["id", "head"])
+    shown = F.count("*").over(W.partitionBy("id", "head"))
+    besides = written(besides.withColumn("place", F.col("place") + F.col("all") - shown).filter(F.col("place") <= keep), "prefixes")
+    other = besides.filter("outside").select("head", "x", *[F.col(x).alias(f"{x}2") for x in ("id", "f", "root")])
+    more = besides.hint("merge").join(other, ["head", "x"]).filter((F.col("root") != F.col("root2")) & near("f", "f2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    cross = pairs.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return components(found.unionByName(compared(cross).filter(alike).select("a", "b"))).withColumnRenamed("node", "id")
+
+
 def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """prints(doc_id, fp, ...), nodes(id, fp, low), roots(id, root) -> prints with component_id."""
     named = nodes.hint("merge").join(roots, "id", "left").select("fp", "low", F.coalesce("root", "id").alias("root"))
@@ -242,14 +314,8 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
     texts = texts.groupBy("k1", "k2", "k3").agg(F.first("id").alias("id"), F.first("t").alias("t"))
     sets = written(texts.select("id", "t").mapInArrow(hashed, "id long, s array<long>"), "sets")
 
-    def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}_s"))
-        both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("a_s", "b_s")))
-        return both.filter(F.col("shared") / (F.size("a_s") + F.size("b_s") - F.col("shared")) >= similarity).select("a", "b")
-
     share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)  # of differing bits: equal sets of this Jaccard similarity have that cosine
-    roots = links(cells, int(64 * share + 6 * (64 * share * (1 - share)) ** 0.5), confirm)
+    roots = set_links(cells, sets, similarity, int(64 * share + 6 * (64 * share * (1 - share)) ** 0.5))
     return _named(prints.drop("f", "bands"), nodes.select("id", "fp", "low"), written(roots, "roots")).select("doc_id", "text_key", "root", "component_id")
 
 
