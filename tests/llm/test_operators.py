@@ -671,3 +671,37 @@ def test_near_dedup_takes_jaccard_of_sets_on_both_sides_of_the_threshold(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     left = {r.doc_id for r in simhash.one_of_each(df, 5, 0.8).collect()}
     assert left == {i for i, _ in rows} - {i for i, x in pairs.items() if x >= 0.8}
+
+
+def test_set_links_equal_a_comparison_of_all_pairs_of_a_cell(spark):
+    """Families of copies around a text that needn't stand in each cell, some on either side of the threshold."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for _ in range(4):
+        base = rng.integers(0, 1 << 62, 100, np.uint64)
+        sets.append(base)
+        for _ in range(25):
+            n = int(rng.integers(2, 22))
+            sets.append(np.concatenate([rng.permutation(base)[n:], rng.integers(0, 1 << 62, n, np.uint64)]))
+    cells, near = [], {}
+    for i, x in enumerate(sets):
+        for c, v in enumerate(simhash.min_bands(x, 8, 2).view(np.int64).tolist()):
+            cells.append((c, v, i, 0))
+            near.setdefault((c, v), []).append(i)
+    top = list(range(len(sets)))
+
+    def root(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for group in near.values():
+        for a in group:
+            for b in group:
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if a < b and both / (len(sets[a]) + len(sets[b]) - both) >= 0.8:
+                    top[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame(cells, "c short, v long, id long, f long")
+    held = spark.createDataFrame([(i, [int(v) for v in x.view(np.int64)]) for i, x in enumerate(sets)], "id long, s array<long>")
+    got = {r.id: r.root for r in simhash.set_links(df, held, 0.8, 64).collect()}
+    assert [got.get(i, i) for i in range(len(sets))] == [root(i) for i in range(len(sets))] and len(got) > 20

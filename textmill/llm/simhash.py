@@ -164,8 +164,10 @@ def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> D
         """The rows with their component, and those of cells with more than one, with the main one."""
         roots = components(links_).withColumnRenamed("node", "id")
         known = written(known.drop("root").hint("merge").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "known")
-        per = known.groupBy("c", "v", "root").agg(F.count("*").alias("n")).groupBy("c", "v").agg(main_of, F.count("*").alias("roots"), F.sum("n").alias("size"))
-        mixed = known.hint("merge").join(per.filter("roots > 1 AND size > 2").select("c", "v", "main"), ["c", "v"])
+        per = known.groupBy("c", "v", "root").agg(F.count("*").alias("n"), F.max(F.col("id") == F.col("head")).alias("own"))
+        per = per.groupBy("c", "v").agg(main_of, F.count("*").alias("roots"), F.sum("n").alias("size"), F.max("own").alias("own"))
+        # two nodes of which one is the head are done with
+        mixed = known.hint("merge").join(per.filter("roots > 1 AND NOT (size = 2 AND own)").select("c", "v", "main"), ["c", "v"])
         return known, written(mixed, "mixed")
 
     many = cells.groupBy("c", "v").agg(size).filter("size > 1")
