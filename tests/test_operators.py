@@ -179,6 +179,41 @@ def test_ingest_stores_each_content_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "store")).count() == 3
 
 
+def test_ingest_again_after_a_failure_between_its_two_writes(spark, tmp_path):
+    spark.createDataFrame([(1, "some text here")], "page_id long, content string").write.parquet(str(tmp_path / "in/d1"))
+
+    def run(tokens):
+        pages_in = spark.readStream.schema("page_id long, content string").option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        streams.ingest(pages_in, lambda b: b, str(tmp_path / "store"), str(tmp_path / "posts"), str(tmp_path / "ck"), tokens).awaitTermination()
+
+    def fails(d):
+        raise ValueError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        run(fails)
+    run(lambda d: search.postings(d, "page_id", "content"))
+    assert spark.read.parquet(str(tmp_path / "store")).count() == 1
+    assert sorted(r.token for r in spark.read.parquet(str(tmp_path / "posts")).collect()) == ["here", "some", "text"]
+
+
+def test_median_is_the_mean_of_the_middle_two(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 4, 9)] + [("b", 5.0), ("b", 7.0), ("b", 7.0)], "op string, value double")
+    got = {r.op: (r.p50, r.p95) for r in metrics.ranked_percentiles(df, "op", "value", [50, 95]).collect()}
+    assert got == {"a": (3.0, 9.0), "b": (7.0, 7.0)}
+
+
+def test_identifiers_are_lower_cased_and_keep_their_underscore(spark):
+    got = one(texts(spark, "func _Ready(): x1 AB abc_D").orderBy("id"), tokens.identifiers(F.col("text")))
+    assert got[0][0] == ["func", "_ready", "abc_d"]
+
+
+def test_paths_that_leave_their_root_or_are_pruned(spark):
+    paths = ["a/b", "../a", "a/../b", "/etc", "a..b/c", ".git/x", "my_imports/x", "a/addons/b", "agit/x"]
+    got = one(texts(spark, *paths).orderBy("id"), F.struct(readers.safe_path(F.col("text")), readers.pruned(F.col("text"))))
+    assert [r[0][0] for r in got] == [True, False, False, False, True, True, True, True, True]
+    assert [r[0][1] for r in got] == [False, False, False, False, False, True, True, True, False]
+
+
 def test_stream_learning(spark, tmp_path):
     rows = [("c", 1, ["a", "b"]), ("c", 2, ["a", "b", "d"]), ("c", 3, ["x", "y"])]
     schema = "category string, event_id long, keywords array<string>"

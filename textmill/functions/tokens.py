@@ -49,8 +49,8 @@ def terms(text: Column) -> Column:
 
 
 def identifiers(text: Column) -> Column:
-    """Runs that begin with an ASCII letter, of 3 characters or more."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"[a-zA-Z][\p{L}\p{N}_]*"), 0), lambda x: F.length(x) >= 3)
+    """Lower-cased runs that begin with an ASCII letter or an underscore, of 3 characters or more."""
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[a-zA-Z_][\p{L}\p{N}_]*"), 0), lambda x: F.length(x) >= 3)
 
 
 def blank_split(text: Column) -> Column:

@@ -9,14 +9,19 @@ from pyspark.sql.window import Window as W
 
 def ranked_percentiles(df: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame:
     """The element at index int(n * p / 100), at most the last, of each group's sorted values. Equal values
-    are counted first, in each task before the shuffle; running counts over the distinct values give ranks."""
+    are counted first, in each task before the shuffle; running counts over the distinct values give ranks.
+    50 is the median: the mean of the two middle values if their number is even."""
     w = W.partitionBy(by)
     counted = df.groupBy(by, value).agg(F.count("*").alias("c"))
     ranked = counted.withColumn("end", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
 
+    def element(at: Column) -> Column:
+        return F.max(F.when((F.col("end") > at) & (F.col("end") - F.col("c") <= at), F.col(value)))
+
     def pick(p: int) -> Column:
-        at = F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)
-        return F.max(F.when((F.col("end") > at) & (F.col("end") - F.col("c") <= at), F.col(value))).alias(f"p{p}")
+        if p == 50:
+            return ((element(F.floor((F.col("n") - 1) / 2)) + element(F.floor(F.col("n") / 2))) / 2).alias("p50")
+        return element(F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)).alias(f"p{p}")
 
     return ranked.groupBy(by).agg(*map(pick, percents))
 

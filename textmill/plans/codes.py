@@ -96,17 +96,22 @@ def flt5(spark, d):
     return read(spark, d, "documents").select("doc_id", readers.kind(ext).alias("kind"))
 
 
-@C("flt4_pruned", "SELECT source, count(*) AS n FROM documents WHERE NOT regexp_matches(source || '/' || doc_id || '.gd', '(^|/)(src1|src2)/') GROUP BY source")
+FOLDERS = ["scripts/", ".git/", "a/.godot/", "addons/x/", "my_imports/", "a.git/"]
+
+
+@C("flt4_pruned", "WITH p AS (SELECT source, list_extract([" + ", ".join(map(quoted, FOLDERS)) + "], (doc_id % 6 + 1)::INT) || source || '/' || doc_id || '.gd' AS path FROM documents) SELECT source, count(*) AS n FROM p WHERE NOT contains(path, '.godot') AND NOT contains(path, 'imports') AND NOT regexp_matches(path, '(^|/)(\\.git|\\.godot|addons)/') GROUP BY source")
 def flt4(spark, d):
-    path = F.concat("source", F.lit("/"), "doc_id", F.lit(".gd"))
-    return read(spark, d, "documents").filter(~path.rlike("(^|/)(src1|src2)/")).groupBy("source").agg(F.count("*").alias("n"))
+    """Files of folders that a project's scan leaves out, over paths made from each document's source."""
+    folder = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    paths = read(spark, d, "documents").select("source", F.concat(folder, "source", F.lit("/"), "doc_id", F.lit(".gd")).alias("path"))
+    return paths.filter(~readers.pruned(F.col("path"))).groupBy("source").agg(F.count("*").alias("n"))
 
 
 _file_columns("lnt1_rules", lambda: {"issues": F.array_join(lint.findings(content(), lint.ISSUES), "; "), "improvements": F.array_join(lint.findings(content(), lint.IMPROVEMENTS), "; ")},
               "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, {quoted(p)}) THEN {quoted(x)} END" for p, x in lint.ISSUES) + "], lambda x: x IS NOT NULL), '; ') AS issues, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(content, {quoted(p)}) THEN {quoted(x)} END" for p, x in lint.IMPROVEMENTS) + "], lambda x: x IS NOT NULL), '; ') AS improvements")
 _file_columns("lnt2_metadata", lambda: {"extends": F.regexp_extract(content(), r'(?m)^extends "?([^"\n]+)', 1), "functions": F.array_join(lint.functions(content()), ","), "tags": F.array_join(lint.tags(content()), ",")},
               r"""regexp_extract(content, '(?m)^extends "?([^"\n]+)', 1) AS extends, array_to_string(list_slice(regexp_extract_all(content, '(?m)^\s*func\s+(\w+)\s*\(', 1), 1, 20), ',') AS functions, array_to_string(list_filter([""" + ", ".join("CASE WHEN " + " OR ".join(f"contains(content, {quoted(w)})" for w in ws) + f" THEN '{t}' END" for t, ws in lint.TAGS.items()) + "], lambda x: x IS NOT NULL), ',') AS tags")
-_file_columns("lnt3_large_files", lambda: {"n_lines": F.size(F.split(content(), "\n", -1)), "large": F.size(F.split(content(), "\n", -1)) > 50}, "len(string_split(content, chr(10)))::INT AS n_lines, len(string_split(content, chr(10))) > 50 AS large")
+_file_columns("lnt3_large_files", lambda: {"n_lines": F.size(F.split(content(), "\n", -1)), "large": F.size(F.split(content(), "\n", -1)) > 500}, "len(string_split(content, chr(10)))::INT AS n_lines, len(string_split(content, chr(10))) > 500 AS large")
 N = lambda p: f"len(regexp_extract_all(content, {quoted(p)}))"
 COMPLEX = f"greatest(0, {N(r'(?m)^[^\S\n]*func\s+\w+')} * 2 + {N(r'(?m)^\s*(if|elif|else|for|while|match)\b')} - {N(r'(?m)^\s*signal\s+')} * 3 - {N('@(?:export|onready)')})"
 _file_columns("lnt6_complexity", lambda: {"complexity": lint.complexity(content()).cast("int")}, f"({COMPLEX})::INT AS complexity")
@@ -128,7 +133,16 @@ _file_columns("lnt15_rewritten", lambda: {"h": F.md5(F.regexp_replace(F.regexp_r
               r"md5(regexp_replace(regexp_replace(regexp_replace(content, 'range\(len\((\w+)\)\)', '\1.size()', 'g'), '(?m)[ \t]+$', '', 'g'), '(?m)^export var', '@export var', 'g')) AS h")
 _file_columns("lnt19_line_numbers", lambda: {"line_no": F.coalesce(F.nullif(F.array_position(F.transform(F.split(content(), "\n", -1), lambda x: F.contains(x, F.lit("print("))), True), F.lit(0)), F.lit(-1)).cast("int")},
               "coalesce(nullif(list_position(list_transform(string_split(content, chr(10)), lambda x: contains(x, 'print(')), true), 0), -1)::INT AS line_no")
-_file_columns("grd7_safe_paths", lambda: {"safe": ~F.col("path").rlike(r"(^|/)\.\.(/|$)")}, r"NOT regexp_matches(path, '(^|/)\.\.(/|$)') AS safe")
+PATHS = ["data/", "data/../", "data/a/../", "data/../../", "/data/", "data/x..y/"]
+
+
+@C("grd7_safe_paths", r"WITH p AS (SELECT doc_id, list_extract([" + ", ".join(map(quoted, PATHS)) + r"], (doc_id % 6 + 1)::INT) || source || '/' || doc_id AS path FROM documents) SELECT doc_id, NOT starts_with(path, '/') AND NOT regexp_matches(path, '(^|/)\.\.(/|$)') AS safe FROM p")
+def grd7(spark, d):
+    """Paths made from each document's source, some of which leave their root."""
+    start = F.element_at(F.array(*map(F.lit, PATHS)), (F.col("doc_id") % 6 + 1).cast("int"))
+    paths = read(spark, d, "documents").select("doc_id", F.concat(start, "source", F.lit("/"), "doc_id").alias("path"))
+    return paths.select("doc_id", readers.safe_path(F.col("path")).alias("safe"))
+
 
 HEAD = r"regexp_matches(line, '^(class|func)\s')"
 
@@ -186,21 +200,22 @@ def jn5(spark, d):
     return asked.hint("merge").join(part, "base").filter(F.endswith("name", "base")).groupBy("q").agg(F.min("p_partkey").alias("p_partkey"))
 
 
-LINKS = "e AS (SELECT DISTINCT l_partkey AS src, (l_suppkey * 19) % 2000 AS dst FROM lineitem WHERE l_orderkey % 40 = 0)"
+LINKS = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
 
 
 def edges(spark, d):
-    """part -> part links made from lineitem."""
-    return read(spark, d, "lineitem").filter("l_orderkey % 40 = 0").select(F.col("l_partkey").alias("src"), ((F.col("l_suppkey") * 19) % 2000).alias("dst")).distinct()
+    """part -> supplier links of all of lineitem, as links between numbers: a number that is both leads on."""
+    return read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
 
 
-CLOSE = f"RECURSIVE {LINKS}, s AS (SELECT DISTINCT dst AS start FROM e WHERE dst % 10 = 0), r AS (SELECT start, e.src AS node FROM s JOIN e ON e.dst = s.start UNION SELECT r.start, e.src FROM r JOIN e ON e.dst = r.node)"
+CLOSE = f"RECURSIVE {LINKS}, s AS (SELECT DISTINCT dst AS start FROM e WHERE dst % 50 = 0), r AS (SELECT start, e.src AS node FROM s JOIN e ON e.dst = s.start UNION SELECT r.start, e.src FROM r JOIN e ON e.dst = r.node)"
 
 
 @C("grf3_impact", f"WITH {CLOSE}, n AS (SELECT start, count(*) AS dependents FROM r GROUP BY start), k AS (SELECT dst AS start, count(DISTINCT src) AS direct FROM e GROUP BY dst) SELECT s.start, coalesce(dependents, 0) AS dependents, coalesce(direct, 0) AS direct, CASE WHEN coalesce(dependents, 0) > 5 THEN 'HIGH' WHEN coalesce(dependents, 0) > 2 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM s LEFT JOIN n USING (start) LEFT JOIN k USING (start)")
 def grf3(spark, d):
+    """The questions are the numbers divisible by 50, against all links."""
     e = edges(spark, d)
-    return G.impact(e, e.filter("dst % 10 = 0").select(F.col("dst").alias("node")).distinct())
+    return G.impact(e, e.filter("dst % 50 = 0").select(F.col("dst").alias("node")).distinct())
 
 
 @C("grf4_cycles", f"WITH RECURSIVE {LINKS}, r AS (SELECT src AS start, dst AS node FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT start AS node FROM r WHERE start = node")

@@ -6,6 +6,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import rules, tokens
 from ..operators import metrics as M
+from ..operators import search as S
 from ..operators import windows as V
 from ._base import Catalog, F, read, sql_any, sql_first
 
@@ -16,7 +17,7 @@ def events(spark, d):
     return read(spark, d, "events")
 
 
-STATS = "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS n, round(min(value), 2) AS low, round(max(value), 2) AS high, round(avg(value), 2) AS mean, round(sum((value < 50)::INT) * 100 / count(*), 2) AS success_rate, " + ", ".join(f"round(max(CASE WHEN r = least(floor(n * {p} / 100), n - 1) THEN value END), 2) AS p{p}" for p in (50, 95, 99)) + " FROM r GROUP BY event_type"
+STATS = "WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS n, round(min(value), 2) AS low, round(max(value), 2) AS high, round(avg(value), 2) AS mean, round(sum((value < 50)::INT) * 100 / count(*), 2) AS success_rate, " + "round(median(value), 2) AS p50, " + ", ".join(f"round(max(CASE WHEN r = least(floor(n * {p} / 100), n - 1) THEN value END), 2) AS p{p}" for p in (95, 99)) + " FROM r GROUP BY event_type"
 
 
 @C("agg10_agg12_operation_stats", STATS)
@@ -109,14 +110,18 @@ def snk10(spark, d):
     return events(spark, d).groupBy("user_id", "event_type").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
 
 
-@C("jn3_prefetch", "WITH t AS (SELECT event_type AS topic, min(event_id) AS ord FROM events GROUP BY 1 UNION ALL SELECT substring(lower(text), 1, 3), doc_id + 1000000 FROM documents WHERE doc_id < 200) SELECT conv_id, turn, arg_min(topic, ord) AS topic FROM conversations JOIN t ON contains(lower(text), topic) GROUP BY ALL")
+@C("jn3_prefetch", "WITH t AS (SELECT event_type AS topic, min(event_id) AS ord FROM events GROUP BY 1 UNION ALL SELECT regexp_extract(lower(text), '[a-z]{5,}') AS topic, min(doc_id) + 1000000 FROM documents WHERE regexp_matches(lower(text), '[a-z]{5,}') GROUP BY 1), w AS (SELECT DISTINCT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM conversations), p AS (SELECT word, topic, ord FROM (SELECT DISTINCT word FROM w) JOIN t ON contains(word, topic)) SELECT conv_id, turn, arg_min(topic, ord) AS topic FROM w JOIN p USING (word) GROUP BY ALL")
 def jn3(spark, d):
-    """The first topic that stands in a turn's text. Topics are a small, checked dimension: five event
-    types and 200 first trigrams."""
+    """The first topic that stands in a word of a turn. Topics are the event types and each document's
+    first word of five letters or more; both sides are reduced to distinct words, which meet on trigrams."""
     own = events(spark, d).groupBy(F.col("event_type").alias("topic")).agg(F.min("event_id").alias("ord"))
-    more = read(spark, d, "documents").filter("doc_id < 200").select(F.substring(F.lower("text"), 1, 3).alias("topic"), (F.col("doc_id") + 1000000).alias("ord"))
-    turns = read(spark, d, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
-    return turns.join(F.broadcast(own.unionByName(more)), F.contains("t", "topic")).groupBy("conv_id", "turn").agg(F.min_by("topic", "ord").alias("topic"))
+    topic = F.regexp_extract(F.lower("text"), "[a-z]{5,}", 0)
+    more = read(spark, d, "documents").select(topic.alias("topic"), "doc_id").filter("topic != ''").groupBy("topic").agg((F.min("doc_id") + 1000000).alias("ord"))
+    topics = own.unionByName(more)
+    words = read(spark, d, "conversations").select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("token"))
+    pairs = S.containing(words.select("token").distinct(), topics.select(F.col("topic").alias("word")).distinct()).filter(F.contains("token", "word"))
+    first = pairs.hint("merge").join(topics.withColumnRenamed("topic", "word"), "word").groupBy("token").agg(F.min(F.struct("ord", "word")).alias("t"))
+    return words.hint("merge").join(first, "token").groupBy("conv_id", "turn").agg(F.min("t").alias("t")).select("conv_id", "turn", F.col("t.word").alias("topic"))
 
 
 @C("jn10_learning_context", r"WITH t AS (SELECT conv_id, turn, role, list_distinct(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' ')) AS w FROM conversations), q AS (SELECT * FROM t WHERE role = 'user'), e AS (SELECT conv_id, turn, w FROM t WHERE role = 'assistant') SELECT q.conv_id, q.turn, count(*) AS hits, round(max(len(list_intersect(q.w, e.w)) / greatest(len(q.w), 1)), 6) AS best FROM q JOIN e ON q.conv_id = e.conv_id WHERE len(list_intersect(q.w, e.w)) / greatest(len(q.w), 1) > 0.3 GROUP BY ALL")

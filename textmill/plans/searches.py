@@ -126,16 +126,18 @@ def targets(spark, d):
 
 
 def structural(spark, d):
-    """Names that hold a target: the documents' rarest way in is by name words, here the first ones of each text."""
+    """Names that hold a target, at most three targets a question: the names are all words of five letters
+    or more of the whole texts. A question without a target gets its keyword scores instead."""
     docs = read(spark, d, "documents")
-    named = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0), 1, 5))).alias("name"))
-    return S.structural_scores(named, targets(spark, d))
+    named = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))).alias("name"))
+    sought = targets(spark, d)
+    return S.structural_scores(named, sought).unionByName(keyword(spark, d).hint("merge").join(sought.select("qid").distinct(), "qid", "left_anti").select("qid", "id", "score"))
 
 
-NAMED = r"nm AS (SELECT DISTINCT doc_id AS id, unnest(list_slice(regexp_extract_all(lower(text), '[a-z]{5,}'), 1, 5)) AS name FROM documents), st AS (SELECT DISTINCT qid, id, 1.0::DOUBLE AS score FROM tg JOIN nm ON contains(name, target))"
+NAMED = r"nm AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS name FROM documents), np AS (SELECT name, target FROM (SELECT DISTINCT name FROM nm) JOIN (SELECT DISTINCT target FROM tg) ON contains(name, target)), st AS (SELECT DISTINCT qid, id, 1.0::DOUBLE AS score FROM tg JOIN np USING (target) JOIN nm USING (name) UNION ALL SELECT qid, id, score FROM kw WHERE qid NOT IN (SELECT qid FROM tg))"
 
 
-@C("top4_structural_search", f"WITH {TARGETS}, {NAMED}, r AS (SELECT *, {RANK} FROM st) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
+@C("top4_structural_search", f"WITH {KEYWORD}, {TARGETS}, {NAMED}, r AS (SELECT *, {RANK} FROM st) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
 def top4(spark, d):
     return S.top_k(structural(spark, d), 5)
 
@@ -171,13 +173,14 @@ def win17(spark, d):
     return keyword(spark, d).hint("merge").join(docs, "id").withColumn("r", r).filter(F.col("r") <= F.when(F.col("english"), 2).otherwise(3)).select("qid", "id", "english")
 
 
-IDX = r"ix AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS token FROM documents), ip AS (SELECT id, token, count(*) AS tf FROM ix GROUP BY ALL), qw AS (SELECT item_id AS qid, unnest(list_slice(regexp_extract_all(lower(text), '[a-z]{5,}'), 1, 3)) AS word FROM benchmark), vo AS (SELECT DISTINCT token FROM ip), pr AS (SELECT token, word, CASE WHEN token = word THEN 1.5 ELSE 0.5 END AS x FROM vo JOIN (SELECT DISTINCT word FROM qw) ON contains(token, word) OR contains(word, token))"
+IDX = r"ix AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS token FROM documents), ip AS (SELECT id, token, count(*) AS tf FROM ix GROUP BY ALL), qw AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM benchmark), vo AS (SELECT DISTINCT token FROM ip), pr AS (SELECT token, word, CASE WHEN token = word THEN 1.5 ELSE 0.5 END AS x FROM vo JOIN (SELECT DISTINCT word FROM qw) ON contains(token, word) OR contains(word, token))"
 
 
 @C("jn2_substring_search", f"WITH {IDX}, s AS (SELECT qid, id, sum(x * tf)::DOUBLE AS score FROM qw JOIN pr USING (word) JOIN ip USING (token) GROUP BY ALL), r AS (SELECT *, {RANK} FROM s) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
 def jn2(spark, d):
     p = S.postings(read(spark, d, "documents"), tokens=tokens.index_words(F.col("text")))
-    words = targets(spark, d).withColumnRenamed("target", "token")  # a word asked twice counts twice
+    asked_words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))  # a word asked twice counts twice
+    words = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), asked_words.alias("token"))
     return S.top_k(S.substring_scores(p, words), 5)
 
 
@@ -270,11 +273,11 @@ def win18(spark, d):
     return read(spark, d, "documents").select(F.concat_ws("_", F.lit("kb"), "source", "doc_id").alias("chunk_id"), F.md5(F.substring("text", 1, 2000)).alias("h"))
 
 
-@C("top8_relevance", r"WITH k AS (SELECT doc_id, lower(text) AS t, list_distinct(list_concat(list_slice(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), 1, 4), ['func', 'var', 'signal', 'class', 'extends', 'if', 'for', 'while'])) AS ws FROM documents), p AS (SELECT a.doc_id, a.ws, b.t FROM k a JOIN k b ON b.doc_id = a.doc_id + 1) SELECT doc_id, round(least(1.0, len(list_filter(ws, lambda w: contains(t, w))) / len(ws) + CASE WHEN list_contains(ws, 'fix') AND contains(t, 'error') THEN 0.3 ELSE 0.0 END), 6) AS relevance FROM p")
+@C("top8_relevance", r"WITH k AS (SELECT doc_id, lower(text) AS t, list_distinct(list_concat(string_split(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), ' '), ['func', 'var', 'signal', 'class', 'extends', 'if', 'for', 'while'])) AS ws FROM documents), p AS (SELECT a.doc_id, a.ws, b.t FROM k a JOIN k b ON b.doc_id = a.doc_id + 1) SELECT doc_id, round(least(1.0, len(list_filter(ws, lambda w: contains(t, w))) / len(ws) + CASE WHEN list_contains(ws, 'fix') AND contains(t, 'error') THEN 0.3 ELSE 0.0 END), 6) AS relevance FROM p")
 def top8(spark, d):
-    """Each document's first words as a question to the next one."""
+    """Each document's words as a question to the next one."""
     terms = F.array(*map(F.lit, ["func", "var", "signal", "class", "extends", "if", "for", "while"]))
-    docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), F.array_distinct(F.concat(F.slice(tokens.blank_split(F.col("text")), 1, 4), terms)).alias("ws"))
+    docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("t"), F.array_distinct(F.concat(tokens.blank_split(F.col("text")), terms)).alias("ws"))
     pairs = docs.select("doc_id", "ws").hint("merge").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), "t"), "doc_id")
     share = F.size(F.filter("ws", lambda w: F.contains("t", w))) / F.size("ws")
     boost = F.when(F.array_contains("ws", "fix") & F.contains("t", F.lit("error")), 0.3).otherwise(0.0)

@@ -30,7 +30,7 @@ C.columns("txt2_index_words", "documents", ["doc_id"], lambda: {"n": F.size(toke
 TERMS = rf"list_filter(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}_\s.\-\[\]]', ' ', 'g'), '\s+', ' ', 'g')), ' '), lambda x: length(x) > 2 AND x NOT IN ({STOPS}))"
 C.columns("txt3_terms", "documents", ["doc_id"], lambda: {"n": F.size(tokens.terms(text())), "h": F.md5(F.array_join(tokens.terms(text()), " "))},
           f"SELECT doc_id, len({TERMS})::INT AS n, md5(array_to_string({TERMS}, ' ')) AS h FROM documents")
-IDENT = r"list_filter(regexp_extract_all(text, '[a-zA-Z][\p{L}\p{N}_]*'), lambda x: length(x) >= 3)"
+IDENT = r"list_filter(regexp_extract_all(lower(text), '[a-zA-Z_][\p{L}\p{N}_]*'), lambda x: length(x) >= 3)"
 C.columns("txt4_identifiers", "documents", ["doc_id"], lambda: {"n": F.size(tokens.identifiers(text())), "h": F.md5(F.array_join(tokens.identifiers(text()), " "))},
           f"SELECT doc_id, len({IDENT})::INT AS n, md5(array_to_string({IDENT}, ' ')) AS h FROM documents")
 C.columns("txt5_blank_split", "documents", ["doc_id"], lambda: {"n": F.size(tokens.blank_split(text())), "first": tokens.blank_split(text())[0]},

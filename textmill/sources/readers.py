@@ -89,3 +89,13 @@ def structured_log(spark: SparkSession, path: str) -> DataFrame:
     rest = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     named = F.from_json("value", fixed)
     return df.select(named.alias("f"), F.map_filter(rest, lambda k, v: ~k.isin([x.split()[0] for x in fixed.split(", ")])).alias("extra")).select("f.*", "extra")
+
+
+def pruned(path: Column) -> Column:
+    """Paths that a project's scan leaves out: '.godot' or 'imports' anywhere, or a folder .git, .godot or addons."""
+    return path.contains(".godot") | path.contains("imports") | path.rlike(r"(^|/)(\.git|\.godot|addons)/")
+
+
+def safe_path(path: Column) -> Column:
+    """Whether a relative path stays under its root: no step up, and not absolute."""
+    return ~path.startswith("/") & ~path.rlike(r"(^|/)\.\.(/|$)")

@@ -96,20 +96,21 @@ def pattern_learning(feedback: DataFrame, keep: int = 20) -> DataFrame:
 
 def ingest(pages: DataFrame, distil: Callable[[DataFrame], DataFrame], store: str, postings: str, checkpoint: str, tokens: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
     """Landed pages -> distilled -> new by content hash -> stored -> postings of the new ones. ``store`` and
-    ``postings`` are parquet folders; a batch that is run again finds its own rows and adds none."""
+    ``postings`` are parquet folders with a part for each batch. A batch that is run again, wherever it
+    failed before, looks at the other batches only and writes both its parts anew."""
 
     def cycle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         fresh = distil(batch).withColumn("hash", F.md5("content")).dropDuplicates(["hash"])
         try:
-            fresh = fresh.hint("merge").join(spark.read.parquet(store).select("hash"), "hash", "left_anti")
+            stored = batch.sparkSession.read.parquet(store).filter(F.col("batch") != number).select("hash")
+            fresh = fresh.hint("merge").join(stored, "hash", "left_anti")
         except Exception as e:  # the first cycle finds no folder
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         fresh = fresh.persist()
         if not fresh.isEmpty():
-            fresh.write.mode("append").parquet(store)
-            tokens(fresh).write.mode("append").parquet(postings)
+            tokens(fresh).write.mode("overwrite").parquet(f"{postings}/batch={number}")
+            fresh.write.mode("overwrite").parquet(f"{store}/batch={number}")
         fresh.unpersist()
 
     return pages.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
