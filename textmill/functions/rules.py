@@ -245,8 +245,12 @@ def temperature(text: Column, intent_: Column, turns: Column) -> dict[str, Colum
     return {"temperature": t.when(deep, 0.65).otherwise(0.5), "samples": n.otherwise(deep)}
 
 
-def in_domain(text: Column) -> Column:
-    return (hits(text, DOMAIN) >= 1)
+def in_domain(text: Column, confidence: Column | None = None) -> Column:
+    """A strong word or two domain words are enough, none is too few; with exactly one a classifier's
+    ``confidence`` of 0.3 decides where there is a classifier, and it is enough where there is none."""
+    n = hits(text, DOMAIN)
+    one = confidence >= 0.3 if confidence is not None else F.lit(True)
+    return any_of(text, STRONG) | (n >= 2) | ((n == 1) & one)
 
 
 def in_domain_strictly(text: Column) -> Column:

@@ -99,3 +99,16 @@ def scene_rows(lines: DataFrame) -> DataFrame:
         out = out.withColumn(f"a_{a}", attr(a))
     prop = ~header & F.col("line").contains(" = ")
     return out.withColumn("key", F.when(prop, F.regexp_extract("line", r"^(\S+) = ", 1))).withColumn("value", F.when(prop, F.regexp_extract("line", r"^\S+ = (.*)$", 1)))
+
+
+def broken_connections(rows: DataFrame) -> DataFrame:
+    """(path, line_no, side, name) of connection ends that are neither a node of their scene, nor under one,
+    nor the root ".". An end's own name and all names above it are met with the nodes in one equi-join."""
+    nodes = rows.filter("section = 'node'").select("path", F.col("a_name").alias("above")).distinct()
+    sides = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.col(f"a_{x}").alias("name")) for x in ("from", "to")])).alias("e")
+    ends = rows.filter("section = 'connection'").select("path", "line_no", sides).select("path", "line_no", "e.side", "e.name")
+    ends = ends.filter((F.col("name") != ".") & ~F.col("name").startswith("./"))
+    parts = F.split("name", "/")
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("above")
+    held = ends.select("path", "line_no", "side", above).hint("merge").join(nodes, ["path", "above"], "left_semi").select("path", "line_no", "side").distinct()
+    return ends.hint("merge").join(held, ["path", "line_no", "side"], "left_anti")

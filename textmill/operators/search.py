@@ -81,6 +81,13 @@ def containing(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     return inside.select("token", "word").unionByName(around.select("token", "word")).distinct()
 
 
+def with_knowledge(scored: DataFrame, known: DataFrame) -> DataFrame:
+    """Jaccard scores over 0.1; those of knowledge, the ids of ``known``, over 0.15 and with 0.1 more."""
+    marked = scored.hint("merge").join(known.select("id", F.lit(True).alias("known")), "id", "left")
+    own = F.coalesce("known", F.lit(False))
+    return marked.filter(F.col("score") > F.when(own, 0.15).otherwise(0.1)).select("qid", "id", F.round(F.col("score") + F.when(own, 0.1).otherwise(0.0), 6).alias("score"))
+
+
 def substring_scores(posts: DataFrame, asked: DataFrame) -> DataFrame:
     """0.5 tf for every index word that holds a query word or is held by one, and tf more for equal ones."""
     pairs = containing(posts.select("token").distinct(), asked.select(F.col("token").alias("word")).distinct())

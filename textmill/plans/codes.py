@@ -257,13 +257,9 @@ def jn6(spark, d):
     return used.hint("merge").join(res, ["path", "id"], "left").select("path", "line_no", "res")
 
 
-@C("jn8_connections", rf"WITH {SCENES}, {HEADS}, n AS (SELECT DISTINCT path, regexp_extract(line, 'name=.([^\x22]*)\x22', 1) AS name FROM sc WHERE section = 'node'), k AS (SELECT path, line_no, regexp_extract(line, 'from=.([^\x22]*)\x22', 1) AS name FROM sc WHERE section = 'connection') SELECT path, line_no, name FROM k ANTI JOIN n USING (path, name) WHERE name <> '.'")
+@C("jn8_connections", rf"WITH {SCENES}, {HEADS}, n AS (SELECT DISTINCT path, regexp_extract(line, 'name=.([^\x22]*)\x22', 1) AS name FROM sc WHERE section = 'node'), k AS (SELECT path, line_no, unnest(['from', 'to']) AS side, unnest([regexp_extract(line, 'from=.([^\x22]*)\x22', 1), regexp_extract(line, 'to=.([^\x22]*)\x22', 1)]) AS name FROM sc WHERE section = 'connection') SELECT path, line_no, side, name FROM k WHERE name <> '.' AND NOT starts_with(name, './') AND NOT EXISTS (SELECT 1 FROM n WHERE n.path = k.path AND (n.name = k.name OR starts_with(k.name, n.name || '/')))")
 def jn8(spark, d):
-    """Connection ends that are no node of the scene."""
-    s = scenes(spark, d)
-    nodes = s.filter("section = 'node'").select("path", F.col("a_name").alias("name"))
-    ends = s.filter("section = 'connection'").select("path", "line_no", F.col("a_from").alias("name")).filter("name != '.'")
-    return ends.hint("merge").join(nodes, ["path", "name"], "left_anti").select("path", "line_no", "name")
+    return K.broken_connections(scenes(spark, d))
 
 
 @C("grf8_missing", rf"WITH {SCENES} SELECT path, count(*) AS missing FROM c WHERE line LIKE '% = Null(%' OR line LIKE '% = %missing%' GROUP BY path")

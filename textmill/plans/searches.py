@@ -79,12 +79,18 @@ def top1(spark, d):
     return S.keyword_scores(p, S.query_tokens(first), F.when(F.col("lang") == "en", 1).otherwise(2)).orderBy(F.desc("score"), "id").limit(10).select("id", "score")
 
 
-JACCARD = f"{D}, {Q}, n AS (SELECT id, count(*) AS n FROM post GROUP BY id), m AS (SELECT qid, count(*) AS m FROM ask GROUP BY qid), b AS (SELECT qid, id, count(*) AS bo FROM ask JOIN post USING (token) GROUP BY ALL), jc AS (SELECT qid, id, round(bo / (n + m - bo), 6) AS score FROM b JOIN n USING (id) JOIN m USING (qid))"
+JACCARD = f"{D}, {Q}, n AS (SELECT id, count(*) AS n FROM post GROUP BY id), m AS (SELECT qid, count(*) AS m FROM ask GROUP BY qid), b AS (SELECT qid, id, count(*) AS bo FROM ask JOIN post USING (token) GROUP BY ALL), j0 AS (SELECT qid, id, round(bo / (n + m - bo), 6) AS score FROM b JOIN n USING (id) JOIN m USING (qid)), jc AS (SELECT qid, id, round(score + CASE WHEN lang = 'en' THEN 0.0 ELSE 0.1 END, 6) AS score FROM j0 JOIN documents ON doc_id = id WHERE score > CASE WHEN lang = 'en' THEN 0.1 ELSE 0.15 END)"
 
 
-@C("top3_flt3_jaccard_search", f"WITH {JACCARD}, r AS (SELECT *, {RANK} FROM jc WHERE score > 0.1) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
+def jaccard(spark, d):
+    """Documents in other languages than English stand for knowledge, as in the keyword scores."""
+    known = read(spark, d, "documents").filter("lang != 'en'").select(F.col("doc_id").alias("id"))
+    return S.with_knowledge(S.jaccard_scores(posts(spark, d), asked(spark, d)), known)
+
+
+@C("top3_flt3_jaccard_search", f"WITH {JACCARD}, r AS (SELECT *, {RANK} FROM jc) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
 def top3(spark, d):
-    return S.top_k(S.jaccard_scores(posts(spark, d), asked(spark, d)).filter("score > 0.1"), 5)
+    return S.top_k(jaccard(spark, d), 5)
 
 
 ASK_TF = r"aw AS (SELECT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(text), '[a-zA-Z_][a-zA-Z0-9_]*'), lambda x: length(x) > 2)) AS token FROM benchmark), atf AS (SELECT qid, token, count(*) AS tf FROM aw GROUP BY ALL)"
@@ -149,7 +155,7 @@ hy AS (SELECT qid, id, round(sum(score), 6) AS score FROM u GROUP BY ALL), hr AS
 
 
 def hybrid(spark, d):
-    return S.hybrid(keyword(spark, d), S.jaccard_scores(posts(spark, d), asked(spark, d)), structural(spark, d), 5)
+    return S.hybrid(keyword(spark, d), jaccard(spark, d), structural(spark, d), 5)
 
 
 @C("top5_set1_hybrid_search", f"WITH {HYBRID} SELECT qid, id, score, rank FROM hr WHERE rank <= 5")

@@ -126,7 +126,7 @@ def cls16(spark, d):
     return read(spark, d, "conversations").groupBy(to.alias("handler")).agg(F.count("*").alias("n"), F.round(F.avg(F.length("text")), 4).alias("mean_chars"))
 
 
-_turns("flt7_domain", lambda: {"related": rules.in_domain(text())}, f"{sql_hits('text', rules.DOMAIN)} >= 1 AS related")
+_turns("flt7_domain", lambda: {"related": rules.in_domain(text())}, f"{sql_any('text', rules.STRONG)} OR {sql_hits('text', rules.DOMAIN)} >= 1 AS related")
 _turns("flt9_topic_word", lambda: {"topic": rules.topic_word(text())},
        rf"coalesce(list_filter(string_split({BLANK}, ' '), lambda w: length(w) > 3 AND w NOT IN ({', '.join(map(quoted, rules.TOPIC_STOP))}))[1], 'that topic') AS topic")
 _turns("flt6_truncated", lambda: {"query": F.substring(text(), 1, 200), "snippet": F.substring(text(), 1, 150)}, "substring(text, 1, 200) AS query, substring(text, 1, 150) AS snippet")
