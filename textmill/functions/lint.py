@@ -106,3 +106,53 @@ def loop_safety(content: Column) -> Column:
     endless = content.rlike(r"(?i)while\s+true\s*:") & ~content.contains("break")
     calls = [F.when(content.contains(f), F.lit(f"Dangerous function call: {f}")) for f in ("OS.execute", "File.open", "Directory.open")]
     return F.array_compact(F.array(F.when(endless, F.lit("Potential infinite loop detected")), *calls))
+
+
+def signals(content: Column) -> Column:
+    return F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*signal\s+(\w+)"), 1)
+
+
+def variables(content: Column, most: int = 15) -> Column:
+    """Names after var, const, @export or @onready."""
+    return F.slice(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*(?:var|const|@export|@onready)\s+(\w+)"), 1), 1, most)
+
+
+# What a rewrite puts in place of a pattern, by step and in this order.
+EMPTY_LOOPS = [(r"for\s+\w+\s+in\s+[^:]+:\s*\n\s*pass", "# Empty loop removed"), (r"while\s+True:\s*\n\s*pass", "# Infinite empty loop removed")]
+SPACES = [(r"\n\s*\n\s*\n", "\n\n"), (r"(?m)[ \t\r\f\x0B]+$", ""), (r"\s+\z", "")]
+EXPORTS = [(r"export\s*\(\s*(int|float|String|bool)\s*\)\s+var\s+(\w+)", "@export var $2: $1")]
+LOOP, LOOSE_LOOP = r"for (\w+) in range\(len\((\w+)\)\)", r"for\s+\w+\s+in\s+range\s*\(\s*len\s*\(\s*\w+\s*\)\s*\)"
+HINTS = [
+    (r'(var\s+\w+)\s*=\s*""', '$1: String = ""'),
+    (r"(var\s+\w+)\s*=\s*0(?!\d)", "$1: int = 0"),
+    (r"(var\s+\w+)\s*=\s*true", "$1: bool = true"),
+    (r"(var\s+\w+)\s*=\s*false", "$1: bool = false"),
+]
+
+
+def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, new in rules:
+        text = F.regexp_replace(text, F.lit(pattern), F.lit(new))
+    return text
+
+
+def rewritten(content: Column) -> Column:
+    """Struct of the code with empty loops, white space, exports, loops over lengths and type hints put right,
+    n_loops and n_hints (kinds of hints given). Hints for floats aren't given."""
+    tidy = _replaced(F.concat(_replaced(_replaced(content, EMPTY_LOOPS), SPACES), F.lit("\n")), EXPORTS)
+    looped = F.regexp_replace(tidy, LOOP, "for $1 in $2")
+    n_hints = sum((looped.rlike(p).cast("int") for p, _ in HINTS), F.lit(0))
+    return F.struct(_replaced(looped, HINTS).alias("code"), F.regexp_count(tidy, F.lit(LOOSE_LOOP)).alias("n_loops"), n_hints.alias("n_hints"))
+
+
+def compared(old: Column, new: Column) -> Column:
+    """Struct of what a new version of a script lacks (variables, prints) or adds (extends, delta)."""
+    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"var (\w+)"), 1))
+    prints = lambda c: F.regexp_count(c, F.lit(r"print\("))
+    added = lambda p: new.rlike(p) & ~old.rlike(p)
+    return F.struct(
+        F.size(F.array_except(names(old), names(new))).alias("removed_vars"),
+        F.greatest(F.lit(0), prints(old) - prints(new)).alias("removed_prints"),
+        added("(?m)^extends ").alias("added_extends"),
+        added("delta").alias("added_delta"),
+    )

@@ -66,16 +66,6 @@ def process_bodies(lines: DataFrame, most: int = 15) -> DataFrame:
     return out.filter(F.col("is_process") & (F.col("body_lines") > most)).select("path", "line_number", "body_lines")
 
 
-def class_variables(lines: DataFrame) -> DataFrame:
-    """How many variables and constants stand outside functions, per file."""
-    fn = F.col("line").rlike(r"^\s*func\s+\w+")
-    out = F.col("line").rlike(r"^[^ \t\s#]")
-    state = F.when(fn, 1).when(out, 0)
-    marked = lines.withColumn("inside", F.coalesce(F.last(state, True).over(so_far()), F.lit(0)))
-    var = F.col("line").rlike(r"^\s*(var|const)\s+\w+\s*[:=]")
-    return marked.groupBy("path").agg(F.sum(((F.col("inside") == 0) & var).cast("int")).alias("class_vars"))
-
-
 def dependencies(lines: DataFrame) -> DataFrame:
     """(src, dst, kind) of extends, preload and load, project-relative."""
     found = F.array_compact(

@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: Column, budget: float) -> DataFrame:
+def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: Column, budget: float, least: float | None = None, free: bool = False) -> DataFrame:
     """In rank order, the rows up to the first one that would exceed the budget: as costs aren't
-    negative, those whose running sum stays within it."""
+    negative, those whose running sum stays within it. Where no row costs less than ``least``, only the
+    first budget / least of each group can fit: they are ranked first, which Spark limits in each task.
+    With ``free``, rows that cost less (or null) may occur; they are set apart from the ranking."""
+    if least:
+        full = last_n(df.filter(cost >= least) if free else df, by, order, int(budget // least)).drop("rank")
+        df = full.unionByName(df.filter(~F.coalesce(cost >= least, F.lit(False)))) if free else full
     run = F.sum(cost).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     return df.withColumn("spent", run).filter(F.col("spent") <= budget)
 

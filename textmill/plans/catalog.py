@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codes, events, searches, texts
+from . import codes, events, projects, searches, texts
 
-MODULES = [texts, searches, events, codes]
+MODULES = [texts, searches, events, codes, projects]
 
 
 def queries() -> dict:

@@ -127,10 +127,6 @@ def lnt7(spark, d):
 
 _file_columns("lnt10_banned", lambda: {"reason": lint.banned(content())}, "CASE WHEN length(content) = 0 THEN 'Empty code' " + " ".join(f"WHEN contains(content, {quoted(p)}) THEN {quoted(r)}" for p, r in lint.BANNED) + " ELSE 'OK' END AS reason")
 _file_columns("lnt11_loop_safety", lambda: {"issues": F.array_join(lint.loop_safety(content()), "; ")}, r"array_to_string(list_filter([CASE WHEN regexp_matches(content, '(?i)while\s+true\s*:') AND NOT contains(content, 'break') THEN 'Potential infinite loop detected' END, " + ", ".join(f"CASE WHEN contains(content, '{x}') THEN 'Dangerous function call: {x}' END" for x in ("OS.execute", "File.open", "Directory.open")) + "], lambda x: x IS NOT NULL), '; ') AS issues")
-_file_columns("lnt9_expert", lambda: {"score": F.greatest(F.lit(0), 100 - 10 * ((F.contains("content", F.lit("_process(")) & F.contains("content", F.lit("velocity"))).cast("int") + F.least(F.regexp_count("content", F.lit(r'get_node\("[^"]*/[^"]*"\)')), F.lit(5))) - 5 * (F.regexp_count("content", F.lit(r"(^|[^A-Za-z0-9_])\d{2,}")) > 3).cast("int"))},
-              f"greatest(0, 100 - 10 * ((contains(content, '_process(') AND contains(content, 'velocity'))::INT + least(len(regexp_extract_all(content, 'get_node\\(\"[^\"]*/[^\"]*\"\\)')), 5)) - 5 * ({N(r'(^|[^A-Za-z0-9_])\d{2,}')} > 3)::INT)::INT AS score")
-_file_columns("lnt15_rewritten", lambda: {"h": F.md5(F.regexp_replace(F.regexp_replace(F.regexp_replace(content(), r"range\(len\((\w+)\)\)", "$1.size()"), "(?m)[ \t]+$", ""), r"(?m)^export var", "@export var"))},
-              r"md5(regexp_replace(regexp_replace(regexp_replace(content, 'range\(len\((\w+)\)\)', '\1.size()', 'g'), '(?m)[ \t]+$', '', 'g'), '(?m)^export var', '@export var', 'g')) AS h")
 _file_columns("lnt19_line_numbers", lambda: {"line_no": F.coalesce(F.nullif(F.array_position(F.transform(F.split(content(), "\n", -1), lambda x: F.contains(x, F.lit("print("))), True), F.lit(0)), F.lit(-1)).cast("int")},
               "coalesce(nullif(list_position(list_transform(string_split(content, chr(10)), lambda x: contains(x, 'print(')), true), 0), -1)::INT AS line_no")
 PATHS = ["data/", "data/../", "data/a/../", "data/../../", "/data/", "data/x..y/"]
@@ -168,11 +164,6 @@ def win10(spark, d):
     return K.process_bodies(lines(spark, d), 1)
 
 
-@C("lnt4_global_state", rf"WITH {LINES}, s AS (SELECT *, coalesce(last_value(CASE WHEN regexp_matches(line, '^\s*func\s+\w+') THEN 1 WHEN regexp_matches(line, '^[^ \t\s#]') THEN 0 END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING), 0) AS inside FROM c) SELECT path, sum((inside = 0 AND regexp_matches(line, '^\s*(var|const)\s+\w+\s*[:=]'))::INT)::BIGINT AS class_vars FROM s GROUP BY path")
-def lnt4(spark, d):
-    return K.class_variables(lines(spark, d))
-
-
 DEPS = r"""e AS (SELECT path AS src, regexp_extract(line, '^extends "res://([^"]+)"', 1) AS dst, 'extends' AS kind FROM c WHERE regexp_matches(line, '^extends "res://([^"]+)"') UNION SELECT path, regexp_extract(line, 'preload\("res://([^"]+)"\)', 1), 'preload' FROM c WHERE regexp_matches(line, 'preload\("res://([^"]+)"\)'))"""
 
 
@@ -191,15 +182,6 @@ def jn4(spark, d):
     return K.dependencies(lines(spark, d)).groupBy("dst").agg(F.countDistinct("src").alias("users"))
 
 
-@C("jn5_jn17_resolved", "WITH n AS (SELECT p_partkey, lower(p_name) AS name FROM part), q AS (SELECT p_partkey AS q, split_part(lower(p_name), ' ', 2) AS base FROM part WHERE p_partkey % 50 = 0) SELECT q, min(p_partkey) AS p_partkey FROM q JOIN n ON split_part(name, ' ', 2) = base AND ends_with(name, base) GROUP BY q")
-def jn5(spark, d):
-    """Names resolved by their last part: an equi-join on it, then the suffix test, the first one wins."""
-    base = F.split_part(F.lower("p_name"), F.lit(" "), F.lit(2))
-    part = read(spark, d, "part").select("p_partkey", F.lower("p_name").alias("name"), base.alias("base"))
-    asked = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("q"), "base")
-    return asked.hint("merge").join(part, "base").filter(F.endswith("name", "base")).groupBy("q").agg(F.min("p_partkey").alias("p_partkey"))
-
-
 LINKS = "e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem)"
 
 
@@ -268,52 +250,11 @@ def grf8(spark, d):
     return gone.groupBy("path").agg(F.count("*").alias("missing"))
 
 
-@C("agg19_lnt18_validation", rf"WITH {SCENES} SELECT v AS is_valid, count(*) AS n FROM (SELECT path, NOT bool_or(contains(line, 'missing')) AS v FROM c GROUP BY path) GROUP BY v")
-def agg19(spark, d):
-    per = scenes(spark, d).groupBy("path").agg((~F.bool_or(F.coalesce(F.contains("value", F.lit("missing")), F.lit(False)))).alias("is_valid"))
-    return per.groupBy("is_valid").agg(F.count("*").alias("n"))
-
-
-WEIGHED = f"WITH {FILES}, x AS (SELECT path, category, severity, round(({{s}}) * ({{c}}) * (1 + 0.05 * cx), 6) AS score, length(path) + 50 AS cost FROM (SELECT path, ({COMPLEX}) AS cx, unnest(['Performance', 'Architecture', 'Documentation']) AS category, unnest(['high', 'medium', 'low']) AS severity, unnest([contains(content, 'print('), len(string_split(content, chr(10))) > 5, contains(content, 'TODO')]) AS hit FROM f) WHERE hit)".replace("{s}", "CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END").replace("{c}", "CASE category WHEN 'Performance' THEN 1.5 WHEN 'Architecture' THEN 1.3 ELSE 0.8 END")
-
-
-def _findings(spark, d):
-    """Findings of each file with a weight for severity, category and complexity."""
-    c = content()
-    rows = F.array(
-        F.when(c.contains("print("), F.struct(F.lit("Performance").alias("category"), F.lit("high").alias("severity"), F.lit(4.5).alias("w"))),
-        F.when(F.size(F.split(c, "\n", -1)) > 5, F.struct(F.lit("Architecture").alias("category"), F.lit("medium").alias("severity"), F.lit(2.6).alias("w"))),
-        F.when(c.contains("TODO"), F.struct(F.lit("Documentation").alias("category"), F.lit("low").alias("severity"), F.lit(0.8).alias("w"))),
-    )
-    out = files(spark, d).select("path", lint.complexity(c).alias("cx"), F.explode(F.array_compact(rows)).alias("f"))
-    return out.select("path", "f.category", "f.severity", F.round(F.col("f.w") * (1 + 0.05 * F.col("cx")), 6).alias("score"), (F.length("path") + 50).alias("cost"))
-
-
-@C("top10_priority", WEIGHED + ", b AS (SELECT *, sum(cost) OVER (PARTITION BY category ORDER BY score DESC, path) AS spent FROM x) SELECT path, category, spent::BIGINT AS spent FROM b WHERE spent <= 2000 OR severity = 'high'")
-def top10(spark, d):
-    """Within the budget by score; high severity always."""
-    f = _findings(spark, d)
-    run = F.sum("cost").over(W.partitionBy("category").orderBy(F.desc("score"), "path").rowsBetween(W.unboundedPreceding, 0))
-    return f.withColumn("spent", run).filter((F.col("spent") <= 2000) | (F.col("severity") == "high")).select("path", "category", "spent")
-
-
-@C("agg16_findings", WEIGHED + " SELECT category, severity, count(*) AS n FROM x GROUP BY ALL")
-def agg16(spark, d):
-    return _findings(spark, d).groupBy("category", "severity").agg(F.count("*").alias("n"))
-
-
 @C("agg17_project_map", f"WITH {FILES} SELECT count(*) AS scripts, sum(len(string_split(content, chr(10))))::BIGINT AS n_lines, count(*) FILTER (contains(content, 'print(')) AS with_prints FROM f")
 def agg17(spark, d):
     return files(spark, d).agg(F.count("*").alias("scripts"), F.sum(F.size(F.split("content", "\n", -1))).alias("n_lines"), F.count_if(F.contains("content", F.lit("print("))).alias("with_prints"))
 
 
-@C("agg20_jn11_cascade", f"WITH {LINES}, {DEPS}, w AS (SELECT e.dst, e.src, CASE WHEN e.kind = 'extends' THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM e) SELECT dst, count(*) AS warnings, count(*) FILTER (severity = 'HIGH') AS high, NOT bool_or(severity = 'HIGH') AS safe FROM w GROUP BY dst")
-def agg20(spark, d):
-    """What a change of a file touches: warnings by severity."""
-    e = K.dependencies(lines(spark, d)).withColumn("high", F.col("kind") == "extends")
-    return e.groupBy("dst").agg(F.count("*").alias("warnings"), F.count_if("high").alias("high"), (~F.bool_or("high")).alias("safe"))
-
-
 @C("set3_lnt16_removed_variables", rf"WITH {FILES}, v AS (SELECT path, list_distinct(regexp_extract_all(content, 'var (\w+)', 1)) AS v, split_part(path, '/', 1) AS s, regexp_extract(path, '/(\d+)', 1)::INT AS n FROM f) SELECT a.path, len(list_filter(a.v, lambda x: NOT list_contains(coalesce(b.v, []), x)))::INT AS removed FROM v a LEFT JOIN v b ON a.s = b.s AND b.n = a.n + 20")
 def set3(spark, d):
     """Variables of a script that the next one of its project lacks."""
@@ -352,22 +293,6 @@ def txt12(spark, d):
     return files(spark, d).select("path", F.array_join(kept, "\n").alias("code"))
 
 
-@C("win12_functions", f"WITH {LINES} SELECT path, line_no, regexp_extract(line, '^func\\s+(\\w+)', 1) AS name FROM c WHERE regexp_matches(line, '^func\\s+[a-m]\\w*')")
-def win12(spark, d):
-    return lines(spark, d).filter(F.col("line").rlike(r"^func\s+[a-m]\w*")).select("path", "line_no", F.regexp_extract("line", r"^func\s+(\w+)", 1).alias("name"))
-
-
-@C("win11_extents", f"WITH {LINES}, b AS (SELECT *, min(CASE WHEN regexp_matches(line, '^[^\\s]') THEN line_no END) OVER (PARTITION BY path ORDER BY line_no ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, max(line_no) OVER (PARTITION BY path) AS n FROM c) SELECT path, line_no, coalesce(nxt, n + 1)::INT AS end_line FROM b WHERE regexp_matches(line, '^func\\s')")
-def win11(spark, d):
-    """From a function to the next line that isn't indented. Looking back from the end needs one pass."""
-    back = W.partitionBy("path").orderBy(F.desc("line_no"))
-    edge = F.when(F.col("line").rlike(r"^[^\s]"), F.col("line_no"))
-    out = lines(spark, d).withColumn("nxt", F.last(edge, True).over(back.rowsBetween(W.unboundedPreceding, -1))).withColumn("n", F.max("line_no").over(W.partitionBy("path")))
-    return out.filter(F.col("line").rlike(r"^func\s")).select("path", "line_no", F.coalesce("nxt", F.col("n") + 1).alias("end_line"))
-
-
-
-
 @C("win4_packed_blocks")
 def win4(spark, d):
     from ..operators.feedback import packed
@@ -382,13 +307,6 @@ _file_columns("cls17_quality_gate", lambda: {"score": F.round((100 - F.when(F.le
               "round((100 - CASE WHEN length(content) = 0 THEN 50 ELSE 0 END - CASE WHEN contains(content, '#') THEN 0 ELSE 10 END) / 100, 2) AS score, length(content) > 0 AS passed")
 
 
-@C("lnt8_syntax_lines", f"WITH {LINES} SELECT path, line_no, CASE WHEN regexp_matches(line, '^ ') THEN 'spaces' WHEN contains(line, 'emit_signal(') THEN 'emit_signal' WHEN regexp_matches(line, '\\bsetget\\b') THEN 'setget' WHEN regexp_matches(line, '^func\\s+\\w+\\(.*\\):') THEN 'untyped' END AS issue FROM c WHERE regexp_matches(line, '^ ') OR contains(line, 'emit_signal(') OR regexp_matches(line, '\\bsetget\\b') OR regexp_matches(line, '^func\\s+\\w+\\(.*\\):')")
-def lnt8(spark, d):
-    line = F.col("line")
-    issue = F.when(line.rlike("^ "), "spaces").when(line.contains("emit_signal("), "emit_signal").when(line.rlike(r"\bsetget\b"), "setget").when(line.rlike(r"^func\s+\w+\(.*\):"), "untyped")
-    return lines(spark, d).select("path", "line_no", issue.alias("issue")).filter("issue IS NOT NULL")
-
-
 @C("lnt13_lnt14_registered", f"WITH {FILES} SELECT path, regexp_matches(content, 'base\\.gd') AS registered FROM f")
 def lnt13(spark, d):
     return files(spark, d).select("path", F.col("content").rlike(r"base\.gd").alias("registered"))
@@ -403,18 +321,3 @@ def lnt17(spark, d):
     return files(spark, d).select("path", (has("loop") | loops).alias("loop_hint"), has("too long").alias("split_hint"))
 
 
-@C("jn16_top13_expanded", f"WITH {LINES}, {DEPS}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM (SELECT DISTINCT src, dst FROM e)) SELECT src, dst FROM r WHERE r <= 2")
-def jn16(spark, d):
-    """A file and the first two it depends on."""
-    e = K.dependencies(lines(spark, d)).select("src", "dst").distinct()
-    return V.last_n(e, ["src"], [F.col("dst")], 2).select("src", "dst")
-
-
-@C("grf6_hierarchy", f"WITH {SCENES}, {HEADS}, n AS (SELECT path, line_no, regexp_extract(line, 'name=.([^\\x22]*)\\x22', 1) AS name, contains(line, 'parent=') AS child, last_value(CASE WHEN NOT contains(line, 'parent=') THEN line_no END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS root FROM sc WHERE section = 'node') SELECT n.path, n.line_no, CASE WHEN n.child AND r.name IS NOT NULL THEN r.name || '/' || n.name ELSE n.name END AS full_path, (n.child AND r.name IS NOT NULL)::INT AS depth FROM n LEFT JOIN n r ON n.path = r.path AND n.root = r.line_no")
-def grf6(spark, d):
-    """Full path and depth of nodes: children stand under the root above them."""
-    nodes = scenes(spark, d).filter("section = 'node'").select("path", "line_no", F.col("a_name").alias("name"), F.col("a_parent").isNotNull().alias("child"))
-    root = F.last(F.when(~F.col("child"), F.col("name")), True).over(W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0))
-    under = nodes.withColumn("root", root)
-    deep = F.col("child") & F.col("root").isNotNull()
-    return under.select("path", "line_no", F.when(deep, F.concat_ws("/", "root", "name")).otherwise(F.col("name")).alias("full_path"), deep.cast("int").alias("depth"))

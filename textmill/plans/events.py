@@ -71,7 +71,7 @@ def str10(spark, d):
 @C("win15_eviction", "WITH u AS (SELECT user_id, event_type, count(*) AS hits, max(ts) AS last FROM events GROUP BY ALL), x AS (SELECT *, sum(hits) OVER (PARTITION BY event_type ORDER BY hits DESC, last DESC, user_id) AS s FROM u) SELECT event_type, user_id, hits FROM x WHERE s <= 500")
 def win15(spark, d):
     used = events(spark, d).groupBy("user_id", "event_type").agg(F.count("*").alias("hits"), F.max("ts").alias("last"))
-    return V.within_budget(used, ["event_type"], [F.desc("hits"), F.desc("last"), F.col("user_id")], F.col("hits"), 500).select("event_type", "user_id", "hits")
+    return V.within_budget(used, ["event_type"], [F.desc("hits"), F.desc("last"), F.col("user_id")], F.col("hits"), 500, least=1).select("event_type", "user_id", "hits")
 
 
 @C("win16_similar_fix", "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS similar FROM events")

@@ -270,7 +270,8 @@ def win9(spark, d):
 
 @C("win14_byte_cap", "WITH x AS (SELECT doc_id, source, sum(strlen(text)) OVER (PARTITION BY source ORDER BY doc_id DESC) AS s FROM documents) SELECT source, count(*) AS kept, min(doc_id) AS oldest FROM x WHERE s <= 20000 GROUP BY source")
 def win14(spark, d):
-    kept = V.within_budget(read(spark, d, "documents"), ["source"], [F.desc("doc_id")], F.octet_length("text"), 20000)
+    sizes = read(spark, d, "documents").select("source", "doc_id", F.octet_length("text").alias("n"))
+    kept = V.within_budget(sizes, ["source"], [F.desc("doc_id")], F.col("n"), 20000, least=1, free=True)
     return kept.groupBy("source").agg(F.count("*").alias("kept"), F.min("doc_id").alias("oldest"))
 
 
