@@ -276,3 +276,69 @@ def topic_word(text: Column) -> Column:
     """The first word longer than 3 that is no question word."""
     words = F.filter(F.split(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")), " "), lambda w: (F.length(w) > 3) & ~w.isin(TOPIC_STOP))
     return F.when(F.size(words) > 0, words[0]).otherwise("that topic")
+
+
+# Patterns of the second set of fast intents, in order; the last only for short texts.
+FAST_2 = {
+    "greeting": [r"^\s*(hi|hello|hey|yo|hola|greetings)\b", r"^\s*(good\s+(morning|afternoon|evening|night))\b", r"^\s*(how\s+are\s+you|whats?\s*up|sup|yo)\b"],
+    "status": [r"^\s*(status|stats)\b", r"\bhow\s+(many|much)\s+(scripts|scenes|files)\b", r"\bcount\s+(scripts|scenes|files)\b"],
+    "quick_help": [r"^(help|what\s+can\s+you\s+do|commands|features)\b", r"^\s*thanks?\b", r"^(bye|goodbye|see\s+you|later)\b"],
+    "explain": [r"^(what\s+is|define|explain)\s+", r"\s+mean(ing)?\s*[?]?\s*$"],
+}
+# Words of the file-aware intents.
+FILE_DEBUG = ["fix", "bug", "error", "debug", "crash", "broken", "fail", "exception"]
+FILE_BUILD = ["create", "make", "implement", "generate", "write", "add", "build", "new"]
+FILE_CHANGE = ["optimize", "improve", "refactor", "clean", "simplify"]
+FILE_ANALYZE = ["analyze", "list", "find", "show", "review", "check", "issues", "problems", "describe", "what do you think", "how is my", "rate my", "feedback on"]
+FILE_NAME = r"([\w\-]+\.gd)"
+# What a task is reduced to by its action, where no issue decides: focus, instruction, limit.
+BY_ACTION = {
+    "optimize": ("code structure", "reduce redundancy, improve readability, and apply Godot best practices", "max 25 lines"),
+    "debug": ("bug fix", "identify and fix the root cause of the reported issue", "max 30 lines"),
+    "build": ("new feature", "implement the requested functionality following Godot conventions", "max 30 lines"),
+}
+
+
+def fast_intent_by_patterns(text: Column, short: int = 60) -> Column:
+    """The first set with a pattern in the trimmed text; explanations only of texts under ``short``; else complex."""
+    t, out = F.trim(text), None
+    for name, patterns in FAST_2.items():
+        test = F.greatest(*[t.rlike("(?i)" + p) for p in patterns])
+        test = test & (F.length(t) < short) if name == "explain" else test
+        out = (F if out is None else out).when(test, name)
+    return out.otherwise("complex")
+
+
+def file_name(text: Column) -> Column:
+    """The first script name in a text, null if there is none."""
+    return F.nullif(F.regexp_extract(F.lower(text), FILE_NAME, 1), F.lit(""))
+
+
+def file_aware_intent(text: Column) -> Column:
+    """debug, build, then changes and analyses, which are a generation where the text names a file."""
+    named = file_name(text).isNotNull()
+    return (
+        F.when(any_of(text, FILE_DEBUG), "debug").when(any_of(text, FILE_BUILD), "build")
+        .when(named & any_of(text, FILE_CHANGE + FILE_ANALYZE), "generate")
+        .when(any_of(text, FILE_ANALYZE), "analyze").otherwise("chat")
+    )
+
+
+def reduced_task(issues: Column, action: Column) -> Column:
+    """Struct of focus, instruction and limit: by the issues' words, else by the action; null if neither decides."""
+    row = lambda fields: F.struct(*[F.lit(v).alias(k) for k, v in zip(("focus", "instruction", "limit"), fields)])
+    out = None
+    for words, *fields in REDUCTIONS:
+        out = (F if out is None else out).when(any_of(issues, words), row(fields))
+    for name, fields in BY_ACTION.items():
+        out = out.when(action == name, row(fields))
+    return out
+
+
+def response_style(level: Column, heat: Column) -> Column:
+    """Struct of style, detail and tone from expertise and temperature."""
+    return F.struct(
+        F.when(level == "beginner", "educational").when(level == "advanced", "concise").otherwise("balanced").alias("style"),
+        F.when(level == "beginner", "high").when(level == "advanced", "low").otherwise("medium").alias("detail"),
+        F.when(heat > 0.7, "creative").when(heat < 0.3, "precise").otherwise("balanced").alias("tone"),
+    )

@@ -278,3 +278,11 @@ def validated(paths: DataFrame, resources: DataFrame, syntax: DataFrame) -> Data
     out = paths.hint("merge").join(errors, "path", "left")
     n = F.when(known, F.coalesce("n", F.lit(0))).otherwise(1)
     return out.select("path", n.cast("long").alias("n_errors"), (n == 0).alias("is_valid"))
+
+
+def attachments(rows: DataFrame) -> DataFrame:
+    """Scene rows -> (script, scene, node): the scripts that nodes hold by a resource's id."""
+    res = rows.filter("section = 'ext_resource'").select("path", F.col("a_id").alias("id"), F.regexp_replace("a_path", "^res://", "").alias("script"))
+    owners = rows.filter("section = 'node'").select("path", F.col("line_no").alias("owner"), F.col("a_name").alias("node"))
+    held = rows.filter("key = 'script'").select("path", "owner", F.regexp_extract("value", r'ExtResource\("([^"]*)"', 1).alias("id"))
+    return held.hint("merge").join(res, ["path", "id"]).hint("merge").join(owners, ["path", "owner"]).select("script", F.col("path").alias("scene"), "node")
