@@ -102,6 +102,10 @@ class Handlers:
     def register(self, name: str, handler: Callable[[DataFrame], DataFrame], **about: str) -> None:
         self.by_name[name], self.about[name] = handler, about
 
+    def names(self, **about: str) -> list[str]:
+        """Names in the order of registration, of those whose metadata hold all that is asked."""
+        return [n for n in self.by_name if about.items() <= self.about[n].items()]
+
     def execute(self, rows: DataFrame) -> DataFrame:
         if not self.by_name:
             raise ValueError("no handler is registered")

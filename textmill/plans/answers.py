@@ -6,6 +6,7 @@ from __future__ import annotations
 from ..functions import rules, shapes
 from ..operators import analysis as A
 from ..operators import code as K
+from ..sources import pluggable
 from ._base import Catalog, F, quoted, read, sql_any, sql_first
 
 C = Catalog()
@@ -142,3 +143,10 @@ def jn4(spark, d):
 def agg15(spark, d):
     """The five scripts that most scenes use."""
     return attached(spark, d).groupBy("script").agg(F.countDistinct("scene").alias("scenes"), F.count("*").alias("nodes")).orderBy(F.desc("scenes"), "script").limit(5)
+
+
+@C("src12_shaped_entries", "WITH e AS (SELECT DISTINCT 'Topic: ' || lang || chr(10) || 'Source: ' || source || chr(10) || chr(10) || text AS content FROM documents WHERE lang IS NOT NULL AND doc_id % 7 <> 0 AND length(trim(text)) > 0) SELECT md5(content) AS hash, length(content)::INT AS n FROM e")
+def src12(spark, d):
+    """Documents as entries on their language; every seventh lacks its extract."""
+    rows = read(spark, d, "documents").filter("lang IS NOT NULL").select(F.col("lang").alias("topic"), "source", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("extract"))
+    return pluggable.entries(rows).select("hash", F.length("content").alias("n"))

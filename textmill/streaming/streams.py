@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.feedback import learn
+from ..operators.feedback import Handlers, learn
 
 
 def event_stream(spark: SparkSession, path: str, schema, delay: str = "10 minutes", files_per_trigger: int = 1000) -> DataFrame:
@@ -116,6 +116,25 @@ def ingest(pages: DataFrame, distil: Callable[[DataFrame], DataFrame], store: st
     return pages.writeStream.foreachBatch(cycle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(postings: DataFrame, store: DataFrame, key: str = "url") -> DataFrame:
+    """The postings of each key's last stored version: those of a page that changed since are left out.
+    ``postings`` and ``store`` are what ingest wrote, with its column ``batch``; a row of either holds the key."""
+    last = store.groupBy(key).agg(F.max("batch").alias("batch"))
+    return postings.hint("merge").join(last, [key, "batch"], "left_semi")
+
+
+def handled(requests: DataFrame, handlers: Handlers, sink: str, checkpoint: str) -> StreamingQuery:
+    """Requests with a column ``handler`` run through their handlers, batch by batch, into parquet. A batch that
+    is run again overwrites its own part."""
+
+    def answer(batch: DataFrame, number: int) -> None:
+        kept = batch.persist()
+        handlers.execute(kept).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        kept.unpersist()
+
+    return requests.writeStream.foreachBatch(answer).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_end(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """A finite stream into memory, for tests and small results."""
     q: Any = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
