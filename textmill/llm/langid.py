@@ -95,6 +95,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def _shares(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct features of one text and the share of each. Training takes the texts one by one, so that the driver
+    never holds the n-grams of the whole sample."""
+    found = features([text], buckets)[0]
+    seen, n = np.unique(found, return_counts=True)
+    return seen, n / max(1, len(found))
+
+
 def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 12, epochs: int = 12, batch: int = 64, rate: float = 2.0, seed: int = 7, reject: float = 0.001) -> Model:
     labels = sorted(set(langs))
     if not labels:
@@ -102,11 +110,7 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
     rng = np.random.default_rng(seed)
     table, weights, bias = rng.normal(0, 1 / dim, (buckets, dim)), np.zeros((dim, len(labels))), np.zeros(len(labels))
     weights += rng.normal(0, 0.1, weights.shape)
-    found, first = features(texts, buckets)
-    rows = []  # distinct features of a text, with their share
-    for a, b in zip(first[:-1], first[1:]):
-        u, n = np.unique(found[a:b], return_counts=True)
-        rows.append((u, n / max(1, b - a)))
+    rows = [_shares(t, buckets) for t in texts]
     y = np.array([labels.index(x) for x in langs])
     usable = np.array([i for i in rng.permutation(len(texts)) if len(rows[i][0])], np.int64)
     back = usable[: len(usable) // 5]
@@ -130,7 +134,8 @@ def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int =
             bias -= step * error.sum(axis=0)
             for d in range(dim):
                 table[:, d] -= step * 50 * np.bincount(u, down[:, d], buckets)  # a bucket is seen seldom
-    odds = gathered(back)[3] @ weights + bias if len(back) else np.zeros((0, len(labels)))
+    parts = np.array_split(back, -(-len(back) // batch)) if len(back) else []
+    odds = np.concatenate([np.zeros((0, len(labels))), *(gathered(part)[3] @ weights + bias for part in parts)])
 
     def loss(t: float) -> float:  # a hundredth of the weight on all classes alike keeps certainty finite where no text was mistaken
         logs = np.log(_softmax(odds / t) + 1e-12)
