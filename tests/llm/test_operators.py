@@ -341,6 +341,17 @@ def test_lines_of_odd_input(odd, nothing):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_line_keys_are_stripped_at_the_two_ends_only(spark):
+    ends = ["", " ", "\u0085", "\u2028", "\u2029", " \u0085", "\u0085 ", " \u2028\t", "\u2029\r", "\t\u2029"]
+    rows = [(i, f"mnopqrstuvwx{e}") for i, e in enumerate(ends)] + [(50 + i, f"{e}mnopqrstuvwx") for i, e in enumerate(ends)]
+    key = lambda x: re.sub(r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\Z", "", x)
+    first = {}
+    for i, x in rows:
+        first.setdefault(key(x), i)
+    got = {r.doc_id: r.n_dropped for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: int(first[key(x)] != i) for i, x in rows} and 0 < sum(got.values()) < len(rows) - 1
+
+
 def test_lines_over_three_documents(spark):
     df = spark.createDataFrame([(i, f"a common line of text\nline number {i} alone") for i in range(3)] + [(9, "twice in one text\ntwice in one text")], "doc_id long, text string")
     got = {r.doc_id: r.n_dropped for r in linededup.drop_repeated_lines(df, min_docs=3).collect()}
@@ -593,6 +604,16 @@ def test_a_hot_id_doesnt_widen_the_sample(spark, monkeypatch):
     assert taken == [20]
 
 
+def test_training_equals_plain_training_on_the_same_rows(spark, docs):
+    """Shares made in tasks are those of the texts; the sample is bounded in rows and in labels."""
+    few = docs.filter("lang IS NOT NULL")
+    model = langid.fit(few, per_class=10**6, most_rows=10**6)
+    rows = sorted((r for r in few.withColumn("h", F.xxhash64("text")).filter(~langid.held_out(F.col("doc_id"))).collect()), key=lambda r: (r.doc_id, r.lang, r.h))
+    want = langid.train([langid.shares(r.text or "", langid.BUCKETS) for r in rows], [r.lang for r in rows])
+    assert model.labels == want.labels and np.allclose(model.table, want.table) and model.threshold == pytest.approx(want.threshold)
+    assert len(langid.fit(few, most_labels=2).labels) == 2
+
+
 def test_without_languages_only_texts_without_letters_are_rejected(odd):
     bare = odd.withColumn("lang", F.lit(None).cast("string"))
     assert langid.accepted(bare, langid.fit(bare)).count() == len(ODD) - 3

@@ -3,7 +3,9 @@
 A text's features are its character 2- and 3-grams (letters in lower case, everything else one
 space), hashed into ``buckets`` rows of an embedding table. Table and softmax are trained together
 by stochastic gradient descent in numpy, on a bounded sample: ``per_class`` documents of each
-language at most, the first by a hash of the id. On a part of the sample kept back, a temperature
+language at most and ``most_rows`` in all, the first by a hash of the id; of more than ``most_labels`` languages
+those with most documents are learned. Tasks turn the sample's texts into feature shares; the
+driver gets these numbers, never a text. On a part of the sample kept back, a temperature
 is fitted, so that scores are probabilities, and a score below which predictions are rejected:
 three quarters of the way, in log-odds, from chance to what all but a ``reject`` share of those texts reach.
 As the softmax is linear in the average, the tasks get one row of class scores a bucket.
@@ -28,6 +30,7 @@ from pyspark.sql.window import Window as W
 
 from ._text import kept_rows, slices
 
+BUCKETS = 1 << 16
 SCHEMA = "doc_id long, lang_pred string, score double, rejected boolean"
 
 
@@ -95,24 +98,24 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
-def _shares(text: str, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct features of one text and the share of each. Training takes the texts one by one, so that the driver
-    never holds the n-grams of the whole sample."""
+Shares = tuple[np.ndarray, np.ndarray]  # distinct features of one text and the share of each
+
+
+def shares(text: str, buckets: int) -> Shares:
     found = features([text], buckets)[0]
     seen, n = np.unique(found, return_counts=True)
-    return seen, n / max(1, len(found))
+    return seen.astype(np.int32), (n / max(1, len(found))).astype(np.float32)
 
 
-def train(texts: list[str], langs: list[str], buckets: int = 1 << 16, dim: int = 12, epochs: int = 12, batch: int = 64, rate: float = 2.0, seed: int = 7, reject: float = 0.001) -> Model:
+def train(rows: list[Shares], langs: list[str], buckets: int = BUCKETS, dim: int = 12, epochs: int = 12, batch: int = 64, rate: float = 2.0, seed: int = 7, reject: float = 0.001) -> Model:
     labels = sorted(set(langs))
     if not labels:
         return Model([], np.zeros((buckets, 0)), np.zeros(0), 1.0, 1.0)
     rng = np.random.default_rng(seed)
     table, weights, bias = rng.normal(0, 1 / dim, (buckets, dim)), np.zeros((dim, len(labels))), np.zeros(len(labels))
     weights += rng.normal(0, 0.1, weights.shape)
-    rows = [_shares(t, buckets) for t in texts]
     y = np.array([labels.index(x) for x in langs])
-    usable = np.array([i for i in rng.permutation(len(texts)) if len(rows[i][0])], np.int64)
+    usable = np.array([i for i in rng.permutation(len(rows)) if len(rows[i][0])], np.int64)
     back = usable[: len(usable) // 5]
     learn = usable[len(back) :] if len(usable) > 1 else usable
 
@@ -153,22 +156,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_class: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Trains on at most ``per_class`` rows of each language outside the held-out fold."""
+def _sampled(sample: DataFrame, buckets: int) -> pa.Table:
+    """(i, lang, h, seen, share) of the rows (i, lang, h, t): what training needs of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 3, 1 << 19):
+                got = [shares(t or "", buckets) for t in part.column(3).to_pylist()]
+                seen, share = (pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(g[0]) for g in got]), pa.int32()), pa.array(np.concatenate([g[x] for g in got]), kind)) for x, kind in ((0, pa.int32()), (1, pa.float32())))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), seen, share], ["i", "lang", "h", "seen", "share"])
+
+    return sample.select("i", "lang", "h", "t").mapInArrow(run, f"i {sample.schema['i'].dataType.simpleString()}, lang string, h long, seen array<int>, share array<float>").toArrow()
+
+
+def fit(docs: DataFrame, per_class: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 4000, most_labels: int = 64) -> Model:
+    """Trains on at most ``per_class`` rows of each language outside the held-out fold, ``most_rows`` in all."""
     rows = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).filter(F.col("lang").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
+    largest = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()]
+    if not largest:
+        return train([], [])
+    rows = rows.filter(F.col("lang").isin(largest))
+    most = min(per_class, max(1, most_rows // len(largest)))
 
     def first(df: DataFrame, *order: Column) -> DataFrame:
         rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("i"), "i", *order))  # each task keeps its first rows only, before the shuffle
-        return df.withColumn("r", rank).filter(F.col("r") <= per_class).drop("r")
+        return df.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
 
     # ids first, so that texts of few rows only are shuffled; a chosen id may stand in many rows, so the rows are ranked again
     ids = first(rows.drop("t")).select("i").distinct().collect()
-    if not ids:
-        return train([], [])
     chosen = rows.join(F.broadcast(docs.sparkSession.createDataFrame(ids, rows.select("i").schema)), "i", "left_semi")
-    sample = first(chosen, F.xxhash64("t")).collect()
-    sample.sort(key=lambda r: (r.i, r.lang, r.t or ""))
-    return train([r.t or "" for r in sample], [r.lang for r in sample])
+    got = _sampled(first(chosen.withColumn("h", F.xxhash64("t")), F.col("h")), BUCKETS).sort_by([("i", "ascending"), ("lang", "ascending"), ("h", "ascending")])
+    values = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(got["seen"], got["share"])]
+    return train(values, got["lang"].to_pylist())
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,8 @@ def _lines(text: Column) -> Column:
 
 
 def line_key(line: Column) -> Column:
-    return ascii_lower(F.regexp_replace(line, f"^{BLANKS}+|{BLANKS}+$", ""))
+    """``\\z``, not ``$``, which also matches before a last U+0085, U+2028 or U+2029."""
+    return ascii_lower(F.regexp_replace(line, rf"\A{BLANKS}+|{BLANKS}+\z", ""))
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
