@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, with production parameters, and their SQL."""
+"""Registered queries of the operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -8,10 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bytebpe, decontam, langid, licences, linededup, sharding, simhash, substrings, tokencount, topk
+from . import bytebpe, decontam, langid, licences, linededup, merkle, sharding, simhash, spelling, substrings, tokencount, topk, urlfilter
+from ._text import LOWER, UPPER, ascii_lower
 
 SHARDS = 16
 TOKEN_LIMIT = 2048
+URL_RULES = [urlfilter.Rule("block", "net"), urlfilter.Rule("allow", "example.net", "/en/"), urlfilter.Rule("block", "example.com", "/de/"), urlfilter.Rule("allow", "org", "/fr/")]
+MANIFEST_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -66,6 +69,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return urlfilter.judge(pages, URL_RULES, urlfilter.fit(urlfilter.labelled_by_rules(pages, URL_RULES)))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    lowered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text")))  # as checked later: some texts have changed
+    out = merkle.manifest(docs, MANIFEST_FIELDS, lowered)
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_decontamination": op2_decontamination,
@@ -77,8 +96,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
+    "op11_url_filter": op11_url_filter,
+    "op12_merkle": op12_merkle,
+    "op13_spelling": op13_spelling,
 }
 
+# crc32 of a text's UTF-8 bytes, as a table of 256 entries and a fold
+CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+BYTES = "list_transform(range(1, octet_length(encode({0})) + 1), lambda i: 16 * (instr('0123456789ABCDEF', substr(hex(encode({0})), 2 * i - 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(encode({0})), 2 * i, 1)) - 1)"
+CRC = "xor(list_reduce({0}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+TO_LOWER = f"translate({{0}}, '{UPPER}', '{LOWER}')"
+FIELD = "coalesce(octet_length(encode({0}::VARCHAR))::VARCHAR || ':' || {0}::VARCHAR, '-')"
+LEAF = "sha256(" + " || ".join(FIELD.format(f) for f in MANIFEST_FIELDS[:-1])
+
 # fmt: off
 ORACLES: dict[str, str] = {
     "op4_line_dedup": r"""
@@ -126,5 +156,40 @@ f AS (SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first) FILTER (bas
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN f USING (doc_id)""",
+    "op12_merkle": rf"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+l AS (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, '') AS g, {LEAF} || {FIELD.format("text")}) AS leaf, CASE WHEN {CRC.format(BYTES.format("doc_id::VARCHAR"))} % 3 = 0
+  THEN {LEAF} || {FIELD.format(TO_LOWER.format("text"))}) END AS changed FROM documents, crc),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM l),
+a(g, lvl, pos, n, h) AS (SELECT g, 0, pos, count(*) OVER (PARTITION BY g), leaf FROM o
+  UNION ALL SELECT g, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM a WHERE n > 1 GROUP BY g, lvl, pos // 8, n),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY encode(g)) - 1 AS gpos FROM a WHERE n = 1),
+b(lvl, pos, n, h) AS (SELECT 0, gpos, count(*) OVER (), subroot FROM s
+  UNION ALL SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM b WHERE n > 1 GROUP BY lvl, pos // 8, n),
+top AS (SELECT max(lvl) AS lvl FROM b), high AS (SELECT g, max(lvl) AS lvl FROM a GROUP BY g),
+w AS (SELECT o.r, x.lvl, x.pos, x.h, o.pos // (8 ** x.lvl)::BIGINT AS me FROM o JOIN high ON o.g = high.g JOIN a x ON x.g = o.g AND x.lvl < high.lvl AND x.pos // 8 = o.pos // (8 ** (x.lvl + 1))::BIGINT
+  UNION ALL SELECT o.r, high.lvl + x.lvl, x.pos, x.h, s.gpos // (8 ** x.lvl)::BIGINT FROM o JOIN s ON o.g = s.g JOIN high ON o.g = high.g JOIN b x ON x.n > 1 AND x.pos // 8 = s.gpos // (8 ** (x.lvl + 1))::BIGINT),
+v AS (SELECT r, lvl, coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos < me), '') AS bef, coalesce(string_agg(h, '' ORDER BY pos) FILTER (pos > me), '') AS aft FROM w GROUP BY r, lvl),
+p AS (SELECT r, sha256(string_agg(bef || aft, '' ORDER BY lvl)) AS proof FROM v GROUP BY r),
+f(r, lvl, h) AS (SELECT r, 0, coalesce(changed, leaf) FROM o UNION ALL SELECT f.r, f.lvl + 1, sha256(bef || f.h || aft) FROM f JOIN v ON v.r = f.r AND v.lvl = f.lvl),
+e AS (SELECT r, arg_max(h, lvl) AS folded FROM f GROUP BY r)
+SELECT o.doc_id, o.leaf, s.subroot, b.h AS root, coalesce(p.proof, sha256('')) AS proof_sha256, e.folded AS folded_root, e.folded = b.h AS verified
+FROM o JOIN s ON o.g = s.g JOIN e ON e.r = o.r LEFT JOIN p ON p.r = o.r JOIN b ON b.n = 1""",
+    "op13_spelling": rf"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE} AS t),
+u AS (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all({TO_LOWER.format("text")}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+k AS (SELECT d || ':' || run AS key, run, count(*) AS times FROM u WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT run, times, {CRC.format(BYTES.format("key"))} AS h FROM k, crc),
+x AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, times FROM h),
+w AS (SELECT word, sum(times)::BIGINT AS n FROM x WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+c AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+m AS (SELECT word, n, i, substr(word, 1, i - 1) AS bef, substr(word, i + 1) AS aft FROM c),
+e AS (SELECT a.word, b.word AS other FROM m a JOIN m b ON a.i = b.i AND a.bef = b.bef AND a.aft = b.aft AND a.word <> b.word
+  UNION SELECT m.word, w.word FROM m JOIN w ON w.word = m.bef || m.aft
+  UNION SELECT w.word, m.word FROM m JOIN w ON w.word = m.bef || m.aft),
+f AS (SELECT e.word, count(*) AS n_near, min(struct_pack(a := -o.n, b := encode(e.other), c := e.other)) AS best FROM e JOIN w o ON o.word = e.other GROUP BY e.word),
+g AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.a >= 5 * w.n THEN best.c END AS form, CASE WHEN -best.a >= 5 * w.n THEN -best.a END AS form_n FROM w LEFT JOIN f ON f.word = w.word),
+r(word, root, lvl) AS (SELECT word, word, 0 FROM g UNION ALL SELECT r.word, g.form, lvl + 1 FROM r JOIN g ON g.word = r.root WHERE g.form IS NOT NULL)
+SELECT g.word, form, z.root, n, n_near, form_n::BIGINT AS form_n FROM g JOIN (SELECT word, arg_max(root, lvl) AS root FROM r GROUP BY word) z ON z.word = g.word""",
 }
 # fmt: on
