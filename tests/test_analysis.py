@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from textmill.functions import lint
 from textmill.operators import analysis as A
 from textmill.operators import code as K
+from textmill.operators import trees
 
 
 def files(spark, **texts):
@@ -70,7 +71,7 @@ def test_unsafe_recursion_and_guards(spark):
 
 def test_hierarchy_of_any_depth(spark):
     rows = [("s", 1, "root", "."), ("s", 2, "a", "root"), ("s", 3, "b", "a"), ("s", 4, "c", "b"), ("s", 5, "d", "gone"), ("s", 6, "p", "q"), ("s", 7, "q", "p"), ("t", 1, "a", None)]
-    out = {(r.path, r.name): (r.full_path, r.depth) for r in A.hierarchy(spark.createDataFrame(rows, "path string, line_no int, name string, parent string")).collect()}
+    out = {(r.path, r.name): (r.full_path, r.depth) for r in trees.hierarchy(spark.createDataFrame(rows, "path string, line_no int, name string, parent string")).collect()}
     assert out == {
         ("s", "root"): ("root", 0), ("s", "a"): ("root/a", 1), ("s", "b"): ("root/a/b", 2), ("s", "c"): ("root/a/b/c", 3),
         ("s", "d"): ("gone/d", 1), ("s", "p"): ("q/p", 1), ("s", "q"): ("p/q", 1), ("t", "a"): ("a", 0),

@@ -154,20 +154,12 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).count() == 3
 
 
-def test_stream_sessions_and_cooldown_equal_batch(spark, tmp_path):
+def test_rolling_metrics_count_all_events(spark, tmp_path):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     events.repartition(1).write.parquet(str(tmp_path / "e"))
     stream = streams.event_stream(spark, str(tmp_path / "e"), events.schema)
-    got = streams.run_to_end(streams.sessions(stream), "s1").count()
-    assert got in (windows.sessions(events).count(), windows.sessions(events).count() - 1)
-    accepted = streams.run_to_end(streams.cooldown(stream, 6 * 3600), "s2")
-    batch = windows.cooled(events.select("event_id", "user_id", "ts"), 6 * 3600)
-    assert sorted(r.event_id for r in accepted.collect()) == sorted(r.event_id for r in batch.collect())
     rolled = streams.run_to_end(streams.rolling_metrics(stream), "s3", "complete")
     assert rolled.agg(F.sum("n")).first()[0] == events.count()
-    looked = stream.select(F.col("event_type").alias("key"), "event_id", "ts")
-    hits = streams.run_to_end(streams.response_cache(looked, 3600), "s4")
-    assert hits.count() == events.count() and hits.filter("hit").count() > 0
 
 
 def test_ingest_stores_each_content_once(spark, tmp_path):
@@ -254,9 +246,9 @@ def test_folds_hold_no_whole_group(spark):
     many = spark.range(12_000).selectExpr("if(id % 3 = 0, 'b', 'a') AS category", "id AS event_id", "array('x', 'y', string(id)) AS keywords")
     learned = feedback.learned_patterns(many)
     assert sorted((r.category, r.success_count) for r in learned.collect()) == [("a", 8000), ("b", 4000)]
-    for df in (got, learned):
-        plan = df._jdf.queryExecution().toString()
-        assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    plan = learned._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert not any(x in got._jdf.queryExecution().toString() for x in ("MapInArrow", "FlatMapGroups", "Window"))
 
 
 def test_patterns_come_from_all_words_of_a_turn(spark, tmp_path):

@@ -79,11 +79,35 @@ def analysis_lines(text: Column) -> dict[str, Column]:
     return {"issues": n("issue"), "recommendations": n("recommend"), "insights": F.transform(marked, _stripped)}
 
 
+def first_braces(text: Column) -> Column:
+    """From the first { whose braces close to where they do; null if none does. Braces are counted as characters, in one fold:
+    each depth's open brace is kept on a stack, and of the closed stretches that none encloses the first is taken."""
+    chars = F.split(text, "")
+    state = F.struct(F.array().cast("array<int>").alias("open"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("i"))
+
+    def step(s: Column, c: Column) -> Column:
+        i, closes = s["i"] + 1, (c == "}") & (F.size(s["open"]) > 0)
+        start = F.element_at(s["open"], -1)
+        # an earlier start wins; one that encloses what was found starts earlier too
+        better = closes & ((s["a"] == 0) | (start < s["a"]))
+        opened = F.when(c == "{", F.concat(s["open"], F.array(i))).when(closes, F.slice(s["open"], F.lit(1), F.size(s["open"]) - 1)).otherwise(s["open"])
+        return F.struct(opened.alias("open"), F.when(better, start).otherwise(s["a"]).alias("a"), F.when(better, i).otherwise(s["b"]).alias("b"), i.alias("i"))
+
+    found = F.aggregate(chars, state, step, lambda s: F.struct(s["a"], s["b"]))
+    return F.transform(F.array(found), lambda f: F.when(f["a"] > 0, F.substring(text, f["a"], f["b"] - f["a"] + 1)))[0]
+
+
+def is_json(text: Column) -> Column:
+    """Strictly: nothing may stand after the value. The parser stops at a value's end, so the text is parsed as the one element of an
+    array and as the one value of an object; what stands after it can't end both."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+
+
 def lenient_json(text: Column) -> Column:
-    """JSON text out of an answer, as a string: the text itself if it is JSON, else what stands from the first { to the
-    last } with commas before closing brackets dropped and None, True, False put right. Null where that isn't JSON."""
-    inner = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    """JSON text out of an answer, as a string: the text itself if it is JSON, else the object of a fence or, without one, the first whose
+    braces close, with commas before closing brackets dropped and None, True, False put right. Null where that isn't JSON."""
+    fenced = F.regexp_extract(text, r"(?is)```(?:json)?\s*(\{.*?\})\s*```", 1)
+    inner = F.when(fenced != "", fenced).otherwise(first_braces(text))
     for pattern, new in ((r",\s*([}\]])", "$1"), (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false")):
         inner = F.regexp_replace(inner, pattern, new)
-    is_json = lambda c: F.get_json_object(c, "$").isNotNull()
     return F.when(is_json(text), text).when(is_json(inner), inner)

@@ -10,7 +10,6 @@ from pyspark.sql.window import Window as W
 
 from ..functions import lint
 from . import code as K
-from . import graphs as G
 from . import windows as V
 
 # Thresholds and weights of findings.
@@ -254,21 +253,6 @@ def cascade_report(hits: DataFrame) -> DataFrame:
     )
 
 
-def hierarchy(nodes: DataFrame) -> DataFrame:
-    """nodes(path, line_no, name, parent) -> (path, name, full_path, depth), at any depth. A parent is a name of the
-    same scene ("." and null: none); the last node of a name counts; a parent that the scene lacks stands in the
-    full path but has nothing above it. Nodes of a circle stand under each other once."""
-    last = nodes.groupBy("path", "name").agg(F.max_by("parent", "line_no").alias("parent"))
-    key = lambda c: F.struct("path", F.col(c).alias("name"))
-    links = last.filter("parent IS NOT NULL AND parent <> '.'").select(key("parent").alias("src"), key("name").alias("dst"))
-    above = G.reachable(links, links.select(F.col("dst").alias("node"))).filter("start <> node")
-    steps = F.transform(F.reverse(F.array_sort(F.collect_list(F.struct("depth", F.col("node.name").alias("name"))))), lambda x: x["name"])
-    trail = above.groupBy("start").agg(steps.alias("trail"), F.count("*").alias("depth")).select("start.path", "start.name", "trail", "depth")
-    out = last.hint("merge").join(trail, ["path", "name"], "left")
-    full = F.array_join(F.concat(F.coalesce("trail", F.array().cast("array<string>")), F.array("name")), "/")
-    return out.select("path", "name", full.alias("full_path"), F.coalesce("depth", F.lit(0)).alias("depth"))
-
-
 def validated(paths: DataFrame, resources: DataFrame, syntax: DataFrame) -> DataFrame:
     """paths(path), resources(path, res), syntax(path) -> (path, n_errors, is_valid): scripts by their syntax issues, scenes
     by resources that no path has, other types are invalid."""

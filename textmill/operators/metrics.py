@@ -2,28 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .scratch import sized, written
+from .spread import running
+
+
+BINS = 1024
+
+
+def _level(v: Column) -> Column:
+    """A scale on which sizes, not differences, are spread; it keeps the order of values."""
+    return F.signum(v) * (F.log(F.abs(v) + 1e-300) + 691)
+
+
+def _narrowed(values: DataFrame, goals: DataFrame, by_size: bool) -> DataFrame:
+    """One round: each goal (k, goal, rank, low, high) is the element at ``rank`` of its key's values from low to high;
+    their histogram of `BINS` bins, equal in width or on the scale of sizes, tells in which bin it lies, and between which values."""
+    held = goals.groupBy("k").agg(F.collect_list(F.struct("goal", "rank", "low", "high")).alias("goals"))  # a few goals a key
+    rows = values.join(sized(held), values["k"].eqNullSafe(held["k"])).drop(held["k"])
+    rows = rows.select("k", "v", F.explode("goals").alias("g")).filter("v BETWEEN g.low AND g.high")
+    scale = _level if by_size else lambda v: v / 2  # halves: no difference overflows
+    at, low, high = (scale(F.col(c)) for c in ("v", "g.low", "g.high"))
+    share = F.coalesce(F.try_divide(at - low, high - low), F.lit(0.0))  # what the scale can't tell apart is one bin in this round
+    bins = rows.groupBy("k", "g.goal", "g.rank", F.least(F.lit(BINS - 1), F.floor(share * BINS).cast("int")).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("low"), F.max("v").alias("high"))
+    end = F.sum("c").over(W.partitionBy("k", "goal").orderBy("bin").rowsBetween(W.unboundedPreceding, 0))  # `BINS` rows at most
+    hit = bins.withColumn("end", end).filter((F.col("end") > F.col("rank")) & (F.col("end") - F.col("c") <= F.col("rank")))
+    return hit.select("k", "goal", (F.col("rank") - F.col("end") + F.col("c")).alias("rank"), "low", "high")
+
+
+def selected(df: DataFrame, by: str, value: str, goals: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(``by``, one column for each of ``goals``): exact order statistics of each key by distributed selection. A goal
+    makes an index from the number of values. Rounds of histograms, counted in each task before the shuffle, narrow the range
+    that each goal lies in until it is a single value; no sort, and no task that holds a key. Null, infinite and NaN values take no part."""
+    v = F.col(value).cast("double")
+    values = df.select(F.col(by).alias("k"), v.alias("v")).filter(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    base = values.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    first = F.explode(F.array(*[F.struct(F.lit(g).alias("goal"), of(F.col("n")).cast("long").alias("rank")) for g, of in goals.items()]))
+    live, found, rounds = written(base.select("k", first.alias("g"), "low", "high").select("k", "g.*", "low", "high"), "percentiles"), [], 0
+    while True:
+        found.append(live.filter("low = high").select("k", "goal", "low"))
+        live = live.filter("low < high")
+        if live.isEmpty():
+            break
+        live = written(_narrowed(values, live, rounds % 2 == 1), "percentiles")
+        rounds += 1
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy(F.col("k").alias(by)).agg(*[F.max(F.when(F.col("goal") == g, F.col("low"))).alias(g) for g in goals])
+
 
 def ranked_percentiles(df: DataFrame, by: str, value: str, percents: list[int]) -> DataFrame:
-    """The element at index int(n * p / 100), at most the last, of each group's sorted values. Equal values
-    are counted first, in each task before the shuffle; running counts over the distinct values give ranks.
+    """The element at index int(n * p / 100), at most the last, of each group's sorted values.
     50 is the median: the mean of the two middle values if their number is even."""
-    w = W.partitionBy(by)
-    counted = df.groupBy(by, value).agg(F.count("*").alias("c"))
-    ranked = counted.withColumn("end", F.sum("c").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
-
-    def element(at: Column) -> Column:
-        return F.max(F.when((F.col("end") > at) & (F.col("end") - F.col("c") <= at), F.col(value)))
-
-    def pick(p: int) -> Column:
+    goals: dict[str, Callable[[Column], Column]] = {}
+    for p in percents:
         if p == 50:
-            return ((element(F.floor((F.col("n") - 1) / 2)) + element(F.floor(F.col("n") / 2))) / 2).alias("p50")
-        return element(F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1)).alias(f"p{p}")
-
-    return ranked.groupBy(by).agg(*map(pick, percents))
+            goals |= {"m1": lambda n: F.floor((n - 1) / 2), "m2": lambda n: F.floor(n / 2)}
+        else:
+            goals[f"p{p}"] = lambda n, p=p: F.least(F.floor(n * p / 100), n - 1)
+    got = selected(df, by, value, goals)
+    return got.select(by, *[((F.col("m1") + F.col("m2")) / 2 if p == 50 else F.col(f"p{p}")).alias(f"p{p}") for p in percents])
 
 
 def operation_stats(df: DataFrame, by: str, value: str, good: Column) -> DataFrame:
@@ -34,7 +77,8 @@ def operation_stats(df: DataFrame, by: str, value: str, good: Column) -> DataFra
         two(F.avg(value)).alias("mean"), two(F.sum(good.cast("int")) * 100 / F.count("*")).alias("success_rate"),
     )
     p = ranked_percentiles(df, by, value, [50, 95, 99])
-    return base.join(p.select(by, *[two(F.col(c)).alias(c) for c in ("p50", "p95", "p99")]), by)
+    p = p.select(F.col(by).alias("_by"), *[two(F.col(c)).alias(c) for c in ("p50", "p95", "p99")])
+    return base.hint("merge").join(p, base[by].eqNullSafe(p["_by"]), "left").drop("_by")  # few rows on both sides
 
 
 def counters(df: DataFrame, by: str, value: str) -> DataFrame:
@@ -47,7 +91,9 @@ def gauges(df: DataFrame, by: str, value: str, order: Column) -> DataFrame:
 
 
 def running_mean(df: DataFrame, by: str, order: list[Column], value: str) -> DataFrame:
-    return df.withColumn("mean_so_far", F.round(F.avg(value).over(W.partitionBy(by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)), 9))
+    """``df`` with mean_so_far; a key's rows may be spread over all tasks."""
+    out = running(df, [by], order, {"_sum": F.col(value), "_n": F.col(value).isNotNull().cast("int")})
+    return out.withColumn("mean_so_far", F.when(F.col("_n") > 0, F.round(F.col("_sum") / F.col("_n"), 9))).drop("_sum", "_n")
 
 
 def success(df: DataFrame, by: list[str], accepted: Column, rejected: Column) -> DataFrame:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .scratch import written
+from .spread import carried, running
+
 
 def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: Column, budget: float, least: float | None = None, free: bool = False) -> DataFrame:
     """In rank order, the rows up to the first one that would exceed the budget: as costs aren't
@@ -18,14 +18,15 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: Colum
     if least:
         full = last_n(df.filter(cost >= least) if free else df, by, order, int(budget // least)).drop("rank")
         df = full.unionByName(df.filter(~F.coalesce(cost >= least, F.lit(False)))) if free else full
-    run = F.sum(cost).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return df.withColumn("spent", run).filter(F.col("spent") <= budget)
+        if not free:  # few rows a group are left
+            run = F.sum(cost).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+            return df.withColumn("spent", run).filter(F.col("spent") <= budget)
+    return running(df, by, order, {"spent": cost}).filter(F.col("spent") <= budget)
 
 
 def filled(df: DataFrame, by: list[str], order: list[Column], text: str, budget: int) -> DataFrame:
     """As within_budget, but the row that crosses the budget is cut to fit."""
-    before = F.coalesce(F.sum(F.length(text)).over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return df.withColumn("before", before).filter(F.col("before") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("before")).cast("int")))
+    return running(df, by, order, {"before": F.length(text)}, before=True).filter(F.col("before") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("before")).cast("int")))
 
 
 def last_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -52,30 +53,44 @@ def line_chunks(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_co
 
 
 def sessions(events: DataFrame, gap_seconds: int = 300, by: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Sessions that end after ``gap_seconds`` without an event: start, end, count."""
-    w = W.partitionBy(by).orderBy(ts)
-    new = F.coalesce((F.unix_micros(F.col(ts)) - F.unix_micros(F.lag(ts).over(w)) >= gap_seconds * 1_000_000).cast("int"), F.lit(1))
-    numbered = events.withColumn("new", new).withColumn("session", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Sessions that end after ``gap_seconds`` without an event: start, end, count. A key's events are spread over all tasks: the
+    time before and the number of the session are prefix scans."""
+    order = [F.col(ts)]
+    timed = carried(events, [by], order, {"_before": F.unix_micros(F.col(ts))})
+    new = F.coalesce((F.unix_micros(F.col(ts)) - F.col("_before") >= gap_seconds * 1_000_000).cast("int"), F.lit(1))
+    numbered = running(timed, [by], order, {"session": new})
     return numbered.groupBy(by, "session").agg(F.min(ts).alias("start_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n"))
 
 
-def cooled(events: DataFrame, seconds: int, by: str = "user_id", ts: str = "ts") -> DataFrame:
-    """Rows accepted if more than ``seconds`` passed since the key's last accepted one. Each key's
-    history is folded in time order, as the next choice hangs on the last: Spark sorts the rows, and
-    only the last accepted time goes from batch to batch."""
-    k, at = events.columns.index(by), events.columns.index(ts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = last = None
-        begun = False
-        for b in batches:
-            keep = []
-            for u, t in zip(b.column(k).to_pylist(), b.column(at).cast(pa.int64()).to_pylist()):
-                good = not begun or u != key or (t is not None and last is not None and t - last > seconds * 1_000_000)
-                keep.append(good)
-                if good:
-                    begun, key, last = True, u, t
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    rows = events.repartition(by).sortWithinPartitions(by, F.asc_nulls_last(ts), "event_id")
-    return rows.mapInArrow(run, events.schema)
+def cooled(events: DataFrame, seconds: int, by: str = "user_id", ts: str = "ts", id_col: str = "event_id") -> DataFrame:
+    """Rows accepted if more than ``seconds`` passed since the key's last accepted one, the first of a key in any case; of
+    rows of one time the smallest id comes first, rows without a time come last.
+
+    Each row's next acceptable one is the first that is later by more than ``seconds``, found by a scan over rows and the ends of
+    their cooldowns in one order. The accepted rows are the chain of these links from the first row: by pointer
+    doubling, each round adds as many links as it has and doubles their reach, so a key's history may be long and spread over all tasks."""
+    rows = written(events.withColumn("_row", F.monotonically_increasing_id()), "cooldown-rows")
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    timed = rows.filter(F.col(ts).isNotNull()).select(by, at.alias("t"), F.col(id_col).alias("id"), "_row")
+    both = timed.withColumn("end", F.lit(0)).unionByName(timed.withColumn("t", F.col("t") + seconds * 1_000_000).withColumn("end", F.lit(1)))
+    # from the latest back: what came last before an end is the first row after it in time
+    scanned = carried(both, [by], [F.desc("t"), F.desc("end"), F.desc("id"), F.desc("_row")], {"next": F.when(F.col("end") == 0, F.col("_row"))})
+    jump = written(scanned.filter("end = 1 AND next IS NOT NULL").select("_row", "next"), "cooldown-links")
+    first = F.min(F.struct(F.col(ts).isNull().alias("none"), F.col(ts).alias("t"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
+    taken = written(rows.groupBy(by).agg(first.alias("f")).select(F.col("f.row").alias("_row")), "cooldown-taken")
+    while True:
+        more = written(taken.hint("merge").join(jump, "_row").select(F.col("next").alias("_row")), "cooldown-more")
+        if more.isEmpty():
+            break
+        taken = written(taken.unionByName(more), "cooldown-taken")
+        ahead = jump.select(F.col("_row").alias("next"), F.col("next").alias("after"))
+        jump = written(jump.hint("merge").join(ahead, "next").select("_row", F.col("after").alias("next")), "cooldown-links")
+    return rows.hint("merge").join(taken, "_row", "left_semi").drop("_row")
+
+
+def paired(starts: DataFrame, ends: DataFrame, within_seconds: int, by: str = "op") -> DataFrame:
+    """Starts and ends (``by``, event_id, ts) of one operation, the end at most ``within_seconds`` after the start."""
+    s = starts.select(F.col(by), F.col("event_id").alias("start_id"), F.unix_micros("ts").alias("t0"))
+    e = ends.select(F.col(by), F.col("event_id").alias("end_id"), F.unix_micros("ts").alias("t1"))
+    met = s.hint("merge").join(e, by).withColumn("micros", F.col("t1") - F.col("t0"))
+    return met.filter((F.col("micros") >= 0) & (F.col("micros") <= within_seconds * 1_000_000)).select(by, "start_id", "end_id", "micros")

@@ -200,16 +200,38 @@ def grf3(spark, d):
     return G.impact(e, e.filter("dst % 50 = 0").select(F.col("dst").alias("node")).distinct())
 
 
-@C("grf4_cycles", f"WITH RECURSIVE {LINKS}, r AS (SELECT src AS start, dst AS node FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node) SELECT DISTINCT start AS node FROM r WHERE start = node")
+CIRCLES = f"RECURSIVE {LINKS}, r AS (SELECT src AS start, dst AS node FROM e UNION SELECT r.start, e.dst FROM r JOIN e ON e.src = r.node), m AS (SELECT a.start AS node, min(a.node) AS root FROM r a JOIN r b ON b.start = a.node AND b.node = a.start GROUP BY a.start)"
+
+
+@C("grf4_cycles", f"WITH {CIRCLES} SELECT node FROM m")
 def grf4(spark, d):
+    """Numbers that lead back to themselves: members of strongly connected components."""
     return G.cyclic(edges(spark, d))
 
 
+@C("grf4_components", f"WITH {CIRCLES} SELECT root, count(*) AS size FROM m GROUP BY root HAVING count(*) > 1")
+def grf4_components(spark, d):
+    """Each component of two numbers or more, by its smallest member."""
+    members = G.strong_components(edges(spark, d))
+    return members.groupBy(F.col("root").alias("r")).agg(F.min("node").alias("root"), F.count("*").alias("size")).drop("r")
+
+
 @C("agg14_most_depended_on", "WITH e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) SELECT dst, count(*) AS dependents FROM e GROUP BY dst ORDER BY dependents DESC, dst LIMIT 5")
 def agg14(spark, d):
     return G.most_depended_on(read(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
 
 
+@C("agg14_graph_stats", rf"WITH RECURSIVE {LINES}, {DEPS}, g AS (SELECT DISTINCT src, dst FROM e), q AS (SELECT path FROM c UNION SELECT dst FROM g UNION SELECT source || '/' || doc_id || '.tscn' FROM documents), r AS (SELECT src AS start, dst AS node FROM g UNION SELECT r.start, g.dst FROM r JOIN g ON g.src = r.node), m AS (SELECT a.start, min(a.node) AS root FROM r a JOIN r b ON b.start = a.node AND b.node = a.start GROUP BY a.start), t AS (SELECT dst, count(*) AS n FROM g GROUP BY dst ORDER BY n DESC, dst LIMIT 5) SELECT (SELECT count(*) FROM q) AS files, (SELECT count(*) FROM q WHERE path LIKE '%.gd') AS scripts, (SELECT count(*) FROM q WHERE path LIKE '%.tscn') AS scenes, (SELECT count(*) FROM g) AS edges, (SELECT count(DISTINCT root) FROM m) AS cycles, (SELECT string_agg(dst || ':' || n, ',' ORDER BY n DESC, dst) FROM t) AS top")
+def agg14_stats(spark, d):
+    """Files, scripts, scenes, edges, circles and the five most depended on of all scripts and scenes."""
+    code = lines(spark, d)
+    e = K.dependencies(code).select("src", "dst").distinct()
+    scenes_ = read(spark, d, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".tscn")).alias("path"))
+    names = code.select("path").unionByName(e.select(F.col("dst").alias("path"))).unionByName(scenes_)
+    top = F.array_join(F.transform("most_depended_on", lambda x: F.concat_ws(":", x["path"], x["dependents"])), ",")
+    return G.stats(names, e).withColumn("top", top).drop("most_depended_on")
+
+
 HEADS = r"sc AS (SELECT *, last_value(CASE WHEN line LIKE '[%' THEN line_no END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS owner, CASE WHEN line LIKE '[%' THEN regexp_extract(line, '^\[(\w+)', 1) END AS section FROM c)"
 
 

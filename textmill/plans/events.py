@@ -140,15 +140,19 @@ def jn14(spark, d):
     return s.select(F.col("event_type").alias("child_type"), "parent").join(s.select(F.col("event_id").alias("parent"), F.col("event_type").alias("parent_type")), "parent").groupBy("parent_type", "child_type").agg(F.count("*").alias("n"))
 
 
-@C("jn15_pairs", "WITH s AS (SELECT user_id, ts, event_id, event_type, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t2, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS e2 FROM events) SELECT event_id, (epoch_us(t2) - epoch_us(ts))::BIGINT AS micros FROM s WHERE event_type = 'view' AND e2 = 'purchase'")
+@C("jn15_pairs", "WITH o AS (SELECT event_id, ts, event_type, user_id || ':' || (props::JSON->>'k') AS op FROM events) SELECT s.op, s.event_id AS start_id, e.event_id AS end_id, (epoch_us(e.ts) - epoch_us(s.ts))::BIGINT AS micros FROM o s JOIN o e ON s.op = e.op AND s.event_type = 'view' AND e.event_type = 'purchase' AND epoch_us(e.ts) - epoch_us(s.ts) BETWEEN 0 AND 604800000000")
 def jn15(spark, d):
-    """A view and the purchase right after it."""
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    s = events(spark, d).select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), F.lead(F.col("ts").cast("timestamp")).over(w).alias("t2"), F.lead("event_type").over(w).alias("e2"))
-    return s.filter("event_type = 'view' AND e2 = 'purchase'").select("event_id", (F.unix_micros("t2") - F.unix_micros("ts")).alias("micros"))
+    """A view starts an operation of a user and a number, a purchase within a week ends it."""
+    e = operations(events(spark, d).withColumn("ts", F.col("ts").cast("timestamp")))
+    return V.paired(e.filter("event_type = 'view'"), e.filter("event_type = 'purchase'"), 7 * 24 * 3600)
+
+
+def operations(e):
+    """Events with the id of the operation they belong to; the time is left as it is, as a stream's carries its watermark."""
+    return e.select("event_id", "ts", "event_type", F.concat_ws(":", "user_id", F.get_json_object("props", "$.k")).alias("op"))
 
 
-@C("str2_cooldown")
+@C("str2_cooldown", "WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events), a AS (SELECT user_id, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t FROM e GROUP BY user_id UNION ALL SELECT user_id, n.event_id, n.t FROM (SELECT a.user_id, min((e.t, e.event_id)) AS m FROM a JOIN e ON e.user_id = a.user_id AND e.t > a.t + 21600000000 GROUP BY a.user_id) x, LATERAL (SELECT x.m[2] AS event_id, x.m[1] AS t) n) SELECT event_id, user_id FROM a")
 def str2(spark, d):
     return V.cooled(events(spark, d).select("event_id", "user_id", "ts"), 6 * 3600).select("event_id", "user_id")
 

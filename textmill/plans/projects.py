@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from ..functions import lint
 from ..operators import analysis as A
+from ..operators import trees as T
+from ..operators.scratch import written
 from ..operators import code as K
 from ._base import Catalog, F, quoted, read
 
@@ -175,14 +177,28 @@ def agg20(spark, d):
 NODES = "l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents), nd AS MATERIALIZED (SELECT source || '/' || doc_id || '.tscn' AS path, 'n' || i AS name, CASE WHEN i = 1 THEN '.' WHEN length(line) % 11 = 0 THEN 'gone' ELSE 'n' || (i // (2 + length(line) % 3)) END AS parent FROM l)"
 
 
-@C("grf6_hierarchy", f"WITH RECURSIVE {NODES}, r AS (SELECT path, name, name AS full_path, parent AS up, 0 AS depth FROM nd UNION ALL SELECT r.path, r.name, r.up || '/' || r.full_path, nd.parent, r.depth + 1 FROM r LEFT JOIN nd ON nd.path = r.path AND nd.name = r.up WHERE r.up IS NOT NULL AND r.up <> '.') SELECT path, name, arg_max(full_path, depth) AS full_path, max(depth) AS depth FROM r GROUP BY ALL")
-def grf6(spark, d):
+UPWARDS = f"{NODES}, r AS (SELECT path, name, name AS full_path, parent AS up, 0 AS depth FROM nd UNION ALL SELECT r.path, r.name, r.up || '/' || r.full_path, nd.parent, r.depth + 1 FROM r LEFT JOIN nd ON nd.path = r.path AND nd.name = r.up WHERE r.up IS NOT NULL AND r.up <> '.'), fp AS (SELECT path, name, arg_max(full_path, depth) AS full_path, max(depth) AS depth FROM r GROUP BY ALL)"
+DOWNWARDS = "nl AS (SELECT *, substr(name, 2)::INT AS line_no FROM nd), v AS (SELECT path, parent AS name, min(line_no) AS line_no FROM nl WHERE parent <> '.' AND NOT EXISTS (SELECT 1 FROM nd x WHERE x.path = nl.path AND x.name = nl.parent) GROUP BY ALL), k AS (SELECT path, name, [line_no] AS key FROM v UNION ALL SELECT path, name, [line_no] FROM nl WHERE parent = '.' UNION ALL SELECT nl.path, nl.name, list_append(k.key, nl.line_no) FROM k JOIN nl ON nl.path = k.path AND nl.parent = k.name), po AS (SELECT nl.path, nl.name, row_number() OVER (PARTITION BY nl.path ORDER BY k.key) - 1 AS position FROM k JOIN nl ON nl.path = k.path AND nl.name = k.name)"
+
+
+def tree(spark, d):
     """A scene for each document, a node for each line, parents among the lines above or missing."""
     rows = read(spark, d, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("p", "line")).withColumn("i", F.col("p") + 1)
     above = F.floor(F.col("i") / (2 + F.length("line") % 3)).cast("int")
     parent = F.when(F.col("i") == 1, ".").when(F.length("line") % 11 == 0, "gone").otherwise(F.concat(F.lit("n"), above))
-    nodes = rows.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".tscn")).alias("path"), F.col("i").alias("line_no"), F.concat(F.lit("n"), "i").alias("name"), parent.alias("parent"))
-    return A.hierarchy(nodes).withColumn("depth", F.col("depth").cast("int"))
+    return T.hierarchy(rows.select(F.concat("source", F.lit("/"), "doc_id", F.lit(".tscn")).alias("path"), F.col("i").alias("line_no"), F.concat(F.lit("n"), "i").alias("name"), parent.alias("parent")))
+
+
+@C("grf6_hierarchy", f"WITH RECURSIVE {UPWARDS}, {DOWNWARDS} SELECT path, name, full_path, depth::INT AS depth, position::BIGINT AS position FROM fp JOIN po USING (path, name)")
+def grf6(spark, d):
+    return tree(spark, d).withColumn("depth", F.col("depth").cast("int")).drop("size")
+
+
+@C("grf6_below_named", f"WITH RECURSIVE {NODES}, w AS (SELECT path, name, 0 AS depth FROM nd WHERE name = 'n2' UNION ALL SELECT nd.path, nd.name, w.depth + 1 FROM w JOIN nd ON nd.path = w.path AND nd.parent = w.name) SELECT path, name, depth::BIGINT AS depth FROM w")
+def grf6_below(spark, d):
+    """What stands under each scene's second node, itself included."""
+    t = written(tree(spark, d), "tree")
+    return T.below(t, t.filter("name = 'n2'")).select("path", "name", "depth")
 
 
 VALID = r"""sx AS (SELECT path FROM c GROUP BY path HAVING NOT bool_or(regexp_matches(line, '^\s*extends '))), pp AS (SELECT DISTINCT path FROM c UNION ALL SELECT DISTINCT source || '/' || doc_id || CASE WHEN doc_id % 7 = 0 THEN '.png' ELSE '.tscn' END FROM documents WHERE text IS NOT NULL), rr AS (SELECT source || '/' || doc_id || '.tscn' AS path, source || '/' || (doc_id + unnest([20, 7])) || '.gd' AS res FROM documents WHERE text IS NOT NULL AND doc_id % 7 <> 0), er AS (SELECT path FROM sx UNION ALL SELECT path FROM rr WHERE res NOT IN (SELECT path FROM pp)), ec AS (SELECT path, count(*) AS n FROM er GROUP BY path), vd AS (SELECT pp.path, CASE WHEN pp.path LIKE '%.png' THEN 1 ELSE coalesce(n, 0) END AS n_errors FROM pp LEFT JOIN ec ON ec.path = pp.path)"""

@@ -349,3 +349,20 @@ def src10(spark, d):
     content = F.concat_ws("\n", F.concat(F.lit("Title: "), F.substring("text", 1, 40)), F.concat(F.lit("Summary: "), F.substring("text", 1, 200)), F.concat(F.lit("Link: "), "source", F.lit("/"), "doc_id"))
     rows = V.last_n(read(spark, d, "documents"), ["source"], [F.col("doc_id")], 3)
     return rows.select("source", "doc_id", topic.alias("topic"), F.md5(content).alias("h"))
+
+
+WORDS = "SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: array_to_string(regexp_extract_all(lower(x), '[a-z]+'), ' ')), lambda x: x <> '') AS ts FROM documents"
+
+
+@C("src10_feeds", rf"WITH d AS ({WORDS}), e AS (SELECT doc_id, source, unnest(ts) AS title, generate_subscripts(ts, 1) - 1 AS place FROM d) SELECT doc_id AS feed_id, place, array_to_string(list_slice(string_split(title, ' '), 1, 3), ' ') AS topic, md5('Title: ' || title || chr(10) || 'Source: ' || source || chr(10) || 'URL: http://x.example/' || place || chr(10) || chr(10) || 'Summary: ' || length(title)) AS h FROM e WHERE place < 3")
+def src10_feeds(spark, d):
+    """Each document as a feed of its lines, in RSS or Atom, parsed again: three entries of each."""
+    from ..sources import feeds
+
+    titles = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.array_join(F.regexp_extract_all(F.lower(x), F.lit("[a-z]+"), F.lit(0)), " ")), lambda x: x != "")
+    rss = F.transform("ts", lambda x, i: F.concat(F.lit("<item><title>"), x, F.lit("</title><link>http://x.example/"), i, F.lit("</link><description>"), F.length(x), F.lit("</description></item>")))
+    atom = F.transform("ts", lambda x, i: F.concat(F.lit('<entry><title>'), x, F.lit('</title><link rel="edit" href="no"/><link href="http://x.example/'), i, F.lit('"/><summary>'), F.length(x), F.lit("</summary></entry>")))
+    head = F.concat(F.lit("<title>"), "source", F.lit("</title>"))
+    xml = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit('<rss version="2.0"><channel>'), head, F.array_join(rss, ""), F.lit("</channel></rss>"))).otherwise(F.concat(F.lit('<feed xmlns="http://www.w3.org/2005/Atom">'), head, F.array_join(atom, ""), F.lit("</feed>")))
+    landed = read(spark, d, "documents").select("doc_id", "source", titles.alias("ts")).select(F.col("doc_id").alias("feed_id"), xml.alias("xml"))
+    return feeds.entries(landed).select("feed_id", "place", "topic", F.md5("content").alias("h"))
