@@ -146,13 +146,16 @@ def rewritten(content: Column) -> Column:
 
 
 def compared(old: Column, new: Column) -> Column:
-    """Struct of what a new version of a script lacks (variables, prints) or adds (extends, delta)."""
-    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"var (\w+)"), 1))
-    prints = lambda c: F.regexp_count(c, F.lit(r"print\("))
-    added = lambda p: new.rlike(p) & ~old.rlike(p)
+    """Struct of what a new version of a script lacks (variables; prints and warnings, by their number) or adds: the name after extends
+    where the old one had none, and delta among the parameters of _process where the old one's lacked it."""
+    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"var\s+(\w+)"), 1))
+    prints = lambda c: F.regexp_count(c, F.lit(r"(?:print|push_warning|push_error)\s*\("))
+    extends = lambda c: F.regexp_extract(c, r"(?m)^extends\s+(\w+)", 1)
+    process = r"func\s+_process\s*\(([^)]*)\)"
+    delta = lambda c: F.contains(F.regexp_extract(c, process, 1), F.lit("delta"))
     return F.struct(
         F.size(F.array_except(names(old), names(new))).alias("removed_vars"),
         F.greatest(F.lit(0), prints(old) - prints(new)).alias("removed_prints"),
-        added("(?m)^extends ").alias("added_extends"),
-        added("delta").alias("added_delta"),
+        F.when(extends(old) == "", extends(new)).otherwise("").alias("added_extends"),
+        (old.rlike(process) & new.rlike(process) & ~delta(old) & delta(new)).alias("added_delta"),
     )

@@ -8,10 +8,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, RegexTokenizer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import rules
+
 
 def learn(patterns: list[dict], keywords: set[str], keep: int) -> list[dict]:
     """Adds to the first pattern that shares two keywords, or makes one; the ``keep`` most frequent stay."""
@@ -78,21 +81,42 @@ def packed(blocks: DataFrame, most: int = 1500, overlap: int = 100) -> DataFrame
     return blocks.groupBy("path").applyInPandas(run, "path string, chunk int, text string")
 
 
-def intent_model(labelled: DataFrame, features: int = 1000, text: str = "text", label: str = "intent") -> PipelineModel:
-    """TF-IDF and logistic regression over labelled(text, intent)."""
+def intent_model(labelled: DataFrame, features: int = 1000, text: str = "text", label: str = "intent", least: int = 5) -> PipelineModel:
+    """TF-IDF of words and word pairs and logistic regression over labelled(text, intent); rows where either is null or
+    empty are no samples, and under ``least`` samples it is an error. Adds probability, ``confidence`` (its largest) and ``predicted``."""
+    usable = labelled.filter((F.col(text) != "") & (F.col(label) != ""))
+    if (n := usable.limit(least).count()) < least:
+        raise ValueError(f"intent_model: {n} samples, at least {least} are needed")
     stages = [
         StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip"),
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}_]+"),
+        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
         StopWordsRemover(inputCol="words", outputCol="terms"),
-        CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=features),
+        NGram(n=2, inputCol="terms", outputCol="pairs"),
+        SQLTransformer(statement="SELECT *, concat(terms, pairs) AS grams FROM __THIS__"),
+        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features),
         IDF(inputCol="tf", outputCol="x"),
         LogisticRegression(featuresCol="x", labelCol="y", maxIter=20, regParam=0.01),
     ]
-    model = Pipeline(stages=stages).fit(labelled)
+    model = Pipeline(stages=stages).fit(usable)
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=model.stages[0].labels)
     return PipelineModel([*model.stages[1:], names])
 
 
+def intents(model: PipelineModel | None, rows: DataFrame, sure: float = 0.3, text: str = "text") -> DataFrame:
+    """``rows`` with ``intent``, ``confidence`` and ``learned``: the model's intent where its probability is over ``sure``, else that
+    of the keyword rules; without a model all come from the rules. Null and blank texts are general."""
+    ruled = rules.intent(F.col(text))
+    blank = F.coalesce(F.trim(text) == "", F.lit(True))
+    if model is None:
+        out = rows.withColumn("learned", F.lit(False))
+        return out.withColumns({"intent": F.when(blank, "general").otherwise(ruled["intent"]), "confidence": ruled["confidence"].cast("double")})
+    scored = model.transform(rows.withColumn(text, F.coalesce(text, F.lit("")))).withColumn("p", F.array_max(vector_to_array("probability")))
+    learned = ~blank & (F.col("p") > sure)
+    chosen = F.when(blank, "general").when(learned, F.col("predicted")).otherwise(ruled["intent"])
+    more = {"learned": learned, "intent": chosen, "confidence": F.when(learned, F.col("p")).otherwise(ruled["confidence"].cast("double"))}
+    return scored.select(*[scored[c] for c in rows.columns if c not in more], *[c.alias(n) for n, c in more.items()])
+
+
 class Handlers:
     """Functions from frame to frame by name; rows go to the one named in their column ``handler``."""
 

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import tokens as T
+from .scratch import sized, written
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
-    """(id, token, tf): token frequency of each document."""
+    """(id, token, tf): token frequency of each document. Texts are dealt by id once; counts, sizes and norms
+    of a document then need no shuffle of their own."""
     t = tokens if tokens is not None else T.code_tokens(F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), F.explode(t).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    return docs.repartition(id_col).select(F.col(id_col).alias("id"), F.explode(t).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 def query_tokens(queries: DataFrame, qid: str = "item_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -30,6 +32,24 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+def token_sets(docs: DataFrame, id_col: str, text_col: str = "text", tokens: Column | None = None, keep: tuple[str, ...] = (), name: str = "id") -> DataFrame:
+    """(``name``, n, token and ``keep``): the distinct tokens of each row and their number; nothing is shuffled."""
+    t = tokens if tokens is not None else T.code_tokens(F.col(text_col))
+    sets = docs.select(F.col(id_col).alias(name), *keep, F.array_distinct(t).alias("set"))
+    return sets.select(name, *keep, F.size("set").alias("n"), F.explode("set").alias("token"))
+
+
+def meetings(sets: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:
+    """(qid, id, both, n, m and ``keep``) of queries and documents with common tokens: how many, and how many each has. The
+    queries' tokens are written first; if they are few, documents drop the others before anything is shuffled."""
+    few = sized(written(asked.select("qid", F.col("n").alias("m"), "token"), "asked"))
+    return sets.join(few, "token").groupBy("qid", "id").agg(F.count("*").alias("both"), *[F.max(c).alias(c) for c in ("n", "m", *keep)])
+
+
+def jaccard_of(met: DataFrame) -> DataFrame:
+    return met.select("qid", "id", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6).alias("score"))
+
+
 def keyword_scores(posts: DataFrame, asked: DataFrame, weight: Column | None = None) -> DataFrame:
     """score: distinct query tokens that the document holds, times its weight."""
     return asked.hint("merge").join(posts, "token").groupBy("qid", "id").agg(F.sum(weight if weight is not None else F.lit(1)).cast("double").alias("score"))
@@ -53,18 +73,17 @@ def idf(posts: DataFrame, total: DataFrame, smooth: bool) -> DataFrame:
 def cosine_scores(posts: DataFrame, asked_tf: DataFrame, weights: DataFrame, weigh_documents: bool) -> DataFrame:
     """Cosine of TF-IDF vectors. asked_tf(qid, token, tf). Document frequencies are divided by the
     largest of the document; only the query has idf unless ``weigh_documents``, where tf is a share."""
-    if weigh_documents:
-        share = lambda df, key: df.hint("merge").join(df.groupBy(key).agg(F.sum("tf").alias("z")), key)
-    else:
-        share = lambda df, key: df.hint("merge").join(df.groupBy(key).agg(F.max("tf").alias("z")), key)
+    most = F.sum if weigh_documents else F.max
+    share = lambda df, key: df.withColumn("z", most("tf").over(W.partitionBy(key)))  # noqa: E731  # of one document or question
     weighed = weights.select("token", "idf")
     d = share(posts, "id").withColumn("w", F.col("tf") / F.col("z"))
     if weigh_documents:
         d = d.hint("merge").join(weighed, "token").withColumn("w", F.col("w") * F.col("idf"))
     q = share(asked_tf, "qid").hint("merge").join(weighed, "token", "left").withColumn("wq", F.col("tf") / F.col("z") * F.coalesce("idf", F.lit(1.0 if weigh_documents else 0.0)))
+    q = written(q.select("qid", "token", "wq"), "asked-weights")
     norm = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
     qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dot = q.select("qid", "token", "wq").hint("merge").join(d.select("id", "token", "w"), "token").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
+    dot = d.select("id", "token", "w").join(sized(q), "token").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
     out = dot.hint("merge").join(norm, "id").hint("merge").join(qnorm, "qid").filter("nd > 0 and nq > 0")
     return out.select("qid", "id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("score"))
 

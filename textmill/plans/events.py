@@ -252,3 +252,13 @@ def cls5(spark, d):
 
     learned = intent_model(read(spark, d, "documents").select("text", F.col("lang").alias("intent")), 500)
     return learned.transform(read(spark, d, "conversations")).select("conv_id", "turn", "predicted")
+
+
+@C("cls5_intents_of_turns")
+def cls5_turns(spark, d):
+    """Turns' intents from a model that learned from the answered turns, logged with the rules' intents; the rules where it isn't sure."""
+    from ..operators.feedback import intent_model, intents
+
+    turns = read(spark, d, "conversations")
+    logged = turns.filter("role = 'user'").select("text", rules.intent(F.col("text"))["intent"].alias("intent"))
+    return intents(intent_model(logged, 500), turns).select("conv_id", "turn", "intent", F.round("confidence", 4).alias("confidence"), "learned")

@@ -240,10 +240,13 @@ def lnt15(spark, d):
     return done.select("path", F.md5("r.code").alias("h"), "r.n_loops", "r.n_hints")
 
 
-@C("lnt16_compared", rf"WITH {FILES}, v AS (SELECT path, content, list_distinct(regexp_extract_all(content, 'var (\w+)', 1)) AS vs, {n(r'print\(', 'content')} AS prints, regexp_matches(content, '(?m)^extends ') AS ext, contains(content, 'delta') AS dl FROM f), k AS (SELECT *, split_part(path, '/', 1) AS s, regexp_extract(path, '/(\d+)', 1)::INT AS i FROM v) SELECT a.path, len(list_filter(a.vs, lambda x: NOT list_contains(b.vs, x)))::INT AS removed_vars, greatest(0, a.prints - b.prints)::INT AS removed_prints, (b.ext AND NOT a.ext) AS added_extends, (b.dl AND NOT a.dl) AS added_delta FROM k a JOIN k b ON b.s = a.s AND b.i = a.i + 20")
+PROCESS = r"func\s+_process\s*\(([^)]*)\)"
+
+
+@C("lnt16_compared", rf"WITH {FILES}, v AS (SELECT path, content, list_distinct(regexp_extract_all(content, 'var\s+(\w+)', 1)) AS vs, {n(r'(?:print|push_warning|push_error)\s*\(', 'content')} AS prints, regexp_extract(content, '(?m)^extends\s+(\w+)', 1) AS ext, regexp_matches(content, '{PROCESS}') AS pr, contains(regexp_extract(content, '{PROCESS}', 1), 'delta') AS dl FROM f), k AS (SELECT *, split_part(path, '/', 1) AS s, regexp_extract(path, '/(\d+)', 1)::BIGINT AS i FROM v) SELECT a.path, len(list_filter(a.vs, lambda x: NOT list_contains(b.vs, x)))::INT AS removed_vars, greatest(0, a.prints - b.prints)::INT AS removed_prints, CASE WHEN a.ext = '' THEN b.ext ELSE '' END AS added_extends, (a.pr AND b.pr AND NOT a.dl AND b.dl) AS added_delta FROM k a JOIN k b ON b.s = a.s AND b.i = a.i + 20")
 def lnt16(spark, d):
     """Each script against the next of its project."""
-    f = files(spark, d).select("path", "content", F.split_part("path", F.lit("/"), F.lit(1)).alias("s"), F.regexp_extract("path", r"/(\d+)", 1).cast("int").alias("i"))
+    f = files(spark, d).select("path", "content", F.split_part("path", F.lit("/"), F.lit(1)).alias("s"), F.regexp_extract("path", r"/(\d+)", 1).cast("long").alias("i"))
     new = f.select("s", (F.col("i") - 20).alias("i"), F.col("content").alias("new"))
     return f.hint("merge").join(new, ["s", "i"]).select("path", lint.compared(F.col("content"), F.col("new")).alias("x")).select("path", "x.*")
 

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window as W
 from ..functions import tokens
 from ..operators import search as S
 from ..operators import windows as V
+from ..operators.scratch import sized, written
 from ._base import Catalog, F, read
 
 C = Catalog()
@@ -61,9 +62,20 @@ def agg6(spark, d):
 KEYWORD = f"{D}, {Q}, kw AS (SELECT qid, id, sum(CASE WHEN lang = 'en' THEN 1 ELSE 2 END)::DOUBLE AS score FROM ask JOIN post USING (token) JOIN documents d ON d.doc_id = post.id GROUP BY ALL)"
 
 
+def met(spark, d, questions=None):
+    """Common tokens of the benchmark's questions and the documents; the language goes along, as it weighs the score."""
+    questions = questions if questions is not None else read(spark, d, "benchmark")
+    sets = S.token_sets(read(spark, d, "documents"), "doc_id", keep=("lang",))
+    return S.meetings(sets, S.token_sets(questions, "item_id", tokens=tokens.code_tokens(F.col("text"), numbers=False), name="qid"), "lang")
+
+
+def keyword_of(met):
+    """A document's weight is one number, so it comes in after the count."""
+    return met.select("qid", "id", (F.col("both") * F.when(F.col("lang") == "en", 1).otherwise(2)).cast("double").alias("score"))
+
+
 def keyword(spark, d):
-    p = posts(spark, d).hint("merge").join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
-    return S.keyword_scores(p, asked(spark, d), F.when(F.col("lang") == "en", 1).otherwise(2))
+    return keyword_of(met(spark, d))
 
 
 @C("jn1_top2_keyword_search", f"WITH {KEYWORD}, r AS (SELECT *, {RANK} FROM kw) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
@@ -75,17 +87,20 @@ def jn1(spark, d):
 def top1(spark, d):
     b = read(spark, d, "benchmark")
     first = b.join(F.broadcast(b.agg(F.min("item_id").alias("item_id"))), "item_id", "left_semi")
-    p = posts(spark, d).hint("merge").join(read(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
-    return S.keyword_scores(p, S.query_tokens(first), F.when(F.col("lang") == "en", 1).otherwise(2)).orderBy(F.desc("score"), "id").limit(10).select("id", "score")
+    return keyword_of(met(spark, d, first)).orderBy(F.desc("score"), "id").limit(10).select("id", "score")
 
 
 JACCARD = f"{D}, {Q}, n AS (SELECT id, count(*) AS n FROM post GROUP BY id), m AS (SELECT qid, count(*) AS m FROM ask GROUP BY qid), b AS (SELECT qid, id, count(*) AS bo FROM ask JOIN post USING (token) GROUP BY ALL), j0 AS (SELECT qid, id, round(bo / (n + m - bo), 6) AS score FROM b JOIN n USING (id) JOIN m USING (qid)), jc AS (SELECT qid, id, round(score + CASE WHEN lang = 'en' THEN 0.0 ELSE 0.1 END, 6) AS score FROM j0 JOIN documents ON doc_id = id WHERE score > CASE WHEN lang = 'en' THEN 0.1 ELSE 0.15 END)"
 
 
-def jaccard(spark, d):
+def jaccard_of(spark, d, met):
     """Documents in other languages than English stand for knowledge, as in the keyword scores."""
     known = read(spark, d, "documents").filter("lang != 'en'").select(F.col("doc_id").alias("id"))
-    return S.with_knowledge(S.jaccard_scores(posts(spark, d), asked(spark, d)), known)
+    return S.with_knowledge(S.jaccard_of(met), known)
+
+
+def jaccard(spark, d):
+    return jaccard_of(spark, d, met(spark, d))
 
 
 @C("top3_flt3_jaccard_search", f"WITH {JACCARD}, r AS (SELECT *, {RANK} FROM jc) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
@@ -113,8 +128,9 @@ r AS (SELECT *, {RANK} FROM s WHERE score >= {least}) SELECT qid, id, score, ran
 
 @C("top6_tfidf_search", _cosine_sql("max", "ln((SELECT count(*) FROM documents) / count(*))", "", "0.0", "0.1", 5))
 def top6(spark, d):
-    p = posts(spark, d)
-    return S.top_k(S.cosine_scores(p, asked_tf(spark, d), S.idf(p, total(spark, d), False), False).filter("score >= 0.1"), 5)
+    p, q = posts(spark, d), asked_tf(spark, d)
+    few = sized(written(q.select("token").distinct(), "asked"))  # only the questions have idf here
+    return S.top_k(S.cosine_scores(p, q, S.idf(p.join(few, "token", "left_semi"), total(spark, d), False), False).filter("score >= 0.1"), 5)
 
 
 @C("top7_recall", _cosine_sql("sum", "ln((SELECT count(*) FROM documents) / (count(*) + 1)) + 1", "* idf", "1.0", "0.15", 3))
@@ -131,13 +147,13 @@ def targets(spark, d):
     return read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(words).alias("target"))
 
 
-def structural(spark, d):
+def structural(spark, d, scored=None):
     """Names that hold a target, at most three targets a question: the names are all words of five letters
     or more of the whole texts. A question without a target gets its keyword scores instead."""
     docs = read(spark, d, "documents")
     named = docs.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))).alias("name"))
     sought = targets(spark, d)
-    return S.structural_scores(named, sought).unionByName(keyword(spark, d).hint("merge").join(sought.select("qid").distinct(), "qid", "left_anti").select("qid", "id", "score"))
+    return S.structural_scores(named, sought).unionByName((keyword(spark, d) if scored is None else scored).hint("merge").join(sought.select("qid").distinct(), "qid", "left_anti").select("qid", "id", "score"))
 
 
 NAMED = r"nm AS (SELECT DISTINCT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS name FROM documents), np AS (SELECT name, target FROM (SELECT DISTINCT name FROM nm) JOIN (SELECT DISTINCT target FROM tg) ON contains(name, target)), st AS (SELECT DISTINCT qid, id, 1.0::DOUBLE AS score FROM tg JOIN np USING (target) JOIN nm USING (name) UNION ALL SELECT qid, id, score FROM kw WHERE qid NOT IN (SELECT qid FROM tg))"
@@ -155,7 +171,8 @@ hy AS (SELECT qid, id, round(sum(score), 6) AS score FROM u GROUP BY ALL), hr AS
 
 
 def hybrid(spark, d):
-    return S.hybrid(keyword(spark, d), jaccard(spark, d), structural(spark, d), 5)
+    common = written(met(spark, d), "met")
+    return S.hybrid(keyword_of(common), jaccard_of(spark, d, common), structural(spark, d, keyword_of(common)), 5)
 
 
 @C("top5_set1_hybrid_search", f"WITH {HYBRID} SELECT qid, id, score, rank FROM hr WHERE rank <= 5")
@@ -179,13 +196,13 @@ def win17(spark, d):
     return keyword(spark, d).hint("merge").join(docs, "id").withColumn("r", r).filter(F.col("r") <= F.when(F.col("english"), 2).otherwise(3)).select("qid", "id", "english")
 
 
-IDX = r"ix AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS token FROM documents), ip AS (SELECT id, token, count(*) AS tf FROM ix GROUP BY ALL), qw AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS word FROM benchmark), vo AS (SELECT DISTINCT token FROM ip), pr AS (SELECT token, word, CASE WHEN token = word THEN 1.5 ELSE 0.5 END AS x FROM vo JOIN (SELECT DISTINCT word FROM qw) ON contains(token, word) OR contains(word, token))"
+IDX = r"ix AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS token FROM documents), ip AS (SELECT id, token, count(*) AS tf FROM ix GROUP BY ALL), qw AS (SELECT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS word FROM benchmark), vo AS (SELECT DISTINCT token FROM ip), pr AS (SELECT token, word, CASE WHEN token = word THEN 1.5 ELSE 0.5 END AS x FROM vo JOIN (SELECT DISTINCT word FROM qw) ON contains(token, word) OR contains(word, token))"
 
 
 @C("jn2_substring_search", f"WITH {IDX}, s AS (SELECT qid, id, sum(x * tf)::DOUBLE AS score FROM qw JOIN pr USING (word) JOIN ip USING (token) GROUP BY ALL), r AS (SELECT *, {RANK} FROM s) SELECT qid, id, score, rank FROM r WHERE rank <= 5")
 def jn2(spark, d):
     p = S.postings(read(spark, d, "documents"), tokens=tokens.index_words(F.col("text")))
-    asked_words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), 0))  # a word asked twice counts twice
+    asked_words = F.explode(tokens.index_words(F.col("text")))  # as the index reads words; one asked twice counts twice
     words = read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), asked_words.alias("token"))
     return S.top_k(S.substring_scores(p, words), 5)
 
@@ -254,7 +271,7 @@ def win2(spark, d):
 @C("win5_budget", f"WITH {KEYWORD}, x AS (SELECT qid, id, score, sum(n_chars) OVER (PARTITION BY qid ORDER BY score DESC, id) AS spent FROM kw JOIN documents ON doc_id = id) SELECT qid, id, spent::BIGINT AS spent FROM x WHERE spent <= 8000")
 def win5(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "n_chars")
-    return V.within_budget(keyword(spark, d).hint("merge").join(docs, "id"), ["qid"], [F.desc("score"), F.col("id")], F.col("n_chars"), 8000).select("qid", "id", "spent")
+    return V.within_budget(keyword(spark, d).hint("merge").join(docs, "id"), ["qid"], [F.desc("score"), F.col("id")], F.col("n_chars"), 8000, least=1, free=True).select("qid", "id", "spent")
 
 
 @C("win6_filled", f"WITH {KEYWORD}, r AS (SELECT *, {RANK} FROM kw), x AS (SELECT qid, id, text, coalesce(sum(length(text)) OVER (PARTITION BY qid ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r JOIN documents ON doc_id = id WHERE rank <= 3) SELECT qid, id, md5(substring(text, 1, (2000 - before)::BIGINT)) AS h FROM x WHERE before < 2000")
@@ -319,7 +336,7 @@ def jn7(spark, d):
     return read(spark, d, "documents").hint("merge").join(read(spark, d, "labels"), "doc_id", "left_anti").select("doc_id", "source")
 
 
-@C("jn9_shared_keywords", "WITH k AS (SELECT doc_id, unnest(list_slice(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 9)), 1, 1000)) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, max(shared) AS most FROM p WHERE shared >= 2 GROUP BY a")
+@C("jn9_shared_keywords", "WITH k AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: length(x) > 9))) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM k a JOIN k b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, max(shared) AS most FROM p WHERE shared >= 2 GROUP BY a")
 def jn9(spark, d):
     """Documents that share two rare long words or more with a later one."""
     k = read(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), lambda x: F.length(x) > 9))).alias("w"))
