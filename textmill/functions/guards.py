@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Patterns of prompt injection.
@@ -89,3 +89,30 @@ def danger(text: Column) -> Column:
     for p in DANGEROUS:
         out = (F if out is None else out).when(text.rlike(p), F.lit(p))
     return out.otherwise("")
+
+
+def processed(text: Column) -> Column:
+    """Struct of what the input pipeline makes of a text: is_safe, processed (empty where an injection is suspected, else with secrets
+    masked) and the metadata. A null text counts as an empty one."""
+    text = F.coalesce(text, F.lit(""))
+    # each is made once: the lambda binds what the struct reads several times
+    once = F.array(F.struct(injection(text)["matched"].alias("found"), masked(text).alias("clean")))
+
+    def made(p: Column) -> Column:
+        bad = F.size(p["found"]) > 0
+        metadata = F.struct(
+            bad.alias("injection_detected"),
+            F.when(bad, F.least(F.lit(1.0), F.size(p["found"]) / 2)).otherwise(0.0).alias("injection_confidence"),
+            p["found"].alias("blocked_patterns"),
+            (~bad & (p["clean"] != text)).alias("masked"),
+            F.length(text).alias("original_length"),
+        )
+        return F.struct((~bad).alias("is_safe"), F.when(bad, "").otherwise(p["clean"]).alias("processed"), metadata.alias("metadata"))
+
+    return F.transform(once, made)[0]
+
+
+def report(counts: DataFrame, secrets: Column) -> DataFrame:
+    """One row of storage counts with the state of the guards."""
+    on = ["security_active", "injection_protection", "sandbox_enabled"]
+    return counts.withColumns({n: F.lit(True) for n in on} | {"secrets_masked": secrets > 0})

@@ -24,9 +24,23 @@ def within_budget(df: DataFrame, by: list[str], order: list[Column], cost: Colum
     return running(df, by, order, {"spent": cost}).filter(F.col("spent") <= budget)
 
 
-def filled(df: DataFrame, by: list[str], order: list[Column], text: str, budget: int) -> DataFrame:
-    """As within_budget, but the row that crosses the budget is cut to fit."""
-    return running(df, by, order, {"before": F.length(text)}, before=True).filter(F.col("before") < budget).withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(budget) - F.col("before")).cast("int")))
+def filled(df: DataFrame, by: list[str], order: list[Column], text: str, budget: int, mark: str = "") -> DataFrame:
+    """As within_budget, but the row that crosses the budget is cut to fit and gets ``mark``, and no row comes after it."""
+    rows = running(df, by, order, {"before": F.length(text)}, before=True).filter(F.col("before") < budget)
+    room = (F.lit(budget) - F.col("before")).cast("int")
+    cut = F.substring(F.col(text), F.lit(1), room)
+    return rows.withColumn(text, F.when(F.length(text) > room, F.concat(cut, F.lit(mark))).otherwise(cut))
+
+
+def project_stats(files: DataFrame) -> DataFrame:
+    """files(path, issues, improvements, loaded) -> one row: scripts, scenes, total_files, total_issues, total_improvements, loaded_files.
+    Findings of scripts count."""
+    script = F.col("path").endswith(".gd")
+    found = lambda c: F.coalesce(F.sum(F.when(script, F.size(F.coalesce(c, F.array().cast("array<string>"))))), F.lit(0)).cast("long")
+    return files.agg(
+        F.count_if(script).alias("scripts"), F.count_if(F.col("path").endswith(".tscn")).alias("scenes"), F.count("*").alias("total_files"),
+        found("issues").alias("total_issues"), found("improvements").alias("total_improvements"), F.count_if("loaded").alias("loaded_files"),
+    )
 
 
 def last_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

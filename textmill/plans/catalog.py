@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import answers, codes, contexts, events, projects, searches, texts
+from . import answers, codes, contexts, events, projects, records, searches, texts
 
-MODULES = [texts, searches, events, codes, projects, answers, contexts]
+MODULES = [texts, searches, events, codes, projects, answers, contexts, records]
 
 
 def queries() -> dict:

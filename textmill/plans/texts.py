@@ -141,8 +141,11 @@ C.columns("cls10_reduced", "documents", ["doc_id"], lambda: {"focus": F.coalesce
 # guards
 AG = r"regexp_replace(text, '[^\x00-\x7F]', '?', 'g')"
 INJ = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches({AG}, {quoted(p)}) THEN {quoted(p)} END" for p in guards.INJECTION) + "], lambda x: x IS NOT NULL)"
-C.columns("grd1_injection", "documents", ["doc_id"], lambda: {"n": F.size(guards.injection(plain())["matched"]), "confidence": guards.injection(plain())["confidence"], "flagged": guards.injection(plain())["flagged"]},
-          f"WITH m AS (SELECT doc_id, {INJ} AS m FROM documents) SELECT doc_id, len(m)::INT AS n, least(1.0, len(m) / 2.0)::DOUBLE AS confidence, len(m) > 0 AS flagged FROM m")
+@C("grd1_injection", f"WITH m AS (SELECT doc_id, {INJ} AS m FROM documents) SELECT doc_id, len(m)::INT AS n, least(1.0, len(m) / 2.0)::DOUBLE AS confidence, len(m) > 0 AS flagged FROM m")
+def grd1(spark, d):
+    """The patterns are looked for once a text, and the three columns read what was found."""
+    found = read(spark, d, "documents").select("doc_id", F.size(guards.injection(plain())["matched"]).alias("n"))
+    return found.select("doc_id", "n", F.least(F.lit(1.0), F.col("n") / 2).alias("confidence"), (F.col("n") > 0).alias("flagged"))
 
 
 def _chain(patterns, marks, text):
