@@ -47,13 +47,17 @@ def line_type(line: Column) -> Column:
     )
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """A new block where a typed line's type differs from the current one; other lines join the current."""
+def in_blocks(lines: DataFrame) -> DataFrame:
+    """Each line with the number and the type of its block: a new one begins where a typed line's type differs from
+    the current one; other lines join the current."""
     typed = lines.withColumn("t", line_type(F.col("line")))
     before = F.last("t", True).over(in_order().rowsBetween(W.unboundedPreceding, -1))
     new = F.when(F.col("t").isNotNull() & before.isNotNull() & (F.col("t") != before), 1).otherwise(0)
-    cut = typed.withColumn("new", new).withColumn("block", F.sum("new").over(so_far()))
-    return cut.groupBy("path", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max("t").alias("kind"))
+    return typed.withColumn("new", new).withColumn("block", F.sum("new").over(so_far())).drop("new")
+
+
+def blocks(lines: DataFrame) -> DataFrame:
+    return in_blocks(lines).groupBy("path", "block").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max("t").alias("kind"))
 
 
 def process_bodies(lines: DataFrame, most: int = 15) -> DataFrame:

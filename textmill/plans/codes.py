@@ -277,10 +277,10 @@ def agg17(spark, d):
     return files(spark, d).agg(F.count("*").alias("scripts"), F.sum(F.size(F.split("content", "\n", -1))).alias("n_lines"), F.count_if(F.contains("content", F.lit("print("))).alias("with_prints"))
 
 
-@C("set3_lnt16_removed_variables", rf"WITH {FILES}, v AS (SELECT path, list_distinct(regexp_extract_all(content, 'var (\w+)', 1)) AS v, split_part(path, '/', 1) AS s, regexp_extract(path, '/(\d+)', 1)::INT AS n FROM f) SELECT a.path, len(list_filter(a.v, lambda x: NOT list_contains(coalesce(b.v, []), x)))::INT AS removed FROM v a LEFT JOIN v b ON a.s = b.s AND b.n = a.n + 20")
+@C("set3_lnt16_removed_variables", rf"WITH {FILES}, v AS (SELECT path, list_distinct(regexp_extract_all(content, 'var (\w+)', 1)) AS v, split_part(path, '/', 1) AS s, regexp_extract(path, '/(\d+)', 1)::BIGINT AS n FROM f) SELECT a.path, len(list_filter(a.v, lambda x: NOT list_contains(coalesce(b.v, []), x)))::INT AS removed FROM v a LEFT JOIN v b ON a.s = b.s AND b.n = a.n + 20")
 def set3(spark, d):
     """Variables of a script that the next one of its project lacks."""
-    v = files(spark, d).select("path", F.array_distinct(F.regexp_extract_all("content", F.lit(r"var (\w+)"), 1)).alias("v"), F.split_part("path", F.lit("/"), F.lit(1)).alias("s"), F.regexp_extract("path", r"/(\d+)", 1).cast("int").alias("n"))
+    v = files(spark, d).select("path", F.array_distinct(F.regexp_extract_all("content", F.lit(r"var (\w+)"), 1)).alias("v"), F.split_part("path", F.lit("/"), F.lit(1)).alias("s"), F.regexp_extract("path", r"/(\d+)", 1).cast("long").alias("n"))
     new = v.select("s", (F.col("n") - 20).alias("n"), F.col("v").alias("v2"))
     return v.hint("merge").join(new, ["s", "n"], "left").select("path", F.size(F.array_except("v", F.coalesce("v2", F.array().cast("array<string>")))).alias("removed"))
 
@@ -319,8 +319,7 @@ def txt12(spark, d):
 def win4(spark, d):
     from ..operators.feedback import packed
 
-    numbered = K.blocks(lines(spark, d)).select("path", "block", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    text = lines(spark, d).hint("merge").join(numbered, "path").filter((F.col("line_no") >= F.col("a")) & (F.col("line_no") <= F.col("b"))).groupBy("path", "block")
+    text = K.in_blocks(lines(spark, d)).groupBy("path", "block")  # a line carries its block's number
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n")
     return packed(text.agg(joined.alias("text")), 200, 40).select("path", "chunk", F.md5("text").alias("h"))
 

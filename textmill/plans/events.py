@@ -8,6 +8,7 @@ from ..functions import rules, tokens
 from ..operators import metrics as M
 from ..operators import search as S
 from ..operators import windows as V
+from ..operators.spread import carried
 from ._base import Catalog, F, read, sql_any, sql_first
 
 C = Catalog()
@@ -177,8 +178,8 @@ def str8(spark, d):
 @C("scl1_dates", "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, epoch_us(ts) - epoch_us(lag(ts) OVER (ORDER BY event_id)) > 300000000 AS idle FROM events QUALIFY lag(ts) OVER (ORDER BY event_id) IS NOT NULL")
 def scl1(spark, d):
     e = events(spark, d).select("event_id", F.col("ts").cast("timestamp").alias("ts"))
-    before = e.select((F.col("event_id") + 1).alias("event_id"), F.col("ts").alias("t0"))
-    return e.join(before, "event_id").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), (F.unix_micros("ts") - F.unix_micros("t0") > 300000000).alias("idle"))
+    both = carried(e, [], [F.col("event_id")], {"t0": F.col("ts")}).filter("t0 IS NOT NULL")  # the event before, whatever its id
+    return both.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), (F.unix_micros("ts") - F.unix_micros("t0") > 300000000).alias("idle"))
 
 
 @C("scl2_numbers", "SELECT event_id, round(ln(value + 1), 6) AS l, round(sqrt(value), 6) AS s, greatest(0.0, least(1.0, value / 100))::DOUBLE AS c FROM events")

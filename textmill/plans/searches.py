@@ -8,6 +8,7 @@ from ..functions import tokens
 from ..operators import search as S
 from ..operators import windows as V
 from ..operators.scratch import sized, written
+from ..operators.spread import carried
 from ._base import Catalog, F, read
 
 C = Catalog()
@@ -192,8 +193,8 @@ def top12(spark, d):
 @C("win17_source_mix", f"WITH {KEYWORD}, x AS (SELECT qid, id, score, lang = 'en' AS english, row_number() OVER (PARTITION BY qid, lang = 'en' ORDER BY score DESC, id) AS r FROM kw JOIN documents ON doc_id = id) SELECT qid, id, english FROM x WHERE r <= CASE WHEN english THEN 2 ELSE 3 END")
 def win17(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), (F.col("lang") == "en").alias("english"))
-    r = F.row_number().over(W.partitionBy("qid", "english").orderBy(F.desc("score"), "id"))
-    return keyword(spark, d).hint("merge").join(docs, "id").withColumn("r", r).filter(F.col("r") <= F.when(F.col("english"), 2).otherwise(3)).select("qid", "id", "english")
+    best = V.last_n(keyword(spark, d).hint("merge").join(docs, "id"), ["qid", "english"], [F.desc("score"), F.col("id")], 3)  # limited in each task
+    return best.filter(F.col("rank") <= F.when(F.col("english"), 2).otherwise(3)).select("qid", "id", "english")
 
 
 IDX = r"ix AS (SELECT doc_id AS id, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS token FROM documents), ip AS (SELECT id, token, count(*) AS tf FROM ix GROUP BY ALL), qw AS (SELECT item_id AS qid, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_matches(x, '^[a-z_][a-z0-9_]{2,}$'))) AS word FROM benchmark), vo AS (SELECT DISTINCT token FROM ip), pr AS (SELECT token, word, CASE WHEN token = word THEN 1.5 ELSE 0.5 END AS x FROM vo JOIN (SELECT DISTINCT word FROM qw) ON contains(token, word) OR contains(word, token))"
@@ -244,8 +245,8 @@ def set2(spark, d):
 @C("set4_overlap", "WITH a AS (SELECT doc_id, list_distinct(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ')) AS w FROM documents), b AS (SELECT doc_id, w, lag(w) OVER (ORDER BY doc_id) AS v FROM a) SELECT doc_id, len(list_intersect(w, v))::INT AS shared FROM b WHERE v IS NOT NULL")
 def set4(spark, d):
     docs = read(spark, d, "documents").select("doc_id", F.array_distinct(tokens.blank_split(F.col("text"))).alias("w"))
-    before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("w").alias("v"))  # ids are consecutive
-    return docs.hint("merge").join(before, "doc_id").select("doc_id", F.size(F.array_intersect("w", "v")).alias("shared"))
+    both = carried(docs, [], [F.col("doc_id")], {"v": F.col("w")})  # the document before, whatever its id
+    return both.filter("v IS NOT NULL").select("doc_id", F.size(F.array_intersect("w", "v")).alias("shared"))
 
 
 @C("set5_line_differences", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), a AS (SELECT doc_id, line, count(*) AS n FROM l GROUP BY ALL), o AS (SELECT doc_id + 1 AS doc_id, line, n FROM a WHERE doc_id % 2 = 0), w AS (SELECT * FROM a WHERE doc_id % 2 = 1), j AS (SELECT coalesce(w.doc_id, o.doc_id) AS doc_id, coalesce(w.n, 0) AS wn, coalesce(o.n, 0) AS nn FROM w FULL JOIN o ON w.doc_id = o.doc_id AND w.line = o.line) SELECT doc_id, sum(greatest(wn - nn, 0))::BIGINT AS added, sum(greatest(nn - wn, 0))::BIGINT AS removed FROM j GROUP BY doc_id")

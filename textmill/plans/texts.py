@@ -177,7 +177,7 @@ def distilled(spark, d):
     pages = read(spark, d, "pages")
     out = P.distilled(pages).filter(F.length("content") >= 50).withColumn("density", tokens.density(F.col("content"))).filter("density >= 0.3")
     sizes = pages.filter(F.length("html") >= 100).select("page_id", F.length("html").alias("original"))
-    return out.join(sizes, "page_id").select("page_id", "blocks", "density", "original", F.length("content").alias("distilled"), F.round(F.length("content") / F.col("original"), 4).alias("ratio"), F.md5("content").alias("h"))
+    return out.hint("merge").join(sizes, "page_id").select("page_id", "blocks", "density", "original", F.length("content").alias("distilled"), F.round(F.length("content") / F.col("original"), 4).alias("ratio"), F.md5("content").alias("h"))
 
 
 C.columns("scl6_url_parts", "pages", ["page_id"], lambda: {"host": F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), "stem": F.regexp_extract("url", r"([^/?#]+)(?:[?#].*)?$", 1)},
