@@ -110,7 +110,7 @@ def test_a_new_shard_moves_few_rows(spark):
     df = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
     a = {r.doc_id: r.shard for r in sharding.bounded_ring(df, 8).collect()}
     b = {r.doc_id: r.shard for r in sharding.bounded_ring(df, 9).collect()}
-    assert sum(a[k] != b[k] for k in a) < 0.55 * len(a)  # hashing modulo the number moves 8 of 9
+    assert sum(a[k] != b[k] for k in a) < 0.2 * len(a)  # hashing modulo the number moves 8 of 9
 
 
 # 2
