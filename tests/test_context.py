@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textmill.functions import files as K
 from textmill.functions import guards, lint
-from textmill.operators import context, feedback, windows
+from textmill.operators import analysis, code, context, feedback, windows
 from textmill.sources import readers
 
 
@@ -166,3 +166,55 @@ def test_names_bindings_and_records(spark, tmp_path):
     log = readers.structured_log(spark, str(tmp_path / "s.log"))
     assert [(r.operation, r.duration_ms, r.success) for r in readers.performance(log).collect()] == [("op", 1.25, True)]
     assert [(r.event_type, r.event_data) for r in readers.logged_events(log).collect()] == [("e", '{"k":1}')]
+
+
+def test_strict_chunks_equal_a_walk_over_lines(spark):
+    rng = random.Random(8)
+    forms = ["class A:", "class  B", "func f(x):", "\tfunc inner ():", "func 9", "", "  ", "var x", "\tpass"]
+    texts = {f"p{i}": [rng.choice(forms) for _ in range(rng.randrange(1, 14))] for i in range(40)}
+    want = []
+    for path, lines in texts.items():
+        cls = fun = None
+        start = number = 0
+
+        def save(a, b):
+            if any(x.strip() for x in lines[a:b]):
+                want.append((path, number, cls, fun, a + 1, b))
+
+        for i, line in enumerate(lines):
+            s = line.strip()
+            if s.startswith("class ") or s.startswith("func "):
+                is_class = s.startswith("class ")
+                if (cls if is_class else fun) and start < i:
+                    save(start, i)
+                if is_class:
+                    cls, fun = s.split()[1].split(":")[0].strip(), None
+                else:
+                    m = re.match(r"func\s+([a-zA-Z_][a-zA-Z0-9_]*)", s)
+                    fun = m.group(1) if m else "unknown"
+                start, number = i, number + 1
+        save(start, len(lines))
+    df = spark.createDataFrame([(p, i + 1, x) for p, ls in texts.items() for i, x in enumerate(ls)], "path string, line_no int, line string")
+    got = [tuple(r) for r in code.strict_chunks(df).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_repeated_signals_go(spark):
+    text = "signal hit\nvar a\n\tsignal hit\nsignal hit(x)\nsignal  die \nsignal die\nsignals hit"
+    got = spark.createDataFrame([(text,)], "t string").select(lint.without_repeated_signals(F.col("t"))).first()[0]
+    assert got == "signal hit\nvar a\nsignal hit(x)\nsignal  die \nsignals hit"
+
+
+def test_scalar_functions_are_registered(spark):
+    h = feedback.Handlers()
+    doubled = h.scalar(spark, "doubled", lambda s: s * 2, "long", kind="number")
+    assert spark.sql("SELECT doubled(id) AS x FROM range(3)").agg(F.sum("x")).first()[0] == 6
+    assert spark.range(3).select(doubled("id").alias("x")).agg(F.sum("x")).first()[0] == 6 and h.about["doubled"] == {"kind": "number"}
+
+
+def test_a_walk_becomes_one_graph(spark):
+    scene = '[ext_resource path="res://a.gd" id="1"]\n[node name="N" type="Node"]\nscript = ExtResource("1")'
+    files = spark.createDataFrame([("a.gd", 'extends "res://b.gd"\nvar x = load("res://c.gd")'), ("s.tscn", scene), ("addons/z.gd", 'extends "res://b.gd"'), ("n.md", "text")], "path string, content string")
+    edges, kept = analysis.project_graph(files)
+    assert sorted(map(tuple, edges.collect())) == [("a.gd", "b.gd", "extends"), ("a.gd", "c.gd", "load"), ("s.tscn", "a.gd", "scene")]
+    assert sorted(r.path for r in kept.collect()) == ["a.gd", "n.md", "s.tscn"]

@@ -136,10 +136,20 @@ def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
     return text
 
 
+def without_repeated_signals(content: Column) -> Column:
+    """The code with each signal's first declaration only; the word after signal tells them apart."""
+    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    name = lambda x: F.when(stripped(x).rlike(r"^signal\s+\w+"), F.split(stripped(x), r"\s+")[1])
+    named = F.transform(F.split(content, "\n", -1), lambda x: F.struct(x.alias("line"), name(x).alias("name")))
+    first = F.transform(F.array(named), lambda ls: F.filter(ls, lambda x, i: x["name"].isNull() | (F.array_position(ls["name"], x["name"]) == i + 1)))[0]
+    return F.array_join(F.transform(first, lambda x: x["line"]), "\n")
+
+
 def rewritten(content: Column) -> Column:
-    """Struct of the code with empty loops, white space, exports, loops over lengths and type hints put right,
+    """Struct of the code with repeated signals, empty loops, white space, exports, loops over lengths and type hints put right,
     n_loops and n_hints (kinds of hints given). Hints for floats aren't given."""
-    tidy = _replaced(F.concat(_replaced(_replaced(content, EMPTY_LOOPS), SPACES), F.lit("\n")), EXPORTS)
+    once = without_repeated_signals(content)
+    tidy = _replaced(F.concat(_replaced(_replaced(once, EMPTY_LOOPS), SPACES), F.lit("\n")), EXPORTS)
     looped = F.regexp_replace(tidy, LOOP, "for $1 in $2")
     n_hints = sum((looped.rlike(p).cast("int") for p, _ in HINTS), F.lit(0))
     return F.struct(_replaced(looped, HINTS).alias("code"), F.regexp_count(tidy, F.lit(LOOSE_LOOP)).alias("n_loops"), n_hints.alias("n_hints"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import lint
+from ..sources.readers import pruned
 from . import code as K
 from . import windows as V
 
@@ -270,3 +271,13 @@ def attachments(rows: DataFrame) -> DataFrame:
     owners = rows.filter("section = 'node'").select("path", F.col("line_no").alias("owner"), F.col("a_name").alias("node"))
     held = rows.filter("key = 'script'").select("path", "owner", F.regexp_extract("value", r'ExtResource\("([^"]*)"', 1).alias("id"))
     return held.hint("merge").join(res, ["path", "id"]).hint("merge").join(owners, ["path", "owner"]).select("script", F.col("path").alias("scene"), "node")
+
+
+def project_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files(path, content) of a walk -> the edges (src, dst, kind) of its scripts and scenes, and (path) of the files that
+    a project's scan doesn't leave out. Scripts depend on what they extend, preload and load, scenes on the scripts of their nodes."""
+    kept = files.filter(~pruned(F.col("path")))
+    ext = F.lower(F.regexp_extract("path", r"\.(\w+)$", 1))
+    scripts = K.dependencies(K.lines_of(kept.filter(ext == "gd"))).select("src", "dst", "kind")
+    scenes = attachments(K.scene_rows(K.lines_of(kept.filter(ext == "tscn")))).select(F.col("scene").alias("src"), F.col("script").alias("dst"), F.lit("scene").alias("kind"))
+    return scripts.unionByName(scenes).distinct(), kept.select("path").distinct()

@@ -38,6 +38,38 @@ def chunks(lines: DataFrame) -> DataFrame:
     return out.filter("full = 1").drop("full")
 
 
+def strict_chunks(lines: DataFrame) -> DataFrame:
+    """(path, chunk, class, function, start_line, end_line) as an index keeps them: what stands before a class line is kept only if a class is open,
+    before a func line only if a function is; what stands at the end is kept. A chunk is labelled with what is open in it: a class ends the
+    function before it. Blank chunks are left out."""
+    line = F.regexp_replace("line", r"^\s+|\s+$", "")
+    kind = F.when(line.startswith("class "), "class").when(line.startswith("func "), "func")
+    named = F.when(kind == "class", F.regexp_extract(line, r"^class\s+([^\s:]*)", 1)).when(kind == "func", F.coalesce(F.nullif(F.regexp_extract(line, r"^func\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1), F.lit("")), F.lit("unknown")))
+    numbered = lines.withColumns({"kind": kind, "name": named, "full": (line != "").cast("int")}).withColumn("chunk", F.sum(F.col("kind").isNotNull().cast("int")).over(so_far()))
+    parts = numbered.groupBy("path", "chunk").agg(F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.max("kind").alias("kind"), F.max("name").alias("name"), F.max("full").alias("full"))
+    order = W.partitionBy("path").orderBy("chunk")
+    opened = F.last(F.when(F.col("kind") == "class", F.col("name")), True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    parts = parts.withColumns({"class": opened, "function": F.when(F.col("kind") == "func", F.col("name")), "next": F.lead("kind").over(order)})
+    kept = F.when(F.col("next") == "class", F.col("class").isNotNull()).when(F.col("next") == "func", F.col("function").isNotNull()).otherwise(True)
+    return parts.filter(kept & (F.col("full") == 1)).select("path", "chunk", "class", "function", "start_line", "end_line")
+
+
+def orphans(rows: DataFrame, dot_is_root_child: bool = True) -> DataFrame:
+    """Scene rows -> (path, line_no) of the second and later nodes of a scene without a parent. Where a parent "." doesn't
+    count as one, children of the root are among them."""
+    alone = F.col("a_parent").isNull()
+    nodes = rows.filter((F.col("section") == "node") & (alone if dot_is_root_child else alone | (F.col("a_parent") == ".")))
+    return nodes.withColumn("r", F.row_number().over(W.partitionBy("path").orderBy("line_no"))).filter("r > 1").select("path", "line_no")
+
+
+def scene_warnings(lines: DataFrame) -> DataFrame:
+    """(path, line_no, warning) of the signal connections in scenes' lines."""
+    pattern = r'\[connection signal="([^"]+)" from="([^"]+)" to="([^"]+)" method="([^"]+)"'
+    part = lambda i: F.regexp_extract("line", pattern, i)
+    text = F.concat(F.lit("Signal connection found: "), part(2), F.lit("."), part(1), F.lit(" -> "), part(3), F.lit("."), part(4))
+    return lines.filter(F.col("line").rlike(pattern)).select("path", "line_no", text.alias("warning"))
+
+
 def line_type(line: Column) -> Column:
     s = F.ltrim(line)
     return (

@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -126,6 +126,11 @@ class Handlers:
     def register(self, name: str, handler: Callable[[DataFrame], DataFrame], **about: str) -> None:
         self.by_name[name], self.about[name] = handler, about
 
+    def scalar(self, spark: SparkSession, name: str, function: Callable, returns: str, **about: str) -> Callable[..., Column]:
+        """Registers a function of values, by batches of pandas Series: in SQL by its name, here as a function of columns."""
+        self.about[name] = about
+        return spark.udf.register(name, F.pandas_udf(function, returns))
+
     def names(self, **about: str) -> list[str]:
         """Names in the order of registration, of those whose metadata hold all that is asked."""
         return [n for n in self.by_name if about.items() <= self.about[n].items()]

@@ -342,3 +342,38 @@ def lnt17(spark, d):
     return files(spark, d).select("path", (has("loop") | loops).alias("loop_hint"), has("too long").alias("split_hint"))
 
 
+
+
+STRICT = r"h AS (SELECT *, CASE WHEN line LIKE 'class %' THEN 'class' WHEN ltrim(line) LIKE 'func %' THEN 'func' END AS kind FROM c), n AS (SELECT *, count(kind) OVER (PARTITION BY path ORDER BY line_no) AS chunk FROM h), p AS (SELECT path, chunk, min(line_no) AS start_line, max(line_no) AS end_line, max(kind) AS kind, max(CASE WHEN kind = 'func' THEN regexp_extract(ltrim(line), '^func\s+([a-zA-Z_][a-zA-Z0-9_]*)', 1) END) AS function, bool_or(regexp_matches(line, '\S')) AS full_ FROM n GROUP BY path, chunk), x AS (SELECT *, lead(kind) OVER (PARTITION BY path ORDER BY chunk) AS nxt FROM p)"
+
+
+@C("win1_strict_chunks", f"WITH {LINES}, {STRICT} SELECT path, chunk, function, start_line::INT AS start_line, end_line::INT AS end_line FROM x WHERE full_ AND (nxt IS NULL OR function IS NOT NULL)")
+def win1_strict(spark, d):
+    """The made scripts have no classes, so what stands before the first function goes."""
+    return K.strict_chunks(lines(spark, d)).drop("class")
+
+
+@C("win13_parentless", rf"WITH {SCENES}, {HEADS}, n AS (SELECT path, line_no, row_number() OVER (PARTITION BY path ORDER BY line_no) AS r FROM sc WHERE section = 'node' AND (NOT contains(line, 'parent=') OR regexp_matches(line, 'parent=\x22\.\x22'))) SELECT path, line_no FROM n WHERE r > 1")
+def win13_parentless(spark, d):
+    """A parent "." counts as none."""
+    return K.orphans(scenes(spark, d), dot_is_root_child=False)
+
+
+@C("lnt18_connection_warnings", rf"WITH {SCENES} SELECT path, line_no, 'Signal connection found: ' || regexp_extract(line, 'from=.([^\x22]+)\x22', 1) || '.' || regexp_extract(line, 'signal=.([^\x22]+)\x22', 1) || ' -> ' || regexp_extract(line, ' to=.([^\x22]+)\x22', 1) || '.' || regexp_extract(line, 'method=.([^\x22]+)\x22', 1) AS warning FROM c WHERE line LIKE '[connection %'")
+def lnt18_warnings(spark, d):
+    return K.scene_warnings(_made(spark, d, SCENE, "tscn"))
+
+
+_WALKED = "list_extract([" + ", ".join(map(quoted, FOLDERS)) + r"], (regexp_extract(path, '/(\d+)\.', 1)::BIGINT % 6 + 1)::INT) || path"
+_KEPT = "NOT contains({0}, '.godot') AND NOT contains({0}, 'imports') AND NOT regexp_matches({0}, '(^|/)(\\.git|\\.godot|addons)/')"
+_SCENES = _made_sql("k", SCENE, "tscn").replace("l0", "m0").replace("l1", "m1").replace("l2", "m2")
+
+
+@C("grf9_project_graph", rf"WITH {LINES}, {_SCENES}, {DEPS}, s AS (SELECT *, last_value(CASE WHEN line LIKE '[%' THEN line_no END IGNORE NULLS) OVER (PARTITION BY path ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS owner FROM k), x AS (SELECT path, regexp_extract(line, ' id=.([^\x22]*)\x22', 1) AS id, regexp_extract(line, 'path=.res://([^\x22]*)\x22', 1) AS res FROM s WHERE line LIKE '[ext_resource %'), u AS (SELECT s.path, regexp_extract(s.line, 'ExtResource\(.([^\x22]*)\x22', 1) AS id FROM s JOIN s o ON o.path = s.path AND o.line_no = s.owner AND o.line LIKE '[node %' WHERE s.line LIKE 'script = %'), a AS (SELECT src AS path, dst, kind FROM e UNION SELECT u.path, x.res, 'scene' FROM u JOIN x ON u.path = x.path AND u.id = x.id), w AS (SELECT {_WALKED} AS src, dst, kind FROM a) SELECT src, dst, kind FROM w WHERE {_KEPT.format('src')}")
+def grf9(spark, d):
+    """Scripts and scenes in folders of which a scan leaves some out: one set of edges."""
+    from ..operators.analysis import project_graph
+
+    walk = files(spark, d).select("path", "content").unionByName(K.files_of(_made(spark, d, SCENE, "tscn")).select("path", "content"))
+    at = F.element_at(F.array(*map(F.lit, FOLDERS)), (F.regexp_extract("path", r"/(\d+)\.", 1).cast("long") % 6 + 1).cast("int"))
+    return project_graph(walk.withColumn("path", F.concat(at, "path")))[0]

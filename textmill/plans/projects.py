@@ -226,7 +226,8 @@ def agg19(spark, d):
 
 
 FIXED = [(r"for (\w+) in range\(len\((\w+)\)\)", r"for \1 in \2")]
-REWRITE = rf"""q1 AS (SELECT path, regexp_replace(regexp_replace(content, 'for\s+\w+\s+in\s+[^:]+:\s*\n\s*pass', '# Empty loop removed', 'g'), 'while\s+True:\s*\n\s*pass', '# Infinite empty loop removed', 'g') AS t FROM f),
+REWRITE = rf"""q00 AS (SELECT path, string_split(content, chr(10)) AS ls, list_transform(string_split(content, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^\s*signal\s+\w+') THEN regexp_extract(x, '^\s*signal\s+(\S+)', 1) END) AS nm FROM f), q0 AS (SELECT path, array_to_string(list_filter(ls, lambda x, i: nm[i] IS NULL OR list_position(nm, nm[i]) = i), chr(10)) AS content FROM q00),
+q1 AS (SELECT path, regexp_replace(regexp_replace(content, 'for\s+\w+\s+in\s+[^:]+:\s*\n\s*pass', '# Empty loop removed', 'g'), 'while\s+True:\s*\n\s*pass', '# Infinite empty loop removed', 'g') AS t FROM q0),
 q2 AS (SELECT path, regexp_replace(regexp_replace(regexp_replace(t, '\n\s*\n\s*\n', chr(10) || chr(10), 'g'), '(?m)[ \t\r\f\v]+$', '', 'g'), '\s+$', '') || chr(10) AS t FROM q1),
 q3 AS (SELECT path, t AS t0, regexp_replace(t, 'export\s*\(\s*(int|float|String|bool)\s*\)\s+var\s+(\w+)', '@export var \2: \1', 'g') AS t FROM q2),
 q4 AS (SELECT path, {n(r'for\s+\w+\s+in\s+range\s*\(\s*len\s*\(\s*\w+\s*\)\s*\)', 't')} AS loops, regexp_replace(t, '{FIXED[0][0]}', '{FIXED[0][1]}', 'g') AS t FROM q3),
