@@ -16,9 +16,10 @@ from .scratch import sized, written
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
     """(id, token, tf): token frequency of each document. Texts are dealt by id once; counts, sizes and norms
-    of a document then need no shuffle of their own."""
+    of a document then need no shuffle of their own. An inner explode would have Spark infer a filter on the array's size and make
+    the tokens three times; an outer one makes them once."""
     t = tokens if tokens is not None else T.code_tokens(F.col(text_col))
-    return docs.repartition(id_col).select(F.col(id_col).alias("id"), F.explode(t).alias("token")).groupBy("id", "token").agg(F.count("*").alias("tf"))
+    return docs.repartition(id_col).select(F.col(id_col).alias("id"), F.explode_outer(t).alias("token")).filter("token IS NOT NULL").groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 def query_tokens(queries: DataFrame, qid: str = "item_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def token_sets(docs: DataFrame, id_col: str, text_col: str = "text", tokens: Col
     """(``name``, n, token and ``keep``): the distinct tokens of each row and their number; nothing is shuffled."""
     t = tokens if tokens is not None else T.code_tokens(F.col(text_col))
     sets = docs.select(F.col(id_col).alias(name), *keep, F.array_distinct(t).alias("set"))
-    return sets.select(name, *keep, F.size("set").alias("n"), F.explode("set").alias("token"))
+    return sets.select(name, *keep, F.size("set").alias("n"), F.explode_outer("set").alias("token")).filter("token IS NOT NULL")
 
 
 def meetings(sets: DataFrame, asked: DataFrame, *keep: str) -> DataFrame:

@@ -66,7 +66,8 @@ KEYWORD = f"{D}, {Q}, kw AS (SELECT qid, id, sum(CASE WHEN lang = 'en' THEN 1 EL
 def met(spark, d, questions=None):
     """Common tokens of the benchmark's questions and the documents; the language goes along, as it weighs the score."""
     questions = questions if questions is not None else read(spark, d, "benchmark")
-    sets = S.token_sets(read(spark, d, "documents"), "doc_id", keep=("lang",))
+    docs = read(spark, d, "documents").select("doc_id", "lang", "text").repartition("doc_id")  # texts are dealt once; matches then stay where their document is
+    sets = S.token_sets(docs, "doc_id", keep=("lang",))
     return S.meetings(sets, S.token_sets(questions, "item_id", tokens=tokens.code_tokens(F.col("text"), numbers=False), name="qid"), "lang")
 
 
