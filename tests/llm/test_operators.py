@@ -377,13 +377,36 @@ def test_token_counts_equal_the_library(spark, docs):
     assert got == {i: (len((x or "").encode()), len(e.ids)) for i, (x, e) in enumerate(zip(texts, ids))}
 
 
-def test_transducer_of_the_vocabulary_emits_what_the_library_counts():
+def test_automaton_counts_every_word_as_the_library():
     counter, t = tokencount.counter(P.path("word_bpe_49k.json")), Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    words = ["the", "house", "zzzzqx", "language", "t", "thé", "internationalisation", "qqqqqqqqqqqq"]
+    rng = random.Random(50)
+    words = ["the", "zzzzqx", "t", "thé", "internationalisation", *("a" * n for n in range(1, 300)), "etaoin" * 3000, "日本" * 3000]
+    for letters in ("ab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "éßωж日本語"):
+        words += ["".join(rng.choice(letters) for _ in range(rng.randint(1, 50))) for _ in range(600)]
     coded = [w.encode() for w in words]
     sizes = np.array([len(w) for w in coded])
-    got = counter.transduced(np.frombuffer(b"".join(coded), np.uint8), np.cumsum(sizes) - sizes, sizes)
-    assert all(n in (-1, len(t.encode(w, add_special_tokens=False).ids)) for n, w in zip(got, words)) and (got[:2] == 1).all() and got[2] == -1
+    want = [len(e.ids) for e in t.encode_batch(words, add_special_tokens=False)]
+    data = np.frombuffer(b"".join(coded), np.uint8)
+    assert counter.counted(data, np.cumsum(sizes) - sizes, sizes).tolist() == want
+    # the last words alone, so that they are stepped one by one from the start
+    assert [int(counter.counted(np.frombuffer(w, np.uint8), np.zeros(1, np.int64), np.array([len(w)]))[0]) for w in coded[-200:]] == want[-200:]
+
+
+def test_pairs_that_outlive_their_merges():
+    counter = tokencount.counter(P.path("word_bpe_49k.json"))
+    rng, tokens = np.random.default_rng(4), np.flatnonzero(counter.size > 0)
+    s, t = rng.choice(tokens, 3000), rng.choice(tokens, 3000)
+    raw = {i: [i] for i in counter.inner.tolist()}
+
+    def split(x):
+        return raw[x] if x in raw else split(int(counter.left[x])) + split(int(counter.right[x]))
+
+    flat = [split(a) + split(b) for a, b in zip(s.tolist(), t.tolist())]
+    sizes = np.array([len(x) for x in flat])
+    ids, n = counter.merge(np.array([i for x in flat for i in x]), sizes)
+    first = np.cumsum(n) - n
+    want = [bool(k == 2 and ids[f] == a) for f, k, a in zip(first, n, s)]
+    assert counter.lives(s, t).tolist() == want and [counter._pair(a, b) for a, b in zip(s.tolist(), t.tolist())] == want
 
 
 def test_state_maps_compose_like_one_pass():

@@ -6,13 +6,15 @@ chunks of equal length; each chunk's state map (for every entry state, the exit
 for all chunks at once, the maps are composed by a parallel prefix scan, and with the entry
 states known the transitions are run once more for what they emit: where a word begins.
 
-The vocabulary's own words are compiled to a second deterministic transducer over bytes, a trie
-whose transition out of a word emits the word's token count, worked out once by merge rounds
-(merges.py). All words run through it side by side, each from the root, as the splitter ends every
-word's run in a known state. It has one state for each prefix of a vocabulary word and doesn't
-grow with the corpus. Words that leave it are counted by merge rounds and remembered until the
-task ends: an exact automaton of all merges would need a state for every reachable sequence of
-unmerged symbols, and words are unbounded.
+Inside words the merges are a transducer as well. Byte-pair encoding is closed under prefixes: what
+encodes a word's prefix is the encoding of a shorter prefix and one last token. That token is the
+one vocabulary suffix of the prefix whose pair with the shorter prefix's last token outlives its own
+merges, and the prefix has one token more than the shorter one. Suffixes come from a deterministic
+automaton over bytes (a dense table: state, byte -> state) with each state's longest token, and from
+a trie of the tokens that end words, read backwards from a word's last byte. Whether a pair of tokens
+lives is told by undoing merges at their border, the later one first, and asking each time whether
+the two that touched would have merged before. All words run side by side, each from the root, as the
+splitter ends every word's run in a known state; nothing is remembered of words.
 
 Defined results: a null text is an empty one (0 bytes, 0 tokens); special tokens' strings count
 as one token, as the library's default has it; repeated rows get equal results; a null id stays
@@ -33,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import slices
-from .merges import Merger
+from .merges import NONE, Merger
 
-REMEMBER = 300_000
 CHUNK = 256
+FEW = 24  # words that numpy no longer pays for are stepped one by one
 
 # classes of characters
 OTHER, SPACE, LETTER, NUMBER, QUOTE, ONE, R, V, L, E = range(10)
@@ -128,10 +130,12 @@ class Counter:
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
         vocab, end = whole["model"]["vocab"], whole["model"]["end_of_word_suffix"]
-        pairs = {}
-        for rank, (a, b) in enumerate(whole["model"]["merges"]):
-            pairs[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        self.pairs = pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(whole["model"]["merges"])}
         self.merge = Merger(pairs)
+        # how each token was merged: rank (-1: a single byte), left part, right part
+        self.rank, self.left, self.right = np.full((3, max(vocab.values()) + 1), -1, np.int64)
+        for (a, b), (rank, token) in pairs.items():
+            self.rank[token], self.left[token], self.right[token] = rank, a, b
         special = [t["content"] for t in whole["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)))
         # bytes as printable characters, the usual byte-level alphabet: those that print stand for
@@ -140,57 +144,148 @@ class Counter:
         named = {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in own)}
         self.inner = np.array([vocab[named[b]] for b in range(256)], np.int64)
         self.final = np.array([vocab[named[b] + end] for b in range(256)], np.int64)
-        self.known: dict[bytes, int] = {}
         byte = {c: b for b, c in named.items()}
-        own_words = [bytes(byte[c] for c in token.removesuffix(end)) for token in vocab if token.endswith(end) and len(token) > len(end)]
-        self._compile([w for w in own_words if w])
-
-    def _compile(self, words: list[bytes]) -> None:
-        """The transducer of the vocabulary's words: (state << 8 | byte) -> state, and what leaving a state emits."""
+        inside = {bytes(map(byte.get, x)): i for x, i in vocab.items() if not x.endswith(end)}
+        ending = {bytes(map(byte.get, x.removesuffix(end))): i for x, i in vocab.items() if x.endswith(end)}
+        self._automaton(self._whole(inside, self.inner))
+        self._endings(self._whole(ending, self.final))
+
+    def _whole(self, tokens: dict[bytes, int], last: np.ndarray) -> dict[bytes, int]:
+        """The tokens that are their own encoding."""
+        data = np.frombuffer(b"".join(tokens), np.uint8)
+        sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        ends = np.cumsum(sizes) - 1
+        flat = self.inner[data]
+        flat[ends] = last[data[ends]]
+        counts = self.merge(flat, sizes)[1]
+        return {t: i for (t, i), n in zip(tokens.items(), counts.tolist()) if n == 1}
+
+    def _automaton(self, tokens: dict[bytes, int]) -> None:
+        """goto[state, byte]; longest[state]: the longest token the bytes read end with;
+        shorter[token]: the next one that this token ends with; size[token]."""
+        children: list[dict[int, int]] = [{}]
+        holds = {}
+        for t, token in tokens.items():
+            state = 0
+            for b in t:
+                if b not in children[state]:
+                    children[state][b] = len(children)
+                    children.append({})
+                state = children[state][b]
+            holds[state] = token
+        self.goto = np.zeros((len(children), 256), np.int32)
+        self.longest = np.full(len(children), -1, np.int64)
+        self.shorter, self.size = np.full((2, len(self.rank)), -1, np.int64)
+        for t, token in tokens.items():
+            self.size[token] = len(t)
+        level = [(0, b, child, 0) for b, child in children[0].items()]
+        for b, child in children[0].items():
+            self.goto[0, b] = child
+        while level:
+            below = []
+            for _, _, state, fail in level:  # fail: the state of the longest proper suffix
+                self.longest[state] = self.longest[fail]
+                if state in holds:
+                    self.shorter[holds[state]], self.longest[state] = self.longest[fail], holds[state]
+                self.goto[state] = self.goto[fail]
+                for b, child in children[state].items():
+                    below.append((state, b, child, int(self.goto[fail, b])))
+                    self.goto[state, b] = child
+            level = below
+
+    def _endings(self, tokens: dict[bytes, int]) -> None:
+        """The trie of the tokens that end words, last byte first: (state << 8 | byte) -> state, and the token a state holds."""
         step: dict[int, int] = {}
-        last = []
-        for w in words:
+        holds = {}
+        for t, token in tokens.items():
             state = 0
-            for b in w:
+            for b in reversed(t):
                 state = step.setdefault(state << 8 | b, len(step) + 1)
-            last.append(state)
+            holds[state] = token
         self.arcs = np.fromiter(step, np.int64, len(step))
         order = np.argsort(self.arcs)
         self.to = np.fromiter(step.values(), np.int64, len(step))[order]
         self.arcs = self.arcs[order]
-        self.emits = np.full(len(step) + 1, -1, np.int64)
-        self.emits[last] = self._merged(words)
-
-    def _merged(self, words: list[bytes]) -> np.ndarray:
-        data = np.frombuffer(b"".join(words), np.uint8)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        flat, last = self.inner[data], np.cumsum(sizes) - 1
-        flat[last] = self.final[data[last]]
-        return self.merge(flat, sizes)[1]
-
-    def transduced(self, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """What the words' runs emit: their token counts; -1 for words that leave the transducer."""
-        state, at = np.zeros(len(first), np.int64), np.arange(len(first))
-        out = np.full(len(first), -1, np.int64)
-        for j in range(int(sizes.max(initial=0))):
-            arc = state << 8 | data[first[at] + j]
-            slot = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
-            on = self.arcs[slot] == arc
-            at, state = at[on], self.to[slot[on]]
-            done = sizes[at] == j + 1
-            out[at[done]] = self.emits[state[done]]
-            at, state = at[~done], state[~done]
-            if not len(at):
-                break
+        self.ends = np.full(len(step) + 1, -1, np.int64)
+        self.ends[list(holds)] = list(holds.values())
+
+    def lives(self, s: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """Whether the encoding of both tokens' bytes is these two tokens."""
+        out, at = np.zeros(len(s), bool), np.arange(len(s))
+        until = np.full(len(s), NONE, np.int64)  # the rank at which the two that touch now ceased to
+        while len(at):
+            on = self.merge.table.find(s, t)[0] >= until
+            at, s, t, until = at[on], s[on], t[on], until[on]
+            first, second = self.rank[s], self.rank[t]
+            whole = (first < 0) & (second < 0)
+            out[at[whole]] = True
+            later = first > second  # of equal merges the left one comes first, so the right one is undone
+            until = np.where(later, first, second + 1)  # and meets its own rank, the left one does not
+            s, t = np.where(later, self.right[s], s), np.where(later, t, self.left[t])
+            at, s, t, until = at[~whole], s[~whole], t[~whole], until[~whole]
         return out
 
-    def _lexicon(self, words: list[bytes]) -> np.ndarray:
-        if len(self.known) > REMEMBER:
-            self.known = {}
-        new = [w for w in words if w not in self.known]
-        if new:
-            self.known.update(zip(new, self._merged(new).tolist()))
-        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+    def counted(self, data: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Token counts of the words data[first : first + sizes], by the automaton."""
+        last, count = np.full(len(data), -1, np.int64), np.zeros(len(data), np.int64)
+        state, at, j = np.zeros(len(first), np.int64), np.flatnonzero(sizes > 1), 0
+        while len(at) > FEW:
+            place = first[at] + j
+            state[at] = self.goto[state[at], data[place]]
+            token = self.longest[state[at]]
+            root = first[at]
+            while len(place):
+                before = place - self.size[token]
+                ok = before < root
+                inner = np.flatnonzero(~ok)
+                ok[inner] = self.lives(last[before[inner]], token[inner])
+                here = place[ok]
+                last[here] = token[ok]
+                count[here] = np.where(before[ok] < root[ok], 0, count[np.maximum(before[ok], 0)]) + 1
+                place, root, token = place[~ok], root[~ok], self.shorter[token[~ok]]
+            j += 1
+            at = at[sizes[at] > j + 1]
+        for i in at.tolist():
+            self._walk(data, int(first[i]) + j, int(first[i] + sizes[i]) - 1, int(first[i]), int(state[i]), last, count)
+        return self._finish(data, first, sizes, last, count)
+
+    def _walk(self, data: np.ndarray, place: int, end: int, root: int, state: int, last: np.ndarray, count: np.ndarray) -> None:
+        for p in range(place, end):
+            state = self.goto.item(state, data.item(p))
+            token = self.longest.item(state)
+            while (before := p - self.size.item(token)) >= root and not self._pair(last.item(before), token):
+                token = self.shorter.item(token)
+            last[p], count[p] = token, (count[before] if before >= root else 0) + 1
+
+    @lru_cache(100_000)
+    def _pair(self, s: int, t: int) -> bool:
+        """``lives`` of one pair."""
+        until = int(NONE)
+        while self.pairs.get((s, t), (until,))[0] >= until:
+            first, second = self.rank.item(s), self.rank.item(t)
+            if first < 0 and second < 0:
+                return True
+            if first > second:
+                until, s = first, self.right.item(s)
+            else:
+                until, t = second + 1, self.left.item(t)
+        return False
+
+    def _finish(self, data: np.ndarray, first: np.ndarray, sizes: np.ndarray, last: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Each word's last token, one that ends words, on top of the prefix before it."""
+        out, at = np.zeros(len(first), np.int64), np.flatnonzero(sizes > 0)
+        state, before = np.zeros(len(at), np.int64), first[at] + sizes[at] - 1
+        while len(at):
+            arc = state << 8 | data[before]
+            slot = np.minimum(np.searchsorted(self.arcs, arc), len(self.arcs) - 1)
+            state, before, token = self.to[slot], before - 1, self.ends[self.to[slot]]
+            root = before < first[at]
+            ok = root & (token >= 0)
+            asked = np.flatnonzero(~root & (token >= 0))
+            ok[asked] = self.lives(last[before[asked]], token[asked])
+            out[at[ok]] = np.where(root[ok], 0, count[np.maximum(before[ok], 0)]) + 1
+            at, state, before = at[~ok], state[~ok], before[~ok]
+        return out
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         extra = np.zeros(len(texts), np.int64)
@@ -212,9 +307,7 @@ class Counter:
         coded = pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         words = coded.dictionary
         bounds = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1].astype(np.int64)
-        counts = self.transduced(np.frombuffer(words.buffers()[2], np.uint8), bounds[:-1], np.diff(bounds))
-        left = np.flatnonzero(counts < 0)
-        counts[left] = self._lexicon(words.take(pa.array(left)).to_pylist())
+        counts = self.counted(np.frombuffer(words.buffers()[2], np.uint8), bounds[:-1], np.diff(bounds))
         count = counts[coded.indices.to_numpy()]
         doc = np.cumsum(points == 10)[solid][first]  # texts stand in lines of their own
         return extra + np.bincount(doc, count, len(texts)).astype(np.int64)
@@ -235,7 +328,6 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 size = [len(t.encode()) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(count(texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
-        count.known = {}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
