@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -561,6 +562,41 @@ def test_notices_are_found_with_words_lost_and_added(spark):
     assert got == {1: "gpl", 2: ""}
 
 
+def test_whole_licences_with_words_lost_and_added(spark):
+    texts, rng = licences.licence_texts(), random.Random(7)
+    assert {"mit", "bsd", "isc", "apache", "gpl", "lgpl", "mpl", "unlicense", "zlib", "cc-by", "cc-by-sa", "cc0"} <= {x for x, _ in texts}
+    rows = []
+    for label, text in texts:
+        edited = text.split()
+        n = (len(edited) - 4) * 2 // 25  # an edit costs five k-grams at most, so three fifths are left
+        for i in range(n, 0, -1):
+            at = i * len(edited) // (n + 1)
+            edited[at : at + 1] = [edited[at], "added"] if rng.random() < 0.5 else []
+        rows.append((len(rows), label, "before it " + " ".join(edited).upper() + " after it"))
+    shuffled = dict(texts)["zlib"].split()
+    rng.shuffle(shuffled)
+    rows.append((len(rows), None, " ".join(shuffled)))
+    whole = dict(texts)["zlib"].split()
+    rows.append((len(rows), None, " ".join(whole[: len(whole) // 3])))
+    df = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    got = {r.doc_id: r.labels.split(",") for r in licences.scan(df).collect()}
+    for i, label, text in rows:
+        assert label in got[i] if label else "zlib" not in got[i], (i, label, got[i])
+
+
+def test_licences_of_one_family_are_told_apart_as_the_sql_does(spark, tmp_path):
+    texts = [(i, f"before {text} after") for i, (_, text) in enumerate(licences.licence_texts())]
+    df = spark.createDataFrame([*texts, (100, None), (101, ""), (102, "GNU General Public License")], "doc_id long, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in licences.scan(df).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.sql(entries.ORACLES["op9_license_scan"]).fetchall())
+    for i, _, _, _, _, base, labels, _ in got:
+        if i < 100:
+            assert set(labels.split(",")) == {licences.licence_texts()[i][0], *filter(None, base.split(","))}
+
+
 # 10
 
 

@@ -143,14 +143,19 @@ FROM d LEFT JOIN g ON d.doc_id = g.doc_id LEFT JOIN k ON d.doc_id = k.doc_id""",
     "op9_license_scan": rf"""
 WITH d AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT doc_id, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda z: z[1] || ' ' || z[2])) AS gram, unnest(range(0, len(w) - 1)) AS pos FROM d WHERE len(w) > 1),
-t(tid, kind, label, grams, tpos, gram) AS (VALUES {licences.template_values(2)}),
-a AS (SELECT doc_id, tid, kind, label, grams, pos - tpos AS diag, list(DISTINCT tpos) AS tps FROM g JOIN t USING (gram) GROUP BY ALL),
-b AS (SELECT *, CASE WHEN diag - lag(diag) OVER l <= 3 THEN 0 ELSE 1 END AS new FROM a WHERE kind = 'phrase' OR len(tps) > 1 WINDOW l AS (PARTITION BY doc_id, tid ORDER BY diag)),
+g AS (SELECT doc_id, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda z: z[1] || ' ' || z[2])) AS gram, unnest(range(0, len(w) - 1)) AS pos FROM d WHERE len(w) > 1
+  UNION ALL SELECT doc_id, unnest(list_transform(list_zip(w[1:len(w) - 4], w[2:len(w) - 3], w[3:len(w) - 2], w[4:len(w) - 1], w[5:]), lambda z: concat_ws(' ', z[1], z[2], z[3], z[4], z[5]))),
+  unnest(range(0, len(w) - 4)) FROM d WHERE len(w) > 4),
+v(tid, kind, label, k, drift, text) AS (VALUES {licences.template_values(2, 5, 3)}),
+u AS (SELECT *, string_split(text, ' ') AS tw, unnest(range(0, len(string_split(text, ' ')) - k + 1)) AS tpos FROM v),
+t AS (SELECT tid, kind, label, len(tw) - k + 1 AS grams, drift, tpos, array_to_string(tw[tpos + 1:tpos + k], ' ') AS gram FROM u),
+a AS (SELECT doc_id, tid, kind, label, grams, drift, pos - tpos AS diag, list(DISTINCT tpos) AS tps FROM g JOIN t USING (gram) GROUP BY ALL),
+b AS (SELECT *, CASE WHEN diag - lag(diag) OVER l <= drift THEN 0 ELSE 1 END AS new FROM a WHERE kind = 'phrase' OR len(tps) > 1 WINDOW l AS (PARTITION BY doc_id, tid ORDER BY diag)),
 s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS span FROM b),
 m AS (SELECT doc_id, kind, label, len(list_distinct(flatten(list(tps)))) / grams AS cover, count(*) FILTER (len(tps) = grams) AS places,
-  min(diag) FILTER (len(tps) = grams) AS first, max(diag) FILTER (len(tps) = grams) AS last FROM s GROUP BY doc_id, tid, kind, label, grams, span),
-n AS (SELECT *, kind = 'phrase' AND places > 0 AS base, (kind = 'phrase' AND places > 0) OR (kind = 'notice' AND cover >= 0.6) AS named FROM m),
+  min(diag) FILTER (len(tps) = grams) AS first, max(diag) FILTER (len(tps) = grams) AS last, min(diag) AS start FROM s GROUP BY doc_id, tid, kind, label, grams, span),
+o AS (SELECT *, max(cover) OVER (PARTITION BY doc_id, kind = 'licence' ORDER BY start RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS best FROM m WHERE places > 0 OR cover >= 0.6),
+n AS (SELECT *, kind = 'phrase' AND places > 0 AS base, (kind = 'phrase' AND places > 0) OR (kind <> 'phrase' AND cover >= 0.6) AS named FROM o WHERE kind <> 'licence' OR cover = best),
 f AS (SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (named) AS labels, max(least(cover, 1.0)) FILTER (named) AS score FROM n GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

@@ -6,9 +6,13 @@ minus place in the template); neighbouring diagonals are merged into spans; span
 Hashes only find candidates: the k-gram's words are compared in the join, so a diagonal on
 which every k-gram of a template stands is that phrase, word for word.
 
-Two kinds of template: phrases, which count where they stand in full, and notices, which give
-their label where the merged span covers ``min_cover`` of their k-grams. Both are constants,
-so the template side is broadcast at a fixed size.
+Three kinds of template: phrases, which count where they stand in full; notices (sentences) and
+licences (whole texts, files of ``licence_texts``, labelled by what stands before the first dot of
+their names), which give their label where the merged span covers ``min_cover`` of their k-grams;
+of licences that begin within ``TOGETHER`` words of each other only the best covered count.
+Phrases and notices go by k-grams of ``k`` words, licences by ``long_k``, as pairs of frequent
+words would meet them everywhere. All are constants, so the template side is broadcast at a fixed
+size, and its hashes are a set of literals that leaves out other k-grams before the explode.
 
 Defined results: a null or empty text has no words, no label and score 0; a null id is an id
 like any other; repeated rows get equal results; an empty table gives an empty result; extra
@@ -17,11 +21,16 @@ columns are not read.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ._text import ascii_lower, row_key
+from ._text import LOWER, UPPER, ascii_lower, row_key
+
+TOGETHER = 40  # words
 
 # Phrases that name a licence, and their labels.
 PHRASES = {
@@ -49,32 +58,57 @@ def words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def template_values(k: int) -> str:
-    """SQL rows (tid, kind, label, grams, tpos, gram) of every k-gram of every template."""
-    rows = []
-    for tid, (phrase, label, kind) in enumerate([*((p, x, "phrase") for p, x in PHRASES.items()), *((p, x, "notice") for p, x in NOTICES.items())]):
-        w = phrase.split()
-        rows += [(tid, kind, label, len(w) - k + 1, i, " ".join(w[i : i + k])) for i in range(len(w) - k + 1)]
-    return ", ".join(f"({tid}, '{kind}', '{label}', {grams}, {tpos}, '{gram}')" for tid, kind, label, grams, tpos, gram in rows)
+def licence_texts() -> list[tuple[str, str]]:
+    """(label, words of the whole text); lines that name a holder of rights are left out."""
+    out = []
+    for file in sorted(Path(__file__).with_name("licence_texts").glob("*.txt")):
+        text = re.sub(r"(?m)^\s*Copyright\b.*$", "", file.read_text(encoding="utf-8"))
+        text = text.translate(str.maketrans(UPPER, LOWER))
+        out.append((file.name.split(".")[0], " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text))))
+    return out
+
 
+def template_values(k: int, long_k: int, drift: int) -> str:
+    """SQL rows (tid, kind, label, k, drift, text). Diagonals of a whole licence may lie an eighth of its length apart."""
+    rows = [("phrase", label, k, drift, text) for text, label in PHRASES.items()]
+    rows += [("notice", label, k, drift, text) for text, label in NOTICES.items()]
+    rows += [("licence", label, long_k, max(drift, len(text.split()) // 8), text) for label, text in licence_texts()]
+    quote = "'"
+    return ", ".join(f"({tid}, '{kind}', '{label}', {n}, {far}, '{text.replace(quote, quote * 2)}')" for tid, (kind, label, n, far, text) in enumerate(rows))
 
-def templates(spark: SparkSession, k: int) -> DataFrame:
-    return spark.sql(f"SELECT *, xxhash64(gram) AS h FROM VALUES {template_values(k)} AS t(tid, kind, label, grams, tpos, gram)")
 
+def _hash(k: int) -> str:
+    return f"xxhash64({', '.join(f'get(w, i + {j})' for j in range(k))})"
 
-def scan(docs: DataFrame, k: int = 2, min_cover: float = 0.6, drift: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def templates(spark: SparkSession, k: int, long_k: int, drift: int) -> DataFrame:
+    """A row for each place of each template: tid, kind, label, grams, drift, tpos, gram, h."""
+    gram = f"struct(i AS tpos, array_join(slice(w, i + 1, k), ' ') AS gram, IF(k = {k}, {_hash(k)}, {_hash(long_k)}) AS h)"
+    return spark.sql(
+        f"SELECT tid, kind, label, size(w) - k + 1 AS grams, drift, g.* FROM (SELECT *, explode(transform(sequence(0, size(w) - k), i -> {gram})) AS g "
+        f"FROM (SELECT *, split(text, ' ') AS w FROM VALUES {template_values(k, long_k, drift)} AS t(tid, kind, label, k, drift, text)))"
+    )
+
+
+def scan(docs: DataFrame, k: int = 2, long_k: int = 5, min_cover: float = 0.6, drift: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score. ``drift``: how far apart diagonals of one span may be (inserted or lost words)."""
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("rk"), words(F.col(text_col)).alias("w"))
-    gram = F.expr(f"transform(sequence(0, greatest(size(w) - {k}, 0)), i -> array_join(slice(w, i + 1, {k}), ' '))")
-    grams = base.select("rk", F.posexplode(gram).alias("pos", "g"))
-    hits = grams.withColumn("h", F.xxhash64("g")).join(F.broadcast(templates(spark, k)), "h").filter(F.col("g") == F.col("gram"))
+    known = templates(spark, k, long_k, drift)
+
+    def found_of(n: int) -> str:
+        places = f"IF(size(w) < {n}, CAST(array() AS array<int>), sequence(0, size(w) - {n}))"
+        return f"transform(filter({places}, i -> {_hash(n)} IN ({hashes})), i -> struct(i AS pos, {_hash(n)} AS h, array_join(slice(w, i + 1, {n}), ' ') AS g))"
+
+    hashes = ", ".join(f"{r.h}L" for r in known.select("h").distinct().collect())  # of the templates: a constant
+    grams = base.select("rk", F.explode(F.expr(f"concat({found_of(k)}, {found_of(long_k)})")).alias("x")).select("rk", "x.*")
+    hits = grams.join(F.broadcast(known), "h").filter(F.col("g") == F.col("gram"))
     keys = ["rk", "tid", "kind", "label", "grams"]
-    diagonals = hits.groupBy(*keys, (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.collect_set("tpos").alias("at"))  # as many as the template's k-grams at most
+    diagonals = hits.groupBy(*keys, "drift", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.collect_set("tpos").alias("at"))  # as many as the template's k-grams at most
     diagonals = diagonals.filter((F.col("kind") == "phrase") | (F.size("at") > 1))  # a single common pair is no trace of a notice
     line = W.partitionBy("rk", "tid").orderBy("diag")
-    far = F.coalesce((F.col("diag") - F.lag("diag").over(line) > drift).cast("int"), F.lit(1))
+    far = F.coalesce((F.col("diag") - F.lag("diag").over(line) > F.col("drift")).cast("int"), F.lit(1))
     spans = diagonals.withColumn("new", far).withColumn("span", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
     # a template's places that the span covers, however many diagonals are merged: a set of its k-grams
     covered = F.size(F.array_distinct(F.flatten(F.collect_set("at")))) / F.first("grams")
@@ -84,10 +118,14 @@ def scan(docs: DataFrame, k: int = 2, min_cover: float = 0.6, drift: int = 3, id
         F.sum(full.cast("long")).alias("places"),
         F.min(F.when(full, F.col("diag"))).alias("first"),
         F.max(F.when(full, F.col("diag"))).alias("last"),
+        F.min("diag").alias("start"),
     )
     spans = spans.filter((F.col("places") > 0) | (F.col("cover") >= min_cover))
+    # licences of one family share most of their words: of those that begin together the best covered stay
+    near = W.partitionBy("rk", F.col("kind") == "licence").orderBy("start").rangeBetween(-TOGETHER, TOGETHER)
+    spans = spans.withColumn("best", F.max("cover").over(near)).filter((F.col("kind") != "licence") | (F.col("cover") == F.col("best")))
     phrase = (F.col("kind") == "phrase") & (F.col("places") > 0)
-    named = phrase | ((F.col("kind") == "notice") & (F.col("cover") >= min_cover))
+    named = phrase | ((F.col("kind") != "phrase") & (F.col("cover") >= min_cover))
     found = spans.groupBy("rk").agg(
         F.sum(F.when(phrase, F.col("places"))).alias("n_base"),
         F.min(F.when(phrase, F.col("first"))).alias("first_word"),
