@@ -154,8 +154,8 @@ b AS (SELECT *, CASE WHEN diag - lag(diag) OVER l <= drift THEN 0 ELSE 1 END AS
 s AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, tid ORDER BY diag) AS span FROM b),
 m AS (SELECT doc_id, kind, label, len(list_distinct(flatten(list(tps)))) / grams AS cover, count(*) FILTER (len(tps) = grams) AS places,
   min(diag) FILTER (len(tps) = grams) AS first, max(diag) FILTER (len(tps) = grams) AS last, min(diag) AS start FROM s GROUP BY doc_id, tid, kind, label, grams, span),
-o AS (SELECT *, max(cover) OVER (PARTITION BY doc_id, kind = 'licence' ORDER BY start RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS best FROM m WHERE places > 0 OR cover >= 0.6),
-n AS (SELECT *, kind = 'phrase' AND places > 0 AS base, (kind = 'phrase' AND places > 0) OR (kind <> 'phrase' AND cover >= 0.6) AS named FROM o WHERE kind <> 'licence' OR cover = best),
+o AS (SELECT *, max(cover) OVER (PARTITION BY doc_id, kind ORDER BY start RANGE BETWEEN 40 PRECEDING AND 40 FOLLOWING) AS best FROM m WHERE places > 0 OR cover >= 0.6),
+n AS (SELECT *, kind = 'phrase' AND places > 0 AS base, (kind = 'phrase' AND places > 0) OR (kind <> 'phrase' AND cover >= 0.6) AS named FROM o WHERE kind = 'phrase' OR cover = best),
 f AS (SELECT doc_id, sum(places) FILTER (base) AS n_base, min(first) FILTER (base) AS first_word, max(last) FILTER (base) AS last_word,
   string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (named) AS labels, max(least(cover, 1.0)) FILTER (named) AS score FROM n GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

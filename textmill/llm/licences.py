@@ -9,7 +9,7 @@ which every k-gram of a template stands is that phrase, word for word.
 Three kinds of template: phrases, which count where they stand in full; notices (sentences) and
 licences (whole texts, files of ``licence_texts``, labelled by what stands before the first dot of
 their names), which give their label where the merged span covers ``min_cover`` of their k-grams;
-of licences that begin within ``TOGETHER`` words of each other only the best covered count.
+of those of one kind that begin within ``TOGETHER`` words of each other only the best covered count.
 Phrases and notices go by k-grams of ``k`` words, licences by ``long_k``, as pairs of frequent
 words would meet them everywhere. All are constants, so the template side is broadcast at a fixed
 size, and its hashes are a set of literals that leaves out other k-grams before the explode.
@@ -45,9 +45,12 @@ NOTICES = {
     "licensed under the apache license version 2 0": "apache",
     "you may not use this file except in compliance with the license": "apache",
     "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": "gpl",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license": "lgpl",
     "this work is licensed under the gnu general public license version 3": "gpl",
     "licensed under cc by nc 4 0": "cc-by-nc",
     "this work is licensed under a creative commons attribution 4 0 international license": "cc-by",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc",
     "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met": "bsd",
     "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl",
 }
@@ -121,9 +124,9 @@ def scan(docs: DataFrame, k: int = 2, long_k: int = 5, min_cover: float = 0.6, d
         F.min("diag").alias("start"),
     )
     spans = spans.filter((F.col("places") > 0) | (F.col("cover") >= min_cover))
-    # licences of one family share most of their words: of those that begin together the best covered stay
-    near = W.partitionBy("rk", F.col("kind") == "licence").orderBy("start").rangeBetween(-TOGETHER, TOGETHER)
-    spans = spans.withColumn("best", F.max("cover").over(near)).filter((F.col("kind") != "licence") | (F.col("cover") == F.col("best")))
+    # templates of one family share most of their words: of those that begin together the best covered stay
+    near = W.partitionBy("rk", "kind").orderBy("start").rangeBetween(-TOGETHER, TOGETHER)
+    spans = spans.withColumn("best", F.max("cover").over(near)).filter((F.col("kind") == "phrase") | (F.col("cover") == F.col("best")))
     phrase = (F.col("kind") == "phrase") & (F.col("places") > 0)
     named = phrase | ((F.col("kind") != "phrase") & (F.col("cover") >= min_cover))
     found = spans.groupBy("rk").agg(
