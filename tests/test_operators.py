@@ -278,3 +278,10 @@ def test_reach_goes_past_fifty_steps(spark):
     assert found.agg(F.max("depth"), F.count("*")).first()[:] == (53, 53)
     with pytest.raises(RuntimeError):
         graphs.reachable(chain, spark.createDataFrame([(0,)], "node long"), 2)
+
+
+def test_entities_of_pages_become_characters_once(spark):
+    html = "<p>a &lt;b&gt;&nbsp;&amp;lt; click here it&#39;s &quot;q&quot; &euro;</p>"
+    df = spark.createDataFrame([(1, html), (2, None), (3, "")], "id long, html string")
+    got = {r.id: r.t for r in df.select("id", tokens.plain_page(F.col("html")).alias("t")).collect()}
+    assert got == {1: "a <b> &lt;  it's \"q\" &euro;", 2: None, 3: ""}

@@ -65,9 +65,23 @@ def without_noise(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)\b(" + "|".join(NOISE) + r")\b", "")
 
 
+# Named and numbered entities; & comes last, so that what it makes is not read again.
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&nbsp;": " ",
+    "&ndash;": "-", "&mdash;": "-", "&hellip;": "...", "&amp;": "&",
+}
+
+
+def unescaped(text: Column) -> Column:
+    """The entities of ``ENTITIES`` as characters, dashes and blanks as plain ones; others stay as they stand."""
+    for entity, char in ENTITIES.items():
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
 def plain_page(html: Column) -> Column:
-    """Tags off, white space collapsed, noise out, 10 000 characters at most."""
-    return F.substring(without_noise(normalised(F.regexp_replace(html, "<[^>]+>", " "))), 1, 10000)
+    """Tags off, entities as characters, white space collapsed, noise out, 10 000 characters at most."""
+    return F.substring(without_noise(normalised(unescaped(F.regexp_replace(html, "<[^>]+>", " ")))), 1, 10000)
 
 
 def density(text: Column) -> Column:

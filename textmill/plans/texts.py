@@ -36,10 +36,22 @@ C.columns("txt4_identifiers", "documents", ["doc_id"], lambda: {"n": F.size(toke
 C.columns("txt5_blank_split", "documents", ["doc_id"], lambda: {"n": F.size(tokens.blank_split(text())), "first": tokens.blank_split(text())[0]},
           f"SELECT doc_id, len(string_split({BLANK}, ' '))::INT AS n, string_split({BLANK}, ' ')[1] AS first FROM documents")
 NOISE_SQL = "(?i)\\b(" + "|".join(tokens.NOISE) + ")\\b"
-C.columns("txt7_without_noise", "documents", ["doc_id"], lambda: {"h": F.md5(tokens.normalised(tokens.without_noise(plain())))},
-          rf"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '[^\x00-\x7F]', '?', 'g'), '{NOISE_SQL}', '', 'g'), '\s+', ' ', 'g'))) AS h FROM documents")
-C.columns("txt8_plain_pages", "pages", ["page_id"], lambda: {"n": F.length(tokens.plain_page(F.regexp_replace("html", r"[^\x00-\x7F]", "?")))},
-          rf"SELECT page_id, length(substring(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(html, '[^\x00-\x7F]', '?', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), '{NOISE_SQL}', '', 'g'), 1, 10000))::INT AS n FROM pages")
+
+
+def entities_sql(text: str) -> str:
+    for entity, char in tokens.ENTITIES.items():
+        text = f"replace({text}, {quoted(entity)}, {quoted(char)})"
+    return text
+
+
+ASCII = r"regexp_replace({0}, '[^\x00-\x7F]', '?', 'g')"
+NO_NOISE = r"regexp_replace({0}, '" + NOISE_SQL + r"', '', 'g')"
+SPACED = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
+C.columns("txt7_without_noise", "documents", ["doc_id"], lambda: {"h": F.md5(tokens.normalised(tokens.without_noise(tokens.unescaped(plain()))))},
+          f"SELECT doc_id, md5({SPACED.format(NO_NOISE.format(entities_sql(ASCII.format('text'))))}) AS h FROM documents")
+PAGE = entities_sql("regexp_replace(" + ASCII.format("html") + ", '<[^>]+>', ' ', 'g')")
+C.columns("txt8_plain_pages", "pages", ["page_id"], lambda: {"h": F.md5(tokens.plain_page(F.regexp_replace("html", r"[^\x00-\x7F]", "?")))},
+          f"SELECT page_id, md5(substring({NO_NOISE.format(SPACED.format(PAGE))}, 1, 10000)) AS h FROM pages")
 C.columns("txt9_normalised", "documents", ["doc_id"], lambda: {"n": F.length(tokens.normalised(text())), "h": F.md5(tokens.normalised(text()))},
           r"SELECT doc_id, length(trim(regexp_replace(text, '\s+', ' ', 'g')))::INT AS n, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents")
 C.columns("txt10_indented_blocks", "documents", ["doc_id"], lambda: {"n": F.size(F.regexp_extract_all(F.replace(text(), F.lit(". "), F.lit(".\n    ")), F.lit("(?m)^(    .*)$"), 1))},
