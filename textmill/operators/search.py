@@ -101,6 +101,15 @@ def containing(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     return inside.select("token", "word").unionByName(around.select("token", "word")).distinct()
 
 
+def first_holding(named: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """named(id, token), words(word) -> (word, id): the ``k`` smallest ids of tokens that hold the word. Ids are limited for each
+    token, then for each word, in each task before the shuffle, so work grows with the tokens' rows and not with the hits."""
+    first = lambda df, key: df.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy("id"))).filter(F.col("r") <= k).drop("r")
+    ids = first(named.select("token", "id").distinct(), "token")
+    pairs = containing(named.select("token").distinct(), words.select("word").distinct()).filter(F.contains("token", "word"))
+    return first(pairs.hint("merge").join(ids, "token").select("word", "id").distinct(), "word")
+
+
 def with_knowledge(scored: DataFrame, known: DataFrame) -> DataFrame:
     """Jaccard scores over 0.1; those of knowledge, the ids of ``known``, over 0.15 and with 0.1 more."""
     marked = scored.hint("merge").join(known.select("id", F.lit(True).alias("known")), "id", "left")
