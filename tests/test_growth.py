@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from textmill.operators import analysis as A
 from textmill.plans import catalog
 
 
@@ -26,3 +29,15 @@ def test_parts_of_one_name_are_not_paired_with_every_question(spark, tmp_path):
     assert most_rows(out) <= 6000
     rows = sorted((r.qid, r["rank"], r.id) for r in out.collect())
     assert rows == [(q, i, i) for q in range(50, 3001, 50) for i in range(1, 11)]
+
+
+def test_lines_of_scripts_are_not_shuffled(spark):
+    plan = catalog.queries()["lnt8_syntax_lines"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_extents_of_deep_code_take_a_row_a_line(spark):
+    deep = [("f", i, " " * i + f"func f{i}():") for i in range(1, 301)] + [("f", 301, "func g():"), ("f", 302, ""), ("e", 1, "\tfunc h():")]
+    out = A.function_extents(spark.createDataFrame(deep, "path string, line_no int, line string"), F.col("line") != "")
+    assert most_rows(out) <= len(deep)
+    assert {tuple(r) for r in out.collect()} == {("f", "f1", 1, 301, 300), ("f", "g", 301, 303, 1), ("e", "h", 1, 2, 1)}

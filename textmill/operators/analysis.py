@@ -4,6 +4,9 @@ cascades of a change, validation of a set of files."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -92,14 +95,18 @@ def priority(found: DataFrame, by: list[str], budget: int = BUDGET) -> DataFrame
     return within.unionByName(rest.hint("merge").join(within.filter("severity = 'high'"), [*by, "path", "category", "message"], "left_anti"))
 
 
+def without_extends(lines: DataFrame) -> DataFrame:
+    """(path) of the files without an extends line."""
+    has = F.bool_or(F.col("line").rlike(r"^\s*extends "))
+    return lines.groupBy("path").agg(has.alias("has")).filter(~F.col("has")).select("path")
+
+
 def syntax_issues(lines: DataFrame) -> DataFrame:
     """(path, line_no, issue); line_no 0 speaks of the whole file, a function's of its header. Blank lines
     and comments aren't looked at; spaces as indentation are told of the first three lines of a file; the
-    last function of a file isn't asked for its return."""
+    last function of a file isn't asked for its return. Only lines that may tell something are put in order, once."""
     line = F.col("line")
-    rows = lines.withColumn("line", F.rtrim(F.regexp_replace("line", r"\s+$", ""))).withColumn("whole", line.rlike(r"^\s*extends "))
-    bare = rows.groupBy("path").agg(F.bool_or("whole").alias("has")).filter(~F.col("has")).select("path", F.lit(0).alias("line_no"), F.lit("extends").alias("issue"))
-    live = rows.drop("whole").filter(line.rlike(r"^\s*[^\s#]"))
+    bare = without_extends(lines).select("path", F.lit(0).alias("line_no"), F.lit("extends").alias("issue"))
     said = F.array_compact(
         F.array(
             F.when(line.rlike(r"\bonready\b") & ~line.contains("@onready"), F.lit("onready")),
@@ -108,37 +115,58 @@ def syntax_issues(lines: DataFrame) -> DataFrame:
             F.when(line.rlike(r"\bsetget\b"), F.lit("setget")),
         )
     )
-    per_line = live.select("path", "line_no", F.explode(said).alias("issue"))
-    spaces = V.last_n(live.filter(line.startswith(" ")), ["path"], [F.col("line_no")], 3).select("path", "line_no", F.lit("spaces").alias("issue"))
     header = r"^func\s+(\w+)\s*\(.*\)\s*(->\s*\S+)?\s*:"
-    head = line.rlike(header)
     typed = F.regexp_extract("line", header, 2)
-    spans = live.withColumn("head", head).withColumn("span", F.sum(head.cast("int")).over(K.so_far())).withColumn("last", F.max("span").over(W.partitionBy("path")))
-    bodies = spans.filter("span > 0 AND span < last").groupBy("path", "span").agg(
-        F.min("line_no").alias("line_no"),
-        F.bool_or(F.col("head") & (typed != "") & ~typed.contains("void")).alias("typed"),
-        F.bool_or(~F.col("head") & line.contains("return")).alias("returns"),
-    )
-    return per_line.unionByName(spaces).unionByName(bare).unionByName(bodies.filter("typed AND NOT returns").select("path", "line_no", F.lit("return").alias("issue")))
-
-
-def function_extents(lines: DataFrame) -> DataFrame:
+    live = lines.filter(line.rlike(r"^\s*[^\s#]"))
+    marked = live.select(
+        "path", "line_no", said.alias("said"), line.startswith(" ").alias("spaces"), line.rlike(header).alias("head"),
+        ((typed != "") & ~typed.contains("void")).alias("typed"), line.contains("return").alias("returns"),
+    ).filter("size(said) > 0 OR spaces OR head OR returns")
+    nth = F.sum(F.col("spaces").cast("int")).over(K.so_far())
+    # a function lacks its return if, of headers and returns, a header comes next
+    then = F.expr("lead(CASE WHEN head OR returns THEN head END) IGNORE NULLS OVER (PARTITION BY path ORDER BY line_no)")
+    told = marked.withColumns({"nth": nth, "then": then})
+    issues = F.array_compact(F.concat("said", F.array(F.when(F.col("spaces") & (F.col("nth") <= 3), F.lit("spaces")), F.when(F.col("head") & F.col("typed") & F.col("then"), F.lit("return")))))
+    return told.select("path", "line_no", F.explode(issues).alias("issue")).unionByName(bare)
+
+
+def _extents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in order -> their outermost functions: one is open at a time, and it may go on in the next batch."""
+    names = ["path", "name", "start_line", "end_line", "n"]
+    path = at = None  # at: name, start, indent and what was counted before the open function
+    for b in batches:
+        out = []
+        for p, no, indent, name, before, upto, last in zip(*[c.to_pylist() for c in b.columns]):
+            if p != path:
+                path, at = p, None
+            if at and indent is not None and indent <= at[2]:
+                out.append((p, at[0], at[1], no, before - at[3]))
+                at = None
+            if at is None and name is not None:
+                at = name, no, indent, before
+            if at and last:
+                out.append((p, at[0], at[1], no + 1, upto - at[3]))
+                at = None
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64()])], names)
+
+
+def function_extents(lines: DataFrame, counted: Column | None = None) -> DataFrame:
     """(path, name, start_line, end_line): a function ends before the next line with text whose indent isn't
-    deeper than its own; functions inside another are part of it. Indents are ranked in each file, each
-    function asks once for each rank up to its own, and one window answers, so work grows with the lines."""
-    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
-    text = lines.filter(F.col("line").rlike(r"\S")).select("path", "line_no", "line", F.dense_rank().over(W.partitionBy("path").orderBy(indent)).alias("level"))
-    name = F.regexp_extract("line", r"^\s*func\s+(\w+)\s*\(", 1)
-    heads = text.filter(F.col("line").rlike(r"^\s*func ")).withColumn("name", F.when(name == "", "unknown_func").otherwise(name))
-    asks = heads.select("path", F.explode(F.sequence(F.lit(1), "level")).alias("level"), "line_no", "name", F.lit(None).cast("int").alias("closes"))
-    closers = text.select("path", "level", "line_no", F.lit(None).cast("string").alias("name"), F.col("line_no").alias("closes"))
-    after = W.partitionBy("path", "level").orderBy(F.desc("line_no")).rangeBetween(W.unboundedPreceding, -1)
-    answered = asks.unionByName(closers).withColumn("closes", F.min(F.col("closes")).over(after)).filter("name IS NOT NULL")
-    ends = answered.groupBy("path", "line_no", "name").agg(F.min("closes").alias("closes"))
-    n = lines.groupBy("path").agg(F.max("line_no").alias("n"))
-    out = ends.hint("merge").join(n, "path").select("path", "name", F.col("line_no").alias("start_line"), F.coalesce("closes", F.col("n") + 1).alias("end_line"))
-    reach = F.max("end_line").over(W.partitionBy("path").orderBy("start_line").rowsBetween(W.unboundedPreceding, -1))
-    return out.withColumn("reach", reach).filter("reach IS NULL OR reach <= start_line").drop("reach")
+    deeper than its own; functions inside another are part of it. One pass over the lines in order, of which those
+    that can neither open nor close a function (as deep as the line with text before, and that no header) are left out. With
+    ``counted`` also n, the number of a function's lines for which it holds."""
+    line = F.col("line")
+    text = line.rlike(r"\S")
+    called = F.regexp_extract("line", r"^\s*func\s+(\w+)\s*\(", 1)
+    name = F.when(line.rlike(r"^\s*func "), F.when(called == "", "unknown_func").otherwise(called))
+    own = F.lit(0) if counted is None else F.coalesce(counted.cast("int"), F.lit(0))
+    rows = lines.filter("path IS NOT NULL").select("path", F.col("line_no").cast("int").alias("line_no"), F.when(text, F.length(F.regexp_extract("line", r"^(\s*)", 1))).alias("indent"), name.alias("name"), own.alias("own"))
+    ahead = F.last(F.when(F.col("indent").isNotNull(), F.struct("indent", F.col("name").isNotNull().alias("head"))), True).over(K.in_order().rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"ahead": ahead, "upto": F.sum("own").over(K.so_far()), "last": F.lead("line_no").over(K.in_order()).isNull()})
+    may = F.col("last") | F.col("name").isNotNull() | (F.col("indent").isNotNull() & (F.col("ahead").isNull() | F.col("ahead.head") | (F.col("indent") < F.col("ahead.indent"))))
+    asked = rows.filter(may).sortWithinPartitions("path", "line_no").select("path", "line_no", "indent", "name", (F.col("upto") - F.col("own")).alias("before"), "upto", "last")
+    out = asked.mapInArrow(_extents, "path string, name string, start_line int, end_line int, n long")
+    return out if counted is not None else out.drop("n")
 
 
 def covering(functions: DataFrame, asked: DataFrame) -> DataFrame:
@@ -176,9 +204,8 @@ def expert(files: DataFrame, lines: DataFrame) -> DataFrame:
     leak = (c.contains("connect(") & ~c.contains("_exit_tree") & (c.contains("self.") | c.contains("func "))).cast("int")
     nodes = F.regexp_count(c, F.lit(PATH_NODE))
     magic = (F.regexp_count(c, F.lit(r"\b\d{2,}\b")) > 3).cast("int")
-    ready = function_extents(lines).filter("name = '_ready'")
-    text = lines.filter(F.col("line").rlike(r"\S"))
-    held = covering(ready, text).hint("merge").join(text, ["path", "line_no"]).groupBy("path").agg(F.max(F.lit(1)).alias("any"), (F.count("*") - F.count_if(F.col("line").rlike(r"^\s*func "))).alias("n"))
+    body = F.col("line").rlike(r"\S") & ~F.col("line").rlike(r"^\s*func ")
+    held = function_extents(lines, body).filter("name = '_ready'").groupBy("path").agg(F.sum("n").alias("n"))
     long = (F.coalesce("n", F.lit(0)) > 15).cast("int")
     out = files.select("path", (physics + leak + nodes).alias("i"), (physics + magic).alias("s")).hint("merge").join(held, "path", "left")
     return out.select("path", (F.col("i") + long).alias("n_issues"), F.col("s").alias("n_suggestions")).withColumn("score", F.greatest(F.lit(0), 100 - 10 * F.col("n_issues") - 5 * F.col("n_suggestions")))
