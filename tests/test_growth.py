@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textmill.operators import analysis as A
+from textmill.operators.overlap import most_shared
 from textmill.plans import catalog
 
 
@@ -41,3 +42,22 @@ def test_extents_of_deep_code_take_a_row_a_line(spark):
     out = A.function_extents(spark.createDataFrame(deep, "path string, line_no int, line string"), F.col("line") != "")
     assert most_rows(out) <= len(deep)
     assert {tuple(r) for r in out.collect()} == {("f", "f1", 1, 301, 300), ("f", "g", 301, 303, 1), ("e", "h", 1, 2, 1)}
+
+
+def test_overlaps_equal_all_pairs_in_blocks_of_any_size(spark):
+    import random
+
+    rng = random.Random(5)
+    sets = {i: sorted(rng.sample("abcdefghijkl", rng.randint(0, 6))) for i in range(150)} | {200 + i: list("abc") for i in range(40)}
+    df = spark.createDataFrame([(i, s) for i, s in sets.items()], "id long, s array<string>")
+    pairs = {a: max((len(set(s) & set(t)) for b, t in sets.items() if b > a), default=0) for a, s in sets.items()}
+    want = {a: n for a, n in pairs.items() if n > 1}
+    for block in (40, 10_000):
+        assert dict(map(tuple, most_shared(df, block).collect())) == want
+
+
+def test_copies_are_not_paired(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS doc_id", "'extraordinary circumstances' AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    out = catalog.queries()["jn9_shared_keywords"](spark, str(tmp_path))
+    assert most_rows(out) <= 4000
+    assert out.count() == 1999
