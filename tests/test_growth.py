@@ -61,3 +61,17 @@ def test_copies_are_not_paired(spark, tmp_path):
     out = catalog.queries()["jn9_shared_keywords"](spark, str(tmp_path))
     assert most_rows(out) <= 4000
     assert out.count() == 1999
+
+
+def test_guards_are_met_by_the_beginning_of_their_word(spark):
+    body = lambda name, rest="": "\n".join([f"func {name}(a):", *[f"\t{name}({i})" for i in range(4)], rest])
+    code = {"free": body("g", "\tif not f"), "own": body("g", "\tif not g"), "longer": body("g", "\tif !gate"), "other": body("gate", "\tif not g"), "twice": body("g", "if not if not g"), "two": body("a", "if not ab") + "\n" + body("b", "if !aa")}
+    df = spark.createDataFrame(list(code.items()), "path string, content string")
+    assert {tuple(r) for r in A.recursive(df).collect()} == {("free", "g"), ("other", "gate"), ("two", "b")}
+
+
+def test_the_code_of_a_file_is_not_kept_beside_its_functions(spark):
+    """A row of a function with its file's code would take the square of the file."""
+    files = spark.createDataFrame([("f", "func f(a):")], "path string, content string").repartition(2)
+    plan = A.recursive(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains(content" not in plan.lower().replace("#", "")

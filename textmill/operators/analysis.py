@@ -180,12 +180,16 @@ def covering(functions: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def recursive(files: DataFrame) -> DataFrame:
-    """(path, name): the first function, by name, that its file calls more than three times without a guard."""
-    guard = lambda word: F.contains("content", F.concat(F.lit(word), "name"))
-    calls = files.select("path", F.explode(F.regexp_extract_all("content", F.lit(r"(\w+)\s*\([^)]*\)"), 1)).alias("name"))
+    """(path, name): the first function, by name, that its file calls more than three times without a guard. A guard is a word after
+    "if not " or "if !" that begins with the name; of a file's guards in order, that is the first one from the name on, if any."""
+    every = lambda pattern: F.regexp_extract_all("content", F.lit(pattern), 1)
+    calls = files.select("path", F.explode_outer(every(r"(\w+)\s*\([^)]*\)")).alias("name")).filter("name IS NOT NULL")
     often = calls.groupBy("path", "name").agg(F.count("*").alias("n")).filter("n > 3")
-    defined = files.select("path", "content", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^func\s+(\w+)\s*\("), 1))).alias("name"))
-    free = defined.filter(~guard("if not ") & ~guard("if !")).select("path", "name")
+    told = F.concat(F.transform(F.array_distinct(every(r"(?m)^func\s+(\w+)\s*\(")), lambda x: F.struct(x.alias("name"), F.lit(0).alias("kind"))), F.transform(F.array_distinct(every(r"if (?:not |!)(?=(\w+))")), lambda x: F.struct(x.alias("name"), F.lit(1).alias("kind"))))
+    rows = files.select("path", F.explode_outer(told).alias("t")).filter("t IS NOT NULL").select("path", "t.name", "t.kind")
+    from_here = W.partitionBy("path").orderBy(F.desc("name"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    guard = F.last(F.when(F.col("kind") == 1, F.col("name")), True).over(from_here)
+    free = rows.withColumn("guard", guard).filter("kind = 0 AND NOT coalesce(startswith(guard, name), false)").select("path", "name")
     return free.hint("merge").join(often, ["path", "name"]).groupBy("path").agg(F.min("name").alias("name"))
 
 
