@@ -75,3 +75,15 @@ def test_the_code_of_a_file_is_not_kept_beside_its_functions(spark):
     files = spark.createDataFrame([("f", "func f(a):")], "path string, content string").repartition(2)
     plan = A.recursive(files)._jdf.queryExecution().optimizedPlan().toString()
     assert "contains(content" not in plan.lower().replace("#", "")
+
+
+def test_names_of_changes_are_searched_in_words(spark):
+    """Names that are no words are still found in the code."""
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edges = table([("u", "t"), ("v", "t"), ("w", "s")], "src string, dst string")
+    changes = table([("t", "Removed signal 'hit'"), ("t", "Removed signal 'my-hit'"), ("t", "Changed function go(a)"), ("s", "Removed signal 'hit'")], "target string, change string")
+    files = table([("u", "on_hits()\nmy-hit"), ("v", "h i t\ngo_on"), ("w", "hi\nt")], "path string, content string")
+    out = {(r.target, r.dependent): (r.high, r.medium, r.low) for r in A.cascade(edges, changes, files).collect()}
+    assert out == {("t", "u"): (2, 0, 0), ("t", "v"): (0, 1, 0), ("s", "w"): (0, 0, 0)}
+    words = A.cascade(edges, changes.filter("change NOT LIKE '%-%'"), files)
+    assert "contains(content" not in words._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -15,6 +15,7 @@ from ..functions import lint
 from ..sources.readers import pruned
 from . import code as K
 from . import windows as V
+from .scratch import written
 
 # Thresholds and weights of findings.
 LARGE, LONG_PROCESS, MANY_GLOBALS, BUDGET, OVERHEAD = 500, 15, 10, 2000, 50
@@ -269,11 +270,25 @@ def named_changes(change: Column) -> Column:
 
 def cascade(edges: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame:
     """edges(src, dst), changes(target, change), files(path, content) -> (target, dependent, high, medium, low): how
-    many changes of the target name something that its dependent holds. Changes of a target travel as one array."""
-    named = changes.select("target", F.explode(named_changes(F.col("change"))).alias("c")).groupBy("target").agg(F.collect_list("c").alias("cs"))
-    held = edges.select(F.col("src").alias("path"), F.col("dst").alias("target")).hint("merge").join(files, "path").hint("merge").join(named, "target")
-    n = lambda s: F.size(F.filter("cs", lambda c: (c.severity == s) & F.contains("content", c["name"])))
-    return held.select("target", F.col("path").alias("dependent"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"))
+    many changes of the target name something that its dependent holds. Changes of a target travel as one array. A name of word
+    characters stands within one word, so a file's distinct words are searched, not its code; other names are searched in the code."""
+    named = changes.select("target", F.explode(named_changes(F.col("change"))).alias("c"))
+    named = written(named.groupBy("target").agg(F.collect_list("c").alias("cs")), "changes")
+    plain = lambda c: c["name"].rlike(r"^\w+\z")
+    words = files.select("path", F.array_join(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\w+"), 0)), "\n").alias("text"))
+    parts = [(words, named.withColumn("cs", F.filter("cs", plain)))]
+    odd = named.withColumn("cs", F.filter("cs", lambda c: ~plain(c))).filter("size(cs) > 0")
+    if not odd.isEmpty():
+        parts.append((files.select("path", F.col("content").alias("text")), odd))
+    n = lambda s: F.size(F.filter("cs", lambda c: (c.severity == s) & F.contains("text", c["name"])))
+    links = edges.select(F.col("src").alias("path"), F.col("dst").alias("target"))
+    out = None
+    for texts, cs in parts:
+        held = links.hint("merge").join(texts, "path").hint("merge").join(cs, "target")
+        hits = held.select("target", F.col("path").alias("dependent"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"))
+        out = hits if out is None else out.unionByName(hits)
+    kinds = ("high", "medium", "low")
+    return out if len(parts) == 1 else out.groupBy("target", "dependent").agg(*[F.sum(k).cast("int").alias(k) for k in kinds])
 
 
 def cascade_report(hits: DataFrame) -> DataFrame:
