@@ -785,3 +785,24 @@ def test_set_links_equal_a_comparison_of_all_pairs_of_a_cell(spark):
     held = spark.createDataFrame([(i, [int(v) for v in x.view(np.int64)]) for i, x in enumerate(sets)], "id long, s array<long>")
     got = {r.id: r.root for r in simhash.set_links(df, held, 0.8, 64).collect()}
     assert [got.get(i, i) for i in range(len(sets))] == [root(i) for i in range(len(sets))] and len(got) > 20
+
+
+def test_set_links_make_no_row_for_a_pair_of_unlike_sets(spark, monkeypatch):
+    """A family below the threshold that shares what its head lacks, with one pair over it, in blocks of 100 sets."""
+    from tests.test_growth import most_rows
+
+    rng = np.random.default_rng(8)
+    sets = [[*range(100), *(1000 + rng.choice(140, 25, False)).tolist()] for _ in range(300)]
+    sets[7] = [*sets[150][:-5], *range(5000, 5005)]  # 120 of 130
+    made, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: (made.append(most_rows(edges)), components(edges))[1])
+    monkeypatch.setattr(simhash, "NODES", 100, raising=False)
+    alike = {(a, b) for a in range(300) for b in range(a) if len({*sets[a]} & {*sets[b]}) >= 250 * 4 / 9}
+    assert len(alike) < 30 and (150, 7) in alike
+    top = list(range(300))
+    for a, b in sorted(alike):
+        top = [min(top[a], top[b]) if x in (top[a], top[b]) else x for x in top]
+    df = spark.createDataFrame([(0, 0, i, 0) for i in range(300)], "c short, v long, id long, f long")
+    held = spark.createDataFrame(list(enumerate(sets)), "id long, s array<long>")
+    got = {r.id: r.root for r in simhash.set_links(df, held, 0.8, 64).collect()}
+    assert [got.get(i, i) for i in range(300)] == top and max(made) <= 2000

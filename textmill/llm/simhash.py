@@ -27,9 +27,8 @@ from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ._scratch import written
@@ -39,6 +38,7 @@ from .components import components
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _STEP = 1 << 16
 DENSE = 1024  # fingerprints of one bucket outside its main component that are compared as they stand
+ELEMENTS, NODES = 1_000_000, 1_000  # of a block of sets compared inside a task
 
 
 def simhash(data: bytes, size: int) -> int:
@@ -137,6 +137,41 @@ def links(cells: DataFrame, k: int, finer: Callable[[int], list[int]] | None = N
         known = again.select(F.explode("cs").alias("c"), "id", "f", "root").select("c", F.col("f").bitwiseAND(F.col("c")).alias("v"), "id", "f", "root").distinct()
 
 
+def _across(similarity: float, k: int) -> Callable[[pa.Table], pa.Table]:
+    """Nodes (i, j, x, id, f, root, n, size, lacks, d) of blocks i and j of one head -> (a, b), links that join their components as
+    all links between the blocks would. A set has n elements, the head size of them; lacks of the head's aren't in the set, and d
+    holds these and those that the head lacks."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, ids, root, n, size, lacks = (t.column(c).to_numpy() for c in ("x", "id", "root", "n", "size", "lacks"))
+        f, d = t.column("f").to_numpy().view(np.uint64), t.column("d").combine_chunks()
+        owner = np.repeat(np.arange(len(ids)), d.value_lengths().to_numpy())
+        at, seen = np.unique(d.flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
+        owner, at = owner[seen[at] > 1], at[seen[at] > 1]  # what one set alone holds is in common with none
+        holders, begins = owner[np.argsort(at, kind="stable")], np.append(0, np.cumsum(np.where(seen > 1, seen, 0)))
+        mine = np.searchsorted(owner, np.arange(len(ids) + 1))
+        names, own, often = np.unique(root, return_inverse=True, return_counts=True)
+        top = np.arange(len(names))  # of each root, the one it has been joined to
+        one = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        left, right = [], []
+        for a in np.flatnonzero(own != often.argmax()).tolist():  # of two components one isn't the main one
+            open_ = top[own] != top[own[a]]
+            if not one:
+                open_ &= x != x[a]
+            open_ &= np.bitwise_count(f ^ f[a]) <= k
+            if not open_.any():
+                continue
+            lists = [holders[begins[e] : begins[e + 1]] for e in at[mine[a] : mine[a + 1]].tolist()]
+            both = size - lacks[a] - lacks + (np.bincount(np.concatenate(lists), minlength=len(ids)) if lists else 0)
+            for b in np.flatnonzero(open_ & (both / np.maximum(1, n + n[a] - both) >= similarity)).tolist():
+                if top[own[a]] != top[own[b]]:
+                    left, right = [*left, ids[a]], [*right, ids[b]]
+                    top[top == top[own[b]]] = top[own[a]]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return run
+
+
 def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> DataFrame:
     """cells(c, v, id, f), sets(id, s array<long>) -> (id, root) for nodes with a link: two nodes of a
     cell whose sets have the Jaccard ``similarity`` at least. Sets whose f differ in more than ``k``
@@ -146,19 +181,17 @@ def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> D
     which differ less from it than from each other, the text. It need not stand in every cell of the
     group, so each node names the best one of all its cells, and the best one named is the cell's
     head. All nodes of a cell are held against the head. What isn't of the cell's main component then is held against one more head
-    of its own. Of the pairs left, two sets x and y have no more in common than each has with the head
-    and what both hold besides; so only pairs are looked at for which the former is enough, or that
-    share an element the head lacks (an equi-join on the rarest of these). No link is lost by that."""
-    need = similarity / (1 + similarity)  # of both sizes together, in common
+    of its own. What is left is compared inside tasks, block against block of one head's nodes: each as what it holds and the head
+    lacks or the reverse, which tells what any two have in common. Pairs are never rows: a block gives one link for two components at most."""
     alike = F.col("inter") / (F.col("n") + F.col("m") - F.col("inter")) >= similarity
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= k
     size, main_of = F.count("*").alias("size"), F.max_by("root", F.struct("n", "root")).alias("main")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        """(a, b) with both sizes, what they share, and what a holds besides."""
+    def compared(pairs: DataFrame, *more: Column) -> DataFrame:
+        """(a, b) with both sizes, how much they share, and ``more`` of the sets a_s and b_s."""
         side = lambda x: sets.select(F.col("id").alias(x), F.col("s").alias(f"{x}_s"))
         both = pairs.select("a", "b").distinct().hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
-        return both.select("a", "b", F.size("a_s").alias("n"), F.size("b_s").alias("m"), F.size(F.array_intersect("a_s", "b_s")).alias("inter"), F.array_except("a_s", "b_s").alias("besides"))
+        return both.select("a", "b", F.size("a_s").alias("n"), F.size("b_s").alias("m"), F.size(F.array_intersect("a_s", "b_s")).alias("inter"), *more)
 
     def rooted(known: DataFrame, links_: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The rows with their component, and those of cells with more than one, with the main one."""
@@ -186,29 +219,17 @@ def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> D
     again = rest.hint("merge").join(second, ["c", "v"]).filter("root != h.root").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("h.f"))) <= k)
     found = written(found.unionByName(compared(again.select(F.col("id").alias("a"), F.col("h.id").alias("b"))).filter(alike).select("a", "b")), "links")
     known, mixed = rooted(known, found)
-    # with the head: the head itself has all in common
-    shared = first.select(F.col("a").alias("id"), F.col("b").alias("head"), "n", "inter").unionByName(first.select(F.col("b").alias("id"), F.col("b").alias("head"), F.col("m").alias("n"), F.col("m").alias("inter")).distinct())
-    mixed = written(mixed.hint("merge").join(shared, ["id", "head"]), "mixed")
-    rest = mixed.filter("root != main")
-    other = rest.select("c", "v", *[F.col(x).alias(f"{x}2") for x in ("id", "f", "root", "n", "inter")])
-    enough = F.least("inter", "inter2") >= need * (F.col("n") + F.col("n2")) - 1e-6
-    pairs = mixed.hint("merge").join(other, ["c", "v"]).filter((F.col("root") != F.col("root2")) & near("f", "f2") & enough).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    # by prefixes: a set must share so many of what it holds besides that, in order of rarity, one of the first is among them
-    asked = mixed.groupBy("id", "head").agg(F.first("f").alias("f"), F.first("root").alias("root"), F.first("n").alias("n"), F.first("inter").alias("inter"), F.max(F.col("root") != F.col("main")).alias("outside"))
-    besides = asked.hint("merge").join(first.select(F.col("a").alias("id"), F.col("b").alias("head"), "besides"), ["id", "head"])
-    besides = written(besides.select("id", "head", "f", "root", "n", "inter", "outside", F.explode("besides").alias("x")), "besides")
-    often = besides.groupBy("head", "x").agg(F.count("*").alias("often")).filter("often > 1")
-    keep = F.col("n") - F.col("inter") - F.greatest(F.lit(0), F.ceil(similarity * F.col("n") - 1e-6) - F.col("inter")) + 1
-    alone = besides.groupBy("id", "head").agg(F.count("*").alias("all"))
-    besides = besides.hint("merge").join(often, ["head", "x"])  # what no other set of the head holds comes first, so its number is enough
-    place = F.row_number().over(W.partitionBy("id", "head").orderBy("often", "x"))
-    besides = besides.withColumn("place", place).hint("merge").join(alone, ["id", "head"])
-    shown = F.count("*").over(W.partitionBy("id", "head"))
-    besides = written(besides.withColumn("place", F.col("place") + F.col("all") - shown).filter(F.col("place") <= keep), "prefixes")
-    other = besides.filter("outside").select("head", "x", *[F.col(x).alias(f"{x}2") for x in ("id", "f", "root")])
-    more = besides.hint("merge").join(other, ["head", "x"]).filter((F.col("root") != F.col("root2")) & near("f", "f2")).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    cross = pairs.unionByName(more).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return components(found.unionByName(compared(cross).filter(alike).select("a", "b"))).withColumnRenamed("node", "id")
+    asked = written(mixed.groupBy("head", "id").agg(F.first("f").alias("f"), F.first("root").alias("root")), "asked")
+    apart = F.concat(F.array_except("a_s", "b_s"), F.array_except("b_s", "a_s")).alias("d")
+    apart = compared(asked.select(F.col("id").alias("a"), F.col("head").alias("b")), apart)
+    apart = apart.select(F.col("a").alias("id"), F.col("b").alias("head"), "n", F.col("m").alias("size"), (F.col("m") - F.col("inter")).alias("lacks"), "d")
+    nodes = written(asked.hint("merge").join(apart, ["head", "id"]), "apart")
+    blocks = F.greatest(F.ceil(F.sum(F.size("d")) / ELEMENTS), F.ceil(F.count("*") / NODES))
+    dealt = nodes.hint("merge").join(nodes.groupBy("head").agg(blocks.alias("blocks")), "head").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cells = dealt.select("head", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "f", "root", "n", "size", "lacks", "d")
+    across = cells.repartition("head", "i", "j").groupBy("head", "i", "j").applyInArrow(_across(similarity, k), "a long, b long")
+    return components(found.unionByName(across)).withColumnRenamed("node", "id")
 
 
 def _named(prints: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
