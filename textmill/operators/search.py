@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import tokens as T
-from .scratch import sized, written
+from .scratch import dealt, sized, written
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
@@ -19,7 +19,7 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     of a document then need no shuffle of their own. An inner explode would have Spark infer a filter on the array's size and make
     the tokens three times; an outer one makes them once."""
     t = tokens if tokens is not None else T.code_tokens(F.col(text_col))
-    return docs.repartition(id_col).select(F.col(id_col).alias("id"), F.explode_outer(t).alias("token")).filter("token IS NOT NULL").groupBy("id", "token").agg(F.count("*").alias("tf"))
+    return dealt(docs, id_col).select(F.col(id_col).alias("id"), F.explode_outer(t).alias("token")).filter("token IS NOT NULL").groupBy("id", "token").agg(F.count("*").alias("tf"))
 
 
 def query_tokens(queries: DataFrame, qid: str = "item_id", text_col: str = "text", tokens: Column | None = None) -> DataFrame:
