@@ -87,3 +87,16 @@ def test_names_of_changes_are_searched_in_words(spark):
     assert out == {("t", "u"): (2, 0, 0), ("t", "v"): (0, 1, 0), ("s", "w"): (0, 0, 0)}
     words = A.cascade(edges, changes.filter("change NOT LIKE '%-%'"), files)
     assert "contains(content" not in words._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_a_task_holds_so_many_texts_and_questions_whatever_the_table(spark, tmp_path):
+    from textmill.operators import search as S
+    from textmill.plans import searches
+
+    spark.range(18_000).selectExpr("id AS doc_id", "'en' AS lang", "concat('word', id % 7) AS text").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(500).selectExpr("id AS item_id", "concat('word', id % 7) AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda df: max(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    assert rows(S.postings(docs)) <= 5_000  # one token a text, 4,000 texts a task
+    met = searches.met(spark, str(tmp_path))
+    assert rows(met) <= 250_000 and met.count() == sum(len(range(k, 18_000, 7)) * len(range(k, 500, 7)) for k in range(7))
