@@ -100,3 +100,33 @@ def test_a_task_holds_so_many_texts_and_questions_whatever_the_table(spark, tmp_
     assert rows(S.postings(docs)) <= 5_000  # one token a text, 4,000 texts a task
     met = searches.met(spark, str(tmp_path))
     assert rows(met) <= 250_000 and met.count() == sum(len(range(k, 18_000, 7)) * len(range(k, 500, 7)) for k in range(7))
+
+
+def test_hits_of_index_words_are_no_rows(spark, tmp_path):
+    spark.range(500).selectExpr("id AS doc_id", "concat('xabc', id) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(60).selectExpr("id AS item_id", "'abc xabc7' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = catalog.queries()["jn2_substring_search"](spark, str(tmp_path))
+    assert most_rows(out) <= 500
+    assert {(r.qid, r["rank"], r.id, r.score) for r in out.collect()} == {(q, i + 1, d, x) for q in range(60) for i, (d, x) in enumerate([(7, 2.0), *[(70 + j, 1.0) for j in range(4)]])}
+
+
+def test_substring_scores_equal_brute_force_in_groups_of_any_size(spark):
+    import random
+
+    from textmill.operators import search as S
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("ab_") for _ in range(rng.randint(1, 6)))
+    texts = [(rng.choice([None, *range(40)]), " ".join(word() for _ in range(rng.randint(0, 8))) if i % 9 else None) for i in range(60)]
+    asked = [(rng.randint(1, 7), word()) for _ in range(25)]
+    scores = {}
+    for q, w in asked:
+        for i, t in texts:
+            for v in (t or "").split():
+                if min(len(v), len(w)) > 2 and (v in w or w in v):
+                    scores[q, i] = scores.get((q, i), 0) + (1.5 if v == w else 0.5)
+    want = {(q, *x) for q in dict(asked) for x in sorted(((i, s) for (p, i), s in scores.items() if p == q), key=lambda x: (-x[1], x[0] is not None, x[0] or 0))[:3]}
+    docs, words = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(asked, "qid long, token string")
+    for each, block in ((4_000, 250), (7, 2)):
+        out = S.substring_top(docs, words, 3, tokens=F.split("text", " "), each=each, block=block)
+        assert {(r.qid, r.id, r.score) for r in out.collect()} == want

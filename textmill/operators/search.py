@@ -6,6 +6,9 @@ of each query are taken by a ranked window, which Spark limits in each task befo
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -117,11 +120,71 @@ def with_knowledge(scored: DataFrame, known: DataFrame) -> DataFrame:
     return marked.filter(F.col("score") > F.when(own, 0.15).otherwise(0.1)).select("qid", "id", F.round(F.col("score") + F.when(own, 0.1).otherwise(0.0), 6).alias("score"))
 
 
-def substring_scores(posts: DataFrame, asked: DataFrame) -> DataFrame:
-    """0.5 tf for every index word that holds a query word or is held by one, and tf more for equal ones."""
-    pairs = containing(posts.select("token").distinct(), asked.select(F.col("token").alias("word")).distinct())
-    weighed = pairs.withColumn("x", F.when(F.col("token") == F.col("word"), 1.5).otherwise(0.5))
-    return asked.select("qid", F.col("token").alias("word")).hint("merge").join(weighed, "word").hint("merge").join(posts, "token").groupBy("qid", "id").agg(F.sum(F.col("x") * F.col("tf")).alias("score"))
+def _substring_best(k: int, slice_rows: int = 256):
+    """Of one group of texts and one block of queries: the best k texts of each query. A word's hits are looked up once: whole among the
+    pieces of query words, and by its trigrams among their beginnings. Of a slice's texts they are summed by query word, then by query."""
+
+    def best(key: tuple, texts: pa.Table, asked: pa.Table) -> pa.Table:
+        qids, words = asked["qid"].combine_chunks().dictionary_encode(), asked["word"].combine_chunks().dictionary_encode()
+        named = words.dictionary.to_pylist()
+        times = np.zeros((len(named), len(qids.dictionary)))
+        np.add.at(times, (words.indices.to_numpy(), qids.indices.to_numpy()), asked["times"].to_numpy())
+        holders, begins = {}, {}
+        for w, word in enumerate(named):
+            begins.setdefault(word[:3], []).append(w)
+            for piece in {word[i:j] for i in range(len(word)) for j in range(i + 3, len(word) + 1)}:
+                holders.setdefault(piece, []).append(w)
+
+        def hits(token: str) -> list[int]:
+            return holders.get(token, []) + [w for g in {token[i : i + 3] for i in range(len(token) - 2)} for w in begins.get(g, ()) if named[w] in token and named[w] != token]
+
+        ids = texts["id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        order = pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy()
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        lists = texts["tokens"].combine_chunks()
+        flat = lists.flatten().dictionary_encode()
+        tokens, of = flat.dictionary.to_pylist(), flat.indices.to_numpy()
+        row = np.repeat(place[ids.indices.to_numpy()], lists.value_lengths().fill_null(0).to_numpy())
+        pairs, tf = np.unique(row * max(1, len(tokens)) + of, return_counts=True)
+        row, of = np.divmod(pairs, max(1, len(tokens)))
+        found = [hits(token) for token in tokens]
+        n = np.fromiter(map(len, found), int, len(found))
+        word = np.fromiter((w for ws in found for w in ws), int, n.sum())
+        share = np.fromiter((1.5 if named[w] == token else 0.5 for token, ws in zip(tokens, found) for w in ws), float, n.sum())
+        first, out = np.cumsum(n) - n, []
+        for at in range(0, len(order), slice_rows):
+            a, b = np.searchsorted(row, [at, at + slice_rows])
+            each = n[of[a:b]]
+            hit = np.repeat(first[of[a:b]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+            size = min(slice_rows, len(order) - at), len(named)
+            held = np.bincount(np.repeat(row[a:b] - at, each) * size[1] + word[hit], np.repeat(tf[a:b], each) * share[hit], size[0] * size[1])
+            scores = held.reshape(size) @ times
+            top = np.argsort(-scores, axis=0, kind="stable")[:k]
+            q = np.broadcast_to(np.arange(scores.shape[1]), top.shape)
+            good = scores[top, q] > 0
+            out.append((q[good], order[at + top[good]], scores[top, q][good]))
+        q, i, x = (np.concatenate(c) for c in zip(*out)) if out else ([np.zeros(0, int)] * 2 + [np.zeros(0)])
+        return pa.table({"qid": qids.dictionary.take(pa.array(q)), "id": ids.dictionary.take(pa.array(i)), "score": x})
+
+    return best
+
+
+def substring_top(docs: DataFrame, asked: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, each: int = 4_000, block: int = 250) -> DataFrame:
+    """0.5 for every place of an index word that holds a query word or is held by one, and 1 more for equal ones: the best k texts
+    of each query in asked(qid, token). Texts are dealt once, in groups of about ``each`` and 16 MB, and meet blocks of about ``block`` queries
+    there; only the best of a group leave it, so neither words nor hits are shuffled. Words under three characters count nothing."""
+    t = F.filter(tokens if tokens is not None else T.code_tokens(F.col(text_col)), lambda x: F.length(x) >= 3)
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    groups, blocks = max(1, -(-n // each), (size or 0) >> 24), max(1, -(-asked.select("qid").distinct().count() // block))
+    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    texts = docs.select(F.col(id_col).alias("id"), t.alias("tokens"), part(id_col, groups).alias("g")).withColumn("b", every(blocks))
+    words = asked.filter(F.length("token") >= 3).groupBy("qid", F.col("token").alias("word")).agg(F.count("*").alias("times")).withColumn("b", part("qid", blocks))
+    words = written(words, "asked-words").withColumn("g", every(groups))
+    types = {f.name: f.dataType.simpleString() for f in [*texts.schema, *words.schema]}
+    best = texts.groupBy("g", "b").cogroup(words.groupBy("g", "b")).applyInArrow(_substring_best(k), f"qid {types['qid']}, id {types['id']}, score double")
+    return top_k(best, k)
 
 
 def structural_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
