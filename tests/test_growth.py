@@ -149,3 +149,13 @@ def test_marks_of_lines(spark):
     assert (row.marks, row.n_lines) == ("VFv#c bOVvP11:vc b#", 16)
     got = A.measures(spark.createDataFrame([("p", code)], "path string, content string")).first()
     assert (got.globals, got.comments, got.functions, got.n_lines) == (3, 4, 2, 16)
+
+
+def test_code_of_scripts_is_not_shuffled_to_be_compared(spark):
+    out = catalog.queries()["lnt16_compared"](spark, "/root/testdata/sf0.001")
+    assert "content" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scripts_are_validated_without_a_row_a_line(spark):
+    out = catalog.queries()["lnt18_validated_files"](spark, "/root/testdata/sf0.001")
+    assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()

@@ -155,17 +155,28 @@ def rewritten(content: Column) -> Column:
     return F.struct(_replaced(looped, HINTS).alias("code"), F.regexp_count(tidy, F.lit(LOOSE_LOOP)).alias("n_loops"), n_hints.alias("n_hints"))
 
 
+def compared_parts(content: Column) -> Column:
+    """Struct of what ``compared`` looks at in one version: much shorter than the code."""
+    process = r"func\s+_process\s*\(([^)]*)\)"
+    return F.struct(
+        F.array_distinct(F.regexp_extract_all(content, F.lit(r"var\s+(\w+)"), 1)).alias("names"),
+        F.regexp_count(content, F.lit(r"(?:print|push_warning|push_error)\s*\(")).alias("prints"),
+        F.regexp_extract(content, r"(?m)^extends\s+(\w+)", 1).alias("extends"),
+        content.rlike(process).alias("process"),
+        F.contains(F.regexp_extract(content, process, 1), F.lit("delta")).alias("delta"),
+    )
+
+
 def compared(old: Column, new: Column) -> Column:
     """Struct of what a new version of a script lacks (variables; prints and warnings, by their number) or adds: the name after extends
     where the old one had none, and delta among the parameters of _process where the old one's lacked it."""
-    names = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit(r"var\s+(\w+)"), 1))
-    prints = lambda c: F.regexp_count(c, F.lit(r"(?:print|push_warning|push_error)\s*\("))
-    extends = lambda c: F.regexp_extract(c, r"(?m)^extends\s+(\w+)", 1)
-    process = r"func\s+_process\s*\(([^)]*)\)"
-    delta = lambda c: F.contains(F.regexp_extract(c, process, 1), F.lit("delta"))
+    return compared_by(compared_parts(old), compared_parts(new))
+
+
+def compared_by(old: Column, new: Column) -> Column:
     return F.struct(
-        F.size(F.array_except(names(old), names(new))).alias("removed_vars"),
-        F.greatest(F.lit(0), prints(old) - prints(new)).alias("removed_prints"),
-        F.when(extends(old) == "", extends(new)).otherwise("").alias("added_extends"),
-        (old.rlike(process) & new.rlike(process) & ~delta(old) & delta(new)).alias("added_delta"),
+        F.size(F.array_except(old["names"], new["names"])).alias("removed_vars"),
+        F.greatest(F.lit(0), old["prints"] - new["prints"]).alias("removed_prints"),
+        F.when(old["extends"] == "", new["extends"]).otherwise("").alias("added_extends"),
+        (old["process"] & new["process"] & ~old["delta"] & new["delta"]).alias("added_delta"),
     )

@@ -132,10 +132,11 @@ def priority(found: DataFrame, by: list[str], budget: int = BUDGET) -> DataFrame
     return within.unionByName(rest.hint("merge").join(within.filter("severity = 'high'"), [*by, "path", "category", "message"], "left_anti"))
 
 
-def without_extends(lines: DataFrame) -> DataFrame:
-    """(path) of the files without an extends line."""
-    has = F.bool_or(F.col("line").rlike(r"^\s*extends "))
-    return lines.groupBy("path").agg(has.alias("has")).filter(~F.col("has")).select("path")
+def without_extends(code: DataFrame) -> DataFrame:
+    """(path) of the files without an extends line; code(path, ls) with a file's lines as an array or (path, line_no, line)."""
+    extends = lambda x: F.contains(x, F.lit("extends ")) & x.rlike(r"^\s*extends ")
+    has = F.bool_or(F.exists("ls", extends) if "ls" in code.columns else extends(F.col("line")))
+    return code.groupBy("path").agg(has.alias("has")).filter(~F.col("has")).select("path")
 
 
 def syntax_issues(lines: DataFrame) -> DataFrame:
