@@ -159,3 +159,17 @@ def test_code_of_scripts_is_not_shuffled_to_be_compared(spark):
 def test_scripts_are_validated_without_a_row_a_line(spark):
     out = catalog.queries()["lnt18_validated_files"](spark, "/root/testdata/sf0.001")
     assert "posexplode" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frequent_grams_are_those_of_counting_all(spark):
+    import random
+    from collections import Counter
+
+    from textmill.operators import feedback
+
+    rng = random.Random(9)
+    rows = [[rng.choice("aabbbcdefgh") * 2 for _ in range(rng.randint(0, 9))] for _ in range(60)]
+    counts = Counter(w for r in rows for w in r) + Counter(" ".join(p) for r in rows for p in zip(r, r[1:]))
+    df = spark.createDataFrame([(r,) for r in rows], "terms array<string>")
+    for most in (3, 12, 500):
+        assert feedback.frequent_grams(df, most) == [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]

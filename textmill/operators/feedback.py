@@ -6,14 +6,15 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizerModel, IndexToString, NGram, RegexTokenizer, SQLTransformer, StopWordsRemover, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from .scratch import sized, written
 
 
 def learn(patterns: list[dict], keywords: set[str], keep: int) -> list[dict]:
@@ -87,19 +88,31 @@ def intent_model(labelled: DataFrame, features: int = 1000, text: str = "text",
     usable = labelled.filter((F.col(text) != "") & (F.col(label) != ""))
     if (n := usable.limit(least).count()) < least:
         raise ValueError(f"intent_model: {n} samples, at least {least} are needed")
-    stages = [
-        StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip"),
-        RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2),
-        StopWordsRemover(inputCol="words", outputCol="terms"),
-        NGram(n=2, inputCol="terms", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(terms, pairs) AS grams FROM __THIS__"),
-        CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features),
-        IDF(inputCol="tf", outputCol="x"),
-        LogisticRegression(featuresCol="x", labelCol="y", maxIter=20, regParam=0.01),
-    ]
-    model = Pipeline(stages=stages).fit(usable)
-    names = IndexToString(inputCol="prediction", outputCol="predicted", labels=model.stages[0].labels)
-    return PipelineModel([*model.stages[1:], names])
+    index = StringIndexer(inputCol=label, outputCol="y", handleInvalid="skip").fit(usable)
+    to_terms = PipelineModel([RegexTokenizer(inputCol=text, outputCol="words", pattern=r"[^\p{L}\p{N}_]+", minTokenLength=2), StopWordsRemover(inputCol="words", outputCol="terms")])
+    terms = written(to_terms.transform(index.transform(usable)).select("y", "terms"), "intent-terms")  # texts are cut to words once
+    grams = PipelineModel([NGram(n=2, inputCol="terms", outputCol="pairs"), SQLTransformer(statement="SELECT *, concat(terms, pairs) AS grams FROM __THIS__")])
+    count = CountVectorizerModel.from_vocabulary(frequent_grams(terms, features) or [""], inputCol="grams", outputCol="tf")
+    counted = written(count.transform(grams.transform(terms)).select("y", "tf"), "intent-counts")
+    weigh = IDF(inputCol="tf", outputCol="x").fit(counted)
+    learned = LogisticRegression(featuresCol="x", labelCol="y", maxIter=20, regParam=0.01).fit(weigh.transform(counted))
+    return PipelineModel([*to_terms.stages, *grams.stages, count, weigh, learned, IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)])
+
+
+def frequent_grams(rows: DataFrame, most: int) -> list[str]:
+    """The ``most`` most frequent words and pairs of neighbours in rows(terms), ties to the first by name. A pair is no more frequent than
+    its rarer word, so once there are ``most`` words only pairs of words as frequent as the last of them are counted, not all pairs."""
+    best = lambda df: [tuple(r) for r in df.orderBy(F.desc("n"), "gram").limit(most).collect()]
+    words = written(rows.select(F.explode("terms").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "intent-words")
+    top = best(words)
+    kept = words.filter(F.col("n") >= (top[-1][1] if len(top) == most else 1))
+    few = sized(written(kept.select("gram"), "intent-kept"))
+    both = F.arrays_zip(F.slice("terms", 1, F.greatest(F.lit(0), F.size("terms") - 1)).alias("a"), F.slice("terms", 2, F.size("terms")).alias("b"))
+    pairs = rows.filter("size(terms) > 1").select(F.explode(both).alias("p")).select("p.a", "p.b")
+    for side in ("a", "b"):
+        pairs = pairs.join(few, F.col(side) == F.col("gram"), "left_semi")
+    counted = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).select(F.concat_ws(" ", "a", "b").alias("gram"), "n")
+    return [g for g, _ in sorted([*top, *best(counted)], key=lambda x: (-x[1], x[0]))[:most]]
 
 
 def intents(model: PipelineModel | None, rows: DataFrame, sure: float = 0.3, text: str = "text") -> DataFrame:
