@@ -173,3 +173,43 @@ def test_frequent_grams_are_those_of_counting_all(spark):
     df = spark.createDataFrame([(r,) for r in rows], "terms array<string>")
     for most in (3, 12, 500):
         assert feedback.frequent_grams(df, most) == [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
+
+
+def test_cosine_scores_equal_brute_force_in_groups_of_any_size(spark):
+    import math
+    import random
+    from collections import Counter
+
+    from textmill.operators import search as S
+
+    rng = random.Random(4)
+    words = lambda most: " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, most)))
+    texts = [(rng.choice([None, *range(40)]), words(9) if i % 9 else None) for i in range(60)]
+    asked = {q: Counter([*words(5).split(), "new"]) for q in [None, *range(7)]}
+    tf = {i: Counter(w for j, t in texts if j == i for w in (t or "").split()) for i, _ in texts}
+    df = Counter(w for c in tf.values() for w in c)
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    asked_tf = spark.createDataFrame([(q, w, n) for q, c in asked.items() for w, n in c.items()], "qid long, token string, tf long")
+    for weigh, most in ((True, sum), (False, max)):
+        idf = {w: math.log(60 / (n + 1)) + 1 if weigh else math.log(60 / n) for w, n in df.items()}
+        of = {i: {w: n / most(c.values()) * (idf[w] if weigh else 1) for w, n in c.items()} for i, c in tf.items() if c and i is not None}
+        want = set()
+        for q, c in asked.items():
+            v = {w: n / most(c.values()) * idf.get(w, 1.0 if weigh else 0.0) for w, n in c.items()}
+            both = lambda u: sum(x * v.get(w, 0) for w, x in u.items()) / max(1e-9, math.hypot(*u.values()) * math.hypot(*v.values()))
+            best = sorted((-round(both(u), 6), i) for i, u in of.items())[:3] if q is not None else []
+            want |= {(q, i, -x, r + 1) for r, (x, i) in enumerate(best) if -x >= 0.3}
+        for each, block in ((4_000, 250), (7, 2)):
+            out = S.cosine_top(docs, asked_tf, 3, 0.3, weigh, tokens=F.split("text", " "), each=each, block=block)
+            got = {(r.qid, r.id, r.score, r["rank"]) for r in out.collect()}
+            assert got == want and len(want) > 5
+
+
+def test_postings_of_cosine_searches_are_no_rows(spark, tmp_path):
+    """Neither a token of a text nor its meeting with a question is a row: nothing of the plan grows with them."""
+    spark.range(400).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 50), i -> concat('word', i)), ' ') || ' own' || id AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(60).selectExpr("id AS item_id", "'word1 word2 own7' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name in ("top7_recall",):
+        out = catalog.queries()[name](spark, str(tmp_path))
+        assert most_rows(out) <= 700
+        assert {(r.qid, r["rank"], r.id) for r in out.collect() if r["rank"] == 1} == {(q, 1, 7) for q in range(60)}

@@ -70,8 +70,112 @@ def jaccard_scores(posts: DataFrame, asked: DataFrame) -> DataFrame:
 def idf(posts: DataFrame, total: DataFrame, smooth: bool) -> DataFrame:
     """Inverse document frequency: ln(N / (df + 1)) + 1 if smooth, else ln(N / df). total(n): one row."""
     df = posts.groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(total))
-    value = F.log(F.col("n") / (F.col("df") + 1)) + 1 if smooth else F.log(F.col("n") / F.col("df"))
-    return df.select("token", "df", value.alias("idf"))
+    return df.select("token", "df", _idf(F.col("df"), F.col("n"), smooth).alias("idf"))
+
+
+def _idf(df: Column, n: Column | int, smooth: bool) -> Column:
+    return F.log(F.lit(n) / (df + 1)) + 1 if smooth else F.log(F.lit(n) / df)
+
+
+def _in_groups(docs: DataFrame, id_col: str, text_col: str, tokens: Column, each: int) -> tuple[DataFrame, int]:
+    """(id, tokens, g) and the number of groups: texts dealt by id to groups of about ``each`` and 16 MB, as many as the table needs."""
+    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
+    groups = max(1, -(-n // each), (size or 0) >> 24)
+    return docs.select(F.col(id_col).alias("id"), tokens.alias("tokens"), _part(id_col, groups).alias("g")), groups
+
+
+def _part(c: str, m: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+
+
+def _every(m: int) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+
+
+def _counted(texts: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts(id, tokens): the ids from the smallest, null first, and the tokens; and for each id and token that meet, by id, their places
+    in these and how often they do. Rows of one id are one text."""
+    ids = texts["id"].combine_chunks().dictionary_encode(null_encoding="encode")
+    order = pc.sort_indices(ids.dictionary, null_placement="at_start")
+    place = np.empty(len(order), int)
+    place[order.to_numpy()] = np.arange(len(order))
+    lists = texts["tokens"].combine_chunks()
+    flat = lists.flatten().dictionary_encode()
+    row = np.repeat(place[ids.indices.to_numpy()], lists.value_lengths().fill_null(0))
+    pairs, tf = np.unique(row * max(1, len(flat.dictionary)) + flat.indices.to_numpy(), return_counts=True)
+    row, of = np.divmod(pairs, max(1, len(flat.dictionary)))
+    return ids.dictionary.take(order), flat.dictionary, row, of, tf
+
+
+def _token_counts(key: tuple, texts: pa.Table) -> pa.Table:
+    _, tokens, _, of, _ = _counted(texts)
+    return pa.table({"g": pa.array(np.full(len(tokens), key[0].as_py()), pa.int32()), "token": tokens, "n": np.bincount(of, minlength=len(tokens))})
+
+
+def _cosine_best(k: int, least: float, weigh_documents: bool, slice_rows: int = 256):
+    """Of one group of texts and one block of queries: the best k texts of each query. Rows of ``weights`` without a qid are the idf of the group's
+    tokens. Of a slice's texts the products are summed by text and query where they meet in a token."""
+
+    def best(key: tuple, texts: pa.Table, weights: pa.Table) -> pa.Table:
+        ids, tokens, row, of, tf = _counted(texts)
+        own, asked = weights.filter(pc.is_null(weights["qid"])), weights.filter(pc.is_valid(weights["qid"]))
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        most = np.zeros(len(ids))
+        most[row[first]] = (np.add if weigh_documents else np.maximum).reduceat(tf, first) if len(first) else 0
+        w = tf / most[row]
+        if weigh_documents:
+            w *= own["w"].to_numpy()[pc.index_in(tokens, own["token"].combine_chunks()).to_numpy(zero_copy_only=False)[of].astype(int)]
+        norm = np.sqrt(np.bincount(row, w * w, len(ids)))
+        norm[ids.is_null().to_numpy(zero_copy_only=False)] = 0  # a text without an id counts for frequencies only
+        qids = asked["qid"].combine_chunks().dictionary_encode()
+        wq, q = asked["w"].to_numpy(), qids.indices.to_numpy()
+        qnorm = np.sqrt(np.bincount(q, wq * wq, len(qids.dictionary)))
+        at = pc.index_in(asked["token"].combine_chunks(), tokens).fill_null(len(tokens)).to_numpy()
+        asks = np.argsort(at, kind="stable")
+        n = np.bincount(at, minlength=len(tokens) + 1)
+        begin, out = np.cumsum(n) - n, []
+        for a in range(0, len(ids), slice_rows):
+            size = min(slice_rows, len(ids) - a), len(qnorm)
+            part = slice(*np.searchsorted(row, [a, a + slice_rows]))
+            each = n[of[part]]
+            hit = asks[np.repeat(begin[of[part]] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+            dot = np.bincount(np.repeat(row[part] - a, each) * size[1] + q[hit], np.repeat(w[part], each) * wq[hit], size[0] * size[1]).reshape(size)
+            norms = norm[a : a + size[0], None] * qnorm
+            scores = np.round(np.divide(dot, norms, out=np.zeros(size), where=norms > 0), 6)
+            top = np.argsort(-scores, axis=0, kind="stable")[:k]
+            who = np.broadcast_to(np.arange(size[1]), top.shape)
+            good = scores[top, who] >= least
+            out.append((who[good], a + top[good], scores[top, who][good]))
+        who, i, x = (np.concatenate(c) for c in zip(*out)) if out else ([np.zeros(0, int)] * 2 + [np.zeros(0)])
+        return pa.table({"qid": qids.dictionary.take(pa.array(who)), "id": ids.take(pa.array(i)), "score": x})
+
+    return best
+
+
+def cosine_top(docs: DataFrame, asked_tf: DataFrame, k: int, least: float, weigh_documents: bool, id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, each: int = 4_000, block: int = 250) -> DataFrame:
+    """Cosine of TF-IDF vectors: the best k texts of each query of asked_tf(qid, token, tf) that score ``least``, which is over 0, or more.
+    Frequencies of a text are divided by its largest, and only the query has idf, ln(N / df); if ``weigh_documents``, they are divided by their
+    sum, and both have idf, ln(N / (df + 1)) + 1. Texts are dealt in groups of about ``each`` and 16 MB. A group sends its distinct tokens with the
+    number of texts that hold each, gets their idf back, and only its best leave it: neither postings nor hits are shuffled."""
+    texts, groups = _in_groups(docs, id_col, text_col, tokens if tokens is not None else T.code_tokens(F.col(text_col)), each)
+    types = {f.name: f.dataType.simpleString() for f in [*texts.schema, *asked_tf.schema]}
+    counts = texts.repartition(groups, "g").groupBy("g").applyInArrow(_token_counts, "g int, token string, n long")
+    share = (F.sum if weigh_documents else F.max)("tf").over(W.partitionBy("qid"))
+    asked = written(asked_tf.withColumn("share", F.col("tf") / share), "asked")
+    few = sized(asked.select("token").distinct())
+    if weigh_documents:
+        counts = written(counts, "token-counts")
+    df = counts.join(few, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("df"))
+    idf = _idf(F.col("df"), docs.count(), weigh_documents)
+    q = asked.hint("merge").join(df, "token", "left").select("qid", "token", (F.col("share") * F.coalesce(idf, F.lit(1.0 if weigh_documents else 0.0))).alias("w"))
+    blocks = max(1, -(-asked.select("qid").distinct().count() // block))
+    weights = written(q.filter("qid IS NOT NULL").withColumn("b", _part("qid", blocks)), "asked-weights").withColumn("g", _every(groups))
+    if weigh_documents:
+        own = counts.select("g", "token", _idf(F.sum("n").over(W.partitionBy("token")), docs.count(), True).alias("w"))
+        weights = weights.unionByName(own.withColumn("b", _every(blocks)).withColumn("qid", F.lit(None).cast(types["qid"])))
+    dealt_out = lambda df: df.repartition(groups * blocks, "g", "b").groupBy("g", "b")
+    met = dealt_out(texts.withColumn("b", _every(blocks))).cogroup(dealt_out(weights))
+    return top_k(met.applyInArrow(_cosine_best(k, least, weigh_documents), f"qid {types['qid']}, id {types['id']}, score double"), k)
 
 
 def cosine_scores(posts: DataFrame, asked_tf: DataFrame, weights: DataFrame, weigh_documents: bool) -> DataFrame:
@@ -138,34 +242,26 @@ def _substring_best(k: int, slice_rows: int = 256):
         def hits(token: str) -> list[int]:
             return holders.get(token, []) + [w for g in {token[i : i + 3] for i in range(len(token) - 2)} for w in begins.get(g, ()) if named[w] in token and named[w] != token]
 
-        ids = texts["id"].combine_chunks().dictionary_encode(null_encoding="encode")
-        order = pc.sort_indices(ids.dictionary, null_placement="at_start").to_numpy()
-        place = np.empty(len(order), int)
-        place[order] = np.arange(len(order))
-        lists = texts["tokens"].combine_chunks()
-        flat = lists.flatten().dictionary_encode()
-        tokens, of = flat.dictionary.to_pylist(), flat.indices.to_numpy()
-        row = np.repeat(place[ids.indices.to_numpy()], lists.value_lengths().fill_null(0).to_numpy())
-        pairs, tf = np.unique(row * max(1, len(tokens)) + of, return_counts=True)
-        row, of = np.divmod(pairs, max(1, len(tokens)))
+        ids, tokens, row, of, tf = _counted(texts)
+        tokens = tokens.to_pylist()
         found = [hits(token) for token in tokens]
         n = np.fromiter(map(len, found), int, len(found))
         word = np.fromiter((w for ws in found for w in ws), int, n.sum())
         share = np.fromiter((1.5 if named[w] == token else 0.5 for token, ws in zip(tokens, found) for w in ws), float, n.sum())
         first, out = np.cumsum(n) - n, []
-        for at in range(0, len(order), slice_rows):
+        for at in range(0, len(ids), slice_rows):
             a, b = np.searchsorted(row, [at, at + slice_rows])
             each = n[of[a:b]]
             hit = np.repeat(first[of[a:b]] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-            size = min(slice_rows, len(order) - at), len(named)
+            size = min(slice_rows, len(ids) - at), len(named)
             held = np.bincount(np.repeat(row[a:b] - at, each) * size[1] + word[hit], np.repeat(tf[a:b], each) * share[hit], size[0] * size[1])
             scores = held.reshape(size) @ times
             top = np.argsort(-scores, axis=0, kind="stable")[:k]
             q = np.broadcast_to(np.arange(scores.shape[1]), top.shape)
             good = scores[top, q] > 0
-            out.append((q[good], order[at + top[good]], scores[top, q][good]))
+            out.append((q[good], at + top[good], scores[top, q][good]))
         q, i, x = (np.concatenate(c) for c in zip(*out)) if out else ([np.zeros(0, int)] * 2 + [np.zeros(0)])
-        return pa.table({"qid": qids.dictionary.take(pa.array(q)), "id": ids.dictionary.take(pa.array(i)), "score": x})
+        return pa.table({"qid": qids.dictionary.take(pa.array(q)), "id": ids.take(pa.array(i)), "score": x})
 
     return best
 
@@ -175,13 +271,11 @@ def substring_top(docs: DataFrame, asked: DataFrame, k: int, id_col: str = "doc_
     of each query in asked(qid, token). Texts are dealt once, in groups of about ``each`` and 16 MB, and meet blocks of about ``block`` queries
     there; only the best of a group leave it, so neither words nor hits are shuffled. Words under three characters count nothing."""
     t = F.filter(tokens if tokens is not None else T.code_tokens(F.col(text_col)), lambda x: F.length(x) >= 3)
-    n, size = docs.agg(F.count("*"), F.sum(F.octet_length(text_col))).first()
-    groups, blocks = max(1, -(-n // each), (size or 0) >> 24), max(1, -(-asked.select("qid").distinct().count() // block))
-    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    texts = docs.select(F.col(id_col).alias("id"), t.alias("tokens"), part(id_col, groups).alias("g")).withColumn("b", every(blocks))
-    words = asked.filter(F.length("token") >= 3).groupBy("qid", F.col("token").alias("word")).agg(F.count("*").alias("times")).withColumn("b", part("qid", blocks))
-    words = written(words, "asked-words").withColumn("g", every(groups))
+    texts, groups = _in_groups(docs, id_col, text_col, t, each)
+    blocks = max(1, -(-asked.select("qid").distinct().count() // block))
+    texts = texts.withColumn("b", _every(blocks))
+    words = asked.filter(F.length("token") >= 3).groupBy("qid", F.col("token").alias("word")).agg(F.count("*").alias("times")).withColumn("b", _part("qid", blocks))
+    words = written(words, "asked-words").withColumn("g", _every(groups))
     types = {f.name: f.dataType.simpleString() for f in [*texts.schema, *words.schema]}
     best = texts.groupBy("g", "b").cogroup(words.groupBy("g", "b")).applyInArrow(_substring_best(k), f"qid {types['qid']}, id {types['id']}, score double")
     return top_k(best, k)
