@@ -209,7 +209,7 @@ def test_postings_of_cosine_searches_are_no_rows(spark, tmp_path):
     """Neither a token of a text nor its meeting with a question is a row: nothing of the plan grows with them."""
     spark.range(400).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 50), i -> concat('word', i)), ' ') || ' own' || id AS text").write.parquet(f"{tmp_path}/documents.parquet")
     spark.range(60).selectExpr("id AS item_id", "'word1 word2 own7' AS text").write.parquet(f"{tmp_path}/benchmark.parquet")
-    for name in ("top7_recall",):
+    for name in ("top6_tfidf_search", "top7_recall"):
         out = catalog.queries()[name](spark, str(tmp_path))
         assert most_rows(out) <= 700
         assert {(r.qid, r["rank"], r.id) for r in out.collect() if r["rank"] == 1} == {(q, 1, 7) for q in range(60)}

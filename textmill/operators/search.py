@@ -178,24 +178,6 @@ def cosine_top(docs: DataFrame, asked_tf: DataFrame, k: int, least: float, weigh
     return top_k(met.applyInArrow(_cosine_best(k, least, weigh_documents), f"qid {types['qid']}, id {types['id']}, score double"), k)
 
 
-def cosine_scores(posts: DataFrame, asked_tf: DataFrame, weights: DataFrame, weigh_documents: bool) -> DataFrame:
-    """Cosine of TF-IDF vectors. asked_tf(qid, token, tf). Document frequencies are divided by the
-    largest of the document; only the query has idf unless ``weigh_documents``, where tf is a share."""
-    most = F.sum if weigh_documents else F.max
-    share = lambda df, key: df.withColumn("z", most("tf").over(W.partitionBy(key)))  # noqa: E731  # of one document or question
-    weighed = weights.select("token", "idf")
-    d = share(posts, "id").withColumn("w", F.col("tf") / F.col("z"))
-    if weigh_documents:
-        d = d.hint("merge").join(weighed, "token").withColumn("w", F.col("w") * F.col("idf"))
-    q = share(asked_tf, "qid").hint("merge").join(weighed, "token", "left").withColumn("wq", F.col("tf") / F.col("z") * F.coalesce("idf", F.lit(1.0 if weigh_documents else 0.0)))
-    q = written(q.select("qid", "token", "wq"), "asked-weights")
-    norm = d.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("nd"))
-    qnorm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
-    dot = d.select("id", "token", "w").join(sized(q), "token").groupBy("qid", "id").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-    out = dot.hint("merge").join(norm, "id").hint("merge").join(qnorm, "qid").filter("nd > 0 and nq > 0")
-    return out.select("qid", "id", F.round(F.col("dot") / (F.col("nd") * F.col("nq")), 6).alias("score"))
-
-
 def containing(vocabulary: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs (token, word) of which one holds the other. A word of three characters or more that
     holds another holds its first trigram: an equi-join on trigrams instead of all pairs."""
