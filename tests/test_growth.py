@@ -213,3 +213,24 @@ def test_postings_of_cosine_searches_are_no_rows(spark, tmp_path):
         out = catalog.queries()[name](spark, str(tmp_path))
         assert most_rows(out) <= 700
         assert {(r.qid, r["rank"], r.id) for r in out.collect() if r["rank"] == 1} == {(q, 1, 7) for q in range(60)}
+
+
+def test_repeated_signals_are_told_apart_without_a_search_for_each(spark):
+    from textmill.functions import lint
+
+    code = ["signal a\n\tsignal b(x) \n x\nsignal\ta\nsignal b\nsignal b(x)\nsignal -c\nsignal -c", "signal a", "", "signal a \x85\n\nsignal a\nsignal a", None]
+    want = ["signal a\n\tsignal b(x) \n x\nsignal b\nsignal -c\nsignal -c", "signal a", "", "signal a \x85\n", None]
+    df = spark.createDataFrame(list(enumerate(code)), "i int, c string")
+    out = df.select("i", lint.without_repeated_signals(F.col("c")).alias("c"), lint.rewritten(F.col("c")).alias("r"))
+    assert "array_position" not in out._jdf.queryExecution().optimizedPlan().toString()
+    rows = sorted(out.collect())
+    assert [r.c for r in rows] == want and rows[4].r.code is None and rows[4].r.n_loops is None
+
+
+def test_kinds_of_hints_are_counted_as_they_are_given(spark):
+    from textmill.functions import lint
+
+    code = 'var a = ""\nvar b = 0\nvar c = 01\nvar var = true\nvar d = truevar e = 0\nfor x in range(len(y)):\n\tz'
+    r = spark.createDataFrame([(code,)], "c string").select(lint.rewritten(F.col("c")).alias("r")).first().r
+    assert r.code == 'var a: String = ""\nvar b: int = 0\nvar c = 01\nvar var: bool = true\nvar d: bool = truevar e: int = 0\nfor x in y:\n\tz\n'
+    assert (r.n_loops, r.n_hints) == (1, 3)

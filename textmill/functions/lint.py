@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -117,32 +119,47 @@ def variables(content: Column, most: int = 15) -> Column:
     return F.slice(F.regexp_extract_all(content, F.lit(r"(?m)^[ \t]*(?:var|const|@export|@onready)\s+(\w+)"), 1), 1, most)
 
 
-# What a rewrite puts in place of a pattern, by step and in this order.
-EMPTY_LOOPS = [(r"for\s+\w+\s+in\s+[^:]+:\s*\n\s*pass", "# Empty loop removed"), (r"while\s+True:\s*\n\s*pass", "# Infinite empty loop removed")]
-SPACES = [(r"\n\s*\n\s*\n", "\n\n"), (r"(?m)[ \t\r\f\x0B]+$", ""), (r"\s+\z", "")]
-EXPORTS = [(r"export\s*\(\s*(int|float|String|bool)\s*\)\s+var\s+(\w+)", "@export var $2: $1")]
-LOOP, LOOSE_LOOP = r"for (\w+) in range\(len\((\w+)\)\)", r"for\s+\w+\s+in\s+range\s*\(\s*len\s*\(\s*\w+\s*\)\s*\)"
+# What a rewrite puts in place of a pattern, by step and in this order; the last is a literal that all the pattern's matches hold.
+EMPTY_LOOPS = [(r"for\s+\w+\s+in\s+[^:]+:\s*\n\s*pass", "# Empty loop removed", "pass"), (r"while\s+True:\s*\n\s*pass", "# Infinite empty loop removed", "True:")]
+SPACES = [(r"\n\s*\n\s*\n", "\n\n", "\n"), (r"(?m)[ \t\r\f\x0B]+$", "", ""), (r"\s+\z", "", "")]
+EXPORTS = [(r"export\s*\(\s*(int|float|String|bool)\s*\)\s+var\s+(\w+)", "@export var $2: $1", "export")]
+LOOPS = [(r"for (\w+) in range\(len\((\w+)\)\)", "for $1 in $2", "in range(len(")]
+LOOSE_LOOP = r"for\s+\w+\s+in\s+range\s*\(\s*len\s*\(\s*\w+\s*\)\s*\)"
 HINTS = [
-    (r'(var\s+\w+)\s*=\s*""', '$1: String = ""'),
-    (r"(var\s+\w+)\s*=\s*0(?!\d)", "$1: int = 0"),
-    (r"(var\s+\w+)\s*=\s*true", "$1: bool = true"),
-    (r"(var\s+\w+)\s*=\s*false", "$1: bool = false"),
+    (r'(var\s+\w+)\s*=\s*""', '$1: String = ""', '""'),
+    (r"(var\s+\w+)\s*=\s*0(?!\d)", "$1: int = 0", "0"),
+    (r"(var\s+\w+)\s*=\s*true", "$1: bool = true", "true"),
+    (r"(var\s+\w+)\s*=\s*false", "$1: bool = false", "false"),
 ]
 
 
-def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
-    for pattern, new in rules:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(new))
+def _bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _replaced(text: Column, rules: list[tuple[str, str, str]]) -> Column:
+    def put(pattern: str, new: str, held: str) -> Callable[[Column], Column]:
+        return lambda t: F.when(F.contains(t, F.lit(held)), F.regexp_replace(t, F.lit(pattern), F.lit(new))).otherwise(t)
+
+    for rule in rules:
+        text = _bound(text, put(*rule))
     return text
 
 
 def without_repeated_signals(content: Column) -> Column:
-    """The code with each signal's first declaration only; the word after signal tells them apart."""
-    stripped = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    name = lambda x: F.when(stripped(x).rlike(r"^signal\s+\w+"), F.split(stripped(x), r"\s+")[1])
-    named = F.transform(F.split(content, "\n", -1), lambda x: F.struct(x.alias("line"), name(x).alias("name")))
-    first = F.transform(F.array(named), lambda ls: F.filter(ls, lambda x, i: x["name"].isNull() | (F.array_position(ls["name"], x["name"]) == i + 1)))[0]
-    return F.array_join(F.transform(first, lambda x: x["line"]), "\n")
+    """The code with each signal's first declaration only; the word after signal tells them apart. The code is cut before these lines, their words are
+    sorted, and a word like the one before it loses its line: work grows with the code and not with its square."""
+    blank = r"[ \t\x0B\f\r]"
+    cut = F.split(F.concat(F.lit("\n\n"), content), rf"(?=\n{blank}*signal{blank}+\w)", -1)  # the first part holds no declaration
+    word = lambda x, i: F.struct(F.regexp_extract(x, r"^\s*signal\s+(\S+)", 1).alias("word"), i.alias("i"))
+    again = lambda s: F.transform(s, lambda x, j: F.struct(x["i"].alias("i"), ((x["word"] != "") & F.coalesce(F.get(s, j - 1)["word"] == x["word"], F.lit(False))).alias("again")))
+
+    def once(parts: Column) -> Column:
+        marks = F.array_sort(_bound(F.array_sort(F.transform(parts, word)), again))
+        return F.array_join(F.transform(F.arrays_zip(parts.alias("part"), marks.alias("mark")), lambda x: F.when(x["mark"]["again"], F.regexp_replace(x["part"], r"^\n[^\n]*", "")).otherwise(x["part"])), "")
+
+    return F.substring(_bound(cut, once), 3, 2**31 - 1)
 
 
 def rewritten(content: Column) -> Column:
@@ -150,9 +167,13 @@ def rewritten(content: Column) -> Column:
     n_loops and n_hints (kinds of hints given). Hints for floats aren't given."""
     once = without_repeated_signals(content)
     tidy = _replaced(F.concat(_replaced(_replaced(once, EMPTY_LOOPS), SPACES), F.lit("\n")), EXPORTS)
-    looped = F.regexp_replace(tidy, LOOP, "for $1 in $2")
-    n_hints = sum((looped.rlike(p).cast("int") for p, _ in HINTS), F.lit(0))
-    return F.struct(_replaced(looped, HINTS).alias("code"), F.regexp_count(tidy, F.lit(LOOSE_LOOP)).alias("n_loops"), n_hints.alias("n_hints"))
+    n_loops = lambda t: F.when(~F.contains(t, F.lit("range")), 0).otherwise(F.regexp_count(t, F.lit(LOOSE_LOOP))).alias("n_loops")
+    done = _bound(tidy, lambda t: F.struct(_replaced(t, LOOPS).alias("code"), n_loops(t), F.lit(0).alias("n_hints")))
+    hinted = lambda old: lambda new: F.struct(new.alias("code"), old["n_loops"].alias("n_loops"), (old["n_hints"] + (new != old["code"]).cast("int")).alias("n_hints"))
+    step = lambda rule: lambda s: _bound(_replaced(s["code"], [rule]), hinted(s))
+    for rule in HINTS:  # no kind of hint makes or takes what another looks for
+        done = _bound(done, step(rule))
+    return done
 
 
 def compared_parts(content: Column) -> Column:
