@@ -234,3 +234,28 @@ def test_kinds_of_hints_are_counted_as_they_are_given(spark):
     r = spark.createDataFrame([(code,)], "c string").select(lint.rewritten(F.col("c")).alias("r")).first().r
     assert r.code == 'var a: String = ""\nvar b: int = 0\nvar c = 01\nvar var: bool = true\nvar d: bool = truevar e: int = 0\nfor x in y:\n\tz\n'
     assert (r.n_loops, r.n_hints) == (1, 3)
+
+
+def test_scenes_in_groups_equal_pointer_doubling(spark):
+    import random
+
+    from textmill.operators import trees
+
+    rng = random.Random(8)
+    rows = [(f"s{k}", i if rng.random() < 0.95 else None, f"n{rng.randint(1, 30)}", rng.choice([".", None, "gone", "off", *[f"n{rng.randint(1, i + 2)}"] * 6])) for k in range(12) for i in range(1, 25)]
+    rows = list({(r[0], r[1] is None, r[2] if r[1] is None else r[1]): r for r in rows}.values())
+    df = spark.createDataFrame(rows, "path string, line_no int, name string, parent string").repartition(3)
+    want = sorted(map(tuple, trees.hierarchy(df, most=0).collect()), key=repr)
+    assert sorted(map(tuple, trees.hierarchy(df, each=60).collect()), key=repr) == want and any(r[4] is None for r in want)
+    assert sorted(map(tuple, trees.hierarchy(df, most=23).collect()), key=repr) == want
+
+
+def test_scenes_take_no_rounds_of_joins(spark):
+    """The scenes of the documents are walked in their groups: no join is left in the plan, and no table of a round was written."""
+    import glob
+
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    count = lambda: len(glob.glob(f"{folder}/tree-tour-*"))
+    before = count()
+    out = catalog.queries()["grf6_hierarchy"](spark, "/root/testdata/sf0.001")
+    assert count() == before and "Join" not in out._jdf.queryExecution().executedPlan().toString()
