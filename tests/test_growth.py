@@ -259,3 +259,19 @@ def test_scenes_take_no_rounds_of_joins(spark):
     before = count()
     out = catalog.queries()["grf6_hierarchy"](spark, "/root/testdata/sf0.001")
     assert count() == before and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_cascade_makes_its_scripts_once(spark, tmp_path, monkeypatch):
+    """On repeated rows, null and empty texts and words that changes speak of, the rows of the SQL; scripts are made once, and no task searches their code."""
+    from tests.oracle import database, rows_of, rows_of_sql
+    from textmill.plans import projects
+
+    rows = [(i, "src", " ".join(f"{w}{'x' * ((i + j) % 9)}" for j, w in enumerate(["signal", "variable", "export", "method", "ab", "a-b", "", "Function", "\u00e9"] * 9))) for i in range(130)]
+    rows += [rows[5], (7, "src", "ab signal"), (20, "src", ""), (21, "src", None), (22, None, "ab"), (None, "src", "ab")]
+    monkeypatch.setattr("tests.oracle.TABLES", ["documents"])
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made, scripts = [], projects.scripts
+    monkeypatch.setattr(projects, "scripts", lambda *a: (made.append(1), scripts(*a))[1])
+    out = catalog.queries()["agg20_jn11_cascade"](spark, str(tmp_path))
+    assert rows_of(out) == rows_of_sql(database(str(tmp_path)), catalog.oracle_sql()["agg20_jn11_cascade"])[1]
+    assert len(made) == 1 and "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()

@@ -5,7 +5,7 @@ cascades of a change, validation of a set of files."""
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -273,7 +273,11 @@ def resolved(names: DataFrame, paths: DataFrame) -> DataFrame:
 
 def linked(lines: DataFrame, paths: DataFrame) -> DataFrame:
     """(src, dst): references between the files at hand, by resolution; a file's own path is left out."""
-    refs = K.dependencies(lines)
+    return linked_names(K.dependencies(lines), paths)
+
+
+def linked_names(refs: DataFrame, paths: DataFrame) -> DataFrame:
+    """refs(src, dst), dst as written -> (src, dst) as linked."""
     to = resolved(refs.select(F.col("dst").alias("name")), paths)
     out = refs.hint("merge").join(to, refs.dst == to.name).select("src", F.col("path").alias("dst"))
     return out.filter("src <> dst").distinct()
@@ -295,37 +299,50 @@ def named_changes(change: Column) -> Column:
     quoted = F.filter(F.transform(F.regexp_extract_all(change, F.lit(r"""('[^']+'|"[^"]+")"""), 1), lambda x: x.substr(F.lit(2), F.length(x) - 2)), lambda x: ~x.rlike(r"^\d+$"))
     signal, variable = F.get(quoted, F.lit(0)), F.get(F.filter(quoted, lambda x: ~x.startswith("signal")), F.lit(0))
     called = F.nullif(F.regexp_extract(change, r"(\w+)\(", 1), F.lit(""))
-    of = lambda severity, name, said: F.when(said & name.isNotNull(), F.struct(F.lit(severity).alias("severity"), name.alias("name")))
-    return F.array_compact(
-        F.array(
-            of("HIGH", signal, low.contains("signal")),
-            of("MEDIUM", called, low.contains("function") | low.contains("method")),
-            of("LOW", variable, low.contains("variable") | low.contains("export")),
-        )
+    of = lambda severity, name, said: F.when(said, F.struct(F.lit(severity).alias("severity"), name.alias("name")))
+    found = F.array(
+        of("HIGH", signal, low.contains("signal")),
+        of("MEDIUM", called, low.contains("function") | low.contains("method")),
+        of("LOW", variable, low.contains("variable") | low.contains("export")),
     )
+    return F.filter(found, lambda c: c["name"].isNotNull())  # asked of what was found: a name asked for null first is looked for twice
+
+
+SEVERITIES = ("HIGH", "MEDIUM", "LOW")
+
+
+def words_in(content: Column) -> Column:
+    """The distinct words of a content, a line each. A name of word characters stands within one word, so this is searched instead of the code."""
+    return F.array_join(F.array_distinct(F.regexp_extract_all(content, F.lit(r"\w+"), 0)), "\n")
+
+
+def _of(severity: str) -> Callable[[Column], Column]:
+    return lambda c: c["severity"] == severity
+
+
+def holding(edges: DataFrame, named: DataFrame, texts: DataFrame) -> DataFrame:
+    """edges(src, dst), named(target, cs), an array of (severity, name), texts(path, text) -> (target, dependent, high, medium, low). A target's
+    names go to its dependents, so a text is shuffled once, however much it depends on, and what a target that many depend on
+    makes to be searched is spread over its dependents."""
+    names = [F.transform(F.filter("cs", _of(s)), lambda c: c["name"]).alias(s.lower()) for s in SEVERITIES]
+    asked = edges.select(F.col("src").alias("path"), F.col("dst").alias("target")).hint("merge").join(named.select("target", *names), "target")
+    n = [F.size(F.filter(s.lower(), lambda x: F.contains("text", x))).alias(s.lower()) for s in SEVERITIES]
+    return asked.hint("merge").join(texts, "path").select("target", F.col("path").alias("dependent"), *n)
 
 
 def cascade(edges: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame:
     """edges(src, dst), changes(target, change), files(path, content) -> (target, dependent, high, medium, low): how
     many changes of the target name something that its dependent holds. Changes of a target travel as one array. A name of word
-    characters stands within one word, so a file's distinct words are searched, not its code; other names are searched in the code."""
+    characters is searched in a file's distinct words, not its code; other names are searched in the code."""
     named = changes.select("target", F.explode(named_changes(F.col("change"))).alias("c"))
     named = written(named.groupBy("target").agg(F.collect_list("c").alias("cs")), "changes")
     plain = lambda c: c["name"].rlike(r"^\w+\z")
-    words = files.select("path", F.array_join(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\w+"), 0)), "\n").alias("text"))
-    parts = [(words, named.withColumn("cs", F.filter("cs", plain)))]
+    out = holding(edges, named.withColumn("cs", F.filter("cs", plain)), files.select("path", words_in(F.col("content")).alias("text")))
     odd = named.withColumn("cs", F.filter("cs", lambda c: ~plain(c))).filter("size(cs) > 0")
-    if not odd.isEmpty():
-        parts.append((files.select("path", F.col("content").alias("text")), odd))
-    n = lambda s: F.size(F.filter("cs", lambda c: (c.severity == s) & F.contains("text", c["name"])))
-    links = edges.select(F.col("src").alias("path"), F.col("dst").alias("target"))
-    out = None
-    for texts, cs in parts:
-        held = links.hint("merge").join(texts, "path").hint("merge").join(cs, "target")
-        hits = held.select("target", F.col("path").alias("dependent"), n("HIGH").alias("high"), n("MEDIUM").alias("medium"), n("LOW").alias("low"))
-        out = hits if out is None else out.unionByName(hits)
-    kinds = ("high", "medium", "low")
-    return out if len(parts) == 1 else out.groupBy("target", "dependent").agg(*[F.sum(k).cast("int").alias(k) for k in kinds])
+    if odd.isEmpty():
+        return out
+    both = out.unionByName(holding(edges, odd, files.select("path", F.col("content").alias("text"))))
+    return both.groupBy("target", "dependent").agg(*[F.sum(s.lower()).cast("int").alias(s.lower()) for s in SEVERITIES])
 
 
 def cascade_report(hits: DataFrame) -> DataFrame:

@@ -102,17 +102,21 @@ def process_bodies(lines: DataFrame, most: int = 15) -> DataFrame:
     return out.filter(F.col("is_process") & (F.col("body_lines") > most)).select("path", "line_number", "body_lines")
 
 
-def dependencies(lines: DataFrame) -> DataFrame:
-    """(src, dst, kind) of extends, preload and load, project-relative."""
-    found = F.array_compact(
+def referred(line: Column) -> Column:
+    """Array of (dst, kind) that a line extends, preloads and loads, project-relative."""
+    return F.array_compact(
         F.array(
             *[
-                F.when(F.col("line").rlike(p), F.struct(F.regexp_extract("line", p, 1).alias("dst"), F.lit(kind).alias("kind")))
+                F.when(line.rlike(p), F.struct(F.regexp_extract(line, p, 1).alias("dst"), F.lit(kind).alias("kind")))
                 for p, kind in ((r'^extends "res://([^"]+)"', "extends"), (r'preload\("res://([^"]+)"\)', "preload"), (r'(?:^|[^e])load\("res://([^"]+)"\)', "load"))
             ]
         )
     )
-    return lines.select("path", F.explode(found).alias("e")).select(F.col("path").alias("src"), "e.dst", "e.kind").distinct()
+
+
+def dependencies(lines: DataFrame) -> DataFrame:
+    """(src, dst, kind) of extends, preload and load, project-relative."""
+    return lines.select("path", F.explode(referred(F.col("line"))).alias("e")).select(F.col("path").alias("src"), "e.dst", "e.kind").distinct()
 
 
 def scene_rows(lines: DataFrame) -> DataFrame:
