@@ -275,3 +275,25 @@ def test_a_cascade_makes_its_scripts_once(spark, tmp_path, monkeypatch):
     out = catalog.queries()["agg20_jn11_cascade"](spark, str(tmp_path))
     assert rows_of(out) == rows_of_sql(database(str(tmp_path)), catalog.oracle_sql()["agg20_jn11_cascade"])[1]
     assert len(made) == 1 and "regexp" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_words_shared_with_the_document_before_over_many_ranges(spark, tmp_path, monkeypatch):
+    """On gaps between ids, null and empty texts and a null id, the rows of the SQL, with a few texts a range; texts are dealt once and no window holds them all."""
+    import random
+
+    from tests.oracle import database, rows_of, rows_of_sql
+    from textmill.functions import tokens
+    from textmill.operators import overlap
+
+    rng = random.Random(4)
+    text = lambda: rng.choice(["", " ", "\t a\nA  b", None, *[" ".join(rng.choices("abcdefghijk", k=rng.randint(1, 20)))] * 6])
+    rows = [(3 * i, text()) for i in rng.sample(range(400), 300)] + [(None, "a b c d e f")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr("tests.oracle.TABLES", ["documents"])
+    want = rows_of_sql(database(str(tmp_path)), catalog.oracle_sql()["set4_overlap"])[1]
+    out = catalog.queries()["set4_overlap"](spark, str(tmp_path))
+    assert rows_of(out) == want and any(r[1] is None for r in want) and len(want) < 295
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    words = F.array_distinct(tokens.blank_split(F.col("text")))
+    assert rows_of(overlap.shared_with_before(docs, "doc_id", "text", words, room=60)) == want
+    assert most_rows(overlap.shared_with_before(docs, "doc_id", "text", words)) <= 2 * 301  # one row a text, and two a range
