@@ -753,6 +753,60 @@ def test_near_dedup_takes_jaccard_of_sets_on_both_sides_of_the_threshold(spark):
     assert left == {i for i, _ in rows} - {i for i, x in pairs.items() if x >= 0.8}
 
 
+def test_near_dedup_loses_no_pair_that_bands_or_fingerprints_miss(spark):
+    """Pairs of a Jaccard similarity of 0.8 that share no band, or whose fingerprints differ in more bits than pairs at 0.8 are taken to; with
+    two below it beside them."""
+
+    def pair(seed, shared, more):  # the second text has ``more`` words after the first one's
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+        body = [word() for _ in range(shared + 4)]
+        return " ".join(body), " ".join(body + [word() for _ in range(more)])
+
+    bands = simhash.band_count(0.8, 5, 0.0005)
+    sets = lambda texts: [simhash.shingles(t.encode(), 5) for t in texts]
+    apart = [pair(i, 20, 5) for i in (3792, 4573, 6487, 10187)]
+    for a, b in map(sets, apart):
+        assert not (simhash.min_bands(a, bands, 5) == simhash.min_bands(b, bands, 5)).any()
+    far = [pair(i, 4, 1) for i in (32216, 33577)]
+    for a, b in map(sets, far):
+        assert (simhash.votes(a) ^ simhash.votes(b)).bit_count() > 26
+    below = [pair(1, 19, 5), pair(2, 20, 6)]
+    rows = [(2 * i + k, t) for i, texts in enumerate(apart + far + below) for k, t in enumerate(texts)]
+    left = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"), 5, 0.8).collect()}
+    assert left == set(range(16)) - {2 * i + 1 for i in range(6)}
+
+
+@pytest.mark.parametrize("low", [0, 0.05, 0.4, 1])
+def test_prefixes_of_any_two_sets_at_the_similarity_meet(spark, monkeypatch, low):
+    """Sets of 1 to 40 elements around a few bases, elements that many sets hold among them, repeated sets; one that is alone has no cell."""
+    monkeypatch.setattr(simhash, "LOW", min(int(low * 2**64), 2**64 - 1))
+    rng = np.random.default_rng(11)
+    common = rng.integers(0, 1 << 64, 12, np.uint64)
+    sets = [np.unique(rng.integers(0, 1 << 64, 30, np.uint64))]
+    for _ in range(25):
+        base = np.concatenate([rng.integers(0, 1 << 64, int(rng.integers(1, 40)), np.uint64), rng.permutation(common)[: int(rng.integers(0, 12))]])
+        for _ in range(8):
+            n = int(rng.integers(0, 1 + len(base) // 6))
+            sets.append(np.unique(np.concatenate([rng.permutation(base)[n:], rng.integers(0, 1 << 64, int(rng.integers(0, n + 2)), np.uint64)])))
+    ids = {x.tobytes(): i for i, x in enumerate(sets)}
+    firsts = [(ids[x.tobytes()], *simhash.first_elements(x, 0.8)) for x in sets]
+    rows = [(i, x.view(np.int64).tolist(), skip) for i, x, skip in firsts] * 2
+    cells = simhash.prefix_cells(spark.createDataFrame(rows, "id long, low array<long>, skip int").repartition(3)).collect()
+    held = {}
+    for r in cells:
+        held.setdefault(r.id, set()).add(r.v)
+    assert len(cells) == sum(map(len, held.values())) and 0 not in held
+    near = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if ids[a.tobytes()] != ids[b.tobytes()] and both / (len(a) + len(b) - both) >= 0.8:
+                near += 1
+                assert held[ids[a.tobytes()]] & held[ids[b.tobytes()]]
+    assert near > 100
+
+
 def test_set_links_equal_a_comparison_of_all_pairs_of_a_cell(spark):
     """Families of copies around a text that needn't stand in each cell, some on either side of the threshold."""
     rng = np.random.default_rng(5)

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from ._scratch import written
@@ -39,6 +40,7 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _STEP = 1 << 16
 DENSE = 1024  # fingerprints of one bucket outside its main component that are compared as they stand
 ELEMENTS, NODES = 1_000_000, 1_000  # of a block of sets compared inside a task
+LOW = int(0.4 * 2**64)  # hashes below it are ordered by how many sets hold them, see first_elements
 
 
 def simhash(data: bytes, size: int) -> int:
@@ -137,14 +139,14 @@ def links(cells: DataFrame, k: int, finer: Callable[[int], list[int]] | None = N
         known = again.select(F.explode("cs").alias("c"), "id", "f", "root").select("c", F.col("f").bitwiseAND(F.col("c")).alias("v"), "id", "f", "root").distinct()
 
 
-def _across(similarity: float, k: int) -> Callable[[pa.Table], pa.Table]:
-    """Nodes (i, j, x, id, f, root, n, size, lacks, d) of blocks i and j of one head -> (a, b), links that join their components as
+def _across(similarity: float) -> Callable[[pa.Table], pa.Table]:
+    """Nodes (i, j, x, id, root, n, size, lacks, d) of blocks i and j of one head -> (a, b), links that join their components as
     all links between the blocks would. A set has n elements, the head size of them; lacks of the head's aren't in the set, and d
     holds these and those that the head lacks."""
 
     def run(t: pa.Table) -> pa.Table:
         x, ids, root, n, size, lacks = (t.column(c).to_numpy() for c in ("x", "id", "root", "n", "size", "lacks"))
-        f, d = t.column("f").to_numpy().view(np.uint64), t.column("d").combine_chunks()
+        d = t.column("d").combine_chunks()
         owner = np.repeat(np.arange(len(ids)), d.value_lengths().to_numpy())
         at, seen = np.unique(d.flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
         owner, at = owner[seen[at] > 1], at[seen[at] > 1]  # what one set alone holds is in common with none
@@ -158,7 +160,6 @@ def _across(similarity: float, k: int) -> Callable[[pa.Table], pa.Table]:
             open_ = top[own] != top[own[a]]
             if not one:
                 open_ &= x != x[a]
-            open_ &= np.bitwise_count(f ^ f[a]) <= k
             if not open_.any():
                 continue
             lists = [holders[begins[e] : begins[e + 1]] for e in at[mine[a] : mine[a + 1]].tolist()]
@@ -172,10 +173,35 @@ def _across(similarity: float, k: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def first_elements(hashes: np.ndarray, similarity: float) -> tuple[np.ndarray, int]:
+    """The elements of a set (in order) among which its prefix lies, and how many of them are too many.
+
+    Two sets of the Jaccard ``similarity`` s share s * n elements at least of the n of either, so in whatever order, the same for all, their first common
+    element is one of the first n - ceil(s * n) + 1 of both: the prefix. In the order used here elements below LOW come first, those that fewest sets
+    hold at their head, then the others by their value; so those below LOW, or as many as the prefix has if that is more, hold the prefix."""
+    n = len(hashes)
+    prefix = min(n, n - ceil(similarity * n - 1e-9) + 1)
+    low = hashes[: max(prefix, int(np.searchsorted(hashes, np.uint64(LOW))))]
+    return low, len(low) - prefix
+
+
+def prefix_cells(lows: DataFrame) -> DataFrame:
+    """lows(id, low array<long>, skip) of first_elements, equal ids equal -> cells (c, v, id): a row for each element of a node's prefix that stands in another
+    node's prefix too. Every two nodes at the similarity meet in one. An element that one node alone has is of no use but comes first, so
+    a text of which a fifth is its own has no cell."""
+    elements = lows.dropDuplicates(["id"]).select("id", "skip", F.explode("low").alias("e"))
+    of = W.partitionBy("e")
+    held = elements.withColumns({"n": F.count("*").over(of)}).filter("n > 1")
+    mine = W.partitionBy("id")
+    ranked = held.withColumns({"rank": F.row_number().over(mine.orderBy("n", "e")), "of": F.count("*").over(mine)}).filter(F.col("rank") <= F.col("of") - F.col("skip"))
+    cells = written(ranked.select(F.lit(-1).cast("short").alias("c"), F.col("e").alias("v"), "id"), "prefixes")
+    return cells.hint("merge").join(cells.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1").select("v"), "v", "left_semi").select("c", "v", "id")
+
+
 def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> DataFrame:
     """cells(c, v, id, f), sets(id, s array<long>) -> (id, root) for nodes with a link: two nodes of a
     cell whose sets have the Jaccard ``similarity`` at least. Sets whose f differ in more than ``k``
-    bits are taken to be further apart.
+    bits are likely further apart and wait for the comparison in blocks, which leaves nothing out.
 
     The node of a cell that meets most others in all cells together is of a text and its many copies,
     which differ less from it than from each other, the text. It need not stand in every cell of the
@@ -219,7 +245,7 @@ def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> D
     again = rest.hint("merge").join(second, ["c", "v"]).filter("root != h.root").filter(F.bit_count(F.col("f").bitwiseXOR(F.col("h.f"))) <= k)
     found = written(found.unionByName(compared(again.select(F.col("id").alias("a"), F.col("h.id").alias("b"))).filter(alike).select("a", "b")), "links")
     known, mixed = rooted(known, found)
-    asked = written(mixed.groupBy("head", "id").agg(F.first("f").alias("f"), F.first("root").alias("root")), "asked")
+    asked = written(mixed.groupBy("head", "id").agg(F.first("root").alias("root")), "asked")
     apart = F.concat(F.array_except("a_s", "b_s"), F.array_except("b_s", "a_s")).alias("d")
     apart = compared(asked.select(F.col("id").alias("a"), F.col("head").alias("b")), apart)
     apart = apart.select(F.col("a").alias("id"), F.col("b").alias("head"), "n", F.col("m").alias("size"), (F.col("m") - F.col("inter")).alias("lacks"), "d")
@@ -227,8 +253,8 @@ def set_links(cells: DataFrame, sets: DataFrame, similarity: float, k: int) -> D
     blocks = F.greatest(F.ceil(F.sum(F.size("d")) / ELEMENTS), F.ceil(F.count("*") / NODES))
     dealt = nodes.hint("merge").join(nodes.groupBy("head").agg(blocks.alias("blocks")), "head").withColumn("x", F.pmod(F.xxhash64("id"), F.col("blocks")))
     dealt = dealt.withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    cells = dealt.select("head", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "f", "root", "n", "size", "lacks", "d")
-    across = cells.repartition("head", "i", "j").groupBy("head", "i", "j").applyInArrow(_across(similarity, k), "a long, b long")
+    cells = dealt.select("head", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "root", "n", "size", "lacks", "d")
+    across = cells.repartition("head", "i", "j").groupBy("head", "i", "j").applyInArrow(_across(similarity), "a long, b long")
     return components(found.unionByName(across)).withColumnRenamed("node", "id")
 
 
@@ -299,12 +325,13 @@ def min_bands(hashes: np.ndarray, bands: int, rows: int) -> np.ndarray:
 def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, rows: int = 5, miss: float = 0.0005, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """As near_duplicates, for links at a given Jaccard ``similarity`` of shingle sets, which is too
     wide for blocks of fingerprint bits: at 0.8 about one bit in seven differs, and the blocks needed
-    grow with the number of documents. Candidates agree on a band of ``rows`` minima of the set; there
+    grow with the number of documents. First candidates agree on a band of ``rows`` minima of the set; there
     are as many bands as keep the chance of missing a pair at the threshold under ``miss``, whatever
-    the number of documents, as unrelated sets have no minima in common. Fingerprints of 64 bits, in
-    which each distinct shingle votes once, drop what is six deviations off; of the rest, pairs
-    whose sets have the similarity exactly are kept. doc_id, text_key (xxhash64), root (the
-    component's set) and component_id of each row."""
+    the number of documents, as unrelated sets have no minima in common. The pairs that this misses by chance
+    are candidates too: all pairs at the similarity share an element of their prefixes (first_elements). Of the candidates, pairs
+    whose sets have the similarity exactly are kept; fingerprints of 64 bits, in which each distinct shingle votes once,
+    only tell which are compared early. So the components are those of a comparison of all pairs. doc_id, text_key (xxhash64),
+    root (the component's set) and component_id of each row."""
     key = lambda i, t: [F.coalesce(i, F.lit(0)).alias("k1"), i.isNull().alias("k2"), t.alias("k3")]
     text = F.col(text_col).cast("binary")
     table = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), F.xxhash64(text).alias("text_key"))
@@ -315,9 +342,11 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
             sets = [shingles(t or b"", size) for t in b.column(1).to_pylist()]
             fp = pa.array([xxh3_128_digest(x.astype("<u8").tobytes()) for x in sets], pa.binary())
             f = pa.array(np.array([votes(x) for x in sets], np.uint64).view(np.int64))
-            low = np.array([min_bands(x, bands, rows) for x in sets], np.uint64).reshape(-1).view(np.int64)
-            low = pa.ListArray.from_arrays(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32), pa.array(low))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, f, low], ["doc_id", "text_key", "fp", "f", "bands"])
+            minima = np.array([min_bands(x, bands, rows) for x in sets], np.uint64).reshape(-1).view(np.int64)
+            minima = pa.ListArray.from_arrays(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32), pa.array(minima))
+            low, skip = zip(*[first_elements(x, similarity) for x in sets]) if sets else ((), ())
+            low, skip = pa.array([x.view(np.int64) for x in low], pa.list_(pa.int64())), pa.array(skip, pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, f, minima, low, skip], ["doc_id", "text_key", "fp", "f", "bands", "low", "skip"])
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -325,12 +354,15 @@ def similar_documents(docs: DataFrame, size: int = 5, similarity: float = 0.8, r
                 sets = [shingles(t or b"", size).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    prints = written(table.mapInArrow(run, "doc_id long, text_key long, fp binary, f long, bands array<long>"), "fingerprints")
+    prints = written(table.mapInArrow(run, "doc_id long, text_key long, fp binary, f long, bands array<long>, low array<long>, skip int"), "fingerprints")
+    prefixes = prefix_cells(prints.select(F.xxhash64("fp").alias("id"), "low", "skip"))
+    prints = prints.drop("low", "skip")
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), one, F.first("f").alias("f"), F.first("bands").alias("bands")).withColumn("id", F.xxhash64("fp")), "nodes")
     cells = nodes.select("id", "f", F.posexplode("bands").alias("c", "v")).select(F.col("c").cast("short").alias("c"), "v", "id", "f")
     many = cells.groupBy("c", "v").agg(F.count("*").alias("n")).filter("n > 1").select("c", "v")
-    cells = written(cells.hint("merge").join(many, ["c", "v"], "left_semi"), "cells")
+    cells = cells.hint("merge").join(many, ["c", "v"], "left_semi").select("c", "v", "id", "f")
+    cells = written(cells.unionByName(prefixes.hint("merge").join(nodes.select("id", "f"), "id").select("c", "v", "id", "f")), "cells")
     # the sets of the nodes that meet another one, made anew from one text of each
     wanted = nodes.hint("merge").join(cells.select("id").distinct(), "id", "left_semi").select("id", *key(F.col("one.doc_id"), F.col("one.text_key")))
     texts = table.select("t", *key(F.col("doc_id"), F.col("text_key"))).hint("merge").join(wanted, ["k1", "k2", "k3"])
